@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chunking, pieces, quality, secrets
+from . import chunking, neardup, pieces, quality, secrets
 
 QUERIES = (
     chunking.op1_payload_chunks,
+    neardup.op2_super_minhash,
     secrets.op4_secret_names,
     pieces.op6_piece_spans,
     quality.op10_random_indexing,
