@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chunking, neardup, pieces, quality, secrets
+from . import chunking, decontam, neardup, pieces, quality, secrets
 
 QUERIES = (
     chunking.op1_payload_chunks,
     neardup.op2_super_minhash,
+    decontam.op3_template_windows,
     secrets.op4_secret_names,
     pieces.op6_piece_spans,
     quality.op10_random_indexing,
