@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunking, decontam, neardup, pieces, private, quality, secrets
+from . import chunking, decontam, linededup, neardup, pieces, private, quality, secrets
 
 QUERIES = (
     chunking.op1_payload_chunks,
@@ -10,6 +10,7 @@ QUERIES = (
     decontam.op3_template_windows,
     secrets.op4_secret_names,
     pieces.op6_piece_spans,
+    linededup.op7_deletion_neighbours,
     private.op8_bootstrapped_contexts,
     quality.op10_random_indexing,
 )
