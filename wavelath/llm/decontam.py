@@ -175,5 +175,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Decontaminator = De
     )
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, settings: Decontaminator = Decontaminator()) -> DataFrame:
+    """The rows of docs whose text holds no benchmark item. Rows are told apart by doc_id and text."""
+    mark = F.xxhash64("doc_id", "text")
+    found = matches(docs.select(mark.alias("doc_id"), "text"), benchmark, settings)
+    return docs.withColumn("_mark", mark).join(found.select(F.col("doc_id").alias("_mark")).distinct(), "_mark", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op3_template_windows(spark, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

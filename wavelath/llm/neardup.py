@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import mix64, pieces, stage_table, table
@@ -213,8 +214,8 @@ def across(buckets: DataFrame, labels: DataFrame, classes: DataFrame, settings:
     return blocks.mapInArrow(run, "a long, b long").distinct()
 
 
-def grouped(docs: DataFrame, settings: NearDuplicates = NearDuplicates()) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept. The texts' whole sets are compared."""
+def labelled(docs: DataFrame, settings: NearDuplicates) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, node, n_shingles, and smallest, the least node of its group. The texts' whole sets are compared."""
     rows = stage_table(signed(docs, settings), "signatures")
     firsts = rows.filter("name IS NOT NULL").groupBy("name").agg(F.min("node").alias("node"))
     classes = stage_table(rows.join(firsts, ["name", "node"]).dropDuplicates(["name", "node"]).select("node", "name", "bands", "light"), "classes")
@@ -230,8 +231,25 @@ def grouped(docs: DataFrame, settings: NearDuplicates = NearDuplicates()) -> Dat
     labels = components(links.unionByName(stage_table(more, "more")))
     named = rows.select("doc_id", "n_shingles", "name", "node").join(firsts.withColumnRenamed("node", "class"), "name", "left")
     found = named.join(labels.withColumnRenamed("node", "class"), "class", "left")
-    smallest = F.coalesce("component", "class", "node")
-    return found.select("doc_id", "n_shingles", F.when(smallest < STAND_IN, smallest).alias("component_id"), (F.col("node") == smallest).alias("kept"))
+    return found.select("doc_id", "node", "n_shingles", F.coalesce("component", "class", "node").alias("smallest"))
+
+
+def grouped(docs: DataFrame, settings: NearDuplicates = NearDuplicates()) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
+    smallest = F.col("smallest")
+    return labelled(docs, settings).select("doc_id", "n_shingles", F.when(smallest < STAND_IN, smallest).alias("component_id"), (F.col("node") == smallest).alias("kept"))
+
+
+def representatives(docs: DataFrame, settings: NearDuplicates = NearDuplicates()) -> DataFrame:
+    """The rows of docs with one document of each group: the one of the smallest doc_id.
+
+    Of rows that repeat a doc_id and its text one stays. Rows without words are in no group, and all stay.
+    """
+    kept = labelled(docs, settings).filter("node = smallest").groupBy("node").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("most"))
+    own = kept.select(F.col("node").alias("_node"), ((F.col("rows") > 1) & (F.col("most") > 0)).alias("_repeated"))
+    met = docs.withColumn("_node", node()).join(own, "_node")
+    copy = F.row_number().over(W.partitionBy("_node", F.xxhash64("text")).orderBy(F.lit(1)))
+    return met.withColumn("_copy", copy).filter("NOT _repeated OR _copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_super_minhash(spark, sf_dir: str) -> DataFrame:

@@ -213,29 +213,35 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(docs: DataFrame, model_path: str, column: str = "text", spans: bool = True, key: str = "doc_id") -> DataFrame:
-    """Per row: key, ids, the decoded text, and the source bytes of each id as begins and ends."""
+def encoded(tool: Encoder, texts: list[str], spans: bool) -> list[pa.Array]:
+    """Arrow columns of some texts: ids, the decoded texts, and the begins and ends of the ids' source bytes."""
+    norm = tool.normalizer
+    ids, at = tool.ids([norm.plain(x) if norm.simple else norm.aligned(x)[0] for x in texts])
+    lists = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    decoded = tool.decoder.decode([x.tolist() for x in lists]) if lists else []
+    at = pa.array(at, pa.int32())
+    out = [pa.ListArray.from_arrays(at, pa.array(ids)), pa.array(decoded, pa.string())]
+    if spans:
+        placed = [tool.spans(x, i) for x, i in zip(texts, lists, strict=True)]
+        for k in (0, 1):
+            values = np.concatenate([np.zeros(0, np.int64), *(p[k] for p in placed)]).astype(np.int32)
+            out.append(pa.ListArray.from_arrays(at, pa.array(values)))
+    return out
+
+
+def with_pieces(docs: DataFrame, model_path: str, column: str = "text", spans: bool = True) -> DataFrame:
+    """The rows of docs, with ids, decoded, and the source bytes of each id as begins and ends; these replace columns of their names."""
+    added = ["ids", "decoded"] + ["begins", "ends"] * spans
+    kept = docs.drop(*added)
 
     def run(batches):
         tool = encoder(model_path)
         for batch in small(batches):
-            texts = [x or "" for x in batch.column(column).to_pylist()]
-            norm = tool.normalizer
-            ids, at = tool.ids([norm.plain(x) if norm.simple else norm.aligned(x)[0] for x in texts])
-            lists = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-            decoded = tool.decoder.decode([x.tolist() for x in lists]) if lists else []
-            at = pa.array(at, pa.int32())
-            arrays = [batch.column(key), pa.ListArray.from_arrays(at, pa.array(ids)), pa.array(decoded, pa.string())]
-            if spans:
-                placed = [tool.spans(x, i) for x, i in zip(texts, lists, strict=True)]
-                for k in (0, 1):
-                    values = np.concatenate([np.zeros(0, np.int64), *(p[k] for p in placed)]).astype(np.int32)
-                    arrays.append(pa.ListArray.from_arrays(at, pa.array(values)))
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    names = [key, "ids", "decoded"] + ["begins", "ends"] * spans
-    schema = f"{key} long, ids array<int>, decoded string" + ", begins array<int>, ends array<int>" * spans
-    return docs.select(key, column).mapInArrow(run, schema)
+            new = encoded(tool, [x or "" for x in batch.column(column).to_pylist()], spans)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *added])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + ["ids array<int>", "decoded string"] + ["begins array<int>", "ends array<int>"] * spans
+    return kept.mapInArrow(run, ", ".join(fields))
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -250,4 +256,4 @@ def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
 def op6_piece_spans(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return digests(encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+    return digests(with_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")))

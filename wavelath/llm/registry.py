@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import chunking, decontam, linededup, neardup, pieces, private, quality, secrets
+from . import chunking, decontam, licenses, linededup, neardup, pieces, private, quality, secrets, tokencounts
 
 QUERIES = (
     chunking.op1_payload_chunks,
     neardup.op2_super_minhash,
     decontam.op3_template_windows,
     secrets.op4_secret_names,
+    licenses.op5_winnowed_licenses,
     pieces.op6_piece_spans,
     linededup.op7_deletion_neighbours,
     private.op8_bootstrapped_contexts,
+    tokencounts.op9_section_tokens,
     quality.op10_random_indexing,
 )
 
