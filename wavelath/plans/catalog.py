@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from . import sequence_queries, vector_queries
+
 FLAGSHIP = "stft_events"
 
 
 def queries():
-    return {}
+    return {**sequence_queries.QUERIES, **vector_queries.QUERIES}
 
 
 def oracle_sql():
-    return {}
+    return {**sequence_queries.ORACLES, **vector_queries.ORACLES}
