@@ -52,8 +52,13 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
-def bare(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"\s+", " "))
+def blanks(text: Column) -> Column:
+    """text with a plain blank for every other blank but the line break, null as empty."""
+    return F.translate(F.coalesce(text, F.lit("")), "\t\x0b\f\r", "    ")
+
+
+def words_of(line: Column) -> Column:
+    return F.filter(F.split(line, " "), lambda w: w != "")
 
 
 def short_hash(*parts: Column) -> Column:
@@ -62,10 +67,10 @@ def short_hash(*parts: Column) -> Column:
 
 def lines(docs: DataFrame, settings: LineDedup) -> DataFrame:
     """A row for each line of min_words words or more: its place, two digests, and the sums of its groups if it can have near copies."""
-    rows = docs.select("doc", "mark", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
-    rows = rows.select(*PLACE, bare(F.col("line")).alias("line")).withColumn("words", F.split("line", " ")).filter(F.size("words") >= settings.min_words)
+    rows = docs.select("doc", "mark", F.posexplode(F.split(blanks(F.col("text")), "\n", -1)).alias("line_no", "line"))
+    rows = rows.select(*PLACE, words_of(F.col("line")).alias("words")).filter(F.size("words") >= settings.min_words)
     hashes = F.transform("words", lambda w: short_hash(w))
-    rows = rows.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.when(F.size("words") >= settings.fuzzy_words, hashes).alias("hashes"))
+    rows = rows.select(*PLACE, F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), F.when(F.size("words") >= settings.fuzzy_words, hashes).alias("hashes"))
     part = lambda k: F.aggregate("hashes", F.lit(0).cast("long"), lambda total, h: F.when(h % GROUPS == k, total + h).otherwise(total))
     return rows.select(*PLACE, "h1", "h2", *[part(k).alias(f"s{k}") for k in range(GROUPS)])
 
@@ -119,8 +124,8 @@ def near_copies(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Places of the distinct lines that an earlier line is within one edit of."""
     by_row = suspects(distinct).groupBy("doc", "mark").agg(F.collect_set("line_no").alias("wanted"))
     texts = docs.select("doc", "mark", "text").dropDuplicates(["doc", "mark"]).join(by_row, ["doc", "mark"])
-    every = texts.select("doc", "mark", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"), "wanted").filter(F.array_contains("wanted", F.col("line_no")))
-    words = stage_table(every.select(*PLACE, F.split(bare(F.col("line")), " ").alias("words")), "suspects")
+    every = texts.select("doc", "mark", F.posexplode(F.split(blanks(F.col("text")), "\n", -1)).alias("line_no", "line"), "wanted").filter(F.array_contains("wanted", F.col("line_no")))
+    words = stage_table(every.select(*PLACE, words_of(F.col("line")).alias("words")), "suspects")
     keys = neighbourhood(words)
     # equal keys in one line (a word twice in a row) are one entry
     met = keys.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("first"), F.max(F.struct(*PLACE)).alias("last")).filter("first < last")
@@ -133,7 +138,7 @@ def near_copies(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 def dropped(docs: DataFrame, settings: LineDedup = LineDedup()) -> DataFrame:
     """Per row that loses lines: doc, mark, and their places in gone. docs: with_key()."""
-    rows = lines(docs, settings)
+    rows = stage_table(lines(docs, settings), "lines")  # read twice: cheaper than the texts
     distinct = stage_table(firsts(rows), "distinct")
     near = stage_table(near_copies(docs, distinct), "near")
     copies = rows.select(*PLACE, "h1", "h2").join(distinct.filter("n > 1").select("h1", "h2", F.struct(*PLACE).alias("first")), ["h1", "h2"])
