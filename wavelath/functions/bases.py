@@ -120,11 +120,15 @@ def wht_matrix(length: int, kind: str | int = "natural") -> np.ndarray:
     return np.where(odd, -1.0, 1.0) / np.sqrt(length)
 
 
-def lapped_matrix(length: int, sine: bool = False) -> np.ndarray:
-    """Modified cosine or sine transform of frames of length to half as many bins."""
+def lapped_matrix(length: int, window: str | int = "sine", sine: bool = False) -> np.ndarray:
+    """Windowed basis of the modified cosine or sine transform, from frames of length to half as many bins.
+
+    A window whose squares add up to 1 is scaled by the root of 2, so that the mean of two overlapping frames is the signal.
+    """
     half = length // 2
     k, n = np.arange(half)[:, None] + 0.5, np.arange(length) + 0.5 + half / 2
-    return np.sqrt(2 / half) * (np.sin if sine else np.cos)(np.pi / half * k * n)
+    scale = 2 / half if window in ("rectangular", 5) else 4 / half
+    return np.sqrt(scale) * (np.sin if sine else np.cos)(np.pi / half * k * n) * window_values(length, window)
 
 
 def freqt_matrix(in_order: int, out_order: int, alpha: float) -> np.ndarray:

@@ -76,13 +76,13 @@ def mdct(samples: DataFrame, frame_length: int, window: str | int = "sine", sine
     # half a frame of zeros after the end opens one more frame
     more = sizes.select("seq", F.explode(seq.steps(F.col("length"), F.col("length") + half - 1)).alias("n"), F.lit(0.0).alias("x"))
     frames = seq.frame(samples.select("seq", "n", "x").unionByName(more), frame_length, half, True)
-    basis = bases.lapped_matrix(frame_length, sine) * bases.window_values(frame_length, window)
+    basis = bases.lapped_matrix(frame_length, window, sine)
     return frames.select("seq", "t", linear(basis)("x").alias("x"))
 
 
 def imdct(bins: DataFrame, frame_length: int, window: str | int = "sine", sine: bool = False, out_length: int | None = None) -> DataFrame:
     half = frame_length // 2
-    basis = (bases.lapped_matrix(frame_length, sine) * bases.window_values(frame_length, window)).T
+    basis = bases.lapped_matrix(frame_length, window, sine).T / 2
     frames = bins.select("seq", "t", linear(basis)("x").alias("x"))
     sent = frames.select("seq", "t", F.posexplode("x").alias("j", "v")).select("seq", (F.col("t") * half + F.col("j") - half).alias("n"), "v").filter("n >= 0")
     added = sent.groupBy("seq", "n").agg(F.sum("v").alias("x"))

@@ -108,7 +108,7 @@ def stft_events(spark, sf_dir):
 
 register("stft_events", stft_events, f"WITH {fx.W}{STFT}SELECT seq AS user_id, t AS frame, k AS bin, round(re * re + im * im, 3) + 0.0 AS power FROM d")
 samples("istft", lambda df: spectra.istft(spectra.stft(df, 16, 8, 16, window="hanning", out_format="complex"), 16, 8, 16, window="hanning", out_length=40), f"SELECT seq, n, {y('x')} FROM w WHERE n < 40")
-LAPPED = "sqrt(2.0 / 8) * {0}(pi() / 8 * (k + 0.5) * (j + 0.5 + 4)) * sin(pi() * (j + 0.5) / 16)"
+LAPPED = "sqrt(4.0 / 8) * {0}(pi() / 8 * (k + 0.5) * (j + 0.5 + 4)) * sin(pi() * (j + 0.5) / 16)"
 for name, op, wave in (("mdct", spectra.mdct, "cos"), ("mdst", spectra.mdst, "sin")):
     vectors(name, lambda df, op=op: op(df, 16), f", {framed(16, 8, end=' + 8')} SELECT seq, t, k, {y('sum(x * ' + LAPPED.format(wave) + ')', 5)} FROM f, {grid('k', 8)} g GROUP BY seq, t, k", digits=5)
 samples("imdct", lambda df: spectra.imdct(spectra.mdct(df, 16), 16, out_length=40), f"SELECT seq, n, {y('x')} FROM w WHERE n < 40")
