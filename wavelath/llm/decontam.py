@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,9 @@ NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(%|st|nd|rd|th)?$")
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half".split())
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ml l liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent % mph kmh kph hz khz mhz ghz w kw mw j kj v a k kb mb gb tb meter meters metre metres celsius fahrenheit degree degrees".split())
 NUM, UNIT, NAME = 1, 2, 3
+PLACEHOLDERS = dict.fromkeys(UNITS, UNIT) | dict.fromkeys(NUMBER_WORDS, NUM)
+#: What a number can begin with, and the empty word.
+NUMBER_BEGINS = frozenset(["", *"0123456789+-$€£%"])
 STRIP = "\"'“”‘’«»()[]{}<>.,;:!?¿¡*_#|~`…—–-"
 ENDS = ".!?:|…"
 
@@ -56,48 +60,67 @@ class Decontaminator:
 
 
 class Canon(dict):
-    """Each raw word once: (hash of its canonical form, type, capitalised, ends a sentence, its value)."""
+    """Numbers of raw words, and by number: hash of the canonical form, type, whether capitalised, whether it ends a sentence, value."""
 
-    def __missing__(self, raw: str) -> tuple[int, int, bool, bool, str]:
-        if len(self) > 300_000:
-            self.clear()
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.new: list[tuple] = []
+        self.values: list[str] = []
+        self.hashes, self.kinds, self.capital, self.ends = (np.zeros(0, t) for t in (np.uint64, np.int8, bool, bool))
+
+    def __missing__(self, raw: str) -> int:
         bare = raw.strip(STRIP)
         low = bare.lower()
-        kind = NUM if NUMBER.match(bare) or low in NUMBER_WORDS else UNIT if low in UNITS or raw == "%" else 0
-        capital = not kind and bare[:1].isupper() and not (bare.isupper() and len(bare) > 1)
-        found = (xxhash.xxh3_64_intdigest(b"\0%d" % kind if kind else low.encode()) if bare or kind else 0, kind, capital, raw[-1] in ENDS, low)
+        if bare[:1] in NUMBER_BEGINS:
+            kind = NUM if NUMBER.match(bare) else PLACEHOLDERS.get(low, 0)
+        else:
+            kind = PLACEHOLDERS.get(low, 0)
+        capital = not kind and bare[:1].isupper() and (len(bare) == 1 or not bare.isupper())
+        self.new.append((xxhash.xxh3_64_intdigest(b"\0%d" % kind if kind else low.encode()) if bare or kind else 0, kind, capital, raw[-1] in ENDS))
+        found = len(self.values)
+        self.values.append(low)
         self[raw] = found
         return found
 
+    def settle(self) -> None:
+        """Puts the words met since the last call into the arrays."""
+        if self.new:
+            columns = zip(*self.new, strict=True)
+            self.hashes, self.kinds, self.capital, self.ends = (np.concatenate([old, np.array(c, old.dtype)]) for old, c in zip((self.hashes, self.kinds, self.capital, self.ends), columns, strict=True))
+            self.new = []
+
 
 NAME_HASH = np.uint64(xxhash.xxh3_64_intdigest(b"\0%d" % NAME))
 
 
-def canonical(text: str, words: Canon) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Hashes, types and values of a text's canonical words; words of signs alone are left out."""
-    lines = text.split("\n")
-    raw = [x for line in lines for x in line.split()]
-    if not raw:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int8), []
-    got = [words[x] for x in raw]
-    hashes, kinds, capitals, ends, values = zip(*got, strict=True)
-    hashes, kinds = np.array(hashes, np.uint64), np.array(kinds, np.int8)
-    begins = np.zeros(len(raw) + 1, bool)
-    begins[1:] = ends
-    begins[np.cumsum([0, *(len(line.split()) for line in lines)])] = True
-    name = np.array(capitals) & ~begins[:-1]
+def canonical(texts: list[str], words: Canon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, types and numbers of the texts' canonical words one after another, and whose they are; words of signs alone are left out."""
+    if len(words) > 300_000:  # bounds the memory
+        words.forget()
+    lines = [line.split() for text in texts for line in text.split("\n")]
+    ids = np.fromiter(map(words.__getitem__, chain.from_iterable(lines)), np.int64)
+    words.settle()
+    sizes = np.fromiter(map(len, lines), np.int64)
+    owner = np.repeat(np.repeat(np.arange(len(texts)), [text.count("\n") + 1 for text in texts]), sizes)
+    begins = np.zeros(len(ids) + 1, bool)
+    begins[1:] = words.ends[ids]
+    begins[np.concatenate([[0], np.cumsum(sizes)])] = True
+    hashes, kinds = words.hashes[ids], words.kinds[ids]
+    name = words.capital[ids] & ~begins[:-1]
     kinds[name], hashes[name] = NAME, NAME_HASH
     full = hashes != 0
-    return hashes[full], kinds[full], [v for v, f in zip(values, full, strict=True) if f]
+    return hashes[full], kinds[full], ids[full], owner[full]
 
 
-def windows(hashes: np.ndarray, kinds: np.ndarray, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the windows with enough words that are no placeholders."""
-    count = len(hashes) - size + 1
-    if count < 1:
+def windows(hashes: np.ndarray, kinds: np.ndarray, owner: np.ndarray, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the windows inside one text with enough words that are no placeholders."""
+    if len(hashes) < size:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     plain = np.concatenate([[0], np.cumsum(kinds == 0)])
-    at = np.flatnonzero(plain[size:] - plain[:-size] >= min(literals, size))
+    at = np.flatnonzero((plain[size:] - plain[:-size] >= min(literals, size)) & (owner[size - 1 :] == owner[: len(owner) - size + 1]))
     out = np.full(len(at), size, np.uint64)
     for k in range(size):
         out = mix64(out ^ hashes[at + k])
@@ -110,26 +133,32 @@ SLOT_TYPE = pa.list_(pa.struct([("type", pa.int32()), ("at", pa.int32()), ("valu
 
 
 def window_rows(found: DataFrame, key: str, settings: Decontaminator, sizes: list[int], bitmap=None) -> DataFrame:
-    """Each window of each text: key, place, words (of the text), hash, size, slots (type, offset in the window, value)."""
+    """Each window of each text: key, place, words (of the text), hash, size, slots (type, offset in the window, value).
+
+    With a bitmap, the windows of all sizes that it lets through; without one, those of settings.window, or of the whole text if that is shorter.
+    """
 
     def run(batches):
         words = Canon()
         mask = None if bitmap is None else bitmap.value
-        for batch in pieces(batches, 256):
-            rows = []
-            for k, text in zip(batch.column(key).to_pylist(), batch.column("text").to_pylist(), strict=True):
-                hashes, kinds, values = canonical(text or "", words)
-                for size in sizes if mask is not None else [min(settings.window, len(hashes))]:
-                    if not size:
-                        continue
-                    at, named = windows(hashes, kinds, size, settings.literals)
-                    if mask is not None:
-                        bit = named % np.uint64(settings.map_bits)
-                        hit = mask[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0
-                        at, named = at[hit], named[hit]
-                    for a, h in zip(at.tolist(), named.view(np.int64).tolist(), strict=True):
-                        slots = [{"type": int(kinds[a + j]), "at": j, "value": values[a + j]} for j in np.flatnonzero(kinds[a : a + size]).tolist()]
-                        rows.append((k, a, len(hashes), h, size, slots))
+        for batch in pieces(batches, 128):
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            hashes, kinds, ids, owner = canonical(texts, words)
+            lengths = np.bincount(owner, minlength=len(texts))
+            first = np.cumsum(lengths) - lengths
+            own = np.minimum(lengths, settings.window)
+            keys, rows = batch.column(key).to_pylist(), []
+            for size in sizes if mask is not None else np.unique(own[own > 0]).tolist():
+                at, named = windows(hashes, kinds, owner, size, settings.literals)
+                if mask is None:
+                    hit = own[owner[at]] == size
+                else:
+                    bit = named % np.uint64(settings.map_bits)
+                    hit = mask[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0
+                for a, h in zip(at[hit].tolist(), named[hit].view(np.int64).tolist(), strict=True):
+                    slots = [{"type": int(kinds[a + j]), "at": j, "value": words.values[ids[a + j]]} for j in np.flatnonzero(kinds[a : a + size]).tolist()]
+                    k = owner[a]
+                    rows.append((keys[k], int(a - first[k]), int(lengths[k]), h, size, slots))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), SLOT_TYPE]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [key, "place", "words", "hash", "size", "slots"])
