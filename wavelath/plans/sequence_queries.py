@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import filters, metrics, pointwise, sequences, spectra, transforms
+from ..operators import filters, metrics, pointwise, sequences, spectra, transforms, voice
 from ..sources import samples as src
 from . import fixtures as fx
 from .fixtures import PI, grid, y
@@ -217,6 +217,45 @@ register("f0eval_f1", lambda spark, d: fx.plain(metrics.f0eval(tracks(spark, d),
     f"WITH {TRACKS} SELECT seq, {y('(' + SCORE.format('x <> 0 AND y <> 0') + ' + ' + SCORE.format('x = 0 AND y = 0') + ') / 2')} FROM p GROUP BY seq"
 ))
 
+# --- voice
+
+
+def loudness(df):
+    """Samples between -1 and 1."""
+    return df.withColumn("x", (F.col("x") - 250) / 250)
+
+
+def tones(df):
+    """A pitch of 400 Hz for every tenth sample, 0 for every third of those."""
+    return df.filter("n % 10 = 0").select("seq", (F.col("n") / 10).cast("long").alias("t"), F.when(F.col("n") % 3 == 0, 0.0).otherwise(400.0).alias("x"))
+
+
+def constant_q(spark, sf_dir):
+    found = voice.cqt(fx.w(spark, sf_dir), 8, 8000, 1000, 8, 4)
+    return found.select("seq", "t", F.col("k").cast("long").alias("k"), (F.round("re", 5) + 0.0).alias("re"), (F.round("im", 5) + 0.0).alias("im"))
+
+
+CENTRES, LENGTHS, KERNELS = voice.constant_q(8000, 1000, 8, 4, 0, 1, 1, "hann")
+KERNEL = ",".join(f"({k},{j + int(np.floor(-LENGTHS[k] / 2))},{float(v.real * np.sqrt(LENGTHS[k]))!r},{float(-v.imag * np.sqrt(LENGTHS[k]))!r})" for k, h in enumerate(KERNELS) for j, v in enumerate(h))
+register("cqt", constant_q, (
+    f"WITH {fx.W}, h AS (SELECT k::BIGINT AS k, j::BIGINT AS j, re::DOUBLE AS re, im::DOUBLE AS im FROM (VALUES {KERNEL}) v(k, j, re, im)) "
+    "SELECT p.seq, p.t, h.k, round(sum(coalesce(x, 0) * re), 5) + 0.0 AS re, round(sum(coalesce(x, 0) * im), 5) + 0.0 AS im "
+    "FROM (SELECT seq, unnest(range((len + 7) // 8)) AS t FROM s) p CROSS JOIN h LEFT JOIN w ON w.seq = p.seq AND w.n = p.t * 8 + h.j GROUP BY p.seq, p.t, h.k"
+))
+samples("icqt", lambda df: voice.icqt(voice.cqt(df, 2, 8000, 1000, 8, 4), 2, 8000, 40, 1000, 8, 4), None)
+register("pitch", lambda spark, d: fx.plain(voice.pitch(loudness(fx.w(spark, d)), 10, 8000, 400, 1600), ["seq", "t"]))
+vectors("pitch_spec", lambda df: voice.pitch_spec(loudness(df), tones(df), 10, 8000, 128), None)
+vectors("ap", lambda df: voice.ap(loudness(df), tones(df), 10, 8000, 64, f_min=300), None)
+
+
+def world_synth(df):
+    f0 = tones(df)
+    shape = lambda value: f0.select("seq", "t", F.array(*[F.lit(value)] * 33).alias("x"))
+    return voice.world_synth(f0, shape(0.01), shape(1.0), 10, 8000, 64)
+
+
+samples("world_synth", world_synth, None)
+
 # --- generators
 
 
