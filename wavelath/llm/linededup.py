@@ -10,10 +10,10 @@ earliest line, so a join with that one line decides for all: no bucket is
 gathered, and no pair within a bucket is formed.
 
 Most lines have no near copy, and a line emits twice as many keys as it has
-words. So a coarse form of the same idea finds suspects first: words are dealt
-to three groups by hash, and one edit touches two of them at most. Lines that
-agree in no group's sum cannot be near copies and emit nothing more. A line with
-an empty group is a suspect at once, so that nothing meets under an empty key.
+words. So halves find suspects first: of two lines within one edit, either the
+first halves are equal or the last ones. Lines that share neither half with
+another line cannot be near copies and emit nothing more. Lines of even length
+emit halves of two lengths, so that they meet lines of a word more or less.
 
 Sums of masked word hashes stand for runs of words; a place in the line, counted
 from its beginning or from its end, is part of each hash.
@@ -37,8 +37,8 @@ from .common import stage_table, table
 LAST = (1 << 63) - 1
 #: Hashes of 40 bits: sums of millions of them stay in a long.
 MASK = (1 << 40) - 1
-GROUPS = 3
 PLACE = ["doc", "mark", "line_no"]
+HALVES = ["a0", "b0", "a1", "b1"]
 
 
 @dataclass(frozen=True)
@@ -54,11 +54,14 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 def blanks(text: Column) -> Column:
     """text with a plain blank for every other blank but the line break, null as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), "\t\x0b\f\r", "    ")
+    out = F.coalesce(text, F.lit(""))
+    for sign in "\t\x0b\f\r":
+        out = F.replace(out, F.lit(sign), F.lit(" "))
+    return out
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, " "), lambda w: w != "")
+    return F.array_remove(F.split(line, " "), "")
 
 
 def short_hash(*parts: Column) -> Column:
@@ -66,29 +69,29 @@ def short_hash(*parts: Column) -> Column:
 
 
 def lines(docs: DataFrame, settings: LineDedup) -> DataFrame:
-    """A row for each line of min_words words or more: its place, two digests, and the sums of its groups if it can have near copies."""
+    """A row for each line of min_words words or more: its place, two digests, and the keys of its halves if it can have near copies."""
     rows = docs.select("doc", "mark", F.posexplode(F.split(blanks(F.col("text")), "\n", -1)).alias("line_no", "line"))
-    rows = rows.select(*PLACE, words_of(F.col("line")).alias("words")).filter(F.size("words") >= settings.min_words)
-    hashes = F.transform("words", lambda w: short_hash(w))
-    rows = rows.select(*PLACE, F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), F.when(F.size("words") >= settings.fuzzy_words, hashes).alias("hashes"))
-    part = lambda k: F.aggregate("hashes", F.lit(0).cast("long"), lambda total, h: F.when(h % GROUPS == k, total + h).otherwise(total))
-    return rows.select(*PLACE, "h1", "h2", *[part(k).alias(f"s{k}") for k in range(GROUPS)])
+    rows = rows.select(*PLACE, words_of(F.col("line")).alias("words")).withColumn("n", F.size("words")).filter(F.col("n") >= settings.min_words)
+    long = F.col("n") >= settings.fuzzy_words
+    half = F.floor(F.col("n") / 2).cast("int")
+    even = long & (F.col("n") % 2 == 0)
+    front = lambda p: F.xxhash64(F.lit(0), p, F.slice("words", F.lit(1), p))
+    back = lambda p: F.xxhash64(F.lit(1), p, F.slice("words", F.col("n") - p + 1, p))
+    keys = [F.when(long, front(half)), F.when(long, back(half)), F.when(even, front(half - 1)), F.when(even, back(half - 1))]
+    return rows.select(*PLACE, F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), *[k.alias(name) for k, name in zip(keys, HALVES, strict=True)])
 
 
 def firsts(rows: DataFrame) -> DataFrame:
-    """Distinct lines: the earliest place, how many there are, the sums."""
+    """Distinct lines: the earliest place, how many there are, the halves."""
     earliest = F.min(F.struct(*PLACE)).alias("first")
-    return rows.groupBy("h1", "h2").agg(earliest, F.count("*").alias("n"), *[F.first(f"s{k}").alias(f"s{k}") for k in range(GROUPS)]).select("h1", "h2", "first.*", "n", *[f"s{k}" for k in range(GROUPS)])
+    return rows.groupBy("h1", "h2").agg(earliest, F.count("*").alias("n"), *[F.first(c).alias(c) for c in HALVES]).select("h1", "h2", "first.*", "n", *HALVES)
 
 
 def suspects(distinct: DataFrame) -> DataFrame:
-    """Places of the lines that agree with another line in a group's sum, or have an empty group."""
-    sums = [F.col(f"s{k}") for k in range(GROUPS)]
-    near = distinct.filter("s0 IS NOT NULL")
-    empty = F.least(*sums) == 0
-    keys = near.select(*PLACE, F.explode(F.array(*[F.when(s != 0, F.xxhash64(F.lit(k), s)) for k, s in enumerate(sums)])).alias("key")).filter("key IS NOT NULL")
+    """Places of the lines that share a half with another line."""
+    keys = distinct.filter("a0 IS NOT NULL").select(*PLACE, F.explode(F.array(*HALVES)).alias("key")).filter("key IS NOT NULL")
     shared = stage_table(keys.groupBy("key").count().filter("count > 1").select("key"), "shared")
-    return keys.join(shared, "key", "left_semi").select(*PLACE).unionByName(near.filter(empty).select(*PLACE)).distinct()
+    return keys.join(shared, "key", "left_semi").select(*PLACE).distinct()
 
 
 def neighbourhood(words: DataFrame) -> DataFrame:
@@ -123,9 +126,12 @@ def one_edit(x: Column, y: Column, at: Column) -> Column:
 def near_copies(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Places of the distinct lines that an earlier line is within one edit of."""
     by_row = suspects(distinct).groupBy("doc", "mark").agg(F.collect_set("line_no").alias("wanted"))
-    texts = docs.select("doc", "mark", "text").dropDuplicates(["doc", "mark"]).join(by_row, ["doc", "mark"])
+    texts = docs.select("doc", "mark", "text").join(by_row, ["doc", "mark"])
     every = texts.select("doc", "mark", F.posexplode(F.split(blanks(F.col("text")), "\n", -1)).alias("line_no", "line"), "wanted").filter(F.array_contains("wanted", F.col("line_no")))
-    words = stage_table(every.select(*PLACE, words_of(F.col("line")).alias("words")), "suspects")
+    # repeated rows: under another name of the id they are combined before a shuffle of their own, so that the join above may be split
+    turned = F.col("doc").bitwiseXOR(F.lit(1))
+    single = every.select(turned.alias("doc"), "mark", "line_no", words_of(F.col("line")).alias("words")).dropDuplicates(PLACE)
+    words = stage_table(single.withColumn("doc", turned), "suspects")
     keys = neighbourhood(words)
     # equal keys in one line (a word twice in a row) are one entry
     met = keys.groupBy("key").agg(F.min(F.struct(*PLACE)).alias("first"), F.max(F.struct(*PLACE)).alias("last")).filter("first < last")
