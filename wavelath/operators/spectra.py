@@ -233,8 +233,8 @@ def plp(
     return batched(run, x)
 
 
-def chroma(x: Column | str, fft_length: int, n_channel: int, sample_rate: float, norm: float = float("inf"), use_power: bool = True) -> Column:
-    """Energy by pitch class: Gaussian bumps around each class, weighted toward the fifth octave, then normalised."""
+def chroma_weights(fft_length: int, n_channel: int, sample_rate: float) -> np.ndarray:
+    """Weights (channels, bins): Gaussian bumps around each pitch class, stronger toward the fifth octave."""
     f = np.arange(1, fft_length) * sample_rate / fft_length
     place = n_channel * np.log2(f / 27.5)
     place = np.concatenate([[place[0] - 1.5 * n_channel], place])
@@ -244,7 +244,12 @@ def chroma(x: Column | str, fft_length: int, n_channel: int, sample_rate: float,
     w = np.exp(-0.5 * (2 * gap / width) ** 2)
     w /= np.sqrt(np.sum(w**2, axis=0))
     w *= np.exp(-0.5 * ((place / n_channel - 5) / 2) ** 2)
-    w = np.roll(w, -3 * (n_channel // 12), axis=0)[:, : fft_length // 2 + 1]
+    return np.roll(w, -3 * (n_channel // 12), axis=0)[:, : fft_length // 2 + 1]
+
+
+def chroma(x: Column | str, fft_length: int, n_channel: int, sample_rate: float, norm: float = float("inf"), use_power: bool = True) -> Column:
+    """Energy by pitch class, normalised."""
+    w = chroma_weights(fft_length, n_channel, sample_rate)
 
     def run(v: np.ndarray) -> np.ndarray:
         y = (v if use_power else np.sqrt(v)) @ w.T

@@ -138,10 +138,24 @@ SECTION = filters.impulse_response(*[np.array(c) for c in (filters.resonance(800
 samples("df2", lambda df: filters.df2(df, 8000, 2000, 400, 1000, 500), fir_sql(np.where(np.abs(SECTION) > 1e-13, SECTION, 0), place=""))
 PQMF = spectra.pqmf_filters(4, 15)
 vectors("pqmf", lambda df: spectra.pqmf(df, 4, 15), fir_sql(PQMF, 7, True), place="n")
-samples("ipqmf", lambda df: spectra.ipqmf(spectra.pqmf(df, 4, 15), 4, 15), None)
+IPQMF = spectra.pqmf_filters(4, 15, synthesis=True)
+samples("ipqmf", lambda df: spectra.ipqmf(spectra.pqmf(df, 4, 15), 4, 15), (
+    f", {fx.matrix_cte(PQMF, 'm')}, {fx.matrix_cte(IPQMF, 'i')}, "
+    "b AS (SELECT w.seq, w.n, k, sum(a * b.x) AS x FROM w JOIN s USING (seq) CROSS JOIN m JOIN w b ON b.seq = w.seq AND b.n = least(len - 1, w.n + 7 - m.n) GROUP BY w.seq, w.n, k) "
+    f"SELECT w.seq, w.n, {y('sum(a * b.x)')} FROM w JOIN s USING (seq) CROSS JOIN i JOIN b ON b.seq = w.seq AND b.k = i.k AND b.n = least(len - 1, w.n + 8 - i.n) GROUP BY w.seq, w.n"
+))
 OBAND = spectra.octave_filters(8000, 500, 1000, 3000, 30)
 vectors("oband", lambda df: spectra.oband(df, 8000, 500, 1000, 3000, 30), fir_sql(OBAND[:, ::-1], OBAND.shape[1] - 1 - 15, True), place="n")
-vectors("gammatone", lambda df: filters.gammatone(df, 8000, f_min=500, f_max=1500), None, place="n")
+_, GAMMA_POLES, GAMMA_GAINS = filters.gammatone_design(8000, 500, 1000, 1500)
+GAMMA = ",".join(f"({k},{abs(p)!r},{np.angle(p)!r},{g!r})".replace("np.float64(", "").replace("),", ",").replace("))", ")") for k, (p, g) in enumerate(zip(GAMMA_POLES, GAMMA_GAINS, strict=True)))
+#: The impulse response of four equal poles: binomials times powers of the pole.
+GAMMA_REPLY = "gain * (m + 1) * (m + 2) * (m + 3) / 6 * pow(radius, m) * {0}(angle * m)"
+vectors("gammatone", lambda df: filters.gammatone(df, 8000, f_min=500, f_max=1500), (
+    f", g AS (SELECT k::BIGINT AS k, radius::DOUBLE AS radius, angle::DOUBLE AS angle, gain::DOUBLE AS gain FROM (VALUES {GAMMA}) v(k, radius, angle, gain)), "
+    f"y AS (SELECT a.seq, a.n, k, sum(b.x * {GAMMA_REPLY.format('cos').replace('m', '(a.n - b.n)').replace('(a.n - b.n)ul', 'mul')}) AS re, sum(b.x * {GAMMA_REPLY.format('sin').replace('m', '(a.n - b.n)')}) AS im "
+    "FROM w a JOIN w b ON b.seq = a.seq AND b.n <= a.n CROSS JOIN g GROUP BY a.seq, a.n, k) "
+    f"SELECT seq, n, k, {y('re')} FROM y UNION ALL SELECT seq, n, k + {len(GAMMA_POLES)} AS k, {y('im')} FROM y"
+), place="n")
 samples("igammatone", lambda df: filters.igammatone(filters.gammatone(df, 8000, f_min=500, f_max=1500), 8000, 1, f_min=500, f_max=1500), None)
 
 
@@ -162,7 +176,12 @@ def poles(df):
     return sequences.frame(df, 2, 8, center=False).withColumn("x", F.array(F.lit(1.0), F.get("x", F.lit(0)) / -1000))
 
 
-samples("poledf", lambda df: filters.poledf(df, poles(df), 8), None)
+samples("poledf", lambda df: filters.poledf(df, poles(df), 8), (
+    ", f AS (SELECT s.seq, t, -coalesce(x, 0) / 1000 AS a FROM (SELECT seq, unnest(range((len + 7) // 8)) AS t FROM s) s LEFT JOIN w ON w.seq = s.seq AND w.n = t * 8), "
+    "c AS (SELECT w.seq, w.n, w.x, a.a + (coalesce(b.a, a.a) - a.a) * (w.n % 8) / 8 AS a FROM w JOIN f a ON a.seq = w.seq AND a.t = w.n // 8 LEFT JOIN f b ON b.seq = w.seq AND b.t = a.t + 1), "
+    "r AS (SELECT seq, n, x AS y FROM c WHERE n = 0 UNION ALL SELECT c.seq, c.n, c.x - c.a * r.y FROM r JOIN c ON c.seq = r.seq AND c.n = r.n + 1) "
+    f"SELECT seq, n, {y('y')} FROM r"
+), cte="RECURSIVE " + fx.W)
 
 
 def cepstra(df):
@@ -171,7 +190,13 @@ def cepstra(df):
 
 samples("mglsadf", lambda df: filters.mglsadf(df, cepstra(df), 8, alpha=0.1, ir_length=12, n_fft=64), None)
 samples("imglsadf", lambda df: filters.imglsadf(df, cepstra(df), 8, alpha=0.1, ir_length=12, n_fft=64), None)
-samples("drc", lambda df: filters.drc(df, 8000), None, fx.unit, fx.UNIT)
+FALL, RISE = 1 - np.exp(-1000 / 8000), 1 - np.exp(-1000 / (500 * 8000))
+STEPPED = f"{{0}} + (CASE WHEN c.g < {{0}} THEN {FALL!r} ELSE {RISE!r} END) * (c.g - {{0}})".replace("np.float64(", "").replace(") ELSE", " ELSE").replace(") END", " END")
+samples("drc", lambda df: filters.drc(df, 8000), (
+    ", c AS (SELECT seq, n, x, pow(10, least(0, (-20 - 20 * log10(abs(x) + 1e-10)) / 2) / 20) AS g FROM w), "
+    f"r AS (SELECT seq, n, x, {STEPPED.format('1.0')} AS y FROM c WHERE n = 0 UNION ALL SELECT c.seq, c.n, c.x, {STEPPED.format('r.y')} FROM r JOIN c ON c.seq = r.seq AND c.n = r.n + 1) "
+    f"SELECT seq, n, {y('x * y')} FROM r"
+), fx.unit, "RECURSIVE " + fx.UNIT)
 
 
 def griffin(df):
@@ -186,13 +211,15 @@ def pitch(df):
     return df.select("seq", F.col("n").alias("t"), F.when(F.col("x") > 0, F.col("x") / 10 + 2).otherwise(0.0).alias("x"))
 
 
-samples("excite", lambda df: filters.excite(pitch(df), 4, "sawtooth"), (
-    ", p AS (SELECT seq, n AS t, CASE WHEN x > 0 THEN x / 10 + 2 ELSE 0 END AS p, lead(CASE WHEN x > 0 THEN x / 10 + 2 ELSE 0 END) OVER (PARTITION BY seq ORDER BY n) AS q FROM w), "
+SWEEP = (
+    "p AS (SELECT seq, n AS t, CASE WHEN x > 0 THEN x / 10 + 2 ELSE 0 END AS p, lead(CASE WHEN x > 0 THEN x / 10 + 2 ELSE 0 END) OVER (PARTITION BY seq ORDER BY n) AS q FROM w), "
     f"e AS (SELECT seq, t * 4 + i AS n, CASE WHEN p > 0 THEN p + (CASE WHEN q > 0 THEN q ELSE p END - p) * i / 4 END AS p FROM p, {grid('i', 4)} g), "
-    "c AS (SELECT seq, n, p, sum(coalesce(1 / p, 0)) OVER (PARTITION BY seq ORDER BY n) AS c FROM e), b AS (SELECT *, coalesce(max(CASE WHEN p IS NULL THEN c END) OVER (PARTITION BY seq ORDER BY n), 0) AS b FROM c) "
-    f"SELECT seq, n, {y('CASE WHEN p IS NULL THEN 0 ELSE 2 * (c - b - floor(c - b)) - 1 END')} FROM b"
+    "c AS (SELECT seq, n, p, sum(coalesce(1 / p, 0)) OVER (PARTITION BY seq ORDER BY n) AS c FROM e), b AS (SELECT *, coalesce(max(CASE WHEN p IS NULL THEN c END) OVER (PARTITION BY seq ORDER BY n), 0) AS b FROM c)"
+)
+samples("excite", lambda df: filters.excite(pitch(df), 4, "sawtooth"), f", {SWEEP} SELECT seq, n, {y('CASE WHEN p IS NULL THEN 0 ELSE 2 * (c - b - floor(c - b)) - 1 END')} FROM b", fx.u, fx.U)
+samples("excite_pulse", lambda df: filters.excite(pitch(df), 4), (
+    f", {SWEEP} SELECT seq, n, {y('CASE WHEN p IS NOT NULL AND ceil(c - b - 1e-9) - ceil(c - b - 1 / p - 1e-9) >= 1 THEN sqrt(p) ELSE 0 END')} FROM b"
 ), fx.u, fx.U)
-samples("excite_pulse", lambda df: filters.excite(pitch(df), 4), None, fx.u, fx.U)
 
 # --- scores
 
@@ -268,6 +295,9 @@ generator("step", lambda spark: src.step(spark, 99, 2.0), "2 + 0 * n", 100)
 generator("ramp", lambda spark: src.ramp(spark, 1, 50, 0.5), "1 + n * 0.5", 99)
 generator("sin", lambda spark: src.sin(spark, 99, 10, 3.0), f"3 * sin(2 * {PI} * n / 10)", 100)
 generator("train", lambda spark: src.train(spark, 99, 5), "CASE WHEN n % 5 = 0 THEN sqrt(5) ELSE 0 END", 100)
-register("mseq", lambda spark, d: fx.plain(src.mseq(spark, 99), ["n"]))
+SHIFTED = "((r >> 1) & 2147483647) | ((xor(r >> 1, r >> 29) & 1) << 31)"
+register("mseq", lambda spark, d: fx.plain(src.mseq(spark, 99), ["n"]), (
+    f"WITH RECURSIVE q AS (SELECT 0::BIGINT AS n, {SHIFTED} AS r FROM (SELECT 1431655765::BIGINT AS r) z UNION ALL SELECT n + 1, {SHIFTED} FROM q WHERE n < 99) SELECT n, {y('CASE WHEN (r & 1) = 1 THEN 1 ELSE -1 END')} FROM q"
+))
 register("nrand", lambda spark, d: fx.plain(src.nrand(spark, 999, seed=1), ["n"]))
 register("rand", lambda spark, d: fx.plain(src.rand(spark, 999, seed=1), ["n"]))

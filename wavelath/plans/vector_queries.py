@@ -206,8 +206,17 @@ register("mfcc", lambda x: spectra.mfcc(x, 64, 5, 8, 8000.0, 22), bank_sql(
 ), 33, spectrum)
 register("ifbank", lambda x: spectra.ifbank(x, 8, 64, 8000.0, use_power=True), matrix_sql(np.linalg.pinv(BANK).T, "exp(x)"), 8)
 register("plp", lambda x: spectra.plp(x, 64, 4, 8, 8000.0), None, 33, spectrum)
-register("chroma", lambda x: spectra.chroma(x, 64, 12, 8000.0), None, 33, spectrum)
-register("yingram", lambda x: spectra.yingram(x, 8000.0, 10), None)
+CHROMA = spectra.chroma_weights(64, 12, 8000.0)
+register("chroma", lambda x: spectra.chroma(x, 64, 12, 8000.0), (
+    f"WITH {vectors_sql(33, SPECTRUM)}, {fx.matrix_cte(CHROMA)}, c AS (SELECT id, k, sum(x * a) AS c FROM v JOIN m USING (n) GROUP BY id, k) SELECT id, k, {y('c / max(abs(c)) OVER (PARTITION BY id)')} FROM c"
+), 33, spectrum)
+LOW = "12 * log2(8000 / (440.0 * {0})) + 69"
+register("yingram", lambda x: spectra.yingram(x, 8000.0, 10, n_bin=4), (
+    f"WITH {vectors_sql()}, d AS (SELECT a.id, t, sum((a.x - b.x) * (a.x - b.x)) AS d FROM v a, (SELECT unnest(range(1, 63)) AS t) g, v b WHERE b.id = a.id AND b.n = a.n + t GROUP BY a.id, t), "
+    "c AS (SELECT id, t, t * d / (sum(d) OVER (PARTITION BY id ORDER BY t) + 1e-7) AS c FROM d UNION ALL SELECT DISTINCT id, 0, 1.0 FROM d), "
+    f"l AS (SELECT k, 8000 / (440 * pow(2, (lowest + k / 4.0 - 69) / 12)) AS lag FROM (SELECT ceil({LOW.format(63)}) AS lowest, trunc({LOW.format(10)}) AS highest) z, {grid('k', 200)} g WHERE lowest + k / 4.0 < highest + 1) "
+    f"SELECT c.id, l.k, {y('c.c + coalesce((lag - floor(lag)) / nullif(ceil(lag) - floor(lag), 0), 0) * (e.c - c.c)')} FROM l JOIN c ON c.t = floor(lag) JOIN c e ON e.id = c.id AND e.t = ceil(lag)"
+))
 
 # --- codebooks: the first eight vectors
 
