@@ -8,11 +8,12 @@ signatures are cut into bands; classes that share a band are candidates, an
 estimate from the signatures drops hopeless ones, and the full sets decide.
 Links are grouped by union-find.
 
-In a band's bucket every member is first held against the smallest one. Where a
-bucket still has several components after that, the members outside its largest
-component are held against all of its members in blocks of bounded size. So
-every candidate pair is decided unless it is already linked through others, and
-no bucket is gathered whole.
+In a band's bucket every member is held against the smallest one, unless the two
+are already linked through the smallest member that it meets in most bands.
+Where a bucket still has several components after that, the members outside its
+largest component are held against all of its members in blocks of bounded size.
+So every candidate pair is decided unless it is already linked through others,
+and no bucket is gathered whole.
 
 With the default bands a pair at the bound shares none with probability 5e-6,
 and the estimate drops it with probability below 1e-6.
@@ -51,8 +52,9 @@ class NearDuplicates:
     rows: int = 6
     #: Candidates below this estimate are not held against each other in full.
     estimate: float = 0.62
-    #: Members of a block in a bucket with several components.
+    #: Members of a block in a bucket with several components, and hashes of a member's sketch there.
     block: int = 256
+    sketch: int = 1024
 
     @property
     def places(self) -> int:
@@ -178,8 +180,36 @@ def confirmed(pairs: DataFrame, texts: DataFrame, settings: NearDuplicates) -> D
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def across(buckets: DataFrame, labels: DataFrame, classes: DataFrame, settings: NearDuplicates) -> DataFrame:
-    """Likely pairs between components inside buckets of three or more, in blocks. buckets: key, node, first, size."""
+def sketches(nodes: DataFrame, texts: DataFrame, settings: NearDuplicates) -> DataFrame:
+    """Of each node: sketch, the settings.sketch smallest 32-bit hashes of its shingles, the whole set where that is smaller."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in pieces(batches, 128):
+            kept = [np.unique((shingles(t, settings.words, hashes) >> np.uint64(32)).astype(np.uint32))[: settings.sketch] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([k.tobytes() for k in kept], pa.binary())], ["node", "sketch"])
+
+    return texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, sketch binary")
+
+
+def sketched(a: np.ndarray, b: np.ndarray, size: int) -> tuple[float, bool]:
+    """Similarity from two sketches, and whether it is that of whole sets."""
+    whole = len(a) < size and len(b) < size
+    if not len(a) or not len(b):
+        return 0.0, whole
+    both = np.intersect1d(a, b, assume_unique=True)
+    if whole:
+        return len(both) / (len(a) + len(b) - len(both)), True
+    last = np.sort(np.concatenate([a, np.setdiff1d(b, both, assume_unique=True)]))[: size][-1]
+    return float((both <= last).sum()) / min(size, len(a) + len(b) - len(both)), False
+
+
+def across(buckets: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, settings: NearDuplicates) -> DataFrame:
+    """Likely pairs between components inside buckets of three or more, in blocks. buckets: key, node, first, size.
+
+    Blocks hold sketches, on which members are compared where they stand: of the pairs of a member with another component
+    the one most alike goes on where whole sets were compared, all that may be linked where they were not.
+    """
     named = buckets.filter("size > 2").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     counted = named.groupBy("key", "component").count()
     open_ = (
@@ -188,28 +218,40 @@ def across(buckets: DataFrame, labels: DataFrame, classes: DataFrame, settings:
         .filter("parts > 1")
         .selectExpr("key", "main", f"int(ceil(size / {settings.block}D)) blocks", f"int(ceil((size - largest) / {settings.block}D)) query_blocks")
     )
-    members = named.join(open_, "key").join(classes.select("node", "light"), "node")
+    members = stage_table(named.join(open_, "key"), "open")
+    own = stage_table(sketches(members.select("node").distinct(), texts, settings), "sketches")
+    members = members.join(classes.select("node", "light"), "node").join(own, "node")
     mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
     asked = F.pmod(F.xxhash64("node", F.lit(1)), "query_blocks").cast("int")
-    row = ["key", "node", "component", "light"]
+    row = ["key", "node", "component", "light", "sketch"]
     rows = members.select(*row, mine.alias("block"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("asks"), F.lit(False).alias("query")).unionByName(
         members.filter("component <> main").select(*row, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), asked.alias("asks"), F.lit(True).alias("query"))
     )
-    blocks = rows.groupBy("key", "block", "asks").agg(F.collect_list(F.struct("query", "node", "component", "light")).alias("members")).select("members")
+    blocks = rows.groupBy("key", "block", "asks").agg(F.collect_list(F.struct("query", *row[1:])).alias("members")).select("members")
+
+    least = settings.percent / 100
 
     def run(batches):
-        for batch in pieces(batches, 64):
-            out = [(np.zeros(0, np.int64),) * 2]
+        for batch in pieces(batches, 16):
+            out: list[tuple[int, int]] = []
             for members in batch.column("members").to_pylist():
                 query = np.array([m["query"] for m in members])
                 nodes, parts = (np.array([m[c] for m in members], np.int64) for c in ("node", "component"))
                 light = np.frombuffer(b"".join(m["light"] for m in members), np.uint8).reshape(len(members), settings.places)
+                sets = [np.frombuffer(m["sketch"], np.uint32) for m in members]
                 for k in np.flatnonzero(query):
                     hit = ~query & (parts != parts[k])
                     hit[hit] = agreeing(light[hit], light[k]) >= settings.estimate
-                    found = nodes[hit]
-                    out.append((np.minimum(found, nodes[k]), np.maximum(found, nodes[k])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in (0, 1)], ["a", "b"])
+                    best: dict[int, tuple[float, int]] = {}
+                    for other in np.flatnonzero(hit):
+                        alike, whole = sketched(sets[k], sets[other], settings.sketch)
+                        if not whole and alike >= least - 0.08:  # six standard errors
+                            out.append((nodes[other], nodes[k]))
+                        elif whole and alike >= least - 0.01:
+                            best[parts[other]] = max(best.get(parts[other], (0.0, 0)), (alike, nodes[other]))
+                    out += [(other, nodes[k]) for _, other in best.values()]
+            pairs = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
 
     return blocks.mapInArrow(run, "a long, b long").distinct()
 
@@ -224,10 +266,17 @@ def labelled(docs: DataFrame, settings: NearDuplicates) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("size")).filter("first < last")
     buckets = stage_table(keys.join(shared.drop("last"), "key"), "buckets")
     texts = docs.select(node().alias("node"), "text")
-    pairs = buckets.filter("node <> first").selectExpr("first a", "node b").distinct()
-    links = stage_table(confirmed(likely(pairs, classes, settings), texts, settings), "links")
+    # of the smallest members that a node meets, first the one that it meets most often; the others where that leaves them apart
+    met = stage_table(buckets.filter("node <> first").groupBy("node", "first").count(), "met")
+    chosen = met.groupBy("node").agg(F.max_by("first", F.struct(F.col("count"), -F.col("first"))).alias("chosen"))
+    links = stage_table(confirmed(likely(chosen.selectExpr("chosen a", "node b"), classes, settings), texts, settings), "links")
+    labels = stage_table(components(links), "labels")
+    others = met.join(chosen, "node").filter("first <> chosen").join(labels, "node", "left").withColumnRenamed("component", "own")
+    others = others.join(labels.withColumnRenamed("node", "first"), "first", "left").filter("coalesce(own, node) <> coalesce(component, first)")
+    second = confirmed(likely(others.selectExpr("first a", "node b"), classes, settings), texts, settings)
+    links = stage_table(links.unionByName(second), "links")
     labels = stage_table(components(links), "labels")
-    more = confirmed(across(buckets, labels, classes, settings), texts, settings)
+    more = confirmed(across(buckets, labels, classes, texts, settings), texts, settings)
     labels = components(links.unionByName(stage_table(more, "more")))
     named = rows.select("doc_id", "n_shingles", "name", "node").join(firsts.withColumnRenamed("node", "class"), "name", "left")
     found = named.join(labels.withColumnRenamed("node", "class"), "class", "left")
