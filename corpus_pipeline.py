@@ -14,15 +14,25 @@ from wavelath.llm import decontam, linededup, neardup, pieces, quality
 from wavelath.llm.common import stage_table, table
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and the other columns as one, so that no name clashes with a stage's own."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]).alias("others"))
+
+
+def in_order(rows: DataFrame, columns: list[str], **new) -> DataFrame:
+    """The columns of documents again, some of them new."""
+    return rows.select(*[new[c].alias(c) if c in new else F.col(c) if c in ("doc_id", "text") else F.col(f"others.`{c}`") for c in columns])
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier, fitted on labels: documents that it rejects go."""
     vectors, net = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, vectors, net).filter("predicted = 1").select(*docs.columns)
+    return in_order(quality.score(apart(docs), vectors, net).filter("predicted = 1"), docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: a line that an earlier document or place has, word for word or but for one word, goes."""
-    return linededup.clean(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return in_order(linededup.clean(apart(docs)), docs.columns, n_chars=F.length("text").cast("long"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -165,6 +165,18 @@ def test_stages_return_documents(spark, sf_dir, documents):
         assert stage(spark, docs, sf_dir).columns == documents.columns, name
 
 
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_bear_clashing_names(spark, sf_dir, odd, stage):
+    """Columns with the names that the operators use themselves come back as they were."""
+    names = ["row", "doc", "mark", "gone", "line", "words", "node", "name", "score", "predicted", "n_lines", "n_dropped", "_node", "first", "key"]
+    docs = odd.select("*", *[F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in names])
+    found = corpus_pipeline.STAGES[stage][1](spark, docs, sf_dir)
+    assert found.columns[: len(docs.columns)] == docs.columns
+    rows = found.collect()
+    assert stage == 0 or rows
+    assert all(r[n] == f"{n}{'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for n in names)
+
+
 @pytest.mark.parametrize("stage", range(5))
 def test_stages_bear_odd_rows(spark, sf_dir, odd, stage):
     name, run = corpus_pipeline.STAGES[stage]

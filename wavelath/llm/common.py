@@ -43,6 +43,11 @@ def stage_table(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, **more) -> DataFrame:
+    """docs as one column, row, beside more: whatever its columns are called, nothing clashes. select("row.*") brings them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in more.items()])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on an array of uint64: a fixed pseudo-random function of each element."""
     x = x + np.uint64(0x9E3779B97F4A7C15)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, pieces, stage_table, table
+from .common import mix64, packed, pieces, stage_table, table
 
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(%|st|nd|rd|th)?$")
 #: Number words and unit names that count as placeholders.
@@ -208,7 +208,7 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame, settings: Decontaminat
     """The rows of docs whose text holds no benchmark item. Rows are told apart by doc_id and text."""
     mark = F.xxhash64("doc_id", "text")
     found = matches(docs.select(mark.alias("doc_id"), "text"), benchmark, settings)
-    return docs.withColumn("_mark", mark).join(found.select(F.col("doc_id").alias("_mark")).distinct(), "_mark", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return packed(docs, mark=mark).join(found.select(F.col("doc_id").alias("mark")).distinct(), "mark", "left_anti").select("row.*")
 
 
 def op3_template_windows(spark, sf_dir: str) -> DataFrame:

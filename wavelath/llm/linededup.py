@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stage_table, table
+from .common import packed, stage_table, table
 
 LAST = (1 << 63) - 1
 #: Hashes of 40 bits: sums of millions of them stay in a long.
@@ -47,9 +47,9 @@ class LineDedup:
     fuzzy_words: int = 10
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """docs and what a row is known by: doc (its doc_id, the highest number for none) and mark (a digest of its text)."""
-    return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+def row_key() -> dict[str, Column]:
+    """What a row is known by: doc (its doc_id, the highest number for none) and mark (a digest of its text)."""
+    return {"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "mark": F.xxhash64(F.coalesce("text", F.lit("")))}
 
 
 def blanks(text: Column) -> Column:
@@ -143,7 +143,7 @@ def near_copies(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def dropped(docs: DataFrame, settings: LineDedup = LineDedup()) -> DataFrame:
-    """Per row that loses lines: doc, mark, and their places in gone. docs: with_key()."""
+    """Per row that loses lines: doc, mark, and their places in gone. docs: doc, mark, text."""
     rows = stage_table(lines(docs, settings), "lines")  # read twice: cheaper than the texts
     distinct = stage_table(firsts(rows), "distinct")
     near = stage_table(near_copies(docs, distinct), "near")
@@ -153,15 +153,16 @@ def dropped(docs: DataFrame, settings: LineDedup = LineDedup()) -> DataFrame:
 
 
 def clean(docs: DataFrame, settings: LineDedup = LineDedup()) -> DataFrame:
-    """The rows of docs, their texts without the dropped lines; n_lines and n_dropped are added."""
-    keyed = with_key(docs)
-    both = keyed.join(dropped(keyed, settings), ["doc", "mark"], "left")
-    split = F.split("text", "\n", -1)
+    """The rows of docs, their texts without the dropped lines; n_lines and n_dropped are added, in place of columns of their names."""
+    key = row_key()
+    gone = dropped(docs.select(*[c.alias(name) for name, c in key.items()], "text"), settings)
+    both = packed(docs, **key).join(gone, ["doc", "mark"], "left")
+    split = F.split("row.text", "\n", -1)
     kept = F.filter(F.transform(split, lambda x, k: F.struct(x.alias("line"), k.alias("at"))), lambda x: ~F.array_contains("gone", x["at"]))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
-    return both.select(
-        *[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped")
-    )
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+    counts = {"n_lines": F.coalesce(F.size(split), F.lit(0)), "n_dropped": F.coalesce(F.size("gone"), F.lit(0))}
+    own = [text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in counts]
+    return both.select(*own, *[c.cast("long").alias(name) for name, c in counts.items()])
 
 
 def op7_deletion_neighbours(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix64, pieces, stage_table, table
+from .common import mix64, packed, pieces, stage_table, table
 from .components import components
 
 STAND_IN = 1 << 62
@@ -295,10 +295,10 @@ def representatives(docs: DataFrame, settings: NearDuplicates = NearDuplicates()
     Of rows that repeat a doc_id and its text one stays. Rows without words are in no group, and all stay.
     """
     kept = labelled(docs, settings).filter("node = smallest").groupBy("node").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("most"))
-    own = kept.select(F.col("node").alias("_node"), ((F.col("rows") > 1) & (F.col("most") > 0)).alias("_repeated"))
-    met = docs.withColumn("_node", node()).join(own, "_node")
-    copy = F.row_number().over(W.partitionBy("_node", F.xxhash64("text")).orderBy(F.lit(1)))
-    return met.withColumn("_copy", copy).filter("NOT _repeated OR _copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = kept.select("node", ((F.col("rows") > 1) & (F.col("most") > 0)).alias("repeated"))
+    met = packed(docs, node=node(), mark=F.xxhash64("text")).join(own, "node")
+    copy = F.row_number().over(W.partitionBy("node", "mark").orderBy(F.lit(1)))
+    return met.withColumn("copy", copy).filter("NOT repeated OR copy = 1").select("row.*")
 
 
 def op2_super_minhash(spark, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import pieces as small
 from .common import table
@@ -240,8 +241,9 @@ def with_pieces(docs: DataFrame, model_path: str, column: str = "text", spans: b
             new = encoded(tool, [x or "" for x in batch.column(column).to_pylist()], spans)
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *added])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + ["ids array<int>", "decoded string"] + ["begins array<int>", "ends array<int>"] * spans
-    return kept.mapInArrow(run, ", ".join(fields))
+    numbers = T.ArrayType(T.IntegerType())
+    kinds = [numbers, T.StringType()] + [numbers, numbers] * spans
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(n, k) for n, k in zip(added, kinds, strict=True))]))
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
