@@ -215,7 +215,7 @@ def test_mglsa(spark):
     y = seq(spark, [1] * 4)
     mc = frames(spark, [0.3, 0.5], [-0.2, 0.1])
     for mode in ("multi-stage", "single-stage"):
-        found = got(filters.mglsadf(y, mc, 2, mode=mode, ir_length=16, taylor_order=8))[0]
+        found = got(filters.mglsadf(y, mc, 2, mode=mode, ir_length=8, taylor_order=5))[0]
         assert np.corrcoef(found, [1.3499, 1.3667, 0.9129, 0.9051])[0, 1] > 0.98
     x = seq(spark, np.random.default_rng(0).normal(size=40))
     still = frames(spark, *[[0.2, 0.3, 0.1]] * 10)
@@ -223,6 +223,34 @@ def test_mglsa(spark):
     close(filters.imglsadf(there, still, 4, alpha=0.2, ir_length=30, n_fft=128), got(x), tol=1e-3)
 
 
+@pytest.mark.parametrize("phase", filters.PHASES)
+def test_mglsa_modes_agree_on_still_frames(spark, phase):
+    x = seq(spark, np.random.default_rng(1).normal(size=160))
+    still = frames(spark, *[[0.2, 0.3, -0.1]] * 40)
+    a, b = (np.array(got(filters.mglsadf(x, still, 4, phase=phase, mode=m, ir_length=16, n_fft=128, frame_length=32))[0]) for m in ("single-stage", "freq-domain"))
+    assert np.corrcoef(a[30:-30], b[30:-30])[0, 1] > 0.999 and np.allclose(a[30:-30], b[30:-30], atol=0.05)
+
+
+def test_mglsa_in_stages(spark):
+    x = seq(spark, np.random.default_rng(1).normal(size=40))
+    still = frames(spark, *[[0.2, 0.3, -0.1]] * 10)
+    a, b = (np.array(got(filters.mglsadf(x, still, 4, mode=m, ir_length=8, n_fft=64, taylor_order=5))[0]) for m in ("single-stage", "multi-stage"))
+    np.testing.assert_allclose(a, b, atol=2e-3)
+
+
+def test_exact_gammatone():
+    """The impulse response of an exact channel is n**3 times a power of its pole."""
+    _, channels = filters.gammatone_filters(8000, True, f_min=900, f_max=1100)
+    _, poles, _ = filters.gammatone_design(8000, 900, 1000, 1100)
+    n = np.arange(50)
+    for (num, den), pole in zip(channels, poles):
+        h = filters.impulse_response(num, den, 50)
+        shape = n**3 * pole**n
+        np.testing.assert_allclose(h / h[1], shape / shape[1], rtol=1e-6, atol=1e-9)
+        z = np.exp(-1j * np.angle(pole))
+        assert abs(np.polyval(num[::-1], z) / np.polyval(den[::-1], z)) == pytest.approx(2)
+
+
 def test_excite(spark):
     pitch = spark.createDataFrame([(0, 0, 2.0), (0, 1, 3.0)], "seq int, t long, x double")
     close(filters.excite(pitch, 3), [[1.4142, 0, 1.6330, 0, 0, 1.7321]])

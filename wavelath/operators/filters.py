@@ -193,13 +193,37 @@ def cepstral_taps(frames: DataFrame, alpha: float, gamma: float, phase: str, ir_
     return frames.select("seq", "t", batched(run, "x").alias("x"))
 
 
+def on_spectra(samples, frames, frame_period, alpha, gamma, ignore_gain, phase, frame_length, n_fft) -> DataFrame:
+    """Short-time spectra times the frames' responses, and back by overlap and add."""
+    weights = bases.window_values(frame_length, "hanning", symmetric=False)
+
+    def run(x: np.ndarray, mc: np.ndarray) -> np.ndarray:
+        c = convert_cepstrum(mc, n_fft // 2, gamma, 0.0, -alpha, False, False, False, False, n_fft)
+        if ignore_gain:
+            c[:, 0] = 0
+        log_h = np.fft.rfft(c, n_fft)
+        log_h = log_h if phase == "minimum" else log_h.conj() if phase == "maximum" else log_h.real
+        return np.fft.irfft(np.fft.rfft(x * weights, n_fft) * np.exp(log_h), n_fft)
+
+    both = seq.frame(samples, frame_length, frame_period).join(frames.select("seq", "t", F.col("x").alias("mc")), ["seq", "t"])
+    out = both.select("seq", "t", F.posexplode(batched(run, "x", "mc")).alias("j", "x"))
+    # what comes before the frame stands at the end of the transform
+    late = F.when(F.col("j") >= (n_fft + frame_length) // 2, F.col("j") - n_fft).otherwise(F.col("j"))
+    added = out.select("seq", (F.col("t") * frame_period + late - frame_length // 2).cast("long").alias("n"), "x").groupBy("seq", "n").agg(F.sum("x").alias("x"))
+    total = float(weights.sum()) / frame_period
+    return added.join(seq.lengths(samples), "seq").filter("n >= 0 AND n < length").select("seq", "n", (F.col("x") / total).alias("x"))
+
+
 def mglsadf(
     samples: DataFrame, frames: DataFrame, frame_period: int, alpha: float = 0, gamma: float = 0, c: int | None = None, ignore_gain: bool = False, phase: str = "minimum",
-    mode: str = "single-stage", ir_length: int = 100, n_fft: int = 512, taylor_order: int = 20,
+    mode: str = "single-stage", ir_length: int = 100, n_fft: int = 512, taylor_order: int = 20, frame_length: int | None = None,
 ) -> DataFrame:
-    """Synthesis by mel-generalised cepstra that follow the frames: as impulse responses, or by the exponential series in stages."""
+    """Synthesis by mel-generalised cepstra that follow the frames: as impulse responses (single-stage), by the exponential series
+    (multi-stage), or on short-time spectra of frame_length, four periods by default (freq-domain)."""
     gamma = -1 / c if c else gamma
-    require(phase_is_known=phase in PHASES, mode_is_single_stage_or_multi_stage=mode in ("single-stage", "multi-stage"))
+    require(phase_is_known=phase in PHASES, mode_is_known=mode in ("single-stage", "multi-stage", "freq-domain"))
+    if mode == "freq-domain":
+        return on_spectra(samples, frames, frame_period, alpha, gamma, ignore_gain, phase, frame_length or 4 * frame_period, n_fft)
     if mode == "single-stage":
         taps = cepstral_taps(frames, alpha, gamma, phase, ir_length, n_fft, ignore_gain)
         return zerodf(samples, taps, frame_period, zeroth_index=0 if phase == "minimum" else ir_length - 1)
@@ -217,11 +241,10 @@ def mglsadf(
     filters = frames.select("seq", "t", batched(run, "x").alias("x"))
     taps = filters.select("seq", "t", F.slice("x", F.lit(2), F.size("x") - 1).alias("x"))
     gains = filters.select("seq", "t", F.slice("x", F.lit(1), F.lit(1)).alias("x"))
-    term = total = samples.select("seq", "n", "x")
-    for k in range(1, taylor_order + 1):
-        term = zerodf(term, taps, frame_period, zeroth_index=0 if phase == "minimum" else ir_length - 1).withColumn("x", F.col("x") / k)
-        total = total.unionByName(term)
-    summed = total.groupBy("seq", "n").agg(F.sum("x").alias("x"))
+    plain = summed = samples.select("seq", "n", "x")
+    for k in range(taylor_order, 0, -1):  # nested: each stage reads the one before once
+        inner = zerodf(summed, taps, frame_period, zeroth_index=0 if phase == "minimum" else ir_length - 1).withColumn("x", F.col("x") / k)
+        summed = plain.unionByName(inner).groupBy("seq", "n").agg(F.sum("x").alias("x"))
     level = F.get("here", F.lit(0)) + (F.get("after", F.lit(0)) - F.get("here", F.lit(0))) * F.col("share")
     return with_frames(summed, gains, frame_period).select("seq", "n", (F.col("x") * F.exp(level)).alias("x"))
 
@@ -304,33 +327,53 @@ def gammatone_design(sample_rate: float, f_min: float = 70, f_ref: float = 1000,
     return centre, poles, 2 * (1 - radius) ** filter_order
 
 
-def gammatone(samples: DataFrame, sample_rate: float, **design) -> DataFrame:
-    """(seq, n, x): real parts of all channels, then imaginary parts. Each channel is a chain of equal one-pole filters."""
+def gammatone_filters(sample_rate: float, exact: bool = False, **design) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Centre frequencies, and numerator and denominator of each channel.
+
+    A channel is a chain of equal one-pole filters; exact samples the envelope n**(order - 1) * pole**n itself, whose
+    numerator has Eulerian numbers.
+    """
     order = design.get("filter_order", 4)
-    _, poles, gains = gammatone_design(sample_rate, **design)
-    kernels = [recurrence(np.array([gain], complex), np.poly(np.full(order, pole))) for pole, gain in zip(poles, gains, strict=True)]
+    centre, poles, gains = gammatone_design(sample_rate, **design)
+    out = []
+    for f, pole, gain in zip(centre, poles, gains, strict=True):
+        den, num = np.poly(np.full(order, pole)), np.ones(1, complex)
+        if exact and order > 1:
+            m = order - 1
+            euler = [sum((-1) ** j * math.comb(m + 1, j) * (k - j) ** m for j in range(k)) for k in range(1, m + 1)]
+            num = np.concatenate([[0], np.array(euler) * pole ** np.arange(1, m + 1)])
+            z = np.exp(-2j * np.pi * f / sample_rate)
+            gain = 2 / abs(np.polyval(num[::-1], z) / np.polyval(den[::-1], z))
+        out.append((gain * num, den))
+    return centre, out
+
+
+def gammatone(samples: DataFrame, sample_rate: float, exact: bool = False, **design) -> DataFrame:
+    """(seq, n, x): real parts of all channels, then imaginary parts."""
+    _, channels = gammatone_filters(sample_rate, exact, **design)
+    kernels = [recurrence(num, den) for num, den in channels]
 
     def step(states, x):
         got = [run(state, x) for (_, run), state in zip(kernels, states, strict=True)]
         y = np.stack([g[0] for g in got], axis=1)
         return np.concatenate([y.real, y.imag], axis=1), [g[1] for g in got]
 
-    return along(samples, ["x"], lambda: [begin() for begin, _ in kernels], step, width=2 * len(poles))
+    return along(samples, ["x"], lambda: [begin() for begin, _ in kernels], step, width=2 * len(kernels))
 
 
-def igammatone(bands: DataFrame, sample_rate: float, desired_delay: float = 4, n_iter: int = 100, eps: float = 1e-8, compensate_delay: bool = True, **design) -> DataFrame:
+def igammatone(bands: DataFrame, sample_rate: float, desired_delay: float = 4, n_iter: int = 100, eps: float = 1e-8, compensate_delay: bool = True, exact: bool = False, **design) -> DataFrame:
     """(seq, n, x) from gammatone(): channels are brought into phase at desired_delay (ms), weighted for a flat response, and added."""
-    order = design.get("filter_order", 4)
-    centre, poles, gains = gammatone_design(sample_rate, **design)
+    centre, channels = gammatone_filters(sample_rate, exact, **design)
     shift = int(round(desired_delay * sample_rate / 1000))
-    h = np.stack([impulse_response(np.array([g], complex), np.poly(np.full(order, p)), shift + 2) for p, g in zip(poles, gains, strict=True)])
+    h = np.stack([impulse_response(num, den, shift + 2) for num, den in channels])
     peak = np.argmax(np.abs(h[:, :-1]), axis=1)
     rows = np.arange(len(h))
     slope = h[rows, peak + 1] - h[rows, peak - 1]
     turn = 1j * np.abs(slope) / slope
     late = shift - peak
     z = np.exp(2j * np.pi * centre / sample_rate)
-    reply = lambda at: gains / (1 - poles / at[:, None]) ** order * turn * at[:, None] ** -late
+    plain = lambda at: np.stack([np.polyval(num[::-1], 1 / at) / np.polyval(den[::-1], 1 / at) for num, den in channels], axis=1)
+    reply = lambda at: plain(at) * turn * at[:, None] ** -late
     both = 0.5 * (reply(z) + reply(z.conj()).conj())
     weight = np.ones(len(z), complex)
     for _ in range(n_iter):
