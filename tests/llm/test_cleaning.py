@@ -150,7 +150,8 @@ def test_pipeline_against_brute_force(spark, sf_dir, rows):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scores = {r["doc_id"]: r["score"] for r in quality.score(documents, *quality.fit(documents, labels)).collect()}
     good = [(k, t) for k, t in rows if scores[k] >= 0.7]
-    lines = brute_lines(good)
+    had = {k for k, t in good if (t or "").split()}
+    lines = [(k, t) for k, t in brute_lines(good) if (t or "").split() or k not in had]
     alone = {k for k, _, _, kept in brute(lines, 5) if kept}
     kept = [(k, t) for k, t in lines if k in alone]
     leaks = {r["doc_id"] for r in decontam.matches(spark.createDataFrame(kept, "doc_id long, text string"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
