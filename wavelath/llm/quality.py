@@ -8,7 +8,7 @@ vectors. A two-layer numpy network is fitted on a bounded sample of labelled
 documents; its logits are divided by a temperature fitted on rows held back from
 training, so that scores are probabilities.
 
-Words are runs of letters, runs of digits, runs of one other sign, and marks for
+Words are runs of letters, runs of digits, runs of other signs, and marks for
 how a word is written (case, repetition of the word before). Labels, language,
 source and ids are never inputs of a score.
 
@@ -28,10 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mix64, pieces, table
 
-WORDS = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|([^\sA-Za-z0-9\x80-\xff])\1*|\n")
+WORDS = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|\n|[^\sA-Za-z0-9\x80-\xff]+")
 
 
 @dataclass(frozen=True)
@@ -85,7 +86,7 @@ REPEAT = zlib.crc32(b"//repeat")
 
 def rows_of(text: bytes, words: Words) -> np.ndarray:
     """The word rows of a text; a word that repeats the one before is followed by a mark."""
-    got = np.fromiter((words[m[0]] for m in WORDS.finditer(text)), np.int64)
+    got = np.fromiter(map(words.__getitem__, WORDS.findall(text)), np.int64)
     if len(got) > 1:
         again = np.flatnonzero(got[1:] == got[:-1]) + 2
         got = np.insert(got, again, REPEAT % words.rows)
@@ -226,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: QualityModel = QualityModel()
 
 
 def score(docs: DataFrame, vectors: np.ndarray, net: Network, model: QualityModel = QualityModel(), column: str = "text") -> DataFrame:
-    """The rows of docs with score and predicted."""
+    """The rows of docs with score and predicted, in place of columns of their names."""
     shared = docs.sparkSession.sparkContext.broadcast((vectors, net))
 
     def run(batches):
@@ -236,8 +237,8 @@ def score(docs: DataFrame, vectors: np.ndarray, net: Network, model: QualityMode
             s = network.scores(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= model.threshold).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in ("score", "predicted"))
-    return docs.drop("score", "predicted").mapInArrow(run, f"{fields}, score double, predicted int")
+    kept = docs.drop("score", "predicted")
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def op10_random_indexing(spark, sf_dir: str) -> DataFrame:
