@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import mix64, pieces, stage_table, table
 
 UNIT = 192
+#: Rows whose payloads and streams a task holds at once.
+ROWS = 64
 SAMPLE_RATE = 8000
 HEADER = 44
 #: A gear value per byte, by rule.
@@ -121,7 +123,7 @@ def repeated_bits(docs: DataFrame, chunker: Chunker) -> np.ndarray:
     """The bitmap of chunk digests that occur more than once: map_bits / 8 bytes at any input size."""
 
     def names(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, ROWS):
             out = [digest(c) for data in batch.column("payload").to_pylist() for c in chunker.chunks(data)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array([bit_of(x, chunker.map_bits) for x in out], pa.int64())], ["name", "bit"])
 
@@ -146,7 +148,7 @@ def store(docs: DataFrame, chunker: Chunker = Chunker()) -> tuple[DataFrame, Dat
         return bool(int(bitmap.value[bit >> 6]) >> (bit & 63) & 1)
 
     def lists(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, ROWS):
             names, sizes, kept, shas = [], [], [], []
             for data in batch.column("payload").to_pylist():
                 found = chunker.chunks(data)
@@ -159,7 +161,7 @@ def store(docs: DataFrame, chunker: Chunker = Chunker()) -> tuple[DataFrame, Dat
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "media_sha256", "names", "sizes", "kept"])
 
     def contents(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, ROWS):
             seen = {}  # of this batch: fewer repeats to shuffle
             for data in batch.column("payload").to_pylist():
                 seen.update((x, c) for c in chunker.chunks(data) if shared(x := digest(c)))
@@ -190,7 +192,7 @@ def restore(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
     own = own.select(*columns, "names").withColumn("pieces", F.array().cast("array<struct<at:int,data:binary>>"))
 
     def join(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, ROWS):
             got = batch.to_pydict()
             media = []
             for sizes, names, kept, fetched, sha in zip(got["sizes"], got["names"], got["kept"], got["pieces"], got["media_sha256"], strict=True):
@@ -215,7 +217,7 @@ def describe(media: DataFrame) -> DataFrame:
     """Digests and features of the samples read back."""
 
     def read(batches):
-        for batch in pieces(batches):
+        for batch in pieces(batches, ROWS):
             rows = []
             for stream in batch.column("media").to_pylist():
                 samples = wav_samples(stream)
