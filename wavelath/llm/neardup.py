@@ -259,7 +259,8 @@ def across(buckets: DataFrame, labels: DataFrame, classes: DataFrame, texts: Dat
 def labelled(docs: DataFrame, settings: NearDuplicates) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, node, n_shingles, and smallest, the least node of its group. The texts' whole sets are compared."""
     rows = stage_table(signed(docs, settings), "signatures")
-    firsts = rows.filter("name IS NOT NULL").groupBy("name").agg(F.min("node").alias("node"))
+    # a table of its own: joins with it are not bound to its partitioning, in which all copies of a text stand together
+    firsts = stage_table(rows.filter("name IS NOT NULL").groupBy("name").agg(F.min("node").alias("node")), "firsts")
     classes = stage_table(rows.join(firsts, ["name", "node"]).dropDuplicates(["name", "node"]).select("node", "name", "bands", "light"), "classes")
     keys = classes.select("node", F.explode("bands").alias("key"))
     # members of a class under one doc_id with several texts: the bucket counts the id once
