@@ -33,9 +33,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: a line that an earlier document or place has, word for word or but for one word, goes.
 
-    A document of which no word is left is a copy as a whole, and goes too; one that had none before stays.
+    A document of which each line goes, or is a short one that an earlier document has, is a copy as a whole, and goes too; one without words stays.
     """
-    cleaned = linededup.clean(apart(docs)).filter(F.col("text").isNull() | (F.col("n_dropped") == 0) | F.col("text").rlike(r"\S"))
+    cleaned = linededup.marked(apart(docs)).filter("NOT is_copy")
     return in_order(cleaned, docs.columns, n_chars=F.length("text").cast("long"))
 
 

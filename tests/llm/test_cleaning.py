@@ -65,6 +65,37 @@ def test_lines_odd_rows(odd):
     assert linededup.clean(odd.limit(0)).collect() == []
 
 
+HEADED = "Chapter one\nthese words stand below a heading of two words\n\nand so do these, which end the text"
+
+
+def test_a_copy_with_a_short_line_goes_as_a_whole(spark, sf_dir, make):
+    docs = make((1, HEADED), (2, HEADED), (3, "Chapter one\nanother text of which no line stands elsewhere at all"), (4, "Chapter two\n" + HEADED), (5, "no lines\nno lines"), (6, None), (7, " \n"), (8, "no lines"))
+    assert {r["doc_id"] for r in linededup.marked(docs).collect() if r["is_copy"]} == {2, 8}
+    found = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_lines(spark, docs, sf_dir).collect()}
+    assert found == {1: HEADED, 3: "Chapter one\nanother text of which no line stands elsewhere at all", 4: "Chapter two\nChapter one\n", 5: "no lines\nno lines", 6: None, 7: " \n"}
+
+
+def whole_copies(rows):
+    """Ids of the documents each of whose lines with words is dropped or, if short, stands in an earlier document."""
+    left = {k: (t or "").split("\n") for k, t in brute_lines(rows)}
+    first, out = {}, set()
+    for k, t in sorted(r for r in rows if r[1] is not None):
+        lines = [tuple(line.split()) for line in t.split("\n")]
+        rest = [tuple(line.split()) for line in left[k] if line.split()]
+        if any(lines) and all(len(w) < 5 and first.get(w, k) != k for w in rest):
+            out.add(k)
+        for w in lines:
+            first.setdefault(w, k)
+    return out
+
+
+def test_copies_of_the_table_go_as_a_whole(spark, sf_dir, documents, rows):
+    copies = whole_copies(rows)
+    assert len(copies) > 5
+    assert table_of(corpus_pipeline.drop_repeated_lines(spark, documents, sf_dir), "doc_id", "text") == [x for x in brute_lines(rows) if x[0] not in copies]
+    assert {r["doc_id"] for r in linededup.op7_deletion_neighbours(spark, sf_dir).collect() if r["is_copy"]} == copies
+
+
 # --- decontamination
 
 ITEM = "The train from Berlin leaves at 7 o'clock and covers 300 km while Alice waits at the old station for 45 minutes before she goes home"

@@ -18,8 +18,10 @@ emit halves of two lengths, so that they meet lines of a word more or less.
 Sums of masked word hashes stand for runs of words; a place in the line, counted
 from its beginning or from its end, is part of each hash.
 
-Lines of fewer than min_words words stay; of fewer than fuzzy_words, only equal
-lines are dropped. The earliest line is the one of the smallest doc_id, then of
+Lines of fewer than min_words words stay in their text, as headings and signs
+repeat everywhere; of fewer than fuzzy_words, only equal lines are dropped. A row
+is a copy as a whole when each of its lines with words is dropped or, if it is
+shorter, stands in an earlier row: then nothing in it is its own. The earliest line is the one of the smallest doc_id, then of
 the smallest place in the text; rows without a doc_id come last. Rows that share
 doc_id and text are treated alike. Null texts stay null, empty ones empty.
 """
@@ -69,16 +71,17 @@ def short_hash(*parts: Column) -> Column:
 
 
 def lines(docs: DataFrame, settings: LineDedup) -> DataFrame:
-    """A row for each line of min_words words or more: its place, two digests, and the keys of its halves if it can have near copies."""
+    """A row for each line with words: its place, two digests, whether it has fewer than min_words, and the keys of its halves if it can have near copies."""
     rows = docs.select("doc", "mark", F.posexplode(F.split(blanks(F.col("text")), "\n", -1)).alias("line_no", "line"))
-    rows = rows.select(*PLACE, words_of(F.col("line")).alias("words")).withColumn("n", F.size("words")).filter(F.col("n") >= settings.min_words)
-    long = F.col("n") >= settings.fuzzy_words
+    rows = rows.select(*PLACE, words_of(F.col("line")).alias("words")).withColumn("n", F.size("words")).filter("n > 0")
+    short = F.col("n") < settings.min_words
+    long = ~short & (F.col("n") >= settings.fuzzy_words)
     half = F.floor(F.col("n") / 2).cast("int")
     even = long & (F.col("n") % 2 == 0)
     front = lambda p: F.xxhash64(F.lit(0), p, F.slice("words", F.lit(1), p))
     back = lambda p: F.xxhash64(F.lit(1), p, F.slice("words", F.col("n") - p + 1, p))
     keys = [F.when(long, front(half)), F.when(long, back(half)), F.when(even, front(half - 1)), F.when(even, back(half - 1))]
-    return rows.select(*PLACE, F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), *[k.alias(name) for k, name in zip(keys, HALVES, strict=True)])
+    return rows.select(*PLACE, F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), short.alias("short"), *[k.alias(name) for k, name in zip(keys, HALVES, strict=True)])
 
 
 def firsts(rows: DataFrame) -> DataFrame:
@@ -143,28 +146,37 @@ def near_copies(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def dropped(docs: DataFrame, settings: LineDedup = LineDedup()) -> DataFrame:
-    """Per row that loses lines: doc, mark, and their places in gone. docs: doc, mark, text."""
+    """Per row with such lines: doc, mark, the places of those to drop in gone, and of short ones that an earlier row has in copied. docs: doc, mark, text."""
     rows = stage_table(lines(docs, settings), "lines")  # read twice: cheaper than the texts
     distinct = stage_table(firsts(rows), "distinct")
     near = stage_table(near_copies(docs, distinct), "near")
-    copies = rows.select(*PLACE, "h1", "h2").join(distinct.filter("n > 1").select("h1", "h2", F.struct(*PLACE).alias("first")), ["h1", "h2"])
-    places = copies.filter(F.struct(*PLACE) != F.col("first")).select(*PLACE).unionByName(near)
-    return stage_table(places.groupBy("doc", "mark").agg(F.collect_set("line_no").alias("gone")), "gone")
+    copies = rows.select(*PLACE, "h1", "h2", "short").join(distinct.filter("n > 1").select("h1", "h2", F.struct(*PLACE).alias("first")), ["h1", "h2"])
+    row = F.struct("doc", "mark")
+    again = F.when(F.col("short"), row != F.struct("first.doc", "first.mark")).otherwise(F.struct(*PLACE) != F.col("first"))
+    places = copies.filter(again).select(*PLACE, "short").unionByName(near.withColumn("short", F.lit(False)))
+    return stage_table(places.groupBy("doc", "mark").agg(F.collect_set(F.expr("if(short, null, line_no)")).alias("gone"), F.collect_set(F.expr("if(short, line_no, null)")).alias("copied")), "gone")
 
 
-def clean(docs: DataFrame, settings: LineDedup = LineDedup()) -> DataFrame:
-    """The rows of docs, their texts without the dropped lines; n_lines and n_dropped are added, in place of columns of their names."""
+def marked(docs: DataFrame, settings: LineDedup = LineDedup()) -> DataFrame:
+    """As clean, and whether a row is a copy as a whole in is_copy."""
     key = row_key()
     gone = dropped(docs.select(*[c.alias(name) for name, c in key.items()], "text"), settings)
     both = packed(docs, **key).join(gone, ["doc", "mark"], "left")
     split = F.split("row.text", "\n", -1)
     kept = F.filter(F.transform(split, lambda x, k: F.struct(x.alias("line"), k.alias("at"))), lambda x: ~F.array_contains("gone", x["at"]))
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
-    counts = {"n_lines": F.coalesce(F.size(split), F.lit(0)), "n_dropped": F.coalesce(F.size("gone"), F.lit(0))}
+    n_gone = F.coalesce(F.size("gone"), F.lit(0))
+    text = F.when(n_gone == 0, F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+    own_words = F.size(F.filter(split, lambda x: x.rlike(r"\S"))) - n_gone - F.size("copied")
+    counts = {"n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"), "n_dropped": n_gone.cast("long"), "is_copy": F.coalesce(own_words == 0, F.lit(False))}
     own = [text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in counts]
-    return both.select(*own, *[c.cast("long").alias(name) for name, c in counts.items()])
+    return both.select(*own, *[c.alias(name) for name, c in counts.items()])
+
+
+def clean(docs: DataFrame, settings: LineDedup = LineDedup()) -> DataFrame:
+    """The rows of docs, their texts without the dropped lines; n_lines and n_dropped are added, in place of columns of their names."""
+    return marked(docs, settings).drop("is_copy")
 
 
 def op7_deletion_neighbours(spark, sf_dir: str) -> DataFrame:
-    found = clean(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+    found = marked(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", "is_copy", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
