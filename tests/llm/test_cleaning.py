@@ -117,6 +117,30 @@ def test_templates(spark, make):
     assert {r["doc_id"] for r in kept.collect()} >= {3, 5, 6} and not {r["doc_id"] for r in kept.collect()} & {1, 2, 4, None}
 
 
+DENSE = {
+    1: "A train in London travels 60 miles in 2 hours. In 5 hours a car in Paris travels 90 miles.",
+    2: "Convert 3 miles 5 yards 2 feet in inches",
+    3: "Is 7 prime?",
+    4: "Add 3 km 5 cm 7 mm 2 miles 9 yards to what Alice and Robert have walked so far",
+}
+
+
+def test_items_dense_in_numbers_and_units(spark, make):
+    benchmark = spark.createDataFrame([*DENSE.items(), (9, "5"), (10, "7 8")], "item_id long, text string")
+    docs = make(
+        *[(k, f"Some words ahead. {t} And some behind.") for k, t in DENSE.items()], (11, DENSE[1].replace("60", "75").replace("London", "Madrid").replace("90", "30")), (13, "Is 9 prime?"),
+        (14, DENSE[4].replace("3", "8").replace("9", "6").replace("Alice", "Carol")), (15, "5 or 7 8"),
+    )
+    found = {(r["doc_id"], r["item_id"]): r["changed"] for r in decontam.matches(docs, benchmark).collect()}
+    assert found == {(1, 1): 0, (2, 2): 0, (3, 3): 0, (4, 4): 0, (11, 1): 3, (14, 4): 3}
+
+
+def test_letters_are_units_behind_numbers_only():
+    kinds = lambda text: decontam.canonical([text], decontam.Canon())[1].tolist()
+    assert kinds("we met a man in 5 m of rope and 5 in of wire") == [0, 0, 0, 0, 0, 1, 2, 0, 0, 0, 1, 2, 0, 0]
+    assert kinds("it covers 7. A train") == [0, 0, 1, 0, 0]
+
+
 def test_slots_must_agree(spark, make):
     item = "we know that 5 apples and 5 pears cost as much as 9 plums do so that 5 is the answer here"
     benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")

@@ -10,7 +10,13 @@ document, and different values of the same type stayed different. An alignment
 counts where the consistent windows cover enough of the item's words.
 
 A name is a capitalised word that neither begins the text or a line nor follows
-the end of a sentence, so that no list of names is needed.
+the end of a sentence, so that no list of names is needed. A single letter, and
+"in", are units only behind a number.
+
+A window with few words that are no placeholders says little as a template. Such
+a window of an item is compared word for word instead, and as a template it is
+made longer until it holds enough other words, up to max_window words. An item
+without that many other words matches word for word only.
 
 The benchmark decides which windows of a document are worth a row: a bitmap of
 fixed size over the benchmark's window hashes lets through all true matches and
@@ -42,7 +48,9 @@ NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(%|st|nd|rd|th)?$")
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half".split())
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ml l liter liters litre litres s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent % mph kmh kph hz khz mhz ghz w kw mw j kj v a k kb mb gb tb meter meters metre metres celsius fahrenheit degree degrees".split())
 NUM, UNIT, NAME = 1, 2, 3
-PLACEHOLDERS = dict.fromkeys(UNITS, UNIT) | dict.fromkeys(NUMBER_WORDS, NUM)
+#: Units that are also other words: only behind a number.
+DOUBTFUL = frozenset(x for x in UNITS if len(x) == 1 and x.isalpha()) | {"in"}
+PLACEHOLDERS = dict.fromkeys(UNITS - DOUBTFUL, UNIT) | dict.fromkeys(NUMBER_WORDS, NUM)
 #: What a number can begin with, and the empty word.
 NUMBER_BEGINS = frozenset(["", *"0123456789+-$€£%"])
 STRIP = "\"'“”‘’«»()[]{}<>.,;:!?¿¡*_#|~`…—–-"
@@ -54,13 +62,17 @@ class Decontaminator:
     window: int = 8
     #: Words of a window that are not placeholders, at least.
     literals: int = 4
+    #: Longest template that a window with too few of them becomes.
+    max_window: int = 16
+    #: Shortest item that is compared word for word; shorter ones are a bare number or two.
+    exact_words: int = 3
     #: Share of an item's words that consistent windows must cover.
     coverage: float = 0.5
     map_bits: int = 1 << 24
 
 
 class Canon(dict):
-    """Numbers of raw words, and by number: hash of the canonical form, type, whether capitalised, whether it ends a sentence, value."""
+    """Numbers of raw words, and by number: hash of the canonical form, hash of the word itself, type, whether capitalised, whether it ends a sentence, whether a unit behind a number, value."""
 
     def __init__(self):
         self.forget()
@@ -69,7 +81,7 @@ class Canon(dict):
         self.clear()
         self.new: list[tuple] = []
         self.values: list[str] = []
-        self.hashes, self.kinds, self.capital, self.ends = (np.zeros(0, t) for t in (np.uint64, np.int8, bool, bool))
+        self.hashes, self.exact, self.kinds, self.capital, self.ends, self.doubtful = (np.zeros(0, t) for t in (np.uint64, np.uint64, np.int8, bool, bool, bool))
 
     def __missing__(self, raw: str) -> int:
         bare = raw.strip(STRIP)
@@ -79,7 +91,8 @@ class Canon(dict):
         else:
             kind = PLACEHOLDERS.get(low, 0)
         capital = not kind and bare[:1].isupper() and (len(bare) == 1 or not bare.isupper())
-        self.new.append((xxhash.xxh3_64_intdigest(b"\0%d" % kind if kind else low.encode()) if bare or kind else 0, kind, capital, raw[-1] in ENDS))
+        own = low.encode()
+        self.new.append((xxhash.xxh3_64_intdigest(b"\0%d" % kind if kind else own) if bare or kind else 0, xxhash.xxh3_64_intdigest(b"\1" + own), kind, capital, raw[-1] in ENDS, low in DOUBTFUL))
         found = len(self.values)
         self.values.append(low)
         self[raw] = found
@@ -89,11 +102,12 @@ class Canon(dict):
         """Puts the words met since the last call into the arrays."""
         if self.new:
             columns = zip(*self.new, strict=True)
-            self.hashes, self.kinds, self.capital, self.ends = (np.concatenate([old, np.array(c, old.dtype)]) for old, c in zip((self.hashes, self.kinds, self.capital, self.ends), columns, strict=True))
+            olds = self.hashes, self.exact, self.kinds, self.capital, self.ends, self.doubtful
+            self.hashes, self.exact, self.kinds, self.capital, self.ends, self.doubtful = (np.concatenate([old, np.array(c, old.dtype)]) for old, c in zip(olds, columns, strict=True))
             self.new = []
 
 
-NAME_HASH = np.uint64(xxhash.xxh3_64_intdigest(b"\0%d" % NAME))
+NAME_HASH, UNIT_HASH = (np.uint64(xxhash.xxh3_64_intdigest(b"\0%d" % kind)) for kind in (NAME, UNIT))
 
 
 def canonical(texts: list[str], words: Canon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,19 +126,38 @@ def canonical(texts: list[str], words: Canon) -> tuple[np.ndarray, np.ndarray, n
     name = words.capital[ids] & ~begins[:-1]
     kinds[name], hashes[name] = NAME, NAME_HASH
     full = hashes != 0
-    return hashes[full], kinds[full], ids[full], owner[full]
+    hashes, kinds, ids, owner, begins = hashes[full], kinds[full], ids[full], owner[full], begins[:-1][full]
+    unit = words.doubtful[ids] & ~begins
+    unit[1:] &= kinds[:-1] == NUM
+    kinds[unit], hashes[unit] = UNIT, UNIT_HASH
+    return hashes, kinds, ids, owner
+
+
+def windows(kinds: np.ndarray, owner: np.ndarray, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the windows inside one text, and whether each has enough words that are no placeholders."""
+    if len(kinds) < size:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    plain = np.concatenate([[0], np.cumsum(kinds == 0)])
+    at = np.flatnonzero(owner[size - 1 :] == owner[: len(owner) - size + 1])
+    return at, plain[at + size] - plain[at] >= min(literals, size)
 
 
-def windows(hashes: np.ndarray, kinds: np.ndarray, owner: np.ndarray, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the windows inside one text with enough words that are no placeholders."""
-    if len(hashes) < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def extended(kinds: np.ndarray, owner: np.ndarray, at: np.ndarray, settings: Decontaminator) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows with too few words that are no placeholders: places and sizes of the longer ones that have enough."""
     plain = np.concatenate([[0], np.cumsum(kinds == 0)])
-    at = np.flatnonzero((plain[size:] - plain[:-size] >= min(literals, size)) & (owner[size - 1 :] == owner[: len(owner) - size + 1]))
+    size = np.searchsorted(plain, plain[at] + settings.literals) - at
+    fits = (size <= settings.max_window) & (at + size <= len(kinds))
+    at, size = at[fits], size[fits]
+    own = owner[at + size - 1] == owner[at]
+    return at[own], size[own]
+
+
+def named(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of windows."""
     out = np.full(len(at), size, np.uint64)
     for k in range(size):
         out = mix64(out ^ hashes[at + k])
-    return at, out
+    return out
 
 
 SLOTS = "array<struct<type:int,at:int,value:string>>"
@@ -132,10 +165,11 @@ WINDOW = f"place int, words int, hash long, size int, slots {SLOTS}"
 SLOT_TYPE = pa.list_(pa.struct([("type", pa.int32()), ("at", pa.int32()), ("value", pa.string())]))
 
 
-def window_rows(found: DataFrame, key: str, settings: Decontaminator, sizes: list[int], bitmap=None) -> DataFrame:
+def window_rows(rows_of: DataFrame, key: str, settings: Decontaminator, sizes: list[int], bitmap=None) -> DataFrame:
     """Each window of each text: key, place, words (of the text), hash, size, slots (type, offset in the window, value).
 
-    With a bitmap, the windows of all sizes that it lets through; without one, those of settings.window, or of the whole text if that is shorter.
+    With a bitmap, the windows of all sizes that it lets through; without one, those of settings.window, or of the whole text if that is shorter, and
+    longer ones where these hold too few words that are no placeholders. Slots of windows compared word for word are numbers only: these need no context.
     """
 
     def run(batches):
@@ -148,22 +182,36 @@ def window_rows(found: DataFrame, key: str, settings: Decontaminator, sizes: lis
             first = np.cumsum(lengths) - lengths
             own = np.minimum(lengths, settings.window)
             keys, rows = batch.column(key).to_pylist(), []
+            exact_hashes = words.exact[ids]
+            groups = []  # size, whether word for word, places
             for size in sizes if mask is not None else np.unique(own[own > 0]).tolist():
-                at, named = windows(hashes, kinds, owner, size, settings.literals)
+                at, enough = windows(kinds, owner, size, settings.literals)
+                if mask is None:
+                    whole = own[owner[at]] == size
+                    at, enough = at[whole], enough[whole]
+                    if size == settings.window:
+                        more, longer = extended(kinds, owner, at[~enough], settings)
+                        groups += [(n, False, more[longer == n]) for n in np.unique(longer).tolist()]
+                groups.append((size, False, at[enough]))
+                if settings.exact_words <= size <= settings.window:
+                    groups.append((size, True, at[~enough]))
+            for size, exact, at in groups:
+                found = named(exact_hashes if exact else hashes, at, size)
+                typed = np.where(kinds == NUM, kinds, 0) if exact else kinds
                 if mask is None:
-                    hit = own[owner[at]] == size
+                    hit = slice(None)
                 else:
-                    bit = named % np.uint64(settings.map_bits)
+                    bit = found % np.uint64(settings.map_bits)
                     hit = mask[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0
-                for a, h in zip(at[hit].tolist(), named[hit].view(np.int64).tolist(), strict=True):
-                    slots = [{"type": int(kinds[a + j]), "at": j, "value": words.values[ids[a + j]]} for j in np.flatnonzero(kinds[a : a + size]).tolist()]
+                for a, h in zip(at[hit].tolist(), found[hit].view(np.int64).tolist(), strict=True):
+                    slots = [{"type": int(typed[a + j]), "at": j, "value": words.values[ids[a + j]]} for j in np.flatnonzero(typed[a : a + size]).tolist()]
                     k = owner[a]
                     rows.append((keys[k], int(a - first[k]), int(lengths[k]), h, size, slots))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 6
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), SLOT_TYPE]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [key, "place", "words", "hash", "size", "slots"])
 
-    return found.select(F.col(key).cast("long").alias(key), "text").mapInArrow(run, f"{key} long, {WINDOW}")
+    return rows_of.select(F.col(key).cast("long").alias(key), "text").mapInArrow(run, f"{key} long, {WINDOW}")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, settings: Decontaminator = Decontaminator()) -> DataFrame:
