@@ -62,6 +62,25 @@ def test_assignments_carry_constants():
     assert scan.literals("nothing here = 1") == []
 
 
+def literals(text, scan=SecretScan()):
+    return [text[a:b] for a, b in scan.literals(text)]
+
+
+@pytest.mark.parametrize("value", ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzEXAMPLEKEY", "Ab-9x$Qw@7-rT=u", "wJal+XUtnF/EMIK7MD+ENGbP==", "q" * 3 + "Z9x/" * 2000])
+def test_bare_values_are_whole(value):
+    for text in (f"aws_secret_access_key={value}", f"client_secret: {value}", f"db_credentials{' ' * 30}={' ' * 30}{value}\n", f"{'a' * 300}_secret = '{value}'", f"?secret={value}&page=2"):
+        assert literals(text) == [value]
+
+
+def test_sums_are_whole():
+    parts = [f"aK9xQ{k}z" for k in range(100)]
+    assert literals("x = " + " + ".join(f'"{p}"' for p in parts) + "\nsecret = x") == sorted(parts, key=parts.index)
+    doubled = 'x = "aK9xQ2mP7z"\n' + "x = x + x\n" * 2000 + "secret = x\n"
+    assert literals(doubled) == ["aK9xQ2mP7z"]
+    assert literals('base = "aK9xQ2mP7z"\ntoken = base+"Lw4TnB8"\n') == ["aK9xQ2mP7z", "Lw4TnB8"]
+    assert literals("secret = read_secret_of_stage9(Name)") == []
+
+
 # --- personal data
 
 

@@ -4,7 +4,11 @@ The base patterns find assignments, access keys and long hex runs. Lexing adds
 literals: lines of source and configuration text are parsed into pairs of a
 target name and a value; a value is a quoted or bare literal, a name whose
 constant is known, or a sum of such; constants are carried forward through the
-text. A literal is scored by how sensitive its target's name is and by its
+text. A bare literal ends at a blank, a quote, a bracket, a comma, a semicolon, or
+where the next field of a query begins; signs within it are its own, also a plus,
+unless a known name or a quote stands beside it. Values are kept as counts of
+their characters and as references to their parts, so that no length is bounded
+and sums of sums do not grow. A literal is scored by how sensitive its target's name is and by its
 length, variety and mix of characters. The span of the literal that a sensitive
 target receives is reported wherever the literal stands.
 
@@ -36,13 +40,54 @@ SENSITIVE = {
 #: Parts that make a name harmless: it names something about a secret, or a placeholder.
 HARMLESS = {"public", "length", "len", "count", "size", "name", "path", "file", "url", "type", "id", "expiry", "ttl", "limit", "field", "label", "hint"}
 PLACEHOLDERS = re.compile(r"(?i)^(x+|\*+|\.+|changeme|example|placeholder|none|null|true|false|undefined|your[_-].*|<.*>|\$\{.*\}|todo)$")
+#: The placeholders of any length that are not one character repeated.
+ENCLOSED = re.compile(r"(?i)^(your[_-].*|<.*>|\$\{.*\})$")
 #: An assignment: a dotted or quoted name, then = or : or =>, at a place where a statement or an entry can begin.
-TARGET = re.compile(r"""(?<![\w.$-])["']?([A-Za-z_][\w.$-]{0,127})["']?\s{0,8}(?::=|=>|=(?!=)|:(?![:/]))[^\S\n]{0,8}""")
-VALUE = re.compile(r"""(?P<quoted>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<name>[A-Za-z_][\w.]*)|(?P<bare>[^\s"',;(){}\[\]+]+)""")
-JOIN = re.compile(r"[^\S\n]*[+.][^\S\n]*")
+TARGET = re.compile(r"""(?<![\w.$-])["']?([A-Za-z_][\w.$-]*+)["']?\s*+(?::=|=>|=(?!=)|:(?![:/]))[^\S\n]*+""")
+VALUE = re.compile(r"""(?P<quoted>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')|(?P<call>[A-Za-z_][\w.]*+\()|(?P<bare>(?:[^\s"',;(){}\[\]&]|&(?![A-Za-z_][\w.$-]*+=))++)""")
+JOIN = re.compile(r"[^\S\n]*+[+.][^\S\n]*+")
+#: What a sum can go on with.
+OPERAND = re.compile(r"""[^\S\n]*+["'A-Za-z_]""")
+#: Of a longer value, this much of either end is looked at for placeholders.
+END = 32
 STEMS = re.compile("(?i)" + "|".join(sorted(SENSITIVE, key=len, reverse=True)))
 
 
+class Value:
+    """What is known of a value that may be a sum: counts of its characters, their number, its ends, and its parts (spans and other values' parts)."""
+
+    def __init__(self):
+        self.counts, self.n, self.head, self.tail = Counter(), 0, "", ""
+        self.parts: list = [False]  # whether reported, then the parts
+
+    def add(self, value: str, part: tuple[int, int]) -> None:
+        self._join(Counter(value), len(value), value[: 2 * END], value[-END:])
+        self.parts.append(part)
+
+    def extend(self, other: Value) -> None:
+        self._join(other.counts, other.n, other.head, other.tail)
+        self.parts.append(other.parts)
+
+    def _join(self, counts: Counter, n: int, head: str, tail: str) -> None:
+        self.counts.update(counts)
+        self.n, self.head, self.tail = self.n + n, (self.head + head)[: 2 * END], (self.tail + tail)[-END:]
+
+    def placeholder(self) -> bool:
+        if self.n <= 2 * END:
+            return bool(PLACEHOLDERS.match(self.head))
+        return len({c.lower() for c in self.counts}) == 1 and bool(PLACEHOLDERS.match(self.tail)) or bool(ENCLOSED.match(self.head + self.tail))
+
+    def report(self, found: set) -> None:
+        """Adds the spans; parts that were reported before are not walked again."""
+        todo = [self.parts]
+        while todo:
+            parts = todo.pop()
+            if not parts[0]:
+                parts[0] = True
+                found.update(x for x in parts[1:] if isinstance(x, tuple) and x[1] > x[0])
+                todo += [x for x in parts[1:] if isinstance(x, list)]
+
+
 @dataclass(frozen=True)
 class SecretScan:
     #: A literal is reported from this score on.
@@ -60,45 +105,66 @@ class SecretScan:
 
     def literal_score(self, value: str) -> float:
         """How much a literal looks like a generated value: from 0 to 1."""
-        if len(value) < self.min_length or PLACEHOLDERS.match(value) or " " in value:
+        whole = Value()
+        whole.add(value, (0, len(value)))
+        return self.value_score(whole)
+
+    def value_score(self, value: Value) -> float:
+        if value.n < self.min_length or value.placeholder() or " " in value.counts:
             return 0.0
-        n = len(value)
-        entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-        kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
-        return min(1.0, 0.35 * min(entropy / 3.5, 1) + 0.35 * min(kinds / 3, 1) + 0.3 * min(n / 20, 1))
+        shares = [x for c in value.counts.values() if (x := c / value.n)]
+        entropy = -sum(x * math.log2(x) for x in shares)
+        kinds = sum(any(f(c) for c in value.counts) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value.counts)
+        return min(1.0, 0.35 * min(entropy / 3.5, 1) + 0.35 * min(kinds / 3, 1) + 0.3 * min(value.n, 20) / 20)
 
     def literals(self, text: str) -> list[tuple[int, int]]:
         """Spans of the literals that reach a sensitive target, constants carried forward."""
         if not STEMS.search(text):  # without a sensitive name there is nothing to report
             return []
-        known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+        known: dict[str, Value] = {}
         found, at = set(), 0
         while target := TARGET.search(text, at):
             at = target.end()
-            value, spans = "", []
+            value = Value()
             while part := VALUE.match(text, at):
                 at = part.end()
+                if part["call"]:
+                    break
                 if part["quoted"]:
-                    value += part["quoted"][1:-1]
-                    spans.append((part.start() + 1, part.end() - 1))
-                elif part["name"] in known:
-                    more, where = known[part["name"]]
-                    value += more
-                    spans += where
-                else:
-                    value += part[0]
-                    spans.append(part.span())
-                if len(value) > 4096 or not (plus := JOIN.match(text, at)):
+                    value.add(part["quoted"][1:-1], (part.start() + 1, part.end() - 1))
+                elif self._bare(text, part[0], part.start(), known, value):  # a sign of a sum ends it
+                    at += len(OPERAND.match(text, at)[0]) - 1
+                    continue
+                if not (plus := JOIN.match(text, at)):
                     break
                 at = plus.end()
-            if not spans:
+            if len(value.parts) == 1:
                 continue
-            name = target[1]
-            known[name] = (value[:4096], spans[:64])
-            if self.name_score(name) * self.literal_score(value) >= self.threshold:
-                found.update(x for x in spans if x[1] > x[0])
+            known[target[1]] = value
+            score = self.name_score(target[1])
+            if score >= self.threshold and score * self.value_score(value) >= self.threshold:
+                value.report(found)
         return sorted(found)
 
+    @staticmethod
+    def _bare(text: str, run: str, at: int, known: dict[str, Value], value: Value) -> bool:
+        """Adds a bare run to value: a known constant, a sum with one in it, or a literal. Returns whether a sign of a sum ends it."""
+        more = run[-1] in "+." and OPERAND.match(text, at + len(run)) is not None
+        if more and (run[-1] == "+" or run[:-1] in known):
+            run = run[:-1]
+        else:
+            more = False
+        parts = run.split("+")
+        if not any(p in known for p in parts):
+            parts = [run]
+        for p in parts:
+            if p in known:
+                value.extend(known[p])
+            elif p:
+                value.add(p, (at, at + len(p)))
+            at += len(p) + 1
+        return more
+
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind, end) of the fixed patterns."""
         out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
