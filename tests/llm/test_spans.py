@@ -66,6 +66,15 @@ def literals(text, scan=SecretScan()):
     return [text[a:b] for a, b in scan.literals(text)]
 
 
+RANDOM = "q7fz0k3vx9w2hs8d4jt6"
+
+
+@pytest.mark.parametrize("name", secrets.SENSITIVE)
+def test_every_sensitive_name_can_be_reported(name):
+    assert literals(f"my_{name} = '{RANDOM}'") == [RANDOM] and literals(f"{name}: {RANDOM}") == [RANDOM]
+    assert literals(f"my_{name} = 'harmless'") == []
+
+
 @pytest.mark.parametrize("value", ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYzzEXAMPLEKEY", "Ab-9x$Qw@7-rT=u", "wJal+XUtnF/EMIK7MD+ENGbP==", "q" * 3 + "Z9x/" * 2000])
 def test_bare_values_are_whole(value):
     for text in (f"aws_secret_access_key={value}", f"client_secret: {value}", f"db_credentials{' ' * 30}={' ' * 30}{value}\n", f"{'a' * 300}_secret = '{value}'", f"?secret={value}&page=2"):
@@ -81,6 +90,11 @@ def test_sums_are_whole():
     assert literals("secret = read_secret_of_stage9(Name)") == []
 
 
+def test_own_weights_are_looked_for():
+    own = SecretScan(weights={"losung": 1.0, "hauskey": 1.0})
+    assert literals(f"losung = {RANDOM}", own) == [RANDOM] and literals(f"haus_key = {RANDOM}", own) == [RANDOM] and literals(f"password = {RANDOM}", own) == []
+
+
 # --- personal data
 
 

@@ -22,6 +22,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +36,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run is matched whole, so that sh
 #: How sensitive a part of a target's name is.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "token": 0.8, "apikey": 1.0, "credential": 0.9, "credentials": 0.9,
-    "private": 0.6, "auth": 0.6, "bearer": 0.8, "key": 0.5, "salt": 0.5, "signature": 0.5, "dsn": 0.6,
+    "private": 0.7, "auth": 0.7, "bearer": 0.8, "key": 0.7, "salt": 0.7, "signature": 0.7, "dsn": 0.7,
 }
 #: Parts that make a name harmless: it names something about a secret, or a placeholder.
 HARMLESS = {"public", "length", "len", "count", "size", "name", "path", "file", "url", "type", "id", "expiry", "ttl", "limit", "field", "label", "hint"}
@@ -50,7 +51,13 @@ JOIN = re.compile(r"[^\S\n]*+[+.][^\S\n]*+")
 OPERAND = re.compile(r"""[^\S\n]*+["'A-Za-z_]""")
 #: Of a longer value, this much of either end is looked at for placeholders.
 END = 32
-STEMS = re.compile("(?i)" + "|".join(sorted(SENSITIVE, key=len, reverse=True)))
+
+
+@lru_cache
+def stems(names: tuple[str, ...]) -> re.Pattern:
+    """Finds every text in which one of the names, also as two parts, can stand."""
+    each = ["[^a-z0-9]*".join(map(re.escape, n)) for n in sorted(names, key=len, reverse=True)]
+    return re.compile("(?i)" + "|".join(each)) if each else re.compile("(?!)")
 
 
 class Value:
@@ -119,7 +126,7 @@ class SecretScan:
 
     def literals(self, text: str) -> list[tuple[int, int]]:
         """Spans of the literals that reach a sensitive target, constants carried forward."""
-        if not STEMS.search(text):  # without a sensitive name there is nothing to report
+        if not stems(tuple(self.weights)).search(text):  # without a sensitive name there is nothing to report
             return []
         known: dict[str, Value] = {}
         found, at = set(), 0
