@@ -4,10 +4,12 @@ A text is its words: runs of letters and digits in lower case. Hashes of runs of
 words are winnowed: of every few neighbouring runs the smallest hash is kept, in
 templates and documents alike, so that a shared passage of words + window - 1
 words always shares a fingerprint. The templates' fingerprints form an inverted
-index (hash, template, place); documents are joined with it. A template that
-shares enough fingerprints at one stretch of a document is a candidate there,
-and is aligned with that stretch in a band around the fingerprints' diagonal.
-The alignment's matched words give coverage and span.
+index (hash, template, place); documents are joined with it. The shared
+fingerprints of a document and a template are put into chains that rise in both,
+by a dynamic program over all of them. A template of which a chain holds enough
+is a candidate there, and is aligned with that stretch in a band that follows the
+chain, over words put in or left out. The alignment's matched words give coverage
+and span.
 
 A bitmap of fixed size over the index decides which fingerprints of a document
 are worth a row. Of overlapping finds in a document the one with more matched
@@ -50,6 +52,13 @@ NOTICES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
         "notice and this permission notice appear in all copies."
     ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form "
+        "must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with "
+        "the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission."
+    ),
     "BSD": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form "
@@ -61,6 +70,20 @@ NOTICES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
         "Foundation, either version 3 of the License, or (at your option) any later version."
     ),
+    "LGPL header": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free "
+        "Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "AGPL header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free "
+        "Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "CC0-1.0 notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain "
         "one at https://mozilla.org/MPL/2.0/."
@@ -74,6 +97,10 @@ IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: What a run of words put in or left out costs an alignment that gains 2 by a match.
+GAP = 3
+#: So many foreign words may stand between two parts of one find, also where the template is shorter.
+FOREIGN = 64
 #: A random number for each byte at each of 64 places of a word; later places repeat.
 PLACED = mix64(np.arange(64 * 256, dtype=np.uint64))
 
@@ -82,7 +109,7 @@ PLACED = mix64(np.arange(64 * 256, dtype=np.uint64))
 class LicenseScan:
     words: int = 3
     window: int = 3
-    #: Share of a template's fingerprints that a stretch must hold to be aligned.
+    #: Share of a template's fingerprints that a chain must hold to be aligned.
     candidate: float = 0.15
     #: Share of a template's words that an alignment must match to be reported.
     coverage: float = 0.75
@@ -122,25 +149,43 @@ def winnowed(words: np.ndarray, settings: LicenseScan) -> tuple[np.ndarray, np.n
     return kept, runs[kept]
 
 
-def align(template: list[int], found: list[int], diagonal: int, band: int) -> tuple[int, int, int]:
-    """Banded local alignment (match 2, mismatch and gap -1): matched words, first and end of the span in found."""
+def align(template: list[int], found: list[int], path: list[tuple[int, int]], band: int) -> tuple[int, int, int]:
+    """Banded local alignment along a path of (template, found) places: matched words, first and end of the span in found.
+
+    A match gives 2, another word in its place costs 1, a run of words put in or left out costs GAP, however long. The band
+    follows the path: around each anchor it is as wide as band says, and between two anchors on different diagonals it
+    holds both, so that a run of any length between them lies inside.
+    """
+    low, high = np.zeros(len(template), np.int64), np.zeros(len(template), np.int64)
+    steps = [(-1, path[0][1] - path[0][0] - 1), *path, (len(template), path[-1][1] + len(template) - path[-1][0])]
+    for (i, j), (k, m) in zip(steps[:-1], steps[1:], strict=True):
+        rows = np.arange(max(i, 0), min(k + 1, len(template)))
+        ends = rows + (j - i), rows + (m - k)
+        low[rows], high[rows] = np.minimum(*ends), np.maximum(*ends)
     best = (0, 0, 0, 0)
+    nothing = (0, 0, 0)
     above: dict[int, tuple[int, int, int]] = {}
+    left_out: dict[int, tuple[int, int, int]] = {}  # best of each column with template words left out just before
     for i, word in enumerate(template):
         row: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(0, i + diagonal - band), min(len(found), i + diagonal + band + 1)):
-            score, begin, hits = above.get(j - 1, (0, j, 0))
+        skipped: dict[int, tuple[int, int, int]] = {}
+        put_in = nothing  # best of this row with words put in just before
+        for j in range(max(0, int(low[i]) - band), min(len(found), int(high[i]) + band + 1)):
+            score, begin, hits = above.get(j - 1, nothing)
             if not score:
                 begin, hits = j, 0
             cell = (score + 2, begin, hits + 1) if word == found[j] else (score - 1, begin, hits)
-            for other in (above.get(j), row.get(j - 1)):
-                if other and other[0] - 1 > cell[0]:
-                    cell = (other[0] - 1, other[1], other[2])
+            up = above.get(j, nothing)
+            gap = max(left_out.get(j, nothing), (up[0] - GAP, *up[1:]))
+            if gap[0] > 0:
+                skipped[j] = gap
+            cell = max(cell, gap, put_in)
             if cell[0] > 0:
                 row[j] = cell
                 if cell[0] > best[0]:
                     best = (*cell, j + 1)
-        above = row
+            put_in = max(put_in, (cell[0] - GAP, *cell[1:]))
+        above, left_out = row, skipped
     return best[2], best[1], best[3]
 
 
@@ -165,16 +210,37 @@ def fingerprints(docs: DataFrame, settings: LicenseScan, bitmap) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, mark long, hash long, place int")
 
 
-def stretches(hits: list[dict], length: int, band: int) -> list[list[dict]]:
-    """Hits of one template by the stretch of the document that they stand in: near one diagonal and within its length."""
-    out: list[list[dict]] = []
-    for hit in sorted(hits, key=lambda h: (h["place"], h["at"])):
-        for group in reversed(out[-4:]):
-            if hit["place"] - group[0]["place"] <= length + band and abs((hit["place"] - hit["at"]) - (group[0]["place"] - group[0]["at"])) <= band:
-                group.append(hit)
-                break
-        else:
-            out.append([hit])
+def chains(hits: list[dict], length: int) -> list[list[tuple[int, int]]]:
+    """The hits of one template as chains of (at, place), both rising, the heaviest first; each hit is in one chain.
+
+    A chain weighs its hits, less for each change of diagonal something under one hit, more for larger changes. Between
+    two hits of a chain stand at most as many foreign words as the template has, or FOREIGN. The dynamic program holds each
+    hit against all earlier ones that near.
+    """
+    order = sorted({(h["place"], h["at"]) for h in hits})
+    place, at = np.array(order, np.int64).T
+    reach = length + max(length, FOREIGN)
+    weight, before = np.ones(len(order)), np.full(len(order), -1)
+    first = np.searchsorted(place, place - reach)
+    for k in range(1, len(order)):
+        a, b = first[k], np.searchsorted(place, place[k])
+        if a == b:
+            continue
+        turn = np.abs((place[k] - place[a:b]) - (at[k] - at[a:b]))
+        gain = np.where((at[a:b] < at[k]) & (turn <= max(length, FOREIGN)), weight[a:b] - turn / (turn + 32.0), 0)
+        best = int(gain.argmax())
+        if gain[best] > 0:
+            weight[k], before[k] = 1 + gain[best], a + best
+    out: list[list[tuple[int, int]]] = []
+    used = np.zeros(len(order), bool)
+    for k in np.argsort(-weight, kind="stable"):
+        chain = []
+        while k >= 0 and not used[k]:
+            used[k] = True
+            chain.append((int(at[k]), int(place[k])))
+            k = before[k]
+        if chain:
+            out.append(chain[::-1])
     return out
 
 
@@ -188,14 +254,16 @@ def finds(text: str, hits: list[dict], templates: dict[str, tuple[list[int], int
         by_name.setdefault(hit["template"], []).append(hit)
     for name, own in by_name.items():
         template, prints = templates[name]
-        for group in stretches(own, len(template), settings.band):
-            if len({h["at"] for h in group}) < settings.candidate * prints:
+        for chain in chains(own, len(template)):
+            if len(chain) < settings.candidate * prints:
+                continue
+            diagonal = chain[0][1] - chain[0][0]
+            if diagonal >= 0 and words[diagonal : diagonal + len(template)].tolist() == template:  # the whole of it, word for word
+                found.append((-len(template), -1.0, name, diagonal, diagonal + len(template)))
                 continue
-            diagonals = sorted(h["place"] - h["at"] for h in group)
-            diagonal = diagonals[len(diagonals) // 2]
             low = max(0, diagonal - settings.band)
-            part = words[low : max(0, diagonal + len(template) + settings.band)].tolist()
-            matched, begin, end = align(template, part, diagonal - low, settings.band)
+            part = words[low : max(0, chain[-1][1] - chain[-1][0] + len(template) + settings.band)].tolist()
+            matched, begin, end = align(template, part, [(i, j - low) for i, j in chain], settings.band)
             if matched and matched >= settings.coverage * len(template):
                 found.append((-matched, -matched / len(template), name, low + begin, low + end))
     out: list[tuple] = []
