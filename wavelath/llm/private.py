@@ -1,12 +1,14 @@
 """Personal data: fixed patterns, and identifiers learned from the contexts of those.
 
 Everything here is DataFrame functions. The base patterns give seed entities.
-Every token that looks like an identifier is a candidate, with the words before
-it as its lexical pattern. Patterns and the values found after them form a graph.
-A value that is a seed has score 1; a pattern's confidence is the share of score
+Every token that looks like an identifier is a candidate, and so are neighbouring
+groups of digits, unless a seed overlaps it. The last two words before a seed or a
+candidate, on its line, are its lexical pattern; they are whole words, however long,
+and may belong to what stands before. Patterns and the values found after them form
+a graph. A value that is a seed has score 1; a pattern's confidence is the share of score
 among its values, given enough seeds; a value's score is the chance that one of
 its patterns is right. After a few rounds, values of high score after patterns of
-high confidence are reported as learned, unless a base span overlaps them.
+high confidence are reported as learned.
 
 Positions come from splitting a text at a pattern's matches: lengths of the
 pieces and of the matches add up to starts and ends, in code points.
@@ -37,8 +39,13 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?:(?<![0-9])|\G)[0-9](?:[ -]?[0-9]){15,}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 TOKEN = "[A-Za-z0-9@._%+()-]"
-CANDIDATE = rf"(?<!{TOKEN})(?=[A-Za-z._%+()-]*+[0-9@]){TOKEN}{{6,}}+"
-SPAN = "struct<start:int,end:int,value:string,before:string>"
+#: Digits with signs among them, in brackets perhaps; and several such groups with single blanks between them.
+GROUP = r"[(+]*+[0-9](?:[().+-]*+[0-9]++)*+\)?+"
+GROUPS = rf"{GROUP}(?:\x20{GROUP}(?![A-Za-z@_%]))++"
+CANDIDATE = rf"(?<!{TOKEN})(?:{GROUPS}|(?=[A-Za-z._%+()-]*+[0-9@]){TOKEN}{{6,}}+)"
+#: The last two words of a text, or the last one, on its last line, with the blanks behind them.
+LAST_WORDS = r"(?<!\S)(?:\S++[ \t]++(?=\S))?+\S++[ \t]*+\z"
+SPAN = "struct<start:int,end:int,value:string,pattern:string>"
 
 
 @dataclass(frozen=True)
@@ -51,17 +58,28 @@ class Bootstrap:
     score: float = 0.6
 
 
+def last_words(text: Column) -> Column:
+    return F.regexp_extract(text, LAST_WORDS, 0)
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """All matches with their places in code points, and the end of what stands before each."""
+    """All matches with their places in code points, and the last words before each as its pattern.
+
+    The fold hands on the last words of all that it has passed, so that no context is cut by an earlier match.
+    """
     both = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
 
     def step(done: Column, x: Column) -> Column:
         start = done["at"] + F.length(x["piece"])
         end = start + F.length(x["hit"])
-        found = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"), F.right(x["piece"], F.lit(80)).alias("before"))
-        return F.struct(F.coalesce(end, done["at"]).alias("at"), F.when(end.isNull(), done["out"]).otherwise(F.concat(done["out"], F.array(found))).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+        before = last_words(F.concat(done["tail"], x["piece"]))
+        found = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"), F.trim(F.lower(before)).alias("pattern"))
+        return F.struct(
+            F.coalesce(end, done["at"]).alias("at"), F.when(end.isNull(), "").otherwise(last_words(F.concat(before, x["hit"]))).alias("tail"),
+            F.when(end.isNull(), done["out"]).otherwise(F.concat(done["out"], F.array(found))).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{SPAN}>").alias("out"))
     return F.aggregate(both, start, step, lambda done: done["out"])
 
 
@@ -106,17 +124,17 @@ def surveyed(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, mark (a digest of the text), the spans of each kind, and the candidates."""
     text = F.coalesce(F.col("text"), F.lit(""))
     nothing = F.array().cast(f"array<{SPAN}>")
-    possible = F.when(text.rlike("[0-9@]"), spans(text, CANDIDATE)).otherwise(nothing)
+    possible = F.when(text.rlike("[0-9@]"), F.filter(spans(text, CANDIDATE), lambda x: F.length(x["value"]) >= 6)).otherwise(nothing)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), *[base_spans(text, k).alias(k) for k in KINDS], possible.alias("candidates"))
 
 
 def learned(rows: DataFrame, settings: Bootstrap) -> DataFrame:
     """doc_id, mark, start, end of the candidates that patterns vouch for."""
-    every = F.concat(*[F.transform(k, lambda x, k=k: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(k).alias("kind"))) for k in KINDS])
-    met = lambda x: F.filter(every, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    context = lambda x: F.lower(F.regexp_extract(x["before"], r"(?:([^\s]+)[ \t]+)?([^\s]+)[ \t]*$", 0))
-    found = F.transform("candidates", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), F.trim(context(x)).alias("pattern"), F.try_element_at(met(x), F.lit(1))["kind"].alias("kind")))
-    instances = stage_table(rows.select("doc_id", "mark", F.explode(found).alias("i")).select("doc_id", "mark", "i.*").filter("pattern <> ''"), "instances")
+    every = F.concat(*[F.transform(k, lambda x, k=k: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["pattern"].alias("pattern"), F.lit(k).alias("kind"))) for k in KINDS])
+    free = F.filter("candidates", lambda x: ~F.exists("seeds", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    new = F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["pattern"].alias("pattern"), F.lit(None).cast("string").alias("kind")))
+    found = rows.select("doc_id", "mark", "candidates", every.alias("seeds")).select("doc_id", "mark", F.explode(F.concat("seeds", new)).alias("i"))
+    instances = stage_table(found.select("doc_id", "mark", "i.*").filter("pattern <> ''"), "instances")
     edges = stage_table(instances.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
     scored = edges.withColumn("score", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0))
     seeds = edges.filter("kind IS NOT NULL").select("value").distinct().withColumn("seed", F.lit(True))

@@ -1,16 +1,22 @@
 """Secret scans: fixed patterns, and assignment-aware lexing.
 
 The base patterns find assignments, access keys and long hex runs. Lexing adds
-literals: lines of source and configuration text are parsed into pairs of a
-target name and a value; a value is a quoted or bare literal, a name whose
-constant is known, or a sum of such; constants are carried forward through the
-text. A bare literal ends at a blank, a quote, a bracket, a comma, a semicolon, or
-where the next field of a query begins; signs within it are its own, also a plus,
-unless a known name or a quote stands beside it. Values are kept as counts of
-their characters and as references to their parts, so that no length is bounded
-and sums of sums do not grow. A literal is scored by how sensitive its target's name is and by its
-length, variety and mix of characters. The span of the literal that a sensitive
-target receives is reported wherever the literal stands.
+literals: source and configuration text is read as assignments, blocks (braces, or
+deeper lines of a nested configuration), and elements of markup, which give pairs
+of a target name and a value. A value is a quoted literal (with a prefix, in triple
+quotes, over lines), a bare one, a name whose constant is known, or a sum of such;
+constants are carried forward through the text. What a string holds is read again
+for assignments of its own. A bare literal ends at a blank, a quote, a bracket, a
+comma, a semicolon, or where the next field of a query begins; signs within it are
+its own, also a plus, unless a known name or a quote stands beside it. A bare run
+that reads as a name made of words (read_config, tokenSource, a.b) is a name, and
+an unknown name is no literal; a single word is a literal. A target that says
+nothing itself (value, data) is called what its block is called. Values are kept as
+counts of their characters and as references to their parts, so that no length is
+bounded and sums of sums do not grow. A literal is scored by how sensitive its
+target's name is and by its length, variety and mix of characters; one with blanks
+counts where the target is a phrase. The span of the literal that a sensitive target
+receives is reported wherever the literal stands.
 
 Nulls count as empty texts: no spans, and the digest of the empty string.
 """
@@ -43,12 +49,22 @@ HARMLESS = {"public", "length", "len", "count", "size", "name", "path", "file",
 PLACEHOLDERS = re.compile(r"(?i)^(x+|\*+|\.+|changeme|example|placeholder|none|null|true|false|undefined|your[_-].*|<.*>|\$\{.*\}|todo)$")
 #: The placeholders of any length that are not one character repeated.
 ENCLOSED = re.compile(r"(?i)^(your[_-].*|<.*>|\$\{.*\})$")
-#: An assignment: a dotted or quoted name, then = or : or =>, at a place where a statement or an entry can begin.
-TARGET = re.compile(r"""(?<![\w.$-])["']?([A-Za-z_][\w.$-]*+)["']?\s*+(?::=|=>|=(?!=)|:(?![:/]))[^\S\n]*+""")
-VALUE = re.compile(r"""(?P<quoted>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')|(?P<call>[A-Za-z_][\w.]*+\()|(?P<bare>(?:[^\s"',;(){}\[\]&]|&(?![A-Za-z_][\w.$-]*+=))++)""")
+#: Names that say only that a value follows, and names of secrets that hold blanks.
+GENERIC = {"value", "data", "default", "content", "text", "string", "literal", "val", "raw", "plain"}
+PHRASES = {"passphrase", "mnemonic", "phrase"}
+#: A brace, an element of markup, or an assignment: a dotted or quoted name, then = or : or =>, at a place where a statement or an entry can begin.
+LEX = re.compile(r"""(?P<open>\{)|(?P<close>\})|<(?P<tag>[A-Za-z_][\w.-]*+)(?:\s[^<>]*+)?>(?P<inner>[^<>]++)</|(?P<target>(?<![\w.$-])["']?(?P<name>[A-Za-z_][\w.$-]*+)["']?\s*+(?::=|=>|=(?!=)|:(?![:/]))[^\S\n]*+)""")
+VALUE = re.compile(
+    r"""(?:[rRbBuUfF]{1,2}(?=["']))?+(?P<quoted>\"""(?:[^"\\]|\\[\s\S]|"(?!""))*+\"""|'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`)"""
+    r"""|(?P<call>[A-Za-z_][\w.]*+\()|(?P<bare>(?:[^\s"',;(){}\[\]&`]|&(?![A-Za-z_][\w.$-]*+=))++)"""
+)
+#: A name made of words, by their signs or by their humps.
+NAME = re.compile(r"_*(?:[A-Za-z]{2,}[0-9]{0,2}|[0-9]{1,2})(?:[_.]+(?:[A-Za-z]{2,}[0-9]{0,2}|[0-9]{1,2}))+_*|(?:[a-z]{3,}|[A-Z][a-z]{2,})[0-9]{0,2}(?:[A-Z][a-z]{2,}[0-9]{0,2})+")
 JOIN = re.compile(r"[^\S\n]*+[+.][^\S\n]*+")
 #: What a sum can go on with.
 OPERAND = re.compile(r"""[^\S\n]*+["'A-Za-z_]""")
+#: Strings in strings are read again so deep: escapes could nest them without end.
+DEPTH = 3
 #: Of a longer value, this much of either end is looked at for placeholders.
 END = 32
 
@@ -60,6 +76,11 @@ def stems(names: tuple[str, ...]) -> re.Pattern:
     return re.compile("(?i)" + "|".join(each)) if each else re.compile("(?!)")
 
 
+def words_of(name: str) -> list[str]:
+    """The words of a name, by signs and by humps, in lower case."""
+    return [p for p in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower()) if p]
+
+
 class Value:
     """What is known of a value that may be a sum: counts of its characters, their number, its ends, and its parts (spans and other values' parts)."""
 
@@ -104,7 +125,7 @@ class SecretScan:
 
     def name_score(self, name: str) -> float:
         """How sensitive a target name is: its most sensitive part, nothing if a part makes it harmless."""
-        parts = [p for p in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name).lower()) if p]
+        parts = words_of(name)
         if not parts or HARMLESS & set(parts):
             return 0.0
         joined = [a + b for a, b in zip(parts, parts[1:], strict=False)]
@@ -116,8 +137,8 @@ class SecretScan:
         whole.add(value, (0, len(value)))
         return self.value_score(whole)
 
-    def value_score(self, value: Value) -> float:
-        if value.n < self.min_length or value.placeholder() or " " in value.counts:
+    def value_score(self, value: Value, blanks: bool = False) -> float:
+        if value.n < self.min_length or value.placeholder() or " " in value.counts and not blanks or "\n" in value.counts:
             return 0.0
         shares = [x for c in value.counts.values() if (x := c / value.n)]
         entropy = -sum(x * math.log2(x) for x in shares)
@@ -129,30 +150,70 @@ class SecretScan:
         if not stems(tuple(self.weights)).search(text):  # without a sensitive name there is nothing to report
             return []
         known: dict[str, Value] = {}
-        found, at = set(), 0
-        while target := TARGET.search(text, at):
-            at = target.end()
-            value = Value()
-            while part := VALUE.match(text, at):
-                at = part.end()
-                if part["call"]:
-                    break
-                if part["quoted"]:
-                    value.add(part["quoted"][1:-1], (part.start() + 1, part.end() - 1))
-                elif self._bare(text, part[0], part.start(), known, value):  # a sign of a sum ends it
-                    at += len(OPERAND.match(text, at)[0]) - 1
-                    continue
-                if not (plus := JOIN.match(text, at)):
-                    break
-                at = plus.end()
-            if len(value.parts) == 1:
-                continue
-            known[target[1]] = value
-            score = self.name_score(target[1])
-            if score >= self.threshold and score * self.value_score(value) >= self.threshold:
-                value.report(found)
+        found: set[tuple[int, int]] = set()
+        blocks: list[tuple[int | None, str]] = []  # indent (none for braces) and name of the open blocks
+        last, at = "", 0  # the name that an opening brace belongs to
+        inside: list[int] = []  # ends of the strings that are read again
+        while token := LEX.search(text, at):
+            at = token.end()
+            while inside and token.start() >= inside[-1]:
+                inside.pop()
+            if token["open"]:
+                blocks.append((None, last))
+                last = ""
+            elif token["close"]:
+                while blocks and blocks.pop()[0] is not None:
+                    pass
+            elif token["tag"]:
+                value, inner = Value(), token["inner"].strip()
+                start = token.start("inner") + len(token["inner"]) - len(token["inner"].lstrip())
+                value.add(inner, (start, start + len(inner)))
+                self._weigh(token["tag"], value, found)
+                at = token.end("inner")
+            else:
+                name = last = token["name"]
+                begin = text.rfind("\n", 0, token.start()) + 1
+                if not text[begin : token.start()].strip(" \t-"):  # the first of its line: deeper lines before it are over
+                    while blocks and blocks[-1][0] is not None and blocks[-1][0] >= token.start() - begin:
+                        blocks.pop()
+                    if text[at : at + 1] in ("\n", "\r"):
+                        blocks.append((token.start() - begin, name))
+                own = blocks[-1][1] if blocks and set(words_of(name)) <= GENERIC else name
+                at = self._value(text, at, own, name, known, found, inside)
         return sorted(found)
 
+    def _value(self, text: str, at: int, own: str, name: str, known: dict[str, Value], found: set, inside: list[int]) -> int:
+        """Reads the value at a place, for the target name that counts as own, and returns where reading goes on."""
+        value, again = Value(), None
+        while part := VALUE.match(text, at, *inside[-1:]):
+            at = part.end()
+            if part["call"]:
+                break
+            if part["quoted"]:
+                size = 3 if len(part["quoted"]) > 5 and part["quoted"][:3] in ('"""', "'''") else 1
+                a, b = part.start("quoted") + size, part.end() - size
+                value.add(text[a:b], (a, b))
+                if again is None and len(inside) < DEPTH and ("=" in part["quoted"] or ":" in part["quoted"]):
+                    again = a
+            elif self._bare(text, part[0], part.start(), known, value):  # a sign of a sum ends it
+                at += len(OPERAND.match(text, at)[0]) - 1
+                continue
+            if not (plus := JOIN.match(text, at, *inside[-1:])):
+                break
+            at = plus.end()
+        if len(value.parts) > 1:
+            known[name] = value
+            self._weigh(own, value, found)
+        if again is not None:  # strings may hold assignments of their own
+            inside.append(at)
+            return again
+        return at
+
+    def _weigh(self, name: str, value: Value, found: set) -> None:
+        score = self.name_score(name)
+        if score >= self.threshold and score * self.value_score(value, bool(PHRASES & set(words_of(name)))) >= self.threshold:
+            value.report(found)
+
     @staticmethod
     def _bare(text: str, run: str, at: int, known: dict[str, Value], value: Value) -> bool:
         """Adds a bare run to value: a known constant, a sum with one in it, or a literal. Returns whether a sign of a sum ends it."""
@@ -167,7 +228,7 @@ class SecretScan:
         for p in parts:
             if p in known:
                 value.extend(known[p])
-            elif p:
+            elif p and not NAME.fullmatch(p):
                 value.add(p, (at, at + len(p)))
             at += len(p) + 1
         return more
