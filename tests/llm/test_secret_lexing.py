@@ -1,0 +1,53 @@
+"""op4: what the lexer reads as a literal of a sensitive target."""
+
+import time
+
+import pytest
+
+from wavelath.llm.secrets import SecretScan
+
+RANDOM = "q7fz0k3vx9w2hs8d4jt6"
+
+
+def literals(text):
+    return [text[a:b] for a, b in SecretScan().literals(text)]
+
+
+@pytest.mark.parametrize("text", [
+    f'secret = """{RANDOM}"""', f"password = r'''{RANDOM}'''", f"token = b'{RANDOM}'", f"key = `{RANDOM}`", f"<password>{RANDOM}</password>", f'<user id="1">x</user><api_key scope="all"> {RANDOM}\n</api_key>',
+    f"secret:\n  value: {RANDOM}\nother:\n  value: {RANDOM}x", f"secret:\n  note: none\n  deeper:\n    a: 1\n  value: {RANDOM}", f'{{"secret": {{"value": "{RANDOM}"}}, "b": {{"value": "{RANDOM}y"}}}}', f"- token: {RANDOM}", f"# secret: {RANDOM}",
+    f'db = "Server=x;Pwd={RANDOM};"', f"x = 'harmless=1'\nsecret = '{RANDOM}'", f"Secret => '{RANDOM}'", f"{'a' * 130}_secret{' ' * 9}={' ' * 9}'{RANDOM}'",
+])
+def test_literals_are_found(text):
+    assert literals(text) == [RANDOM]
+
+
+@pytest.mark.parametrize("text", [
+    "token = get_session_Value1", 'secret = read_Config_9("x")', "auth_token: Optional_Str9 = None", "token = tokenSource", "password = settings.data_base.password", 'password = "Enter your password here"', 'secret = ""',
+    f"secret = {{\n a: 1 }}\nvalue = {RANDOM}", f"secret:\n  name: x\nvalue: {RANDOM}", "<password></password>", "<password>${password}</password>", "secret = ", 'secret = """', "secret: {", "secret }}}} {{",
+])
+def test_names_and_gaps_are_none(text):
+    assert literals(text) == []
+
+
+def test_known_names_are_values():
+    assert literals(f"session_value = '{RANDOM}'\ntoken = session_value") == [RANDOM]
+    assert literals('passphrase = "correct horse battery staple"') == ["correct horse battery staple"]
+
+
+def test_a_constant_of_many_parts_is_whole():
+    parts = [f"aK9xQ{k}z" for k in range(300)]
+    text = "x = " + " + ".join(f"'{p}'" for p in parts) + "\nsecret = x\n"
+    assert literals(text) == parts
+
+
+@pytest.mark.parametrize("unit", ["a=", "x='y=\"z=", "{", "'a=", 'a=\\"', "<a", "a: ", "a:\n", " a:\n  ", "\\", '"""'])
+def test_time_grows_with_the_text(unit):
+    def seconds(size):
+        text = "secret = '" + unit * (size // len(unit))
+        began = time.perf_counter()
+        literals(text)
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(400_000) < 20 * max(seconds(40_000), 0.02)

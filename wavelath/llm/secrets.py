@@ -153,10 +153,15 @@ class SecretScan:
         found: set[tuple[int, int]] = set()
         blocks: list[tuple[int | None, str]] = []  # indent (none for braces) and name of the open blocks
         last, at = "", 0  # the name that an opening brace belongs to
+        line, seen = 0, 0  # where the present line begins, and what was searched for its beginning
         inside: list[int] = []  # ends of the strings that are read again
         while token := LEX.search(text, at):
             at = token.end()
-            while inside and token.start() >= inside[-1]:
+            fresh = not seen
+            if (broken := text.rfind("\n", seen, token.start())) >= 0:
+                line, fresh = broken + 1, True
+            seen = token.start()
+            while inside and seen >= inside[-1]:
                 inside.pop()
             if token["open"]:
                 blocks.append((None, last))
@@ -172,12 +177,11 @@ class SecretScan:
                 at = token.end("inner")
             else:
                 name = last = token["name"]
-                begin = text.rfind("\n", 0, token.start()) + 1
-                if not text[begin : token.start()].strip(" \t-"):  # the first of its line: deeper lines before it are over
-                    while blocks and blocks[-1][0] is not None and blocks[-1][0] >= token.start() - begin:
+                if fresh and not text[line:seen].strip(" \t-"):  # the first of its line: deeper lines before it are over
+                    while blocks and blocks[-1][0] is not None and blocks[-1][0] >= seen - line:
                         blocks.pop()
                     if text[at : at + 1] in ("\n", "\r"):
-                        blocks.append((token.start() - begin, name))
+                        blocks.append((seen - line, name))
                 own = blocks[-1][1] if blocks and set(words_of(name)) <= GENERIC else name
                 at = self._value(text, at, own, name, known, found, inside)
         return sorted(found)
