@@ -106,3 +106,35 @@ def test_components(spark):
     assert [found[k] for k in (1, 2, 3, 8, 9, 10, 51)] == [1, 1, 1, 8, 8, 8, 50]
     assert all(found[100 + k] == 100 for k in range(41)) and 4 not in found
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_ids_over_the_whole_range(make):
+    top, low = (1 << 63) - 1, -(1 << 63)
+    text, other = "one two three four five six seven eight", "other words that stand in no other text here"
+    docs = make(((1 << 62) + 5, text), ((1 << 62) + 6, text), (top, other), (low, other), (None, other), (None, text + " nine"), (-3, None), (None, "  "), (7, "a"), (None, "a"))
+    found = {}
+    for r in neardup.grouped(docs, NearDuplicates(words=4)).collect():
+        found.setdefault(r["doc_id"], []).append((r["n_shingles"], r["component_id"], r["kept"]))
+    first = (1 << 62) + 5
+    assert found[first] == [(5, first, True)] and found[first + 1] == [(5, first, False)]
+    assert found[low] == [(6, low, True)] and found[top] == [(6, low, False)] and found[-3] == [(0, -3, True)] and found[7] == [(1, 7, True)]
+    assert sorted(found[None], key=repr) == sorted([(6, low, False), (6, first, False), (0, None, True), (1, 7, False)], key=repr)
+    assert sorted(r["doc_id"] for r in neardup.representatives(docs).collect() if r["doc_id"] is not None) == [low, -3, 7, first]
+
+
+def test_a_member_with_many_partners_is_dealt_out(spark):
+    links = spark.createDataFrame([(1, k) for k in range(2, 3000)] + [(5, 6), (5, 7)], "a long, b long")
+    rows = spark.createDataFrame([(k, f"t{k}") for k in range(1, 3000)], "node long, text string")
+    both = neardup.beside(links, rows, "text")
+    assert sorted((r["a"], r["b"]) for r in both.collect() if (r["x"], r["y"]) == (f"t{r['a']}", f"t{r['b']}")) == sorted((r["a"], r["b"]) for r in links.collect())
+
+
+def test_links_are_contracted_in_pieces(spark, monkeypatch):
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"a": [k, k + 1], "b": [k + 1, k + 2]}) for k in range(0, 30, 2)]
+    monkeypatch.setattr(components, "PIECE", 6)
+    out = list(components._contract(batches))
+    assert len(out) == 5 and max(b.num_rows for b in out) <= 6
+    joined = components.union([x for b in out for x in b.column(0).to_pylist()], [x for b in out for x in b.column(1).to_pylist()])
+    assert set(joined.values()) == {0}

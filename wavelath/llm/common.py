@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -21,18 +22,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of this session's own only where the cluster names none."""
+    """The folder that driver and executors share. Where the session names none, a local session gets one of its own; a cluster must name it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="wavelath-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
-def stage_table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends there, and a lost executor costs no rework before it."""
+#: Folders of intermediate tables made since an outer step began, by nesting.
+_MADE: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the intermediate tables made inside, once what needs them has been written."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for folder in _MADE.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stage_table(df: DataFrame, name: str, partition_by: str | None = None, lasting: bool = False) -> DataFrame:
+    """Writes df to the shared folder and reads it back: the lineage ends there, and a lost executor costs no rework before it.
+
+    A lasting table outlives the scratch() that it is made in.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wavelath/{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/wavelath/{uuid.uuid4().hex}"
+    path = f"{folder}/{name}"
+    if _MADE and not lasting:
+        _MADE[-1].append(folder)
     kept = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:

@@ -28,14 +28,27 @@ def union(a: list[int], b: list[int]) -> dict[int, int]:
     return {x: find(x) for x in parent}
 
 
+#: Links that are contracted at once.
+PIECE = 500_000
+
+
 def _contract(batches):
-    """The links of one partition as links from each node to the smallest of its group."""
-    a, b = [], []
+    """The links of one partition, a bounded piece at a time, as links from each node to the smallest of its group there."""
+
+    def piece(held):
+        a, b = (pa.chunked_array([h.column(k) for h in held]).to_pylist() for k in (0, 1))
+        found = [(x, r) for x, r in union(a, b).items() if x != r]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], ["a", "b"])
+
+    held, count = [], 0
     for batch in batches:
-        a += batch.column(0).to_pylist()
-        b += batch.column(1).to_pylist()
-    found = [(x, r) for x, r in union(a, b).items() if x != r]
-    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([r for _, r in found], pa.int64())], ["a", "b"])
+        held.append(batch)
+        count += batch.num_rows
+        if count >= PIECE:
+            yield piece(held)
+            held, count = [], 0
+    if held:
+        yield piece(held)
 
 
 def _smallest(both: DataFrame) -> DataFrame:

@@ -21,8 +21,8 @@ and the estimate drops it with probability below 1e-6.
 Null texts, empty texts, and texts without words have no shingles and link with
 nothing. Rows that share a doc_id are held against others each by its own text,
 and a link of one is a link of that id. A row without a doc_id takes part under a
-stand-in made from its text, above every other id; its component_id is null where
-the component has no row with an id.
+64-bit hash of its text; a component is named after its smallest doc_id, whatever
+the hashes are, and its component_id is null where no row of it has an id.
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 from .common import mix64, packed, pieces, stage_table, table
 from .components import components
 
-STAND_IN = 1 << 62
+#: Partners that a member meets in one task.
+PARTNERS = 512
 
 
 @dataclass(frozen=True)
@@ -137,7 +138,7 @@ def signed(docs: DataFrame, settings: NearDuplicates) -> DataFrame:
 
 def node():
     """The id that a row takes part under."""
-    return F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit(STAND_IN - 1)) + F.lit(STAND_IN))
+    return F.coalesce("doc_id", F.xxhash64("text"))
 
 
 def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -145,6 +146,18 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
 
 
+def beside(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """pairs (a, b) with the column of both sides as x and y. rows: node and the column.
+
+    A member a with many partners is dealt out over several tasks, each with a copy of its row: one copy for each
+    PARTNERS pairs.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+    dealt = pairs.join(rows.select(F.col("node").alias("b"), F.col(column).alias("y")), "b").join(parts.filter("parts > 1"), "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), "parts").cast("int"), F.lit(0)))
+    copies = rows.select(F.col("node").alias("a"), F.col(column).alias("x")).join(parts, "a").select("a", "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return dealt.join(copies, ["a", "part"]).select("a", "b", "x", "y")
+
+
 def likely(pairs: DataFrame, classes: DataFrame, settings: NearDuplicates) -> DataFrame:
     """The pairs (a, b) whose signatures agree enough."""
 
@@ -153,9 +166,7 @@ def likely(pairs: DataFrame, classes: DataFrame, settings: NearDuplicates) -> Da
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, settings.places) for c in ("x", "y"))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(agreeing(x, y) >= settings.estimate))
 
-    signs = classes.select("node", "light")
-    both = pairs.join(signs.selectExpr("node b", "light y"), "b").join(signs.selectExpr("node a", "light x"), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return beside(pairs, classes, "light").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, settings: NearDuplicates) -> DataFrame:
@@ -176,8 +187,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, settings: NearDuplicates) -> D
                 keep.append(100 * common >= settings.percent * (len(left) + len(right) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.selectExpr("node b", "text y"), "b").join(texts.selectExpr("node a", "text x"), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    # read twice: once to count a member's partners, once to join them
+    return beside(stage_table(pairs, "pairs"), texts, "text").mapInArrow(run, "a long, b long")
 
 
 def sketches(nodes: DataFrame, texts: DataFrame, settings: NearDuplicates) -> DataFrame:
@@ -257,11 +268,11 @@ def across(buckets: DataFrame, labels: DataFrame, classes: DataFrame, texts: Dat
 
 
 def labelled(docs: DataFrame, settings: NearDuplicates) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, node, n_shingles, and smallest, the least node of its group. The texts' whole sets are compared."""
+    """Per row of docs (doc_id, text): doc_id, node, n_shingles, smallest, the node that stands for its group, and component_id. The texts' whole sets are compared."""
     rows = stage_table(signed(docs, settings), "signatures")
     # a table of its own: joins with it are not bound to its partitioning, in which all copies of a text stand together
-    firsts = stage_table(rows.filter("name IS NOT NULL").groupBy("name").agg(F.min("node").alias("node")), "firsts")
-    classes = stage_table(rows.join(firsts, ["name", "node"]).dropDuplicates(["name", "node"]).select("node", "name", "bands", "light"), "classes")
+    firsts = stage_table(rows.filter("name IS NOT NULL").groupBy("name").agg(F.min("node").alias("node"), F.min("doc_id").alias("least")), "firsts")
+    classes = stage_table(rows.join(firsts.select("name", "node"), ["name", "node"]).dropDuplicates(["name", "node"]).select("node", "name", "bands", "light"), "classes")
     keys = classes.select("node", F.explode("bands").alias("key"))
     # members of a class under one doc_id with several texts: the bucket counts the id once
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("size")).filter("first < last")
@@ -279,15 +290,16 @@ def labelled(docs: DataFrame, settings: NearDuplicates) -> DataFrame:
     labels = stage_table(components(links), "labels")
     more = confirmed(across(buckets, labels, classes, texts, settings), texts, settings)
     labels = components(links.unionByName(stage_table(more, "more")))
-    named = rows.select("doc_id", "n_shingles", "name", "node").join(firsts.withColumnRenamed("node", "class"), "name", "left")
-    found = named.join(labels.withColumnRenamed("node", "class"), "class", "left")
-    return found.select("doc_id", "node", "n_shingles", F.coalesce("component", "class", "node").alias("smallest"))
+    groups = firsts.join(labels, "node", "left").select("name", "least", F.coalesce("component", "node").alias("component"))
+    lows = groups.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = stage_table(groups.join(lows, "component").select("name", "component_id", F.coalesce("component_id", "component").alias("smallest")), "named")
+    found = rows.select("doc_id", "n_shingles", "name", "node").join(named, "name", "left")
+    return found.select("doc_id", "node", "n_shingles", F.coalesce("smallest", "node").alias("smallest"), F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def grouped(docs: DataFrame, settings: NearDuplicates = NearDuplicates()) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    smallest = F.col("smallest")
-    return labelled(docs, settings).select("doc_id", "n_shingles", F.when(smallest < STAND_IN, smallest).alias("component_id"), (F.col("node") == smallest).alias("kept"))
+    return labelled(docs, settings).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("node") == F.col("smallest"))).alias("kept"))
 
 
 def representatives(docs: DataFrame, settings: NearDuplicates = NearDuplicates()) -> DataFrame:

@@ -29,8 +29,9 @@ from .common import pieces as small
 from .common import table
 
 SPACE = "▁"
-#: Runs whose ids a worker keeps.
-KNOWN = 600_000
+#: Bytes of the runs whose ids a worker keeps, each counted with RUN bytes of its own.
+KNOWN = 96_000_000
+RUN = 160
 
 
 class CharacterMap:
@@ -43,7 +44,8 @@ class CharacterMap:
         size = struct.unpack_from("<I", blob)[0] if blob else 0
         self.units = struct.unpack_from(f"<{size // 4}I", blob, 4) if blob else ()
         self.block = blob[4 + size :]
-        self._known: dict[bytes, tuple[int, bytes]] = {}
+        #: Whether a prefix begins with each byte.
+        self.first = np.array([self._begins(x) for x in range(256)])
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes] | None:
         """The longest prefix of data[at:] in the trie: its length and its replacement."""
@@ -64,76 +66,76 @@ class CharacterMap:
         length, value = found
         return length, self.block[value : self.block.index(b"\0", value)]
 
+    def _begins(self, first: int) -> bool:
+        if not self.units:
+            return False
+        node = self._offset(self.units[0]) ^ first
+        return node < len(self.units) and self.units[node] & 0x800000FF == first
+
     @staticmethod
     def _offset(unit: int) -> int:
         return unit >> 10 << ((unit & 1 << 9) >> 6)
 
 
 class Normalizer:
-    """The model's normaliser with alignment. Runs of bytes that it leaves alone are kept as runs.
+    """The model's normaliser with alignment, for any character map: an empty one replaces nothing.
 
-    A result is (text, starts): starts is a list of (normalised byte, source byte, length in the source) where the
-    two advance together after each entry unless the entry is a replacement, whose bytes share one source span.
+    Places at which a prefix can begin are found for the whole text at once, by its first byte; only there the trie is
+    walked. What lies between is kept byte for byte. Blanks are then squeezed and written as the model writes them.
     """
 
     def __init__(self, spec):
         self.map = CharacterMap(spec.precompiled_charsmap)
         self.prefix, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
-        self.simple = not self.map.units and not self.squeeze
 
     def aligned(self, text: str) -> tuple[str, list[int]]:
         """The normalised text, and for each of its bytes and its end the source byte that it begins at."""
-        data = text.encode()
-        if not data:
-            return "", [0]
-        out, starts = [], []
-        space = (SPACE if self.escape else " ").encode()
-
-        def put(piece: bytes, source: int) -> None:
-            out.append(piece)
-            starts.extend([source] * len(piece))
-
-        at, ahead = 0, self.squeeze
-        if self.squeeze:
-            while at < len(data) and (step := self._step(data, at))[1] == b" ":
-                at += step[0]
-            if at == len(data):
-                return "", [0]
-        if self.prefix:
-            put(space, at)
-        last_space = ahead
-        while at < len(data):
-            length, new = self._step(data, at)
-            if last_space and self.squeeze:
-                new = new.lstrip(b" ")
-            if new:
-                for k in range(len(new)):
-                    put(space if new[k : k + 1] == b" " else new[k : k + 1], at)
-                last_space = new.endswith(b" ")
-            at += length
-            if not self.squeeze:
-                last_space = False
-        end = at
-        if self.squeeze:
-            joined = b"".join(out)
-            while joined.endswith(space):
-                joined = joined[: -len(space)]
-                end = starts[len(joined)]
-                del starts[len(joined) :]
-            return joined.decode(), [*starts, end]
-        return b"".join(out).decode(), [*starts, end]
-
-    def _step(self, data: bytes, at: int) -> tuple[int, bytes]:
-        if found := self.map.longest(data, at):
-            return found
-        first = data[at]
-        length = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
-        return length, data[at : at + length]
-
-    def plain(self, text: str) -> str:
-        """The normalised text alone, where the character map is empty and blanks stay."""
-        text = text.replace(" ", SPACE) if self.escape else text
-        return (SPACE if self.escape else " ") + text if self.prefix and text else text
+        normal, starts = self.placed(text)
+        return normal, starts.tolist()
+
+    def placed(self, text: str) -> tuple[str, np.ndarray]:
+        """aligned() with places as an array. Bytes of one replacement, or of one character of the source, begin together."""
+        data, space = text.encode(), (SPACE if self.escape else " ").encode()
+        raw, at = self._replaced(data)
+        end = len(data)
+        if self.squeeze and len(raw):
+            blank = raw == 32
+            kept = ~blank
+            kept[1:] |= ~blank[:-1]  # the first blank of a run
+            kept[0] = not blank[0]
+            if blank[-1]:  # trailing blanks go, and the text ends where they begin
+                last = int(np.flatnonzero(~blank)[-1]) + 1 if not blank.all() else 0
+                end = int(at[last]) if last else 0
+                kept[last:] = False
+            raw, at = raw[kept], at[kept]
+        if not len(raw):
+            return "", np.array([0])
+        first = [at[0]] if self.prefix else []
+        if self.escape:
+            at = np.repeat(at, np.where(raw == 32, len(space), 1))
+            new = raw.tobytes().replace(b" ", space)
+        else:
+            new = raw.tobytes()
+        return ((space if self.prefix else b"") + new).decode(), np.concatenate([np.repeat(np.array(first, np.int64), len(space)), at, [end]])
+
+    def _replaced(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes after the longest prefixes are replaced, and the source byte at which each one's character or prefix begins."""
+        raw = np.frombuffer(data, np.uint8)
+        head = (raw & 0xC0) != 0x80
+        starts = np.flatnonzero(head)
+        at = np.repeat(starts, np.diff(starts, append=len(raw))) if head[:1].all() else np.arange(len(raw))
+        out, places, done = [], [], 0
+        first = getattr(self.map, "first", None)  # a map that does not know them is asked at every character
+        for k in np.flatnonzero(head if first is None else first[raw] & head).tolist():
+            if k < done or not (found := self.map.longest(data, k)):
+                continue
+            length, new = found
+            out += [raw[done:k], np.frombuffer(new, np.uint8)]
+            places += [at[done:k], np.full(len(new), k)]
+            done = k + length
+        if not done:
+            return raw, at
+        return np.concatenate([*out, raw[done:]]), np.concatenate([*places, at[done:]])
 
 
 class Encoder:
@@ -165,7 +167,7 @@ class Encoder:
         if not self.cut:
             found = self.inner.encode(texts, num_threads=1)
             return np.fromiter(chain.from_iterable(found), np.int32), np.cumsum([0, *map(len, found)])
-        if len(self.known) > KNOWN:  # bounds the memory; what is dropped is encoded again when it is met
+        if self.held > KNOWN:  # bounds the memory; what is dropped is encoded again when it is met
             self._forget()
         split = [self.runs.findall(x) for x in texts]
         if new := list(set(chain.from_iterable(split)).difference(self.known)):
@@ -175,6 +177,7 @@ class Encoder:
             self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(sizes) - sizes])
             self.count = np.concatenate([self.count, sizes])
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.int32)])
+            self.held += len(new) * RUN + 4 * sum(map(len, new)) + 4 * int(sizes.sum())
         runs = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64)
         sizes = self.count[runs]
         edges = np.concatenate([[0], np.cumsum(sizes)])
@@ -183,31 +186,16 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.flat, self.at, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The source bytes of each id: begins and ends. The pieces tile the normalised text."""
+    def spans(self, starts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The source bytes of each id, from the alignment of the normalised text that the ids tile: begins and ends."""
         edges = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(self.sizes[ids], out=edges[1:])
-        if not self.normalizer.simple:
-            edges = np.asarray(self.normalizer.aligned(text)[1])[edges]
-        elif len(ids):
-            edges = self._simple_edges(text, edges)
+        edges = starts[edges]
         return edges[:-1], edges[1:]
 
-    def _simple_edges(self, text: str, edges: np.ndarray) -> np.ndarray:
-        """Where only blanks grow: each blank of the source is three bytes of the normalised text."""
-        added = len((SPACE if self.normalizer.escape else " ").encode()) * self.normalizer.prefix
-        if not self.normalizer.escape:
-            return np.maximum(edges - added, 0)
-        blanks = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) == 32)
-        placed = blanks + 2 * np.arange(len(blanks)) + added  # where each blank begins in the normalised text
-        before = np.searchsorted(placed, edges)  # blanks that begin before each edge
-        out = np.maximum(edges - added - 2 * before, 0)
-        last = np.maximum(before - 1, 0)
-        inside = (before > 0) & (edges < (placed[last] + 3 if len(blanks) else 0))
-        return np.where(inside, blanks[last] if len(blanks) else 0, out)
-
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
@@ -216,14 +204,14 @@ def encoder(path: str) -> Encoder:
 
 def encoded(tool: Encoder, texts: list[str], spans: bool) -> list[pa.Array]:
     """Arrow columns of some texts: ids, the decoded texts, and the begins and ends of the ids' source bytes."""
-    norm = tool.normalizer
-    ids, at = tool.ids([norm.plain(x) if norm.simple else norm.aligned(x)[0] for x in texts])
+    normal = [tool.normalizer.placed(x) for x in texts]
+    ids, at = tool.ids([x for x, _ in normal])
     lists = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
     decoded = tool.decoder.decode([x.tolist() for x in lists]) if lists else []
     at = pa.array(at, pa.int32())
     out = [pa.ListArray.from_arrays(at, pa.array(ids)), pa.array(decoded, pa.string())]
     if spans:
-        placed = [tool.spans(x, i) for x, i in zip(texts, lists, strict=True)]
+        placed = [tool.spans(starts, i) for (_, starts), i in zip(normal, lists, strict=True)]
         for k in (0, 1):
             values = np.concatenate([np.zeros(0, np.int64), *(p[k] for p in placed)]).astype(np.int32)
             out.append(pa.ListArray.from_arrays(at, pa.array(values)))
@@ -247,10 +235,11 @@ def with_pieces(docs: DataFrame, model_path: str, column: str = "text", spans: b
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """n_tokens and the digests of the ids and of the decoded text; span_bytes counts the source bytes that the spans cover."""
+    """n_tokens and the digests of the ids, of the decoded text, and of all spans (begins, then ends); span_bytes is where the last span ends."""
     ids = F.array_join("ids", ",")
     out = [F.col(key), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
     if "ends" in encoded.columns:
+        out.append(F.sha2(F.concat(F.array_join("begins", ","), F.lit(";"), F.array_join("ends", ",")), 256).alias("spans_sha256"))
         out.append(F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("span_bytes"))
     return encoded.select(*out)
 
