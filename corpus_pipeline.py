@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelath.llm import decontam, linededup, neardup, pieces, quality
-from wavelath.llm.common import stage_table, table
+from wavelath.llm.common import scratch, stage_table, table
 
 
 def apart(docs: DataFrame) -> DataFrame:
@@ -71,5 +71,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stage_table(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        with scratch(spark):  # a stage's own intermediate tables go when its result stands
+            docs = stage_table(stage(spark, docs, sf_dir), name.replace(" ", "_"), lasting=True)
     return docs
