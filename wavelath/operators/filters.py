@@ -1,12 +1,17 @@
 """Digital filters along sequences, fixed and time-varying, and excitation.
 
-Filters of finite length are scatter and aggregation. A recurrence needs its
-sequence in order: rows are dealt out by sequence, sorted, and pass through a
-task as a stream of Arrow batches with a state of a few numbers, so that memory
-does not grow with a sequence's length; sequences run side by side.
+Filters of finite length work in blocks with a halo (blocks.py). A recurrence is
+run in each block from a state of zero; a block's last state is then a linear
+function of its first, so that the states at all block edges follow from one small
+row for each block, and a second pass runs every block from its own state. So the
+blocks of one sequence are spread over tasks. Only the compressor, which is not
+linear, passes a sequence through a task in order, as a stream with its state.
+
+Null samples count as zeros. Places missing in n count as zeros too, and get an
+output where their block holds a sample.
 
 Coefficients of a frame stand at its first sample; between frames they are drawn
-along a line, and after the last one they are held.
+along a line, and after the last one they are held to the end of its period.
 """
 
 from __future__ import annotations
@@ -21,12 +26,16 @@ from pyspark.sql import functions as F
 
 from ..functions import bases
 from ..functions.columns import batched, numbers, require
+from . import blocks
 from . import sequences as seq
 from .prediction import convert_cepstrum
 
 
 def along(rows: DataFrame, columns: list[str], start: Callable, step: Callable, width: int = 0) -> DataFrame:
-    """(seq, n, x): step(state, *columns of a stretch) -> (values, state) over each sequence in order of n; width: values are vectors."""
+    """(seq, n, x): step(state, *columns of a stretch) -> (values, state) over each sequence in order of n; width: values are vectors.
+
+    A sequence passes through one task, a batch at a time.
+    """
 
     def run(batches):
         here, state = None, None
@@ -106,6 +115,100 @@ def coefficients(b, a) -> tuple[np.ndarray, np.ndarray]:
     return b * a[0], np.concatenate([[1.0], a[1:]])
 
 
+def recursive(samples: DataFrame, history: int, run: Callable, width: int, vectors: bool = False, frames: DataFrame | None = None, period: int = 1, frame_size: int = 0) -> DataFrame:
+    """(seq, n, x) of a linear recurrence in blocks.
+
+    run(block, state) -> (values, last state, and for a state of None also the matrix that takes a first state to the last
+    one). States are width numbers; None is a state of zero. history is how many samples before a block it looks at.
+    """
+    size = blocks.SIZE
+    sent, still = blocks.sent(samples, history, 0, size), frames is None
+    if not still:
+        framed = blocks.sent_vectors(frames, F.col("t") * period, period, period, size)
+
+    def with_frames_(rows: DataFrame) -> DataFrame:
+        return rows if frames is None else rows.unionByName(framed, allowMissingColumns=True)
+
+    def last_state(block: blocks.Block):
+        if not block.count:
+            return None
+        _, state, matrix = run(block, None)
+        return np.array([block.number]), np.concatenate([state, matrix.reshape(-1)])[None]
+
+    # the last block of a sequence hands nothing on; where a sequence is one block, nothing is to be done here
+    open_ = sent.filter(f"block < floor((length - 1) / {size})")
+    if frames is None:
+        ends = blocks.work(open_, last_state, size, vectors=True)
+    else:
+        wanted = blocks.joined(framed, open_.select("seq", "block").distinct(), ["seq", "block"])
+        ends = blocks.work(open_.unionByName(wanted, allowMissingColumns=True), last_state, size, vectors=True)
+
+    def carry(state, number, own):
+        """The first state of each block, from the last state and the matrix of each block before it."""
+        out = np.zeros((len(own), width))
+        for k in range(len(own)):
+            before, held, matrix = state
+            if before is not None and number[k] != before + 1:  # blocks without a sample lie between; with frames they have no output
+                held = np.linalg.matrix_power(matrix, int(number[k] - before - 1)) @ held if still else np.zeros(width)
+            matrix = own[k, width:].reshape(width, width)
+            out[k], state = held, (number[k], own[k, :width] + matrix @ held, matrix)
+        return out, state
+
+    # the last block is told its first state too, and hands on nothing
+    lasts = sent.filter(f"block > 0 AND block = floor((length - 1) / {size})").select("seq", "block").distinct().select("seq", F.col("block").alias("n"), F.array_repeat(F.lit(0.0), width * (width + 1)).alias("x"))
+    states = along(ends.unionByName(lasts).withColumn("number", F.col("n")), ["number", "x"], lambda: (None, np.zeros(width), None), carry, width=width)
+    first = states.filter("n > 0").select("seq", F.col("n").alias("block"), F.lit(-1).cast("long").alias("n"), F.col("x").alias("v"))
+    if frames is not None:  # states and frames stand in one column of vectors, as long as frames are
+        first = first.withColumn("v", F.concat("v", numbers([0.0] * (frame_size - width))))
+
+    def whole(block: blocks.Block):
+        if not block.count:
+            return None
+        state = None
+        if block.numbers.size and block.numbers[0] == -1:
+            state, block.vectors, block.numbers = block.vectors[0][:width], block.vectors[1:], block.numbers[1:]
+        return np.arange(block.begin, block.begin + block.count), run(block, np.zeros(width) if state is None else state)[0]
+
+    return blocks.work(with_frames_(sent).unionByName(first, allowMissingColumns=True), whole, size, vectors)
+
+
+def constant(channels: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, Callable, int]:
+    """history, run and width of recurrences with constant coefficients for recursive(); several channels, complex ones too, are worked on side by side."""
+    kernels = [recurrence(num, den) for num, den in channels]
+    orders = [len(den) - 1 for _, den in channels]
+    history = max(len(num) - 1 for num, _ in channels)
+    edges = np.cumsum([0, *orders])
+    split = any(np.iscomplexobj(a) or np.iscomplexobj(b) for b, a in channels)
+    width = int(edges[-1]) * (2 if split else 1)
+
+    def packed(z: np.ndarray) -> np.ndarray:
+        return np.concatenate([z.real, z.imag]) if split else z
+
+    matrix = np.zeros((width, width))
+    for (num, _), (_, step), order, at in zip(channels, kernels, orders, edges, strict=False):
+        for k in range(order):
+            _, (_, last) = step((np.zeros(len(num) - 1), np.eye(order)[k]), np.zeros(blocks.SIZE))
+            columns = np.zeros(int(edges[-1]), complex if split else float)
+            columns[at : at + order] = last
+            matrix[:, at + k] = packed(columns)
+            if split:
+                matrix[:, edges[-1] + at + k] = packed(1j * columns)
+
+    def run(block: blocks.Block, state):
+        x = block.values(history)
+        z = np.zeros(int(edges[-1]), complex) if state is None else state[: edges[-1]] + 1j * state[edges[-1] :] if split else state
+        out, last = [], []
+        for (num, _), (_, step), a, b in zip(channels, kernels, edges[:-1], edges[1:], strict=True):
+            y, (_, end) = step((x[history - len(num) + 1 : history], z[a:b] if split else z[a:b].real), x[history:])
+            out.append(y)
+            last.append(end)
+        y = np.stack(out, axis=1)
+        y = np.concatenate([y.real, y.imag], axis=1) if split else y[:, 0]
+        return y, packed(np.concatenate(last)), matrix
+
+    return history, run, width
+
+
 def dfs(samples: DataFrame, b=None, a=None, ir_length: int | None = None) -> DataFrame:
     """A filter b / a; without a denominator, or cut to an impulse response of ir_length, it is of finite length."""
     num, den = coefficients(b, a)
@@ -113,7 +216,7 @@ def dfs(samples: DataFrame, b=None, a=None, ir_length: int | None = None) -> Dat
         return seq.fir(samples, impulse_response(num, den, ir_length))
     if len(den) == 1:
         return seq.fir(samples, num)
-    return along(samples, ["x"], *recurrence(num, den))
+    return recursive(samples, *constant([(num, den)]))
 
 
 def resonance(sample_rate: float, frequency: float | None, bandwidth: float | None):
@@ -131,47 +234,80 @@ def df2(samples: DataFrame, sample_rate: float, pole_frequency: float | None = N
 def with_frames(rows: DataFrame, frames: DataFrame, frame_period: int) -> DataFrame:
     """rows (seq, n, ...) with the vectors of the frames before and after them (here, after), and how far between (share)."""
     after = frames.select("seq", (F.col("t") - 1).alias("t"), F.col("x").alias("after"))
-    both = frames.select("seq", "t", F.col("x").alias("here")).join(after, ["seq", "t"], "left").withColumn("after", F.coalesce("after", "here"))
+    both = frames.select("seq", "t", F.col("x").alias("here"))
+    both = blocks.joined(both, after, ["seq", "t"], "left").withColumn("after", F.coalesce("after", "here"))
     placed = rows.withColumn("t", F.floor(F.col("n") / F.lit(frame_period)).cast("long")).withColumn("share", (F.col("n") % frame_period) / F.lit(float(frame_period)))
-    return placed.join(both, ["seq", "t"])
+    return blocks.joined(placed, both, ["seq", "t"])
 
 
-def between(here: np.ndarray, after: np.ndarray, share: np.ndarray) -> np.ndarray:
-    return here + (after - here) * share[:, None]
+def followed(samples: DataFrame, frames: DataFrame, frame_period: int, left: int, right: int, run: Callable) -> DataFrame:
+    """(seq, n, x) of run(values, coefficients) in blocks: samples, and the coefficients of each of their places, from left places before a block to right behind it. It returns a value for each place of the block. Places without a frame have no output."""
+    size = max(blocks.SIZE, left + right)
+    rows = blocks.sent(samples, left, right, size).unionByName(blocks.sent_vectors(frames, F.col("t") * frame_period, left + frame_period, right + frame_period, size), allowMissingColumns=True)
 
+    def whole(block: blocks.Block):
+        if not block.count or block.vectors is None:
+            return None
+        h, known = block.between_frames(left, right, frame_period)
+        own = known[left : left + block.count]
+        return np.arange(block.begin, block.begin + block.count)[own], run(block.values(left, right), h)[own]
 
-def zerodf(samples: DataFrame, frames: DataFrame, frame_period: int, ignore_gain: bool = False, zeroth_index: int = 0) -> DataFrame:
-    """Finite filters whose taps (seq, t, x) follow the frames; zeroth_index is the tap of the present sample."""
-    order = frames.select(F.size("x")).limit(1).first()
-    taps = order[0] if order else 1
-    sent = seq.sent_to_windows(samples, taps - 1 - zeroth_index, zeroth_index)
-    places = F.col("j") + (taps - 1 - zeroth_index)  # from the oldest sample to the newest
-    gathered = sent.select("seq", "n", places.alias("p"), "x").groupBy("seq", "n").agg(F.array(*[F.coalesce(F.max(F.when(F.col("p") == taps - 1 - k, F.col("x"))), F.lit(0.0)) for k in range(taps)]).alias("past"))
+    return blocks.work(rows, whole, size)
 
-    def run(past, here, after, share):
-        h = between(here, after, share)
-        return (past * (h / h[:, [zeroth_index]] if ignore_gain else h)).sum(1)
 
-    both = with_frames(gathered, frames, frame_period)
-    return both.select("seq", "n", batched(run, "past", "here", "after", "share", returns="double").alias("x"))
+def varying(x: np.ndarray, h: np.ndarray, before: int) -> np.ndarray:
+    """y[n] = sum of h[n, k] * x[n + before - k], places outside counted as zeros; x and h begin at the same place."""
+    taps = h.shape[1]
+    wide = np.concatenate([np.zeros(taps - 1 - before), x, np.zeros(before)])
+    return np.einsum("nk,nk->n", np.lib.stride_tricks.sliding_window_view(wide, taps), h[:, ::-1])
 
 
-def poledf(samples: DataFrame, frames: DataFrame, frame_period: int, ignore_gain: bool = False) -> DataFrame:
-    """All-pole filters that follow the frames (gain, then coefficients)."""
-    rows = with_frames(samples, frames, frame_period)
+def zerodf(samples: DataFrame, frames: DataFrame, frame_period: int, ignore_gain: bool = False, zeroth_index: int = 0, taps: int | None = None) -> DataFrame:
+    """Finite filters whose taps (seq, t, x) follow the frames; zeroth_index is the tap of the present sample.
 
-    def step(last, x, here, after, share):
-        a = between(here, after, share)
-        x = x if ignore_gain else x * a[:, 0]
-        out = np.empty(len(x))
-        last = np.zeros(a.shape[1] - 1) if last is None else last
-        for n in range(len(x)):
-            y = x[n] - a[n, 1:] @ last
-            last = np.concatenate([[y], last[:-1]]) if len(last) else last
-            out[n] = y
-        return out, last
+    taps is the largest number of taps, which sets the halo of a block; without it, a block sees as much of its neighbours
+    as a block is long, and longer filters are an error.
+    """
+    left = blocks.SIZE // 2 if taps is None else max(taps - 1 - zeroth_index, 0)
+
+    def run(x, h):
+        require(more_taps_than_a_block_can_see=h.shape[1] - 1 - zeroth_index <= left)
+        gain = h[:, [zeroth_index]]
+        y = varying(x, h / np.where(h.any(axis=1, keepdims=True), gain, 1) if ignore_gain else h, zeroth_index)
+        return y[left : len(y) - zeroth_index]
 
-    return along(rows, ["x", "here", "after", "share"], lambda: None, step)
+    return followed(samples, frames, frame_period, left, zeroth_index, run)
+
+
+def poledf(samples: DataFrame, frames: DataFrame, frame_period: int, ignore_gain: bool = False, order: int | None = None) -> DataFrame:
+    """All-pole filters that follow the frames (gain, then coefficients). Places without a frame have no output.
+
+    order is the number of coefficients behind the gain; without it, it is looked up in one frame.
+    """
+    if order is None:
+        first = frames.filter("x IS NOT NULL").select(F.size("x")).limit(1).first()
+        order = first[0] - 1 if first else 0
+    if order < 1:
+        return followed(samples, frames, frame_period, 0, 0, lambda x, h: x if ignore_gain else x * h[:, 0])
+
+    def run(block: blocks.Block, state):
+        if block.vectors is None or not len(block.vectors):
+            return np.full(block.count, np.nan), np.zeros(order), np.zeros((order, order))
+        a, known = block.between_frames(0, 0, frame_period)
+        x = block.values() if ignore_gain else block.values() * a[:, 0]
+        columns = 1 if state is not None else order + 1
+        past = np.zeros((order + block.count, columns))  # outputs, oldest first; for a state of None also those of unit states
+        if state is None:
+            past[:order, 1:] = np.eye(order)
+        else:
+            past[:order, 0] = state
+        back = -a[:, :0:-1]
+        for n in range(block.count):
+            past[order + n] = back[n] @ past[n : n + order]
+            past[order + n, 0] += x[n]
+        return np.where(known, past[order:, 0], np.nan), past[-order:, 0], past[-order:, 1:]
+
+    return recursive(samples, 0, run, order, frames=frames, period=frame_period, frame_size=order + 1).filter("x IS NOT NULL")
 
 
 PHASES = ("minimum", "maximum", "zero")
@@ -211,7 +347,7 @@ def on_spectra(samples, frames, frame_period, alpha, gamma, ignore_gain, phase,
     late = F.when(F.col("j") >= (n_fft + frame_length) // 2, F.col("j") - n_fft).otherwise(F.col("j"))
     added = out.select("seq", (F.col("t") * frame_period + late - frame_length // 2).cast("long").alias("n"), "x").groupBy("seq", "n").agg(F.sum("x").alias("x"))
     total = float(weights.sum()) / frame_period
-    return added.join(seq.lengths(samples), "seq").filter("n >= 0 AND n < length").select("seq", "n", (F.col("x") / total).alias("x"))
+    return blocks.joined(added, seq.lengths(samples), ["seq"]).filter("n >= 0 AND n < length").select("seq", "n", (F.col("x") / total).alias("x"))
 
 
 def mglsadf(
@@ -226,7 +362,7 @@ def mglsadf(
         return on_spectra(samples, frames, frame_period, alpha, gamma, ignore_gain, phase, frame_length or 4 * frame_period, n_fft)
     if mode == "single-stage":
         taps = cepstral_taps(frames, alpha, gamma, phase, ir_length, n_fft, ignore_gain)
-        return zerodf(samples, taps, frame_period, zeroth_index=0 if phase == "minimum" else ir_length - 1)
+        return zerodf(samples, taps, frame_period, zeroth_index=0 if phase == "minimum" else ir_length - 1, taps=2 * ir_length - 1 if phase == "zero" else ir_length)
 
     def run(mc: np.ndarray) -> np.ndarray:
         plain = convert_cepstrum(mc, ir_length - 1, gamma, 0.0, -alpha, False, False, False, False, n_fft)
@@ -239,14 +375,17 @@ def mglsadf(
         return np.column_stack([gain, plain])
 
     filters = frames.select("seq", "t", batched(run, "x").alias("x"))
-    taps = filters.select("seq", "t", F.slice("x", F.lit(2), F.size("x") - 1).alias("x"))
-    gains = filters.select("seq", "t", F.slice("x", F.lit(1), F.lit(1)).alias("x"))
-    plain = summed = samples.select("seq", "n", "x")
-    for k in range(taylor_order, 0, -1):  # nested: each stage reads the one before once
-        inner = zerodf(summed, taps, frame_period, zeroth_index=0 if phase == "minimum" else ir_length - 1).withColumn("x", F.col("x") / k)
-        summed = plain.unionByName(inner).groupBy("seq", "n").agg(F.sum("x").alias("x"))
-    level = F.get("here", F.lit(0)) + (F.get("after", F.lit(0)) - F.get("here", F.lit(0))) * F.col("share")
-    return with_frames(summed, gains, frame_period).select("seq", "n", (F.col("x") * F.exp(level)).alias("x"))
+    before = 0 if phase == "minimum" else ir_length - 1
+    behind = ir_length - 1 if phase != "maximum" else 0
+
+    def stages(x, h):  # nested: each stage filters the one before, over a halo that holds them all
+        total = x
+        for k in range(taylor_order, 0, -1):
+            total = x + varying(total, h[:, 1:], before) / k
+        y = total * np.exp(h[:, 0])
+        return y[taylor_order * behind : len(y) - taylor_order * before]
+
+    return followed(samples, filters, frame_period, taylor_order * behind, taylor_order * before, stages)
 
 
 def imglsadf(samples: DataFrame, frames: DataFrame, frame_period: int, **kwargs) -> DataFrame:
@@ -266,7 +405,7 @@ def excite(pitch: DataFrame, frame_period: int, voiced_region: str = "pulse", un
     require(voiced_region_is_known=voiced_region in VOICED, polarity_is_known=polarity in ("auto", "unipolar", "bipolar"))
     before = pitch.select("seq", (F.col("t") + 1).alias("t"), F.col("x").alias("before"))
     after = pitch.select("seq", (F.col("t") - 1).alias("t"), F.col("x").alias("after"))
-    frames = pitch.join(before, ["seq", "t"], "left").join(after, ["seq", "t"], "left")
+    frames = blocks.joined(blocks.joined(pitch, before, ["seq", "t"], "left"), after, ["seq", "t"], "left")
     # a voiced stretch is drawn out to its end at its last period
     end = F.when(F.col("after") > 0, F.col("after")).otherwise(F.col("x"))
     samples = frames.select("seq", "t", "x", end.alias("end"), F.explode(F.sequence(F.lit(0), F.lit(frame_period - 1))).alias("i"))
@@ -314,17 +453,22 @@ def excite(pitch: DataFrame, frame_period: int, voiced_region: str = "pulse", un
 # --- gammatone
 
 
+#: Bandwidth at 0 Hz and quality of the auditory filters' equivalent rectangular bandwidth.
+ERB_BASE, ERB_QUALITY = 24.7, 9.265
+
+
 def gammatone_design(sample_rate: float, f_min: float = 70, f_ref: float = 1000, f_max: float = 6700, filter_order: int = 4, bandwidth_factor: float = 1, density: float = 1):
     """Centre frequencies in equal steps of equivalent rectangular bandwidth through f_ref, their complex poles, and gains of 0 dB at the centres."""
-    base, q = 24.7, 9.265
-    to_erb = lambda f: q * np.log1p(f / (base * q))
-    first = to_erb(f_ref) - np.floor((to_erb(f_ref) - to_erb(f_min)) * density) / density
-    centre = base * q * np.expm1(np.arange(first, to_erb(f_max) + 1e-6, 1 / density) / q)
-    m = filter_order - 1
-    spread = math.pi * math.factorial(2 * m) * 4.0**-m / math.factorial(m) ** 2
-    radius = np.exp(-2 * np.pi * (base + centre / q) * bandwidth_factor / spread / sample_rate)
-    poles = radius * np.exp(2j * np.pi * centre / sample_rate)
-    return centre, poles, 2 * (1 - radius) ** filter_order
+    corner = ERB_BASE * ERB_QUALITY
+    f_min, f_ref, f_max = (ERB_QUALITY * math.log((f + corner) / corner) for f in (f_min, f_ref, f_max))  # on the axis of bandwidths
+    below, above = math.floor((f_ref - f_min) * density), math.ceil((f_max + 1e-6 - f_ref) * density)
+    places = f_ref + np.arange(-below, above) / density
+    centre = corner * (np.exp(places / ERB_QUALITY) - 1)
+    width = (corner + centre) / ERB_QUALITY * bandwidth_factor
+    # a chain of n one-pole filters of unit decay has this equivalent rectangular bandwidth
+    chain = math.pi * math.comb(2 * filter_order - 2, filter_order - 1) / 4.0 ** (filter_order - 1)
+    poles = np.exp(2 * math.pi / sample_rate * (1j * centre - width / chain))
+    return centre, poles, 2 * (1 - np.abs(poles)) ** filter_order
 
 
 def gammatone_filters(sample_rate: float, exact: bool = False, **design) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -351,49 +495,70 @@ def gammatone_filters(sample_rate: float, exact: bool = False, **design) -> tupl
 def gammatone(samples: DataFrame, sample_rate: float, exact: bool = False, **design) -> DataFrame:
     """(seq, n, x): real parts of all channels, then imaginary parts."""
     _, channels = gammatone_filters(sample_rate, exact, **design)
-    kernels = [recurrence(num, den) for num, den in channels]
+    return recursive(samples, *constant(channels), vectors=True)
 
-    def step(states, x):
-        got = [run(state, x) for (_, run), state in zip(kernels, states, strict=True)]
-        y = np.stack([g[0] for g in got], axis=1)
-        return np.concatenate([y.real, y.imag], axis=1), [g[1] for g in got]
 
-    return along(samples, ["x"], lambda: [begin() for begin, _ in kernels], step, width=2 * len(kernels))
+def fine_structure(replies: np.ndarray, delay: int) -> tuple[np.ndarray, np.ndarray]:
+    """For impulse responses (channels, delay + 2): how many samples each peak of the envelope comes before delay, and the factor that brings the carrier to its crest there."""
+    peak = np.abs(replies[:, : delay + 1]).argmax(axis=1)
+    rising = np.take_along_axis(replies, peak[:, None] + 1, 1) - np.take_along_axis(replies, peak[:, None] - 1, 1)
+    return delay - peak, np.exp(1j * (np.pi / 2 - np.angle(rising[:, 0])))
+
+
+def flat_weights(mixed: np.ndarray, n_iter: int, eps: float) -> np.ndarray:
+    """Positive weights of channels whose sum comes near to gain 1 at every centre: the logarithm of each falls by that of the gain there, round by round. mixed: replies (centres, channels)."""
+    level = np.zeros(mixed.shape[1])
+    for _ in range(n_iter):
+        before = np.exp(level)
+        level = level - np.log(np.abs(mixed @ before))
+        if np.abs(np.exp(level) - before).mean() < eps:
+            break
+    return np.exp(level)
 
 
 def igammatone(bands: DataFrame, sample_rate: float, desired_delay: float = 4, n_iter: int = 100, eps: float = 1e-8, compensate_delay: bool = True, exact: bool = False, **design) -> DataFrame:
-    """(seq, n, x) from gammatone(): channels are brought into phase at desired_delay (ms), weighted for a flat response, and added."""
+    """(seq, n, x) from gammatone(): channels are brought into phase at desired_delay (ms), weighted for a flat response, and added.
+
+    A channel's part is delayed by a few samples: each block adds its channels where they arrive.
+    """
     centre, channels = gammatone_filters(sample_rate, exact, **design)
     shift = int(round(desired_delay * sample_rate / 1000))
-    h = np.stack([impulse_response(num, den, shift + 2) for num, den in channels])
-    peak = np.argmax(np.abs(h[:, :-1]), axis=1)
-    rows = np.arange(len(h))
-    slope = h[rows, peak + 1] - h[rows, peak - 1]
-    turn = 1j * np.abs(slope) / slope
-    late = shift - peak
-    z = np.exp(2j * np.pi * centre / sample_rate)
-    plain = lambda at: np.stack([np.polyval(num[::-1], 1 / at) / np.polyval(den[::-1], 1 / at) for num, den in channels], axis=1)
-    reply = lambda at: plain(at) * turn * at[:, None] ** -late
-    both = 0.5 * (reply(z) + reply(z.conj()).conj())
-    weight = np.ones(len(z), complex)
-    for _ in range(n_iter):
-        new = weight / np.abs(both @ weight)
-        done = np.abs(new - weight).mean() < eps
-        weight = new
-        if done:
-            break
-    count = len(z)
-    sent = bands.select("seq", "n", F.posexplode(F.slice("x", F.lit(1), F.lit(count))).alias("k", "re"), F.slice("x", F.lit(count + 1), F.lit(count)).alias("ims"))
-    value = (F.col("re") * F.get(numbers(turn.real), F.col("k")) - F.get("ims", F.col("k")) * F.get(numbers(turn.imag), F.col("k"))) * F.get(numbers(weight.real), F.col("k"))
-    moved = sent.select("seq", (F.col("n") + F.get(numbers(late - (shift if compensate_delay else 0)), F.col("k")).cast("long")).alias("m"), value.alias("x"))
-    mixed = moved.groupBy("seq", F.col("m").alias("n")).agg(F.sum("x").alias("x"))
-    return mixed.join(seq.lengths(bands), "seq").filter("n >= 0 AND n < length").select("seq", "n", "x")
+    late, turn = fine_structure(np.stack([impulse_response(num, den, shift + 2) for num, den in channels]), shift)
+    # a real part is half of a channel and half of its mirror image at negative frequencies
+    circle = np.exp(2j * np.pi * np.concatenate([centre, -centre]) / sample_rate)[:, None]
+    reply = np.hstack([np.polyval(num[::-1], 1 / circle) / np.polyval(den[::-1], 1 / circle) * t / circle**k for (num, den), t, k in zip(channels, turn, late, strict=True)])
+    half = len(centre)
+    weight = flat_weights((reply[:half] + reply[half:].conj()) / 2, n_iter, eps)
+    move = late - (shift if compensate_delay else 0)  # sample n of a channel arrives at n + move
+    behind, before = max(0, int(move.max())), max(0, -int(move.min()))
+    size = max(blocks.SIZE, behind + before)
+    sizes = blocks.lengths(bands)
+    n = F.col("n")
+    low, high = F.greatest(F.floor((n - before) / F.lit(size)), F.lit(0)), F.least(F.floor((n + behind) / F.lit(size)), F.floor((F.col("length") - 1) / F.lit(size)))
+    sent = blocks.joined(bands, sizes, ["seq"]).select("seq", F.explode(F.sequence(low, high)).alias("block"), n.cast("long").alias("n"), "length", F.col("x").cast("array<double>").alias("v"))
+
+    def run(block: blocks.Block):
+        begin, count = block.begin, block.count
+        at = block.numbers - (begin - behind)
+        y = np.zeros((behind + count + before, half))
+        inside = (at >= 0) & (at < len(y))
+        v = block.vectors[inside]
+        y[at[inside]] = v[:, :half] * (turn.real * weight) - v[:, half:] * (turn.imag * weight)
+        out = np.zeros(count)
+        for k, m in enumerate(move):
+            out += y[behind - m : behind - m + count, k]
+        return np.arange(begin, begin + count), out
+
+    return blocks.work(sent, run, size)
 
 
 def drc(
     samples: DataFrame, sample_rate: float, threshold: float = -20, ratio: float = 2, attack_time: float = 1, release_time: float = 500, makeup_gain: float = 0, abs_max: float = 1,
 ) -> DataFrame:
-    """Dynamic range compression: a static gain above the threshold (dB), smoothed with one time to fall (attack) and one to rise (release), in ms."""
+    """Dynamic range compression: a static gain above the threshold (dB), smoothed with one time to fall (attack) and one to rise (release), in ms.
+
+    Null samples take part in nothing and have no output.
+    """
     smooth = lambda ms: 1 - math.exp(-1000 / (ms * sample_rate))
     fall, rise = smooth(attack_time), smooth(release_time)
     slope = 1 - 1 / ratio
@@ -407,54 +572,75 @@ def drc(
             out[n] = gain
         return out * x * 10 ** (makeup_gain / 20), gain
 
-    return along(samples, ["x"], lambda: 1.0, step)
+    return along(samples.filter("x IS NOT NULL AND NOT isnan(x)"), ["x"], lambda: 1.0, step)
+
+
+def consistent(spectra: np.ndarray, places: np.ndarray, weights: np.ndarray, share: np.ndarray, fft_length: int, edges: Callable) -> np.ndarray:
+    """The nearest spectra that a signal has: overlap-add, what lies outside the signal by its rule, and the frames' spectra again."""
+    return np.fft.rfft(overlapped(spectra, places, weights, share, fft_length, edges)[places] * weights, fft_length)
+
+
+def overlapped(spectra: np.ndarray, places: np.ndarray, weights: np.ndarray, share: np.ndarray, fft_length: int, edges: Callable) -> np.ndarray:
+    parts = np.fft.irfft(spectra, fft_length)[:, : places.shape[1]] * weights
+    return edges(np.bincount(places.reshape(-1), weights=parts.reshape(-1), minlength=len(share)) * share)
 
 
 def griffin(
-    spectra: DataFrame, frame_length: int, frame_period: int, fft_length: int, out_length: int, n_iter: int = 100, alpha: float = 0.99, beta: float = 0.99, gamma: float = 1.1,
-    window: str | int = "blackman", norm: str | int = "power", symmetric: bool = True, seed: int | None = None,
+    spectra: DataFrame, frame_length: int, frame_period: int, fft_length: int, out_length: int | None = None, n_iter: int = 100, alpha: float = 0.99, beta: float = 0.99, gamma: float = 1.1,
+    window: str | int = "blackman", norm: str | int = "power", symmetric: bool = True, seed: int | None = None, center: bool = True, mode: str = "constant",
 ) -> DataFrame:
-    """(seq, n, x) whose power spectrogram comes near to (seq, t, x): phases by fast projections, one utterance at a time.
+    """(seq, n, x) whose power spectrogram comes near to (seq, t, x): phases by fast projections.
 
-    Every round needs the whole utterance, so that an utterance has to fit a task; utterances run side by side.
-    Phases start at zero, or at random ones of the seed.
+    A round carries a frame's phase over one frame's length and no further. So a block of frames with n_iter + 1 frame lengths
+    of its neighbours to either side has the rounds to itself, with the result of the whole utterance: one shuffle, in which a
+    frame goes to two or three blocks, and an utterance is spread over tasks. Phases start at zero, or at random ones of the
+    seed. out_length cuts every sequence; without it a sequence is as long as its frames times the period. mode is constant,
+    reflect or replicate.
     """
+    require(mode_is_constant_reflect_or_replicate=mode in ("constant", "reflect", "replicate"))
     weights = bases.window_values(frame_length, window, norm, symmetric)
-    left = frame_length // 2
-
-    def rebuild(pdf):
-        import pandas as pd
-
-        power = np.stack(pdf.sort_values("t")["x"].to_list())
-        size = np.sqrt(power + 1e-16)
-        at = np.arange(len(size))[:, None] * frame_period + np.arange(frame_length)
-        total = int(at.max()) + 1
-        norm_ = np.zeros(total)
-        np.add.at(norm_, at, weights**2)
-
-        def analyse(y):
-            return np.fft.rfft(y[at] * weights, fft_length)
-
-        def synthesise(spectrum):
-            y = np.zeros(total)
-            np.add.at(y, at, np.fft.irfft(spectrum, fft_length)[:, :frame_length] * weights)
-            y /= norm_ + 1e-16
-            y[:left] = y[left + out_length :] = 0
+    left = frame_length // 2 if center else 0
+    reach = (n_iter + 2) * -(-frame_length // frame_period)  # in frames
+    size = max(1024, reach)
+    t = F.col("t")
+    ends = spectra.groupBy("seq").agg((F.max("t") + 1).cast("long").alias("length"))
+    low, high = F.greatest(F.floor((t - reach) / F.lit(size)), F.lit(0)), F.least(F.floor((t + reach) / F.lit(size)), F.floor((F.col("length") - 1) / F.lit(size)))
+    sent = blocks.joined(spectra, ends, ["seq"]).select("seq", F.explode(F.sequence(low, high)).alias("block"), t.cast("long").alias("n"), "length", F.col("x").cast("array<double>").alias("v"))
+
+    def run(block: blocks.Block):
+        first = int(block.numbers[0])
+        size_ = np.sqrt(np.maximum(block.vectors, 0) + 1e-16)
+        places = (block.numbers - first)[:, None] * frame_period + np.arange(frame_length)
+        total = int(places.max()) + 1
+        share = 1 / (np.bincount(places.reshape(-1), weights=np.tile(weights**2, len(places)), minlength=total) + 1e-16)
+        length = block.length * frame_period if out_length is None else out_length
+        begin, end = left - first * frame_period, left + length - first * frame_period  # the signal's own places here
+
+        def edges(y: np.ndarray) -> np.ndarray:
+            if begin > 0:
+                y[:begin] = {"constant": 0.0, "replicate": y[begin : begin + 1], "reflect": y[begin + 1 : 2 * begin + 1][::-1] if len(y) > 2 * begin else 0.0}[mode]
+            if end < total:
+                own = y[max(begin, 0) : end]
+                past = np.arange(total - end)
+                y[end:] = 0.0 if mode == "constant" or not len(own) else own[-1] if mode == "replicate" else own[np.maximum(len(own) - 2 - past, 0)]
             return y
 
-        unit = np.ones(size.shape, complex) if seed is None else np.exp(2j * np.pi * np.random.default_rng(seed).random(size.shape))
-        old = drawn = None
-        for _ in range(n_iter):
-            t = analyse(synthesise(size * unit))
-            if old is None:
-                ahead = drawn_new = t
-            else:
-                t = (1 - gamma) * drawn + gamma * t
-                ahead, drawn_new = t + alpha * (t - old), t + beta * (t - old)
+        unit = np.ones(size_.shape, complex)
+        if seed is not None:
+            turns = [np.random.default_rng([seed, int(k)]).random(size_.shape[1]) for k in block.numbers]
+            unit = np.exp(2j * np.pi * np.array(turns))
+        nearest = lambda unit: consistent(size_ * unit, places, weights, share, fft_length, edges)
+        past = ahead = nearest(unit)
+        lead = ahead
+        for k in range(n_iter):
+            if k:  # the projection, over-relaxed around the last point, then two steps ahead: one to project from, one to relax around
+                moved = lead + gamma * (nearest(unit) - lead)
+                speed = moved - past
+                past, ahead, lead = moved, moved + alpha * speed, moved + beta * speed
             unit = ahead / (np.abs(ahead) + 1e-16)
-            old, drawn = t, drawn_new
-        y = synthesise(size * unit)[left : left + out_length]
-        return pd.DataFrame({"seq": pdf["seq"].iloc[0], "n": np.arange(len(y)), "x": y})
+        y = overlapped(size_ * unit, places, weights, share, fft_length, edges)
+        a = max(block.begin * frame_period, 0)
+        b = min(min(block.begin + size, block.length) * frame_period if out_length is None or block.begin + size < block.length else length, length)
+        return np.arange(a, b), y[left + a - first * frame_period : left + b - first * frame_period]
 
-    kind = spectra.schema["seq"].dataType.simpleString()
-    return spectra.select("seq", "t", "x").groupBy("seq").applyInPandas(rebuild, f"seq {kind}, n long, x double")
+    return blocks.work(sent, run, size)

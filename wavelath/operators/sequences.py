@@ -4,14 +4,15 @@ Every operator here is joins, aggregations and projections keyed by sequence
 and place, so that one long sequence is spread over all tasks. An output that
 depends on several inputs is made by scatter: each sample is sent to the places
 that need it, and an aggregation by (seq, place) gathers at most a window's
-width of rows. Nothing gathers a whole sequence.
+width of rows. Filters of any number of taps, medians and lines between samples
+work in blocks with a halo (blocks.py). Nothing gathers a whole sequence.
 
 What runs along a whole sequence (the last valid sample, a running sum) is done
 in blocks: inside each block by a window over (seq, block), between blocks over
 one row for each block.
 
 x may be null: a null sample takes part in nothing and its place counts as
-empty. Rows repeated for one place are each counted. A sequence without rows
+empty. seq may be null: that is a sequence like any other. Rows repeated for one place are each counted. A sequence without rows
 has no output.
 """
 
@@ -24,17 +25,14 @@ from pyspark.sql import functions as F
 
 from ..functions import bases
 from ..functions.columns import numbers, require, zeros
+from . import blocks
+from .blocks import joined, lengths
 
 #: Places of a block for what runs along a sequence.
 BLOCK = 65_536
 MODES = ("constant", "reflect", "replicate", "circular")
 
 
-def lengths(samples: DataFrame) -> DataFrame:
-    """seq and its length, one row for each sequence."""
-    return samples.groupBy("seq").agg((F.max("n") + 1).cast("long").alias("length"))
-
-
 def steps(low: Column, high: Column, step: int = 1) -> Column:
     """The whole numbers from low to high; none where high is smaller."""
     return F.when(low <= high, F.sequence(low, F.greatest(low, high), F.lit(step))).otherwise(F.array().cast("array<bigint>"))
@@ -43,7 +41,7 @@ def steps(low: Column, high: Column, step: int = 1) -> Column:
 def padded(samples: DataFrame, left: int, right: int | Column, mode: str = "constant", sizes: DataFrame | None = None) -> DataFrame:
     """(seq, n, x, length) with the places outside the sequence, from -left to length + right - 1, filled by the rule; constant leaves them out."""
     require(**{f"mode_is_one_of_{'_'.join(MODES)}": mode in MODES})
-    both = samples.join(sizes if sizes is not None else lengths(samples), "seq")
+    both = joined(samples, sizes if sizes is not None else lengths(samples), ["seq"])
     if mode == "constant":
         return both.select("seq", "n", "x", "length")
     right = F.lit(right) if isinstance(right, int) else right
@@ -96,7 +94,7 @@ def delay(samples: DataFrame, start: int, keeplen: bool = False) -> DataFrame:
     if start == 0:
         return samples
     sizes = lengths(samples)
-    moved = samples.join(sizes, "seq").select("seq", (F.col("n") + start).alias("n"), "x", "length").filter("n >= 0")
+    moved = joined(samples, sizes, ["seq"]).select("seq", (F.col("n") + start).alias("n"), "x", "length").filter("n >= 0")
     moved = (moved.filter("n < length") if keeplen else moved).select("seq", "n", "x")
     count = F.least(F.lit(abs(start)).cast("long"), F.col("length")) if keeplen else F.lit(abs(start)).cast("long")
     if start > 0:
@@ -123,13 +121,15 @@ def interpolate(samples: DataFrame, period: int, start: int = 0) -> DataFrame:
 
 
 def linear_intpl(samples: DataFrame, upsampling_factor: int) -> DataFrame:
-    """Each sample is sent to the places around it with the height of a triangle; the last value is held."""
+    """Lines from each sample to the next; the last value is held."""
     p = upsampling_factor
     require(upsampling_factor_is_positive=p > 0)
-    filled = padded(samples, 0, 1, "replicate")
-    reach = F.explode(F.sequence(F.lit(1 - p).cast("long"), F.lit(p - 1).cast("long")))
-    sent = filled.select("seq", "n", "x", "length", reach.alias("i")).select("seq", (F.col("n") * p + F.col("i")).alias("m"), (F.col("x") * (1 - F.abs("i") / F.lit(float(p)))).alias("x"), "length")
-    return sent.filter(f"m >= 0 AND m < length * {p}").groupBy("seq", F.col("m").alias("n")).agg(F.sum("x").alias("x"))
+
+    def run(block: blocks.Block) -> np.ndarray:
+        x = block.values(0, 1, hold_end=1)
+        return (x[:-1, None] + np.diff(x)[:, None] * (np.arange(p) / p)).reshape(-1)
+
+    return blocks.each(samples, 0, 1, run, scale=p)
 
 
 def carried(rows: DataFrame, value: Column, name: str, forward: bool = True, block: int = BLOCK) -> DataFrame:
@@ -139,10 +139,10 @@ def carried(rows: DataFrame, value: Column, name: str, forward: bool = True, blo
     order = F.col("n") if forward else -F.col("n")
     step = F.col("_block") if forward else -F.col("_block")
     ends = held.filter(F.col("_value").isNotNull()).groupBy("seq", "_block").agg((F.max_by if forward else F.min_by)("_value", "n").alias("_end"))
-    blocks = held.select("seq", "_block").distinct().join(ends, ["seq", "_block"], "left")
+    blocks = joined(held.select("seq", "_block").distinct(), ends, ["seq", "_block"], "left")
     before = blocks.select("seq", "_block", F.last("_end", ignorenulls=True).over(W.partitionBy("seq").orderBy(step).rowsBetween(W.unboundedPreceding, -1)).alias("_carried"))
     inside = F.last("_value", ignorenulls=True).over(W.partitionBy("seq", "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return held.join(before, ["seq", "_block"]).withColumn(name, F.coalesce(inside, "_carried")).drop("_block", "_value", "_carried")
+    return joined(held, before, ["seq", "_block"]).withColumn(name, F.coalesce(inside, "_carried")).drop("_block", "_value", "_carried")
 
 
 def running_sum(rows: DataFrame, value: Column, name: str, block: int = BLOCK) -> DataFrame:
@@ -151,7 +151,7 @@ def running_sum(rows: DataFrame, value: Column, name: str, block: int = BLOCK) -
     sums = held.groupBy("seq", "_block").agg(F.sum("_value").alias("_sum"))
     before = sums.select("seq", "_block", F.coalesce(F.sum("_sum").over(W.partitionBy("seq").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
     inside = F.sum("_value").over(W.partitionBy("seq", "_block").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
-    return held.join(before, ["seq", "_block"]).withColumn(name, F.col("_before") + F.coalesce(inside, F.lit(0.0))).drop("_block", "_value", "_before")
+    return joined(held, before, ["seq", "_block"]).withColumn(name, F.col("_before") + F.coalesce(inside, F.lit(0.0))).drop("_block", "_value", "_before")
 
 
 def magic_intpl(samples: DataFrame, magic_number: float = 0, block: int = BLOCK) -> DataFrame:
@@ -164,24 +164,41 @@ def magic_intpl(samples: DataFrame, magic_number: float = 0, block: int = BLOCK)
     return both.select("seq", "n", filled.alias("x"))
 
 
-def sent_to_windows(samples: DataFrame, left: int, right: int) -> DataFrame:
-    """(seq, n, j, x): every sample for each place n whose window, from n - left to n + right, holds it; j is its place in the window."""
-    reach = F.explode(F.sequence(F.lit(-right).cast("long"), F.lit(left).cast("long")))
-    sent = samples.join(lengths(samples), "seq").select("seq", "n", "x", "length", reach.alias("i"))
-    return sent.select("seq", (F.col("n") + F.col("i")).alias("m"), (-F.col("i")).alias("j"), "x", "length").filter("m >= 0 AND m < length").select("seq", F.col("m").alias("n"), "j", "x")
-
-
 def medfilt(samples: DataFrame, filter_length: int, magic_number: float | None = None) -> DataFrame:
-    """Median of a window cut at the ends; where the magic number is in the strict majority the result is magic."""
+    """Median of a window cut at the ends; where the magic number is in the strict majority the result is magic. Windows without a sample give null."""
     require(filter_length_is_positive=filter_length > 0)
-    left = filter_length // 2
-    right = (filter_length - 1) // 2
-    sent = sent_to_windows(samples, left, right)
-    if magic_number is None:
-        return sent.groupBy("seq", "n").agg(F.percentile("x", F.lit(0.5)).alias("x"))
-    plain = F.nullif(F.col("x"), F.lit(float(magic_number)))
-    found = sent.groupBy("seq", "n").agg(F.percentile(plain, F.lit(0.5)).alias("median"), F.count(plain).alias("valid"), F.count("x").alias("all"))
-    return found.select("seq", "n", F.when(F.col("all") - F.col("valid") > F.col("valid"), float(magic_number)).otherwise(F.col("median")).alias("x"))
+    left, right = filter_length // 2, (filter_length - 1) // 2
+
+    def median(window: np.ndarray) -> np.ndarray:
+        """Of each row, NaN left out."""
+        kept = np.sort(window, axis=1)
+        count = (~np.isnan(kept)).sum(1)
+        at = np.maximum(count - 1, 0)
+        rows = np.arange(len(kept))
+        return np.where(count > 0, 0.5 * (kept[rows, at // 2] + kept[rows, (at + 1) // 2]), np.nan)
+
+    def run(block: blocks.Block) -> np.ndarray:
+        total = left + block.count + right
+        valid = ~np.isnan(block.x)
+        at, x = (block.n - block.begin + left)[valid], block.x[valid]
+        inside = (at >= 0) & (at < total)
+        at, x = at[inside], x[inside]
+        most = int(np.bincount(at).max()) if len(at) else 1  # rows repeated for one place
+        held = np.full((total, most), np.nan)
+        held[at, np.arange(len(at)) - np.searchsorted(at, at)] = x
+        out = []
+        for k in range(0, block.count, 1024):
+            part = held[k : min(k + 1024, block.count) + left + right]
+            window = np.lib.stride_tricks.sliding_window_view(part, left + right + 1, axis=0).reshape(len(part) - left - right, -1)
+            if magic_number is None:
+                out.append(median(window))
+            else:
+                magic = window == magic_number
+                count = (~np.isnan(window)).sum(1)
+                out.append(np.where(2 * magic.sum(1) > count, magic_number, median(np.where(magic, np.nan, window))))
+        return np.concatenate(out)
+
+    return blocks.each(samples, left, right, run)
 
 
 def delta(samples: DataFrame, seed=((-0.5, 0, 0.5), (1, -2, 1)), static_out: bool = True) -> DataFrame:
@@ -196,14 +213,16 @@ def delta(samples: DataFrame, seed=((-0.5, 0, 0.5), (1, -2, 1)), static_out: boo
 
 
 def fir(samples: DataFrame, taps, left: int | None = None, hold_end: int = 0) -> DataFrame:
-    """Each sample is sent ahead with every tap: y[n] = sum of taps[k] * x[n - k + ahead], ahead = len(taps) - 1 - left; hold_end repeats the last sample."""
+    """y[n] = sum of taps[k] * x[n - k + ahead], ahead = len(taps) - 1 - left, in blocks; several rows of taps give vectors. hold_end repeats the last sample."""
     taps = np.atleast_2d(np.asarray(taps, float))
-    ahead = 0 if left is None else taps.shape[1] - 1 - left
-    filled = padded(samples, 0, hold_end, "replicate") if hold_end else samples.join(lengths(samples), "seq")
-    reach = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(taps.shape[1] - 1).cast("long")))
-    sent = filled.select("seq", "n", "x", "length", reach.alias("k")).select("seq", (F.col("n") + F.col("k") - ahead).alias("m"), "k", "x", "length").filter("m >= 0 AND m < length")
-    sums = [F.sum(F.col("x") * F.get(numbers(t), F.col("k").cast("int"))) for t in taps]
-    return sent.groupBy("seq", F.col("m").alias("n")).agg((F.array(*sums) if len(sums) > 1 else sums[0]).alias("x"))
+    last = taps.shape[1] - 1
+    ahead = 0 if left is None else last - left
+
+    def run(block: blocks.Block) -> np.ndarray:
+        y = blocks.convolved(block.values(last - ahead, ahead, hold_end), taps)
+        return y if len(taps) > 1 else y[:, 0]
+
+    return blocks.each(samples, last - ahead, ahead, run, vectors=len(taps) > 1)
 
 
 def zcross(samples: DataFrame, frame_length: int, norm: bool = False, softness: float = 1e-3) -> DataFrame:
@@ -234,7 +253,7 @@ def flux(frames: DataFrame, lag: int = 1, norm: float = 2, reduction: str = "mea
     """Distances of each frame x[t] to y[t - lag] (y is x itself by default): rows for none, else one row."""
     y = (frames if other is None else other).select("seq", (F.col("t") + lag).alias("t"), F.col("x").alias("y"))
     gaps = F.zip_with("x", "y", lambda a, b: F.pow(F.abs(a - b), F.lit(float(norm))))
-    each = frames.join(y, ["seq", "t"]).select("seq", "t", F.pow(F.aggregate(gaps, F.lit(0.0), lambda a, b: a + b), F.lit(1 / norm)).alias("flux"), F.size("x").alias("dims"))
+    each = joined(frames, y, ["seq", "t"]).select("seq", "t", F.pow(F.aggregate(gaps, F.lit(0.0), lambda a, b: a + b), F.lit(1 / norm)).alias("flux"), F.size("x").alias("dims"))
     if reduction == "none":
         return each.select("seq", (F.col("t") - max(lag, 0)).alias("t"), "flux")
     result = {"sum": F.sum("flux"), "batchmean": F.avg("flux"), "mean": F.avg("flux") / F.pow(F.max("dims"), F.lit(1 / norm))}

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import bases
 from ..functions.columns import batched, col, linear, require
 from ..functions.scales import hz_to_scale, scale_to_hz
+from . import blocks
 from . import sequences as seq
-from .prediction import convert_cepstrum, correlate, pick, predictors
+from .prediction import convert_cepstrum, pick, predictors
 from .transforms import fit_length
 
 OUT = ("db", "log-magnitude", "magnitude", "power")
@@ -89,7 +90,7 @@ def imdct(bins: DataFrame, frame_length: int, window: str | int = "sine", sine:
     if out_length is not None:
         return added.filter(F.col("n") < out_length)
     ends = bins.groupBy("seq").agg((F.max("t") * half).alias("end"))
-    return added.join(ends, "seq").filter("n < end").select("seq", "n", "x")
+    return blocks.joined(added, ends, ["seq"]).filter("n < end").select("seq", "n", "x")
 
 
 def mdst(samples: DataFrame, frame_length: int, window: str | int = "sine") -> DataFrame:
@@ -118,24 +119,30 @@ def triangles(fft_length: int, n_channel: int, sample_rate: float, f_min: float
     return out
 
 
+#: The equivalent rectangular bandwidth of the ear as a polynomial of the frequency in Hz, highest power first.
+ERB_POLYNOMIAL = (6.23e-6, 93.39e-3, 28.52)
+
+
 def erb_filters(fft_length: int, n_channel: int, sample_rate: float, f_min: float, f_max: float | None, scale: str, factor: float) -> np.ndarray:
-    """Weights (bins, channels): triangles of equivalent rectangular bandwidth, symmetric on the mel axis of 700 Hz."""
-    f_max = sample_rate / 2 if f_max is None else f_max
-    a, b, c = factor * 6.23e-6, factor * 93.39e-3, factor * 28.52
+    """Weights (bins, channels): triangles as wide as factor bandwidths to both sides, symmetric on the mel axis of 700 Hz.
+
+    On that axis (700 + low)(700 + high) = (700 + centre)^2, and high - low is twice the bandwidth at the centre. The first
+    triangle begins at f_min and the last one ends at f_max; centres between them are evenly spaced on the scale.
+    """
+    width = np.poly1d(factor * np.array(ERB_POLYNOMIAL))
+    square = np.poly1d([1.0, 700.0]) ** 2
 
-    def outermost(f: float, sign: int) -> float:
-        """The centre whose triangle begins (or ends) at f: the larger root of a quadratic."""
-        h = 0.5 / (700 + f)
-        p = (b - sign * 700 / (700 + f)) / (a - sign * h)
-        q = (c + sign * 0.5 * f * (1 + 700 / (700 + f))) / (a - sign * h)
-        return 0.5 * (-p + np.sqrt(p * p - 4 * q))
+    def centre_of(edge: float, side: int) -> float:
+        """The centre whose triangle has its lower (side 1) or upper (side -1) end at edge."""
+        return float(np.max((square - (700 + edge) * (700 + edge + 2 * side * width)).roots.real))
 
-    ends = [float(hz_to_scale(outermost(f, s), scale)) for f, s in ((f_min, 1), (f_max, -1))]
+    ends = hz_to_scale([centre_of(f_min, 1), centre_of(sample_rate / 2 if f_max is None else f_max, -1)], scale)
     centre = scale_to_hz(np.linspace(*ends, n_channel), scale)
-    erb = a * centre**2 + b * centre + c
-    low = np.sqrt(erb**2 + (700 + centre) ** 2) - (700 + erb)
-    f = np.linspace(0, sample_rate / 2, fft_length // 2 + 1)[:, None]
-    return np.maximum(np.minimum((f - low) / (centre - low), (low + 2 * erb - f) / (low + 2 * erb - centre)), 0)
+    half = width(centre)
+    low = np.hypot(half, 700 + centre) - 700 - half
+    corners = np.stack([low, centre, low + 2 * half])
+    f = np.linspace(0, sample_rate / 2, fft_length // 2 + 1)
+    return np.stack([np.interp(f, c, [0.0, 1.0, 0.0], left=0, right=0) for c in corners.T], axis=1)
 
 
 def bank(fft_length, n_channel, sample_rate, f_min=0, f_max=None, scale="htk", erb_factor=None) -> np.ndarray:
@@ -309,22 +316,19 @@ def phase(b: Column | str | None = None, a: Column | str | None = None, fft_leng
 
 
 def yingram(x: Column | str, sample_rate: float = 22050, lag_min: int = 22, lag_max: int | None = None, n_bin: int = 20) -> Column:
-    """Cumulative-mean normalised differences at lags spaced by n_bin to a semitone."""
+    """Cumulative-mean normalised differences at lags spaced by n_bin to a semitone (A4 is 440 Hz), from the longest on."""
+    semitone = lambda lag: 69 + 12 * np.log2(sample_rate / 440 / lag)
 
     def run(v: np.ndarray) -> np.ndarray:
-        size = v.shape[1]
-        top = size - 1 if lag_max is None else lag_max
-        note = lambda lag: 12 * np.log2(sample_rate / (440 * lag)) + 69
-        lags = sample_rate / (440 * 2 ** ((np.arange(int(np.ceil(note(top))), int(note(lag_min)) + 1, 1 / n_bin) - 69) / 12))
-        energy = np.cumsum(np.column_stack([np.zeros(len(v)), v * v]), axis=1)
-        tau = np.arange(top)
-        difference = energy[:, size - tau] + energy[:, [size]] - energy[:, tau] - 2 * correlate(v, top - 1)
-        difference = difference[:, 1:]
-        mean = np.column_stack([np.ones(len(v)), tau[1:] * difference / (np.cumsum(difference, axis=1) + 1e-7)])
-        below = np.floor(lags).astype(int)
-        above = np.ceil(lags).astype(int)
-        share = np.divide(lags - below, above - below, out=np.zeros(len(lags)), where=above > below)
-        return mean[:, below] + share * (mean[:, above] - mean[:, below])
+        count = v.shape[1] - 1 if lag_max is None else lag_max
+        notes = np.arange(int(np.ceil(semitone(count))), int(semitone(lag_min)) + 1, 1 / n_bin)
+        lags = sample_rate / 440 * 2 ** ((69 - notes) / 12)
+        difference = np.stack([np.square(v[:, : -k or None] - v[:, k:]).sum(1) for k in range(1, count)], axis=1)
+        mean = np.cumsum(difference, axis=1) / np.arange(1, count)
+        normal = np.column_stack([np.ones(len(v)), difference / (mean + 1e-7 / np.arange(1, count))])
+        # a value between whole lags is on the line between them: hats around each lag
+        hats = np.maximum(1 - np.abs(np.arange(count)[:, None] - lags), 0)
+        return normal @ hats
 
     return batched(run, x)
 
@@ -361,36 +365,54 @@ def pqmf(samples: DataFrame, n_band: int, filter_order: int, alpha: float = 100)
 
 
 def ipqmf(bands: DataFrame, n_band: int, filter_order: int, alpha: float = 100) -> DataFrame:
-    """(seq, n, x) of bands (seq, n, x vector)."""
+    """(seq, n, x) of bands (seq, n, x vector): all bands in one shuffle."""
     taps = pqmf_filters(n_band, filter_order, alpha, synthesis=True)
     left = filter_order // 2
-    out = [seq.fir(bands.select("seq", "n", F.get("x", F.lit(k)).alias("x")), taps[k], left, hold_end=filter_order - left) for k in range(n_band)]
-    both = out[0]
-    for more in out[1:]:
-        both = both.unionByName(more)
-    return both.groupBy("seq", "n").agg(F.sum("x").alias("x"))
+    ahead = filter_order - left
+    size = max(blocks.SIZE // n_band, filter_order)
+    n, last = F.col("n"), F.floor((F.col("length") - 1) / F.lit(size))
+    low, high = F.greatest(F.floor((n - ahead) / F.lit(size)), F.lit(0)), F.least(F.floor((n + left) / F.lit(size)), last)
+    sent = blocks.joined(bands, seq.lengths(bands), ["seq"]).select("seq", F.explode(F.sequence(low, high)).alias("block"), n.cast("long").alias("n"), "length", F.col("x").cast("array<double>").alias("v"))
+
+    def run(block: blocks.Block):
+        total = left + block.count + ahead
+        x = np.zeros((total, n_band))
+        at = block.numbers - (block.begin - left)
+        own = (at >= 0) & (at < total)
+        x[at[own]] = block.vectors[own]
+        end = block.length - (block.begin - left)
+        if 0 < end < total:
+            x[end:] = x[end - 1]
+        y = sum(blocks.convolved(x[:, k], taps[k : k + 1])[:, 0] for k in range(n_band))
+        return np.arange(block.begin, block.begin + block.count), y
+
+    return blocks.work(sent, run, size)
 
 
 def octave_filters(sample_rate: float, f_min: float = 40, f_ref: float = 1000, f_max: float = 8000, filter_order: int = 1000, n_fract: int = 1, overlap: float = 1) -> np.ndarray:
-    """Linear-phase filters of fractional octave bands that hand over to each other by squared cosines."""
-    ratio = 10**0.3
-    shift = 0.5 if n_fract % 2 == 0 else 0.0
-    place = lambda f: int(np.round(n_fract * np.log(f / f_ref) / np.log(ratio) - shift))
-    centre = f_ref * ratio ** ((np.arange(place(f_min), place(f_max) + 1) + shift) / n_fract)
+    """Linear-phase filters of fractional octave bands, in steps of 10^0.3 / n_fract around f_ref.
+
+    The gain of a band over all bins is its rise at its lower edge times what the next band leaves there; a rise is a squared
+    sine as wide as overlap says. So neighbours add up to one.
+    """
+    octave = 0.3 / n_fract
+    offset = 0.5 * (n_fract % 2 == 0)
+    first, last = (int(np.round(np.log10(f / f_ref) / octave - offset)) for f in (f_min, f_max))
+    centre = f_ref * 10 ** (octave * (np.arange(first, last + 1) + offset))
     centre = centre[centre < sample_rate / 2]
-    bin_of = lambda f: np.round((filter_order + 1) / sample_rate * f).astype(int)
-    low, high = bin_of(centre * ratio ** (-0.5 / n_fract)), bin_of(centre * ratio ** (0.5 / n_fract))
-    reach = np.round(overlap / 2 * (high - bin_of(centre))).astype(int)
-    gain = np.ones((len(centre), (filter_order + 1) // 2 + 1))
-    for j in range(1, len(centre)):
-        a, b = low[j] - reach[j], low[j] + reach[j]
-        gain[j - 1, b:] = 0
-        gain[j, :a] = 0
-        turn = np.pi / 2 * np.arange(b - a) / max(b - a, 1)
-        gain[j - 1, a:b] = np.cos(turn) ** 2
-        gain[j, a:b] = np.sin(turn) ** 2
-    h = np.fft.irfft(gain * np.exp(-1j * np.pi * filter_order * np.fft.rfftfreq(filter_order + 1)))
-    return h * np.hanning(h.shape[1])
+    size = filter_order + 1
+    bins = np.arange(size // 2 + 1)
+    low, middle, high = np.round(size / sample_rate * centre * 10 ** (octave * np.array([[-0.5], [0.0], [0.5]])))
+    reach = np.round((high - middle) * overlap / 2)[:, None]
+    rise = np.where(bins >= low[:, None] + reach, 1.0, np.clip((bins - low[:, None] + reach) / np.maximum(2 * reach, 1), 0, 1))
+    rise = np.sin(np.pi / 2 * rise) ** 2
+    rise[0] = 1  # the lowest band reaches down to 0 Hz, the highest up to the end
+    gain = rise * np.vstack([1 - rise[1:], np.ones(len(bins))])
+    # the response is a sum of cosines, delayed by half the order on the axis of the bins; an even number of taps
+    taps = 2 * (len(bins) - 1)
+    once = np.where((bins == 0) | (2 * bins == taps), 1.0, 2.0) / taps
+    waves = np.cos(2 * np.pi * np.outer(bins, np.arange(taps) / taps - 0.5 * filter_order / size))
+    return (gain * once) @ waves * np.hanning(taps)
 
 
 def oband(samples: DataFrame, sample_rate: float, f_min: float = 40, f_ref: float = 1000, f_max: float = 8000, filter_order: int = 1000, n_fract: int = 1, overlap: float = 1) -> DataFrame:

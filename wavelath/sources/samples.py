@@ -12,22 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.blocks import joined
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def numbered(rows: DataFrame, key: str, time: str, tie: str, value: str) -> DataFrame:
-    """(seq, n, x): rows of a key in order of time, then tie, counted from 0.
+    """(seq, n, x): rows of a key in order of time, then tie, counted from 0. Every row is counted: a null key is a sequence
+    of its own, and rows without a time, or with a tie that is null, come last.
 
     Counting is by day: ranks inside a day, and running totals of days before it, so that a key with very many rows is
     counted by many tasks.
     """
     held = rows.select(F.col(key).alias("seq"), F.col(time).alias("_time"), F.col(tie).alias("_tie"), F.col(value).cast("double").alias("x"), F.to_date(time).alias("_day"))
     days = held.groupBy("seq", "_day").agg(F.count("*").alias("_rows"))
-    before = days.select("seq", "_day", F.coalesce(F.sum("_rows").over(W.partitionBy("seq").orderBy("_day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(W.partitionBy("seq", "_day").orderBy("_time", "_tie"))
-    return held.withColumn("_rank", rank).join(before, ["seq", "_day"]).select("seq", (F.col("_before") + F.col("_rank") - 1).cast("long").alias("n"), "x")
+    before = days.select("seq", "_day", F.coalesce(F.sum("_rows").over(W.partitionBy("seq").orderBy(F.col("_day").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(W.partitionBy("seq", "_day").orderBy(F.col("_time").asc_nulls_last(), F.col("_tie").asc_nulls_last()))
+    return joined(held.withColumn("_rank", rank), before, ["seq", "_day"]).select("seq", (F.col("_before") + F.col("_rank") - 1).cast("long").alias("n"), "x")
 
 
 def vectors(rows: DataFrame, key: str, value: str) -> DataFrame:
