@@ -268,24 +268,56 @@ class Mixture:
         return batched(run, x)
 
 
+def covariance_mask(dims: int, var_type: str, block_size: list[int] | None) -> np.ndarray:
+    """Which covariances count: all inside a block; for diag those of equal places of blocks of equal size (one block: the diagonal)."""
+    sizes = list(block_size or [dims])
+    require(blocks_add_up_to_the_dimensions=sum(sizes) == dims and all(b > 0 for b in sizes))
+    block = np.repeat(np.arange(len(sizes)), sizes)
+    if var_type == "full":
+        return (block[:, None] == block).astype(float)
+    size = np.repeat(sizes, sizes)
+    place = np.concatenate([np.arange(b) for b in sizes])
+    return ((size[:, None] == size) & (place[:, None] == place)).astype(float)
+
+
+def floored(cov: np.ndarray, var_floor: float) -> np.ndarray:
+    diagonal = np.arange(cov.shape[-1])
+    cov = cov.copy()
+    cov[:, diagonal, diagonal] = np.maximum(cov[:, diagonal, diagonal], var_floor)
+    return cov
+
+
 def gmm(
     vectors: DataFrame, n_mixture: int, n_iter: int = 100, eps: float = 1e-5, weight_floor: float = 1e-5, var_floor: float = 1e-6, var_type: str = "diag",
     block_size: list[int] | None = None, ubm: Mixture | None = None, alpha: float = 0, start: Mixture | None = None, seed: int | None = None, column: str = "x",
 ) -> Mixture:
     """Expectation and maximisation from a codebook (or start, or ubm); alpha draws the means to those of ubm."""
     require(var_type_is_diag_or_full=var_type in ("diag", "full"), alpha_needs_a_ubm=not alpha or ubm is not None)
+    book = None
     if start is None and ubm is None:
         book = lbg(vectors, n_mixture, seed=seed, column=column)
-        count, total, square = moments(vectors, column)
-        spread = np.diag(square / count - np.outer(total / count, total / count))
-        start = Mixture(np.maximum(book.counts / count, weight_floor), book.words, np.stack([np.diag(np.maximum(spread, var_floor))] * n_mixture))
+    dims = (book.words if book else (start or ubm).means).shape[1]
+    mask = covariance_mask(dims, var_type, block_size)
+    plain = (mask == np.eye(dims)).all()
+
+    def products(share: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Of each component: the weighted sum of outer products, of their diagonals alone where nothing else counts."""
+        if plain:
+            return share.T @ (v * v)
+        return (share.T @ (v[:, :, None] * v[:, None, :]).reshape(len(v), -1)) if len(v) * dims * dims < 1 << 24 else np.stack([(v * share[:, [k]]).T @ v for k in range(share.shape[1])]).reshape(share.shape[1], -1)
+
+    def spread(sums: np.ndarray) -> np.ndarray:
+        return np.stack([np.diag(s) for s in sums]) if plain else sums.reshape(-1, dims, dims)
+
+    if book:  # each cluster's own weight and covariance
+
+        def clusters(v: np.ndarray) -> np.ndarray:
+            return products(np.eye(n_mixture)[square_distances(v, book.words).argmin(1)], v).reshape(-1)
+
+        outer = spread(totals(vectors, clusters, column).reshape(n_mixture, -1))
+        own = np.maximum(book.counts, 1)[:, None, None]
+        start = Mixture(np.maximum(book.counts / book.counts.sum(), weight_floor), book.words, floored((outer / own - book.words[:, :, None] * book.words[:, None, :]) * mask, var_floor))
     model = start or ubm
-    dims = model.means.shape[1]
-    mask = np.eye(dims) if var_type == "diag" else np.ones((dims, dims))
-    if block_size:
-        label = np.repeat(np.arange(len(block_size)), block_size)
-        block = (label[:, None] == label).astype(float)
-        mask = block * mask if var_type == "full" else sum(np.eye(dims, k=k) for k in range(-dims, dims + 1) if k % block_size[0] == 0)
     last = -np.inf
     for k in range(n_iter):
 
@@ -294,14 +326,13 @@ def gmm(
             top = p.max(1, keepdims=True)
             likelihood = top[:, 0] + np.log(np.exp(p - top).sum(1))
             share = np.exp(p - likelihood[:, None])
-            outer = np.einsum("nk,nd,ne->kde", share, v, v)
-            return np.concatenate([[likelihood.sum(), len(v)], share.sum(0), (share.T @ v).reshape(-1), outer.reshape(-1)])
+            return np.concatenate([[likelihood.sum(), len(v)], share.sum(0), (share.T @ v).reshape(-1), products(share, v).reshape(-1)])
 
         got = totals(vectors, sums, column)
         likelihood, count = got[:2]
         size = got[2 : 2 + n_mixture]
         first = got[2 + n_mixture : 2 + n_mixture * (1 + dims)].reshape(n_mixture, dims)
-        outer = got[2 + n_mixture * (1 + dims) :].reshape(n_mixture, dims, dims)
+        outer = spread(got[2 + n_mixture * (1 + dims) :].reshape(n_mixture, -1))
         weights = np.maximum(size / count, weight_floor)
         weights /= weights.sum()
         if alpha:
@@ -310,10 +341,7 @@ def gmm(
             means = first / np.maximum(size, 1e-300)[:, None]
         cross = np.einsum("kd,ke->kde", first, means)
         cov = (outer - cross - cross.transpose(0, 2, 1)) / np.maximum(size, 1e-300)[:, None, None] + np.einsum("kd,ke->kde", means, means)
-        cov = cov * mask
-        low = np.maximum(np.einsum("kdd->kd", cov), var_floor)
-        cov[:, np.arange(dims), np.arange(dims)] = low
-        model = Mixture(weights, means, cov, likelihood / count)
+        model = Mixture(weights, means, floored(cov * mask, var_floor), likelihood / count)
         if k and likelihood - last < eps:
             break
         last = likelihood
@@ -332,9 +360,10 @@ class Factors:
     divergence: float
 
 
-def nmf(vectors: DataFrame, n_comp: int, beta: float = 0, n_iter: int = 100, eps: float = 1e-5, inner: int = 1, seed: int = 0, key: str = "id", column: str = "x") -> Factors:
+def nmf(vectors: DataFrame, n_comp: int, beta: float = 0, n_iter: int = 100, eps: float = 1e-5, inner: int = 1, act_norm: bool = False, seed: int = 0, key: str = "id", column: str = "x") -> Factors:
     """Multiplicative updates for the beta divergence. A row's activations depend on that row and the components alone:
     every iteration begins them anew from the same start and repeats the row update, so that nothing but sums is kept between iterations.
+    act_norm divides a row's activations by their sum after each update.
     """
     rng = np.random.default_rng(seed)
     count, total, _ = moments(vectors, column)
@@ -347,6 +376,8 @@ def nmf(vectors: DataFrame, n_comp: int, beta: float = 0, n_iter: int = 100, eps
         for _ in range(rounds):
             y = u @ components + 1e-16
             u = u * (((v * y ** (beta - 2)) @ components.T) / (y ** (beta - 1) @ components.T)) ** power
+            if act_norm:
+                u = u / u.sum(axis=1, keepdims=True)
         return u
 
     def gap(v: np.ndarray, y: np.ndarray) -> float:

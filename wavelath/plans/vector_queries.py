@@ -212,10 +212,12 @@ register("chroma", lambda x: spectra.chroma(x, 64, 12, 8000.0), (
 ), 33, spectrum)
 LOW = "12 * log2(8000 / (440.0 * {0})) + 69"
 register("yingram", lambda x: spectra.yingram(x, 8000.0, 10, n_bin=4), (
-    f"WITH {vectors_sql()}, d AS (SELECT a.id, t, sum((a.x - b.x) * (a.x - b.x)) AS d FROM v a, (SELECT unnest(range(1, 63)) AS t) g, v b WHERE b.id = a.id AND b.n = a.n + t GROUP BY a.id, t), "
-    "c AS (SELECT id, t, t * d / (sum(d) OVER (PARTITION BY id ORDER BY t) + 1e-7) AS c FROM d UNION ALL SELECT DISTINCT id, 0, 1.0 FROM d), "
-    f"l AS (SELECT k, 8000 / (440 * pow(2, (lowest + k / 4.0 - 69) / 12)) AS lag FROM (SELECT ceil({LOW.format(63)}) AS lowest, trunc({LOW.format(10)}) AS highest) z, {grid('k', 200)} g WHERE lowest + k / 4.0 < highest + 1) "
-    f"SELECT c.id, l.k, {y('c.c + coalesce((lag - floor(lag)) / nullif(ceil(lag) - floor(lag), 0), 0) * (e.c - c.c)')} FROM l JOIN c ON c.t = floor(lag) JOIN c e ON e.id = c.id AND e.t = ceil(lag)"
+    f"WITH {vectors_sql()}, u AS (SELECT id, list(x ORDER BY n) AS l FROM v GROUP BY id), "
+    "d AS (SELECT id, t, list_dot_product(l[1:64 - t], l[1:64 - t]) + list_dot_product(l[t + 1:64], l[t + 1:64]) - 2 * list_dot_product(l[1:64 - t], l[t + 1:64]) AS d FROM u, (SELECT unnest(range(1, 63)) AS t) g), "
+    "c AS (SELECT id, list(t * d / (s + 1e-7) ORDER BY t) AS c FROM (SELECT *, sum(d) OVER (PARTITION BY id ORDER BY t) AS s FROM d) z GROUP BY id), "
+    f"f AS (SELECT k, 8000 / (440 * pow(2, (lowest + k / 4.0 - 69) / 12)) AS lag FROM (SELECT ceil({LOW.format(63)}) AS lowest, trunc({LOW.format(10)}) AS highest) z, {grid('k', 200)} g WHERE lowest + k / 4.0 < highest + 1), "
+    "p AS (SELECT k, lag, floor(lag)::BIGINT AS a, least(ceil(lag), 62)::BIGINT AS b FROM f) "
+    f"SELECT id, k, {y('c[a] + (lag - a) * (c[b] - c[a])')} FROM c, p"
 ))
 
 # --- codebooks: the first eight vectors
@@ -300,40 +302,73 @@ ORACLES["cdist_mean"] = f"WITH {PAIRS}, d AS (SELECT id, sqrt(sum((x - y) * (x -
 
 def pca(spark, sf_dir):
     """The covariance put together from all components: rows i, k, y."""
-    vectors = fx.first(fx.v(spark, sf_dir), 8)
-    found = learners.pca(vectors, 8)
+    found = learners.pca(fx.v(spark, sf_dir), 64)
     whole = (found.directions.T * found.values) @ found.directions
-    rows = spark.range(8).select(F.col("id").alias("i"), numbers(whole.reshape(-1)).alias("all")).select("i", F.slice("all", (F.col("i") * 8 + 1).cast("int"), F.lit(8)).alias("out"))
+    rows = spark.range(64).select(F.col("id").alias("i"), numbers(whole.reshape(-1)).alias("all")).select("i", F.slice("all", (F.col("i") * 64 + 1).cast("int"), F.lit(64)).alias("out"))
     return fx.long(rows, ["i"], "out")
 
 
 def pca_transform(spark, sf_dir):
     """The squared length of each centred vector, from all its components."""
-    vectors = fx.first(fx.v(spark, sf_dir), 8)
-    found = learners.pca(vectors, 8)
+    vectors = fx.v(spark, sf_dir)
+    found = learners.pca(vectors, 64)
     return fx.plain(vectors.select("id", F.aggregate(found.transform("x"), F.lit(0.0), lambda s, a: s + a * a).alias("y")), ["id"], "y")
 
 
+def pca_whiten(spark, sf_dir):
+    """The covariance of whitened vectors: rows i, k, y."""
+    vectors = fx.v(spark, sf_dir)
+    count, total, square = learners.moments(vectors.select(learners.pca(vectors, 64).whiten("x").alias("x")))
+    cov = square / count - np.outer(total / count, total / count)
+    rows = spark.range(64).select(F.col("id").alias("i"), numbers(cov.reshape(-1)).alias("all")).select("i", F.slice("all", (F.col("i") * 64 + 1).cast("int"), F.lit(64)).alias("out"))
+    return fx.long(rows, ["i"], "out")
+
+
+def parameters(spark, found: np.ndarray):
+    """A small matrix as rows i, k, y."""
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(found)], "i long, out array<double>")
+    return fx.long(rows, ["i"], "out")
+
+
+def lbg_step(spark, sf_dir):
+    """One round of a codebook from the vectors of the eight smallest ids: the mean of the vectors nearest to each word."""
+    counts, sums, _ = learners.assigned(fx.v(spark, sf_dir), book(spark, sf_dir), "x")
+    return parameters(spark, sums / counts[:, None])
+
+
+def gmm_step(spark, sf_dir):
+    """One round of a mixture of four, from the vectors of the smallest ids as means and unit variances: new means."""
+    start = learners.Mixture(np.full(4, 0.25), book(spark, sf_dir, 4), np.stack([np.eye(64)] * 4))
+    return parameters(spark, learners.gmm(fx.v(spark, sf_dir), 4, n_iter=1, start=start).means)
+
+
 def lbg(spark, sf_dir):
     vectors = fx.v(spark, sf_dir)
     return vectors.select("id", learners.lbg(vectors, 8, n_iter=20, seed=1).transform("x").alias("q"))
 
 
 def gmm(spark, sf_dir):
-    vectors = fx.first(fx.v(spark, sf_dir), 8)
+    vectors = fx.v(spark, sf_dir)
     return vectors.select("id", learners.gmm(vectors, 4, n_iter=10, seed=1).transform("x").alias("q"))
 
 
 def ica(spark, sf_dir):
-    vectors = fx.first(fx.v(spark, sf_dir), 8)
+    vectors = fx.v(spark, sf_dir)
     return fx.long(vectors.select("id", learners.ica(vectors, 4, n_iter=30, seed=1).transform("x").alias("out")), ["id"], "out")
 
 
 def nmf(spark, sf_dir):
-    vectors = fx.first(fx.v(spark, sf_dir), 8).withColumn("x", F.transform("x", lambda a: F.abs(a) + 0.01))
+    vectors = fx.v(spark, sf_dir).withColumn("x", F.transform("x", lambda a: F.abs(a) + 0.01))
     return fx.long(learners.nmf(vectors, 3, n_iter=20).activations, ["id"], "u")
 
 
-QUERIES |= {"pca": pca, "pca_transform": pca_transform, "lbg": lbg, "gmm": gmm, "ica": ica, "nmf": nmf}
-ORACLES["pca"] = f"WITH {vectors_sql(8)}, m AS (SELECT n, avg(x) AS m FROM v GROUP BY n) SELECT a.n AS i, b.n AS k, {y('avg((a.x - p.m) * (b.x - q.m))')} FROM v a JOIN v b USING (id) JOIN m p ON p.n = a.n JOIN m q ON q.n = b.n GROUP BY a.n, b.n"
-ORACLES["pca_transform"] = f"WITH {vectors_sql(8)}, m AS (SELECT n, avg(x) AS m FROM v GROUP BY n) SELECT id, {y('sum((x - m) * (x - m))')} FROM v JOIN m USING (n) GROUP BY id"
+QUERIES |= {"pca": pca, "pca_transform": pca_transform, "pca_whiten": pca_whiten, "lbg": lbg, "lbg_step": lbg_step, "gmm": gmm, "gmm_step": gmm_step, "ica": ica, "nmf": nmf}
+ORACLES["pca"] = f"WITH {fx.V}, m AS (SELECT n, avg(x) AS m FROM v GROUP BY n), c AS (SELECT n, list(x - m ORDER BY id) AS l FROM v JOIN m USING (n) GROUP BY n) SELECT a.n AS i, b.n AS k, {y('list_dot_product(a.l, b.l) / len(a.l)')} FROM c a, c b"
+ORACLES["pca_transform"] = f"WITH {fx.V}, m AS (SELECT n, avg(x) AS m FROM v GROUP BY n) SELECT id, {y('sum((x - m) * (x - m))')} FROM v JOIN m USING (n) GROUP BY id"
+ORACLES["pca_whiten"] = f"SELECT i, k, {y('CASE WHEN i = k THEN 1.0 ELSE 0.0 END')} FROM {grid('i', 64)} a, {grid('k', 64)} b"
+ORACLES["lbg_step"] = f"{NEAREST} SELECT q AS i, n AS k, {y('avg(x)')} FROM v JOIN q USING (id) GROUP BY q, n"
+ORACLES["gmm_step"] = (
+    f"WITH {fx.V}, c AS (SELECT id AS c, n, x AS w FROM v WHERE id < 4), d AS (SELECT id, c, sum((x - w) * (x - w)) AS d FROM v JOIN c USING (n) GROUP BY id, c), "
+    "e AS (SELECT id, c, exp(-(d - min(d) OVER (PARTITION BY id)) / 2) AS e FROM d), p AS (SELECT id, c, e / sum(e) OVER (PARTITION BY id) AS p FROM e) "
+    f"SELECT c AS i, n AS k, {y('sum(p * x) / sum(p)')} FROM v JOIN p USING (id) GROUP BY c, n"
+)
