@@ -516,11 +516,8 @@ def flat_weights(mixed: np.ndarray, n_iter: int, eps: float) -> np.ndarray:
     return np.exp(level)
 
 
-def igammatone(bands: DataFrame, sample_rate: float, desired_delay: float = 4, n_iter: int = 100, eps: float = 1e-8, compensate_delay: bool = True, exact: bool = False, **design) -> DataFrame:
-    """(seq, n, x) from gammatone(): channels are brought into phase at desired_delay (ms), weighted for a flat response, and added.
-
-    A channel's part is delayed by a few samples: each block adds its channels where they arrive.
-    """
+def igammatone_design(sample_rate: float, desired_delay: float = 4, n_iter: int = 100, eps: float = 1e-8, compensate_delay: bool = True, exact: bool = False, **design) -> tuple[np.ndarray, np.ndarray]:
+    """Of each channel: how many samples it is moved by, and the complex factor of which the real part of its product counts."""
     centre, channels = gammatone_filters(sample_rate, exact, **design)
     shift = int(round(desired_delay * sample_rate / 1000))
     late, turn = fine_structure(np.stack([impulse_response(num, den, shift + 2) for num, den in channels]), shift)
@@ -528,8 +525,16 @@ def igammatone(bands: DataFrame, sample_rate: float, desired_delay: float = 4, n
     circle = np.exp(2j * np.pi * np.concatenate([centre, -centre]) / sample_rate)[:, None]
     reply = np.hstack([np.polyval(num[::-1], 1 / circle) / np.polyval(den[::-1], 1 / circle) * t / circle**k for (num, den), t, k in zip(channels, turn, late, strict=True)])
     half = len(centre)
-    weight = flat_weights((reply[:half] + reply[half:].conj()) / 2, n_iter, eps)
-    move = late - (shift if compensate_delay else 0)  # sample n of a channel arrives at n + move
+    return late - (shift if compensate_delay else 0), turn * flat_weights((reply[:half] + reply[half:].conj()) / 2, n_iter, eps)
+
+
+def igammatone(bands: DataFrame, sample_rate: float, desired_delay: float = 4, n_iter: int = 100, eps: float = 1e-8, compensate_delay: bool = True, exact: bool = False, **design) -> DataFrame:
+    """(seq, n, x) from gammatone(): channels are brought into phase at desired_delay (ms), weighted for a flat response, and added.
+
+    A channel's part is moved by a few samples: each block adds its channels where they arrive.
+    """
+    move, factor = igammatone_design(sample_rate, desired_delay, n_iter, eps, compensate_delay, exact, **design)  # sample n of a channel arrives at n + move
+    half = len(move)
     behind, before = max(0, int(move.max())), max(0, -int(move.min()))
     size = max(blocks.SIZE, behind + before)
     sizes = blocks.lengths(bands)
@@ -543,7 +548,7 @@ def igammatone(bands: DataFrame, sample_rate: float, desired_delay: float = 4, n
         y = np.zeros((behind + count + before, half))
         inside = (at >= 0) & (at < len(y))
         v = block.vectors[inside]
-        y[at[inside]] = v[:, :half] * (turn.real * weight) - v[:, half:] * (turn.imag * weight)
+        y[at[inside]] = v[:, :half] * factor.real - v[:, half:] * factor.imag
         out = np.zeros(count)
         for k, m in enumerate(move):
             out += y[behind - m : behind - m + count, k]

@@ -56,14 +56,22 @@ def cqt(
     return out
 
 
+def flat_response(centre: np.ndarray, length: np.ndarray, filters: list[np.ndarray], sample_rate: float, frame_period: int) -> np.ndarray:
+    """Weights of bins for a flat response at their centres."""
+    reply = np.array([[abs(np.sum(h.conj() * np.exp(2j * np.pi * f / sample_rate * (np.arange(len(h)) + np.floor(-size / 2))))) ** 2 for h, size in zip(filters, length, strict=True)] for f in centre])
+    return np.linalg.lstsq(reply, np.full(len(centre), frame_period), rcond=None)[0]
+
+
 def icqt(
-    spectra: DataFrame, frame_period: int, sample_rate: float, out_length: int, f_min: float = 32.7, n_bin: int = 84, n_bin_per_octave: int = 12, tuning: float = 0, filter_scale: float = 1,
+    spectra: DataFrame, frame_period: int, sample_rate: float, out_length: int | None = None, f_min: float = 32.7, n_bin: int = 84, n_bin_per_octave: int = 12, tuning: float = 0, filter_scale: float = 1,
     norm: float = 1, window: str = "hann", scale: bool = True,
 ) -> DataFrame:
-    """(seq, n, x): every coefficient is sent to the samples of its filter; bins are weighted for a flat response at their centres."""
+    """(seq, n, x): every coefficient is sent to the samples of its filter; bins are weighted for a flat response at their centres.
+
+    Without out_length every sequence is as long as its frames reach.
+    """
     centre, length, filters = constant_q(sample_rate, f_min, n_bin, n_bin_per_octave, tuning, filter_scale, norm, window)
-    reply = np.array([[abs(np.sum(h.conj() * np.exp(2j * np.pi * f / sample_rate * (np.arange(len(h)) + np.floor(-size / 2))))) ** 2 for h, size in zip(filters, length, strict=True)] for f in centre])
-    weight = np.linalg.lstsq(reply, np.full(n_bin, frame_period), rcond=None)[0]
+    weight = flat_response(centre, length, filters, sample_rate, frame_period)
     out = None
     for bins in octaves(n_bin, n_bin_per_octave):
         size = 2 * (max(len(filters[k]) for k in bins) // 2 + 1)
@@ -75,7 +83,9 @@ def icqt(
         real = batched(lambda a, b, m=basis: ((a + 1j * b) @ m).real, F.transform("c", lambda v: v["re"]), F.transform("c", lambda v: v["im"]))
         rows = own.select("seq", "t", F.posexplode(real).alias("j", "x")).select("seq", (F.col("t") * frame_period + F.col("j") - size // 2).cast("long").alias("n"), "x")
         out = rows if out is None else out.unionByName(rows)
-    return out.filter((F.col("n") >= 0) & (F.col("n") < out_length)).groupBy("seq", "n").agg(F.sum("x").alias("x"))
+    if out_length is not None:
+        out = out.filter(F.col("n") < out_length)
+    return out.filter("n >= 0").groupBy("seq", "n").agg(F.sum("x").alias("x"))
 
 
 PITCH_FORMATS = ("pitch", "f0", "log-f0", "prob")

@@ -53,7 +53,18 @@ vectors("frame_reflect", lambda df: sequences.frame(df, 8, 4, mode="reflect"), (
     ", f AS (SELECT s.seq, t, j, len, t * 4 + j - 4 AS m FROM (SELECT seq, len, unnest(range((len + 3) // 4)) AS t FROM s) s CROSS JOIN " + grid("j", 8) + " g) "
     f"SELECT f.seq, t, j AS k, {y('x')} FROM f JOIN w ON w.seq = f.seq AND w.n = CASE WHEN m < 0 THEN -m WHEN m >= len THEN 2 * (len - 1) - m ELSE m END"
 ))
-samples("unframe", lambda df: sequences.unframe(sequences.frame(df, 8, 4).withColumn("x", transforms.window("x", 8, window="hanning", norm="none")), 8, 4, window="hanning", out_length=40), f"SELECT seq, n, {y('x')} FROM w WHERE n < 40")
+
+
+def covered(length: int, period: int, last: int) -> str:
+    """SQL of samples weighted by the squared windows of the frames that hold them, over the sum of those."""
+    squared = f"pow(0.5 - 0.5 * cos(2 * pi() * (w.n + {length // 2} - t * {period}) / {length - 1}), 2)"
+    return (
+        f", c AS (SELECT w.seq, w.n, x, sum({squared}) AS c FROM w JOIN (SELECT seq, unnest(range((len + {period - 1}) // {period})) AS t FROM s) f ON f.seq = w.seq AND w.n + {length // 2} - t * {period} BETWEEN 0 AND {last} GROUP BY w.seq, w.n, x) "
+        f"SELECT seq, n, {y('x * c / (c + 1e-16)')} FROM c"
+    )
+
+
+samples("unframe", lambda df: sequences.unframe(sequences.frame(df, 8, 4).withColumn("x", transforms.window("x", 8, window="hanning", norm="none")), 8, 4, window="hanning").join(sequences.lengths(df), "seq").filter("n < length"), covered(8, 4, 7))
 samples("delay", lambda df: sequences.delay(df, 3, keeplen=True), f"SELECT seq, n, {y('coalesce(lag(x, 3) OVER (PARTITION BY seq ORDER BY n), 0)')} FROM w")
 samples("advance", lambda df: sequences.delay(df, -3), f"SELECT seq, n - 3 AS n, {y('x')} FROM w WHERE n >= 3")
 samples("decimate", lambda df: sequences.decimate(df, 3, 1), f"SELECT seq, (n - 1) // 3 AS n, {y('x')} FROM w WHERE n % 3 = 1")
@@ -107,12 +118,12 @@ def stft_events(spark, sf_dir):
 
 
 register("stft_events", stft_events, f"WITH {fx.W}{STFT}SELECT seq AS user_id, t AS frame, k AS bin, round(re * re + im * im, 3) + 0.0 AS power FROM d")
-samples("istft", lambda df: spectra.istft(spectra.stft(df, 16, 8, 16, window="hanning", out_format="complex"), 16, 8, 16, window="hanning", out_length=40), f"SELECT seq, n, {y('x')} FROM w WHERE n < 40")
+samples("istft", lambda df: spectra.istft(spectra.stft(df, 16, 8, 16, window="hanning", out_format="complex"), 16, 8, 16, window="hanning").join(sequences.lengths(df), "seq").filter("n < length"), covered(16, 8, 15))
 LAPPED = "sqrt(4.0 / 8) * {0}(pi() / 8 * (k + 0.5) * (j + 0.5 + 4)) * sin(pi() * (j + 0.5) / 16)"
 for name, op, wave in (("mdct", spectra.mdct, "cos"), ("mdst", spectra.mdst, "sin")):
     vectors(name, lambda df, op=op: op(df, 16), f", {framed(16, 8, end=' + 8')} SELECT seq, t, k, {y('sum(x * ' + LAPPED.format(wave) + ')', 5)} FROM f, {grid('k', 8)} g GROUP BY seq, t, k", digits=5)
-samples("imdct", lambda df: spectra.imdct(spectra.mdct(df, 16), 16, out_length=40), f"SELECT seq, n, {y('x')} FROM w WHERE n < 40")
-samples("imdst", lambda df: spectra.imdst(spectra.mdst(df, 16), 16, out_length=40), f"SELECT seq, n, {y('x')} FROM w WHERE n < 40")
+samples("imdct", lambda df: spectra.imdct(spectra.mdct(df, 16), 16).join(sequences.lengths(df), "seq").filter("n < length"), f"SELECT seq, n, {y('x')} FROM w")
+samples("imdst", lambda df: spectra.imdst(spectra.mdst(df, 16), 16).join(sequences.lengths(df), "seq").filter("n < length"), f"SELECT seq, n, {y('x')} FROM w")
 register("flux", lambda spark, d: fx.plain(sequences.flux(sequences.frame(fx.w(spark, d), 8, 4), reduction="none"), ["seq", "t"], "flux"), (
     f"WITH {fx.W}, {framed(8, 4)} SELECT a.seq, b.t, {y('sqrt(sum((a.x - b.x) * (a.x - b.x)))')} FROM f a JOIN f b ON b.seq = a.seq AND b.t = a.t - 1 AND b.j = a.j GROUP BY a.seq, b.t"
 ))
@@ -156,7 +167,15 @@ vectors("gammatone", lambda df: filters.gammatone(df, 8000, f_min=500, f_max=150
     "FROM w a JOIN w b ON b.seq = a.seq AND b.n <= a.n CROSS JOIN g GROUP BY a.seq, a.n, k) "
     f"SELECT seq, n, k, {y('re')} FROM y UNION ALL SELECT seq, n, k + {len(GAMMA_POLES)} AS k, {y('im')} FROM y"
 ), place="n")
-samples("igammatone", lambda df: filters.igammatone(filters.gammatone(df, 8000, f_min=500, f_max=1500), 8000, 1, f_min=500, f_max=1500), None)
+MOVES, FACTORS = filters.igammatone_design(8000, 1, f_min=500, f_max=1500)
+TURNS = ",".join(f"({k},{int(m)},{float(f.real)!r},{float(f.imag)!r})" for k, (m, f) in enumerate(zip(MOVES, FACTORS, strict=True)))
+samples("igammatone", lambda df: filters.igammatone(filters.gammatone(df, 8000, f_min=500, f_max=1500), 8000, 1, f_min=500, f_max=1500), (
+    f", g AS (SELECT k::BIGINT AS k, radius::DOUBLE AS radius, angle::DOUBLE AS angle, gain::DOUBLE AS gain FROM (VALUES {GAMMA}) v(k, radius, angle, gain)), "
+    f"y AS (SELECT a.seq, a.n, k, sum(b.x * {GAMMA_REPLY.format('cos').replace('m', '(a.n - b.n)').replace('(a.n - b.n)ul', 'mul')}) AS re, sum(b.x * {GAMMA_REPLY.format('sin').replace('m', '(a.n - b.n)')}) AS im "
+    "FROM w a JOIN w b ON b.seq = a.seq AND b.n <= a.n CROSS JOIN g GROUP BY a.seq, a.n, k), "
+    f"f AS (SELECT k::BIGINT AS k, m::BIGINT AS m, re::DOUBLE AS re, im::DOUBLE AS im FROM (VALUES {TURNS}) v(k, m, re, im)) "
+    f"SELECT w.seq, w.n, {y('coalesce(sum(y.re * f.re - y.im * f.im), 0)', 5)} FROM w CROSS JOIN f LEFT JOIN y ON y.seq = w.seq AND y.k = f.k AND y.n = w.n - f.m GROUP BY w.seq, w.n"
+), digits=5)
 
 
 def taps(df):
@@ -188,8 +207,17 @@ def cepstra(df):
     return sequences.frame(df, 5, 8, center=False).withColumn("x", F.transform("x", lambda v: v / 2000))
 
 
-samples("mglsadf", lambda df: filters.mglsadf(df, cepstra(df), 8, alpha=0.1, ir_length=12, n_fft=64), None)
-samples("imglsadf", lambda df: filters.imglsadf(df, cepstra(df), 8, alpha=0.1, ir_length=12, n_fft=64), None)
+#: Taps of each frame from its cepstrum on the warped circle, and the samples through them, drawn from frame to frame.
+CEPSTRAL = (
+    ", f AS (SELECT s.seq, t, j, {0}coalesce(x, 0) / 2000 AS c FROM (SELECT seq, unnest(range((len + 7) // 8)) AS t FROM s) s CROSS JOIN (SELECT unnest(range(5)) AS j) g LEFT JOIN w ON w.seq = s.seq AND w.n = t * 8 + j), "
+    "o AS (SELECT i, 2 * pi() * i / 64 AS o FROM " + grid("i", 64) + " g), p AS (SELECT i, o + 2 * atan2(0.1 * sin(o), 1 - 0.1 * cos(o)) AS p FROM o), "
+    "l AS (SELECT seq, t, i, sum(c * cos(j * p)) AS re, -sum(c * sin(j * p)) AS im FROM f CROSS JOIN p GROUP BY seq, t, i), "
+    "h AS (SELECT seq, t, k, sum(exp(re) * cos(im + 2 * pi() * i * k / 64)) / 64 AS h FROM l CROSS JOIN (SELECT unnest(range(12)) AS k) g GROUP BY seq, t, k) "
+    "SELECT w.seq, w.n, " + y("sum((a.h + (coalesce(b.h, a.h) - a.h) * (w.n % 8) / 8) * q.x)", 5) + " FROM w JOIN h a ON a.seq = w.seq AND a.t = w.n // 8 LEFT JOIN h b ON b.seq = w.seq AND b.t = a.t + 1 AND b.k = a.k JOIN w q ON q.seq = w.seq AND q.n = w.n - a.k GROUP BY w.seq, w.n"
+)
+samples("mglsadf", lambda df: filters.mglsadf(df, cepstra(df), 8, alpha=0.1, ir_length=12, n_fft=64), CEPSTRAL.format(""), digits=5)
+samples("imglsadf", lambda df: filters.imglsadf(df, cepstra(df), 8, alpha=0.1, ir_length=12, n_fft=64), CEPSTRAL.format("-"), digits=5)
+samples("mglsadf_stages", lambda df: filters.mglsadf(df, cepstra(df), 8, alpha=0.1, ir_length=12, n_fft=64, mode="multi-stage", taylor_order=6), None)
 FALL, RISE = 1 - np.exp(-1000 / 8000), 1 - np.exp(-1000 / (500 * 8000))
 STEPPED = f"{{0}} + (CASE WHEN c.g < {{0}} THEN {FALL!r} ELSE {RISE!r} END) * (c.g - {{0}})".replace("np.float64(", "").replace(") ELSE", " ELSE").replace(") END", " END")
 samples("drc", lambda df: filters.drc(df, 8000), (
@@ -200,7 +228,7 @@ samples("drc", lambda df: filters.drc(df, 8000), (
 
 
 def griffin(df):
-    return filters.griffin(spectra.stft(df.filter("n < 48"), 16, 4, 16), 16, 4, 16, 48, n_iter=10)
+    return filters.griffin(spectra.stft(df, 16, 4, 16), 16, 4, 16, n_iter=10).join(sequences.lengths(df), "seq").filter("n < length")
 
 
 samples("griffin", griffin, None)
@@ -269,7 +297,13 @@ register("cqt", constant_q, (
     "SELECT p.seq, p.t, h.k, round(sum(coalesce(x, 0) * re), 5) + 0.0 AS re, round(sum(coalesce(x, 0) * im), 5) + 0.0 AS im "
     "FROM (SELECT seq, unnest(range((len + 7) // 8)) AS t FROM s) p CROSS JOIN h LEFT JOIN w ON w.seq = p.seq AND w.n = p.t * 8 + h.j GROUP BY p.seq, p.t, h.k"
 ))
-samples("icqt", lambda df: voice.icqt(voice.cqt(df, 2, 8000, 1000, 8, 4), 2, 8000, 40, 1000, 8, 4), None)
+EVEN = ",".join(f"({k},{float(2 * v / n)!r})" for k, (v, n) in enumerate(zip(voice.flat_response(CENTRES, LENGTHS, KERNELS, 8000, 2), LENGTHS, strict=True)))
+samples("icqt", lambda df: voice.icqt(voice.cqt(df, 2, 8000, 1000, 8, 4), 2, 8000, None, 1000, 8, 4).join(sequences.lengths(df), "seq").filter("n < length"), (
+    f", h AS (SELECT k::BIGINT AS k, j::BIGINT AS j, re::DOUBLE AS re, im::DOUBLE AS im FROM (VALUES {KERNEL}) v(k, j, re, im)), e AS (SELECT k::BIGINT AS k, e::DOUBLE AS e FROM (VALUES {EVEN}) v(k, e)), "
+    "c AS (SELECT p.seq, p.t, h.k, sum(coalesce(x, 0) * re) AS re, sum(coalesce(x, 0) * im) AS im FROM (SELECT seq, unnest(range((len + 1) // 2)) AS t FROM s) p CROSS JOIN h LEFT JOIN w ON w.seq = p.seq AND w.n = p.t * 2 + h.j GROUP BY p.seq, p.t, h.k), "
+    "q AS (SELECT seq, t * 2 + j AS n, sum(e * (c.re * h.re + c.im * h.im)) AS x FROM c JOIN h USING (k) JOIN e USING (k) GROUP BY seq, t * 2 + j) "
+    f"SELECT w.seq, w.n, {y('q.x', 5)} FROM w JOIN q ON q.seq = w.seq AND q.n = w.n"
+), digits=5)
 register("pitch", lambda spark, d: fx.plain(voice.pitch(loudness(fx.w(spark, d)), 10, 8000, 400, 1600), ["seq", "t"]))
 vectors("pitch_spec", lambda df: voice.pitch_spec(loudness(df), tones(df), 10, 8000, 128), None)
 vectors("ap", lambda df: voice.ap(loudness(df), tones(df), 10, 8000, 64, f_min=300), None)
@@ -299,5 +333,10 @@ SHIFTED = "((r >> 1) & 2147483647) | ((xor(r >> 1, r >> 29) & 1) << 31)"
 register("mseq", lambda spark, d: fx.plain(src.mseq(spark, 99), ["n"]), (
     f"WITH RECURSIVE q AS (SELECT 0::BIGINT AS n, {SHIFTED} AS r FROM (SELECT 1431655765::BIGINT AS r) z UNION ALL SELECT n + 1, {SHIFTED} FROM q WHERE n < 99) SELECT n, {y('CASE WHEN (r & 1) = 1 THEN 1 ELSE -1 END')} FROM q"
 ))
-register("nrand", lambda spark, d: fx.plain(src.nrand(spark, 999, seed=1), ["n"]))
-register("rand", lambda spark, d: fx.plain(src.rand(spark, 999, seed=1), ["n"]))
+UNIFORM = "((('0x' || substr(md5('1:{0}:' || n), 1, 12))::BIGINT + 0.5) / 281474976710656)"
+register("nrand", lambda spark, d: fx.plain(src.nrand(spark, 999, seed=1), ["n"]), f"SELECT n, {y(f'sqrt(-2 * ln({UNIFORM.format(1)})) * cos(2 * {PI} * {UNIFORM.format(2)})')} FROM {grid('n', 1000)} g")
+register("rand", lambda spark, d: fx.plain(src.rand(spark, 999, seed=1), ["n"]), f"SELECT n, {y(UNIFORM.format(0))} FROM {grid('n', 1000)} g")
+register("mseq_like", lambda spark, d: fx.plain(src.mseq_like(fx.w(spark, d)), ["seq", "n"]), (
+    f"WITH RECURSIVE {fx.W}, e AS (SELECT max(len) AS most FROM s), q AS (SELECT 0::BIGINT AS n, {SHIFTED} AS r FROM (SELECT 1431655765::BIGINT AS r) z UNION ALL SELECT n + 1, {SHIFTED} FROM q, e WHERE n + 1 < most) "
+    f"SELECT w.seq, n, {y('CASE WHEN (r & 1) = 1 THEN 1 ELSE -1 END')} FROM w JOIN q USING (n)"
+))

@@ -205,7 +205,22 @@ register("mfcc", lambda x: spectra.mfcc(x, 64, 5, 8, 8000.0, 22), bank_sql(
     f"SELECT id, q AS k, {y(f'sum(b * cos({PI} / 8 * (q + 1) * (k + 0.5))) * 0.5 * (1 + 11 * sin({PI} * (q + 1) / 22))')} FROM b, {grid('q', 5)} g GROUP BY id, q"
 ), 33, spectrum)
 register("ifbank", lambda x: spectra.ifbank(x, 8, 64, 8000.0, use_power=True), matrix_sql(np.linalg.pinv(BANK).T, "exp(x)"), 8)
-register("plp", lambda x: spectra.plp(x, 64, 4, 8, 8000.0), None, 33, spectrum)
+MEL = "1127 * ln(1 + 4000 / 700.0) * (k + 1) / 9 / 1127"
+STEP = (
+    "k{0} AS (SELECT id, r, list_transform(range({0} + 1), lambda j: CASE WHEN j = 0 THEN 1.0 WHEN j = {0} THEN k ELSE a[j + 1] + k * a[{0} - j + 1] END) AS a, e * (1 - k * k) AS e "
+    "FROM (SELECT id, r, a, e, -list_sum(list_transform(range({0}), lambda j: a[j + 1] * r[{0} - j + 1])) / e AS k FROM k{1}) z)"
+)
+register("plp", lambda x: spectra.plp(x, 64, 4, 8, 8000.0), (
+    f"WITH {vectors_sql(33, SPECTRUM)}, {fx.matrix_cte(BANK.T)}, b AS (SELECT id, k, greatest(sum(x * a), 1e-5) AS b FROM v JOIN m USING (n) GROUP BY id, k), "
+    f"f AS (SELECT k, pow(700 * (exp({MEL}) - 1), 2) AS f FROM {grid('k', 8)} g), "
+    "c AS (SELECT id, k, pow(b * pow(f / (f + 1.6e5), 2) * (f + 1.44e6) / (f + 9.61e6), 0.33) AS c FROM b JOIN f USING (k)), l AS (SELECT id, list(c ORDER BY k) AS l FROM c GROUP BY id), "
+    "s AS (SELECT id, list_concat([l[1]], l, [l[8]]) AS s FROM l), "
+    "r AS (SELECT id, list_transform(range(5), lambda q: (s[1] + s[10] * pow(-1, q) + 2 * list_sum(list_transform(range(1, 9), lambda i: s[i + 1] * cos(2 * pi() * i * q / 18)))) / 18) AS r FROM s), "
+    f"k0 AS (SELECT id, r, [1.0] AS a, r[1] AS e FROM r), {', '.join(STEP.format(k, k - 1) for k in range(1, 5))}, "
+    "p AS (SELECT id, i, 0.5 * ln(pow(1 + list_sum(list_transform(range(1, 5), lambda j: a[j + 1] * cos(2 * pi() * i * j / 512))), 2) + pow(list_sum(list_transform(range(1, 5), lambda j: a[j + 1] * sin(2 * pi() * i * j / 512))), 2)) AS p "
+    f"FROM k4, {grid('i', 512)} g) "
+    f"SELECT id, q AS k, {y('-sum(p * cos(2 * pi() * i * (q + 1) / 512)) / 256 * (1 + 0.5 * sin(pi() * (q + 1)))')} FROM p, {grid('q', 4)} g GROUP BY id, q"
+), 33, spectrum)
 CHROMA = spectra.chroma_weights(64, 12, 8000.0)
 register("chroma", lambda x: spectra.chroma(x, 64, 12, 8000.0), (
     f"WITH {vectors_sql(33, SPECTRUM)}, {fx.matrix_cte(CHROMA)}, c AS (SELECT id, k, sum(x * a) AS c FROM v JOIN m USING (n) GROUP BY id, k) SELECT id, k, {y('c / max(abs(c)) OVER (PARTITION BY id)')} FROM c"
@@ -297,6 +312,19 @@ ORACLES["rmse"] = f"WITH {PAIRS} SELECT id, {y('sqrt(avg((x - y) * (x - y)))')}
 ORACLES["cdist"] = f"WITH {PAIRS} SELECT id, {y('sqrt(sum((x - y) * (x - y))) * 10 * sqrt(2) / ln(10)')} FROM p WHERE n > 0 GROUP BY id"
 ORACLES["cdist_mean"] = f"WITH {PAIRS}, d AS (SELECT id, sqrt(sum((x - y) * (x - y))) AS d FROM p WHERE n > 0 GROUP BY id) SELECT {y('avg(d) / sqrt(63)')} FROM d"
 
+#: Rows of the table of warped costs, one after another, as lists: after any step, and after a step along both sequences.
+GAP = "sqrt(list_sum(list_transform(range(4), lambda q: pow(x[{0} * 4 + q + 1] - y[{1} * 4 + q + 1], 2))))"
+BOTH = f"list_transform(range(16), lambda j: CASE WHEN j = 0 THEN 1e300 ELSE reach[greatest(j, 1)] + 2 * {GAP.format('(i + 1)', 'j')} END)"
+LEAST = "least(duo[j + 1] + g[j + 1], CASE WHEN j = 0 THEN 1e300 ELSE nxt[greatest(j, 1)] END + g[j + 1], nxt[j + 1])"
+SOFT = " + ".join(f"exp(-(least({o}, 1e290) - least({LEAST}, 1e280)) / 1e-3)" for o in ("duo[j + 1] + g[j + 1]", "CASE WHEN j = 0 THEN 1e300 ELSE nxt[greatest(j, 1)] END + g[j + 1]", "nxt[j + 1]"))
+ORACLES["dtw"] = (
+    f"WITH RECURSIVE {fx.V}, l AS (SELECT id, list(x ORDER BY n) AS x FROM v GROUP BY id), p AS (SELECT a.id, a.x, b.x AS y FROM l a JOIN l b ON b.id = a.id + 1), "
+    f"r AS (SELECT id, x, y, 0 AS i, list_transform(range(16), lambda j: CASE WHEN j = 0 THEN {GAP.format('0', '0')} ELSE 1e300 END) AS reach, list_transform(range(16), lambda j: 1e300) AS duo FROM p UNION ALL "
+    f"SELECT id, x, y, i + 1 AS i, list_transform(range(16), lambda j: CASE WHEN {LEAST} >= 1e280 THEN 1e300 ELSE {LEAST} - 1e-3 * ln({SOFT}) END) AS reach, nxt AS duo "
+    f"FROM (SELECT id, x, y, i, duo, {BOTH} AS nxt, list_transform(range(16), lambda j: {GAP.format('(i + 1)', 'j')}) AS g FROM r WHERE i < 15) z) "
+    f"SELECT id, {y('reach[16] / 32')} FROM r WHERE i = 15"
+)
+
 # --- learners
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.columns import batched
 from ..operators.blocks import joined
 
 
@@ -75,29 +76,76 @@ def train(spark: SparkSession, order: int, frame_period: float, norm: str | int
     return counted(spark, order).withColumn("x", F.when(turns(F.col("n") + 1) > turns(F.col("n")), height).otherwise(0.0))
 
 
-def mseq(spark: SparkSession, order: int) -> DataFrame:
-    """A maximal sequence of 1 and -1 from a shift register of 32 bits with taps 0 and 28. A register runs in order: it is made on the driver."""
-    register, out = 0x55555555, []
-    for _ in range(order + 1):
+def _shift() -> list[int]:
+    """One step of a 32-bit register with taps 0 and 28, as the images of its 32 bits."""
+    def step(r: int) -> int:
+        r >>= 1
+        return r | ((r ^ r >> 28) & 1) << 31
+
+    return [step(1 << k) for k in range(32)]
+
+
+def _moved(matrix: list[int], register: int) -> int:
+    out = 0
+    for k in range(32):
+        if register >> k & 1:
+            out ^= matrix[k]
+    return out
+
+
+def mseq_signs(begin: int, count: int) -> np.ndarray:
+    """count values from begin on: the register is moved ahead by squaring its step."""
+    register, matrix, far = 0x55555555, _shift(), begin
+    while far:
+        if far & 1:
+            register = _moved(matrix, register)
+        matrix = [_moved(matrix, m) for m in matrix]
+        far >>= 1
+    out = np.empty(count)
+    for k in range(count):
         register >>= 1
-        bit, other = register & 1, register >> 28 & 1
-        register |= (bit ^ other) << 31
-        out.append((len(out), 1.0 if bit else -1.0))
-    return spark.createDataFrame(out, "n long, x double")
+        register |= ((register ^ register >> 28) & 1) << 31
+        out[k] = 1.0 if register & 1 else -1.0
+    return out
+
+
+def mseq_at(n):
+    """The m-sequence at places n, a column of whole numbers from 0 on. Places of a batch that lie together are made together."""
+
+    def signs(places: np.ndarray) -> np.ndarray:
+        whole, out = places.astype(np.int64), np.empty(len(places))
+        for block in np.unique(whole // 4096):
+            own = whole // 4096 == block
+            rest = whole[own] - block * 4096
+            out[own] = mseq_signs(int(block) * 4096, int(rest.max()) + 1)[rest]
+        return out
+
+    return batched(signs, n.cast("double"), returns="double")
+
+
+def mseq(spark: SparkSession, order: int) -> DataFrame:
+    """A maximal sequence of 1 and -1 from a shift register of 32 bits with taps 0 and 28, made in tasks."""
+    return counted(spark, order).withColumn("x", mseq_at(F.col("n")))
 
 
 def mseq_like(samples: DataFrame) -> DataFrame:
-    """samples with x from the sequence, by n; its length must be known, so it is counted."""
-    last = samples.agg(F.max("n")).first()[0]
-    return samples.drop("x").join(mseq(samples.sparkSession, int(last or 0)), "n")
+    """samples with x from the sequence, by n."""
+    return samples.withColumn("x", mseq_at(F.col("n")))
+
+
+def uniform(seed: int, stream: int, n="n"):
+    """A number strictly between 0 and 1 from a digest of seed, stream and place: the same one however the rows are dealt out."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit(stream), n).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
 def nrand(spark: SparkSession, order: int, mean: float = 0, stdv: float = 1, seed: int = 0) -> DataFrame:
-    return counted(spark, order).withColumn("x", F.randn(seed) * stdv + mean)
+    normal = F.sqrt(-2 * F.ln(uniform(seed, 1))) * F.cos(2 * math.pi * uniform(seed, 2))
+    return counted(spark, order).withColumn("x", normal * float(stdv) + float(mean))
 
 
 def rand(spark: SparkSession, order: int, a: float = 0, b: float = 1, seed: int = 0) -> DataFrame:
-    return counted(spark, order).withColumn("x", F.rand(seed) * (b - a) + a)
+    return counted(spark, order).withColumn("x", uniform(seed, 0) * float(b - a) + float(a))
 
 
 # --- WAV files
