@@ -128,7 +128,8 @@ def canonical(texts: list[str], words: Canon) -> tuple[np.ndarray, np.ndarray, n
     full = hashes != 0
     hashes, kinds, ids, owner, begins = hashes[full], kinds[full], ids[full], owner[full], begins[:-1][full]
     unit = words.doubtful[ids] & ~begins
-    unit[1:] &= kinds[:-1] == NUM
+    unit[:1] = False
+    unit[1:] &= (kinds[:-1] == NUM) & (owner[1:] == owner[:-1])
     kinds[unit], hashes[unit] = UNIT, UNIT_HASH
     return hashes, kinds, ids, owner
 

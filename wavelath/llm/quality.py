@@ -14,7 +14,8 @@ source and ids are never inputs of a score.
 
 Nulls count as empty texts; an empty text is scored by its zero vector. Rows of
 labels without a document, or of documents without a label, are not trained on;
-a document with several labels counts as often. Without a label of each class
+a document with several labels counts as often; of rows that repeat a doc_id the
+first text in order is trained on, and all are scored. Without a label of each class
 every score is the share of label 1, or 0.5 where nothing is known.
 """
 
@@ -73,7 +74,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 400_000:
             self.clear()
-        # what is outside the letters keeps its form; long words are known by their ends, which carry inflection
+        # a word counts apart by whether it is all capitals, begins with one, or neither
         form = b"^" if word.isupper() and len(word) > 1 else b"'" if word[:1].isupper() else b""
         low = word.lower()
         found = zlib.crc32(form + b"/" + low) % self.rows
@@ -218,7 +219,9 @@ def fit(docs: DataFrame, labels: DataFrame, model: QualityModel = QualityModel()
         .limit(model.sample)
     )
     # the sample is bounded by the model's setting, so it is the side that every executor may hold
-    rows = docs.select("doc_id", column).join(F.broadcast(drawn), "doc_id").select("order", "quality", column)
+    # one text for each id, so that rows which repeat an id add nothing to what is fitted on
+    texts = docs.select("doc_id", column).join(F.broadcast(drawn.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(column).alias(column))
+    rows = texts.join(F.broadcast(drawn), "doc_id").select("order", "quality", column)
     got = rows.mapInArrow(features, "order long, quality int, x array<float>").toPandas()
     got["first"] = [x[0] for x in got["x"]]
     got = got.sort_values(["order", "quality", "first"], kind="stable")
