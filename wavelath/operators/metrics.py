@@ -102,37 +102,51 @@ def soft_least(options: np.ndarray, softness: float) -> np.ndarray:
 
 
 def warped_costs(d: np.ndarray, p: int, softness: float) -> tuple[np.ndarray, np.ndarray]:
-    """Costs of the best warpings of pairs up to each cell, and the number of the step by which each was reached (-1: none)."""
+    """Costs of the best warpings of pairs up to each cell, and the number of the step by which each was reached (-1: none). Cells of one diagonal are worked out together."""
     moves, in_turn = DTW_STEPS[p]
     count, m, n = d.shape
     # after a step along both sequences, and after any
     cost = {"both": np.full(d.shape, np.inf), "any": np.full(d.shape, np.inf)}
     chosen = np.full(d.shape, -1)
     cost["any"][:, 0, 0] = d[:, 0, 0]
-    for i, j in np.ndindex(m, n):
-        if i == j == 0:
-            continue
-        reach = np.full((len(moves), count), np.inf)
+    along_both = [bool(s and t) for s, t in moves]
+    for far in range(1, m + n - 1):
+        i = np.arange(max(0, far - n + 1), min(m - 1, far) + 1)
+        j = far - i
+        reach = np.full((len(moves), count, len(i)), np.inf)
         for k, (s, t) in enumerate(moves):
-            if s <= i and t <= j:
-                source = cost["both" if in_turn and not (s and t) else "any"]
-                reach[k] = source[:, i - s, j - t] + (s + t) * d[:, i, j]
+            source = cost["both" if in_turn and not (s and t) else "any"]
+            own = (i >= s) & (j >= t)
+            reach[k][:, own] = source[:, i[own] - s, j[own] - t] + (s + t) * d[:, i[own], j[own]]
         cost["any"][:, i, j] = soft_least(reach, softness)
-        cost["both"][:, i, j] = soft_least(reach[[bool(s and t) for s, t in moves]], softness) if any(s and t for s, t in moves) else np.inf
+        if any(along_both):
+            cost["both"][:, i, j] = soft_least(reach[along_both], softness)
         chosen[:, i, j] = np.where(np.isfinite(reach.min(0)), reach.argmin(0), -1)
     return cost["any"], chosen
 
 
+#: Numbers of the largest array that a slice of pairs needs.
+DTW_SLICE = 1 << 22
+
+
+def in_slices(a: np.ndarray, b: np.ndarray, dims: int, metric: str):
+    """Frame distances of pairs, a few pairs at a time."""
+    each = max(1, a.shape[1] * b.shape[1] // max(dims, 1))
+    step = max(1, DTW_SLICE // each)
+    for at in range(0, len(a), step):
+        x, y = (v[at : at + step].reshape(len(v[at : at + step]), -1, dims) for v in (a, b))
+        yield frame_distances(x, y, metric)
+
+
 def dtw(x: Column | str, y: Column | str, dims: int, metric: str | int = "euclidean", p: int = 4, softness: float = 1e-3) -> Column:
     """Soft warped distance of pairs of short sequences of frames, each one vector of frames * dims numbers; over the sum of lengths.
 
-    A step counts as often as the frames that it advances by.
+    A step counts as often as the frames that it advances by. A pair's table of frames by frames has to fit a task.
     """
     metric = DTW_METRICS[metric] if isinstance(metric, int) else metric
 
     def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        d = frame_distances(a.reshape(len(a), -1, dims), b.reshape(len(b), -1, dims), metric)
-        return warped_costs(d, p, softness)[0][:, -1, -1] / (d.shape[1] + d.shape[2])
+        return np.concatenate([warped_costs(d, p, softness)[0][:, -1, -1] / (d.shape[1] + d.shape[2]) for d in in_slices(a, b, dims, metric)])
 
     return batched(run, col(x), col(y), returns="double")
 
@@ -142,19 +156,25 @@ def dtw_path(x: Column | str, y: Column | str, dims: int, metric: str | int = "e
     metric = DTW_METRICS[metric] if isinstance(metric, int) else metric
     moves, _ = DTW_STEPS[p]
 
-    def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        d = frame_distances(a.reshape(len(a), -1, dims), b.reshape(len(b), -1, dims), metric)
+    def traced(d: np.ndarray) -> np.ndarray:
         _, chosen = warped_costs(d, p, softness)
-        out = np.full((len(d), 2 * (d.shape[1] + d.shape[2])), -1.0)
-        for row in range(len(d)):
-            at, path = (d.shape[1] - 1, d.shape[2] - 1), []
-            while True:
-                path[:0] = at
-                if chosen[row, at[0], at[1]] < 0:
-                    break
-                s, t = moves[chosen[row, at[0], at[1]]]
-                at = (at[0] - s, at[1] - t)
-            out[row, : len(path)] = path
-        return out
+        steps = np.array([*moves, (0, 0)])  # the last one for cells that nothing leads to
+        rows, longest = np.arange(len(d)), d.shape[1] + d.shape[2]
+        at = np.tile([d.shape[1] - 1, d.shape[2] - 1], (len(d), 1))
+        path, size = np.full((len(d), longest, 2), -1.0), np.zeros(len(d), int)
+        going = np.ones(len(d), bool)
+        for k in range(longest):  # all pairs go back together, a step at a time
+            path[going, k] = at[going]
+            size[going] += 1
+            step = chosen[rows, at[:, 0], at[:, 1]]
+            going &= step >= 0
+            if not going.any():
+                break
+            at = at - np.where(going[:, None], steps[step], 0)
+        order = size[:, None] - 1 - np.arange(longest)
+        return np.where(order[..., None] >= 0, np.take_along_axis(path, np.maximum(order, 0)[..., None], axis=1), -1.0).reshape(len(d), -1)
+
+    def run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.concatenate([traced(d) for d in in_slices(a, b, dims, metric)])
 
     return batched(run, col(x), col(y))

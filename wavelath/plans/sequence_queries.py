@@ -157,6 +157,8 @@ samples("ipqmf", lambda df: spectra.ipqmf(spectra.pqmf(df, 4, 15), 4, 15), (
 ))
 OBAND = spectra.octave_filters(8000, 500, 1000, 3000, 30)
 vectors("oband", lambda df: spectra.oband(df, 8000, 500, 1000, 3000, 30), fir_sql(OBAND[:, ::-1], OBAND.shape[1] - 1 - 15, True), place="n")
+#: 1,000 taps: too slow as a join in SQL; documented values and the short query stand for it.
+vectors("oband_long", lambda df: spectra.oband(df, 16000), None, place="n")
 _, GAMMA_POLES, GAMMA_GAINS = filters.gammatone_design(8000, 500, 1000, 1500)
 GAMMA = ",".join(f"({k},{abs(p)!r},{np.angle(p)!r},{g!r})".replace("np.float64(", "").replace("),", ",").replace("))", ")") for k, (p, g) in enumerate(zip(GAMMA_POLES, GAMMA_GAINS, strict=True)))
 #: The impulse response of four equal poles: binomials times powers of the pole.
@@ -187,7 +189,7 @@ FOLLOWED = (
     ", f AS (SELECT s.seq, t, j, 1 + sqrt(coalesce(x, 0)) / 50 + j AS h FROM (SELECT seq, unnest(range((len + 7) // 8)) AS t FROM s) s CROSS JOIN (SELECT unnest(range(3)) AS j) g LEFT JOIN w ON w.seq = s.seq AND w.n = t * 8 + j), "
     "h AS (SELECT w.seq, w.n, a.j, a.h + (coalesce(b.h, a.h) - a.h) * (w.n % 8) / 8 AS h FROM w JOIN f a ON a.seq = w.seq AND a.t = w.n // 8 LEFT JOIN f b ON b.seq = w.seq AND b.t = a.t + 1 AND b.j = a.j) "
 )
-samples("zerodf", lambda df: filters.zerodf(df, taps(df), 8), FOLLOWED + f"SELECT h.seq, h.n, {y('sum(h.h * x)')} FROM h JOIN w ON w.seq = h.seq AND w.n = h.n - h.j GROUP BY h.seq, h.n")
+samples("zerodf", lambda df: filters.zerodf(df, taps(df), 8, taps=3), FOLLOWED + f"SELECT h.seq, h.n, {y('sum(h.h * x)')} FROM h JOIN w ON w.seq = h.seq AND w.n = h.n - h.j GROUP BY h.seq, h.n")
 
 
 def poles(df):
@@ -195,7 +197,7 @@ def poles(df):
     return sequences.frame(df, 2, 8, center=False).withColumn("x", F.array(F.lit(1.0), F.get("x", F.lit(0)) / -1000))
 
 
-samples("poledf", lambda df: filters.poledf(df, poles(df), 8), (
+samples("poledf", lambda df: filters.poledf(df, poles(df), 8, order=1), (
     ", f AS (SELECT s.seq, t, -coalesce(x, 0) / 1000 AS a FROM (SELECT seq, unnest(range((len + 7) // 8)) AS t FROM s) s LEFT JOIN w ON w.seq = s.seq AND w.n = t * 8), "
     "c AS (SELECT w.seq, w.n, w.x, a.a + (coalesce(b.a, a.a) - a.a) * (w.n % 8) / 8 AS a FROM w JOIN f a ON a.seq = w.seq AND a.t = w.n // 8 LEFT JOIN f b ON b.seq = w.seq AND b.t = a.t + 1), "
     "r AS (SELECT seq, n, x AS y FROM c WHERE n = 0 UNION ALL SELECT c.seq, c.n, c.x - c.a * r.y FROM r JOIN c ON c.seq = r.seq AND c.n = r.n + 1) "
