@@ -241,3 +241,23 @@ def test_null_samples_in_streams_and_tables(spark):
     x = [0.0, 1.0, None, 2.0, None]
     assert values(filters.dfs(rows(spark, x), None, [1.0, -0.5])).tolist() == [0, 1, 0.5, 2.25, 1.125]
     assert [r["n"] for r in filters.drc(rows(spark, x), 8000).orderBy("n").collect()] == [0, 1, 3]
+
+
+def test_constant_q_in_blocks(spark):
+    """Long filters over many short blocks: the spectrum by its definition, and the signal back from it."""
+    from wavelath.operators import voice
+
+    n = np.arange(COUNT)
+    x = np.sin(2 * np.pi * 700 * n / 8000) + 0.5 * np.sin(2 * np.pi * 1100 * n / 8000)
+    found = voice.cqt(rows(spark, x), 5, 8000, 300, 24, 12)
+    z = np.zeros((140, 24), complex)
+    for r in found.collect():
+        z[r["t"], r["k"]] = r["re"] + 1j * r["im"]
+    _, length, kernels = voice.constant_q(8000, 300, 24, 12, 0, 1, 1, "hann")
+    wide = np.concatenate([np.zeros(1000), x, np.zeros(1000)])
+    for k in (0, 11, 23):
+        begin = 1000 + int(np.floor(-length[k] / 2))
+        expected = [np.sum(kernels[k].conj() * wide[begin + 5 * t : begin + 5 * t + len(kernels[k])]) * np.sqrt(length[k]) for t in range(140)]
+        np.testing.assert_allclose(z[:, k], expected, atol=1e-9)
+    y = values(voice.icqt(found, 5, 8000, COUNT, 300, 24, 12))
+    assert np.corrcoef(y[200:-200], x[200:-200])[0, 1] > 0.99

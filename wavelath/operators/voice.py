@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bases
-from ..functions.columns import batched, linear, require
+from ..functions.columns import batched, require
+from . import blocks
 from . import sequences as seq
 from .prediction import correlate, formatted
 
@@ -31,29 +32,42 @@ def constant_q(sample_rate: float, f_min: float, n_bin: int, n_bin_per_octave: i
     return centre, length, filters
 
 
-def octaves(n_bin: int, n_bin_per_octave: int) -> list[range]:
-    """Bins by octave: those of one octave need frames of similar length."""
-    return [range(k, min(k + n_bin_per_octave, n_bin)) for k in range(0, n_bin, n_bin_per_octave)]
+def kernel_rows(length: np.ndarray, filters: list[np.ndarray], scale: np.ndarray) -> tuple[np.ndarray, int]:
+    """The filters times scale as rows of one matrix, and the column of place 0."""
+    left = max(-int(np.floor(-size / 2)) for size in length)
+    right = max(len(h) + int(np.floor(-size / 2)) for h, size in zip(filters, length, strict=True))
+    out = np.zeros((len(filters), left + right), complex)
+    for k, (h, size) in enumerate(zip(filters, length, strict=True)):
+        begin = left + int(np.floor(-size / 2))
+        out[k, begin : begin + len(h)] = h * scale[k]
+    return out, left
+
+
+#: Numbers of the largest array that a slice of frames needs.
+SLICE = 1 << 22
 
 
 def cqt(
     samples: DataFrame, frame_period: int, sample_rate: float, f_min: float = 32.7, n_bin: int = 84, n_bin_per_octave: int = 12, tuning: float = 0, filter_scale: float = 1,
     norm: float = 1, window: str = "hann", scale: bool = True,
 ) -> DataFrame:
-    """(seq, t, k, re, im): constant-Q spectrum at every frame_period, straight from its definition, with frames as long as each octave needs."""
+    """(seq, t, k, re, im): constant-Q spectrum at every frame_period, straight from its definition, in blocks that see half a filter to either side."""
     _, length, filters = constant_q(sample_rate, f_min, n_bin, n_bin_per_octave, tuning, filter_scale, norm, window)
-    out = None
-    for bins in octaves(n_bin, n_bin_per_octave):
-        size = 2 * (max(len(filters[k]) for k in bins) // 2 + 1)
-        basis = np.zeros((len(bins), size), complex)
-        for row, k in enumerate(bins):
-            begin = size // 2 + int(np.floor(-length[k] / 2))
-            basis[row, begin : begin + len(filters[k])] = filters[k].conj() * (np.sqrt(length[k]) if scale else length[k])
-        frames = seq.frame(samples, size, frame_period, True)
-        parts = frames.select("seq", "t", linear(basis.real)("x").alias("re"), linear(basis.imag)("x").alias("im"))
-        rows = parts.select("seq", "t", F.posexplode(F.arrays_zip("re", "im")).alias("k", "c")).select("seq", "t", (F.col("k") + bins[0]).alias("k"), "c.re", "c.im")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    kernel, left = kernel_rows(length, [h.conj() for h in filters], np.sqrt(length) if scale else length)
+    right = kernel.shape[1] - left
+    size = -(-max(blocks.SIZE, left + right) // frame_period) * frame_period
+    basis = np.concatenate([kernel.real, kernel.imag]).T
+
+    def run(block: blocks.Block):
+        if not block.count:
+            return None
+        x = np.lib.stride_tricks.sliding_window_view(block.values(left, right), left + right)[: block.count : frame_period]
+        step = max(1, SLICE // (left + right))
+        return np.arange(block.begin, block.begin + block.count, frame_period) // frame_period, np.concatenate([x[k : k + step] @ basis for k in range(0, len(x), step)])
+
+    found = blocks.work(blocks.sent(samples, left, right, size), run, size, vectors=True)
+    both = F.arrays_zip(F.slice("x", 1, n_bin).alias("re"), F.slice("x", n_bin + 1, n_bin).alias("im"))
+    return found.select("seq", F.col("n").alias("t"), F.posexplode(both).alias("k", "c")).select("seq", "t", "k", "c.re", "c.im")
 
 
 def flat_response(centre: np.ndarray, length: np.ndarray, filters: list[np.ndarray], sample_rate: float, frame_period: int) -> np.ndarray:
@@ -72,20 +86,32 @@ def icqt(
     """
     centre, length, filters = constant_q(sample_rate, f_min, n_bin, n_bin_per_octave, tuning, filter_scale, norm, window)
     weight = flat_response(centre, length, filters, sample_rate, frame_period)
-    out = None
-    for bins in octaves(n_bin, n_bin_per_octave):
-        size = 2 * (max(len(filters[k]) for k in bins) // 2 + 1)
-        basis = np.zeros((len(bins), size), complex)
-        for row, k in enumerate(bins):
-            begin = size // 2 + int(np.floor(-length[k] / 2))
-            basis[row, begin : begin + len(filters[k])] = filters[k] * (2 * weight[k] / (np.sqrt(length[k]) if scale else length[k]))
-        own = spectra.filter(F.col("k").between(bins[0], bins[-1])).groupBy("seq", "t").agg(F.array_sort(F.collect_list(F.struct("k", "re", "im"))).alias("c"))
-        real = batched(lambda a, b, m=basis: ((a + 1j * b) @ m).real, F.transform("c", lambda v: v["re"]), F.transform("c", lambda v: v["im"]))
-        rows = own.select("seq", "t", F.posexplode(real).alias("j", "x")).select("seq", (F.col("t") * frame_period + F.col("j") - size // 2).cast("long").alias("n"), "x")
-        out = rows if out is None else out.unionByName(rows)
-    if out_length is not None:
-        out = out.filter(F.col("n") < out_length)
-    return out.filter("n >= 0").groupBy("seq", "n").agg(F.sum("x").alias("x"))
+    kernel, left = kernel_rows(length, filters, 2 * weight / (np.sqrt(length) if scale else length))
+    right = kernel.shape[1] - left
+    size = max(blocks.SIZE, left + right)
+    own = spectra.groupBy("seq", "t").agg(F.collect_list(F.struct("k", "re", "im")).alias("c"))
+    part = lambda name: F.transform(F.sequence(F.lit(0), F.lit(n_bin - 1)), lambda k: F.coalesce(F.try_element_at(F.map_from_entries(F.transform("c", lambda v: F.struct(v["k"].cast("int"), v[name]))), k), F.lit(0.0)))
+    vectors = own.select("seq", "t", F.concat(part("re"), part("im")).alias("x"))
+    place = F.col("t") * frame_period
+    sent = blocks.sent_vectors(vectors, place, right, left, size)
+    # a sequence ends where its last frame's filters do
+    ends = spectra.groupBy("seq").agg((F.max("t") * frame_period + right).cast("long").alias("length"))
+    basis = np.concatenate([kernel.real, -kernel.imag])
+
+    def run(block: blocks.Block):
+        count = block.count if out_length is None else min(block.count, out_length - block.begin)
+        if count <= 0 or block.vectors is None:
+            return None
+        y = np.zeros(left + right + size + left + right)
+        step = max(1, SLICE // (left + right))
+        for k in range(0, len(block.numbers), step):
+            at = block.numbers[k : k + step, None] * frame_period - block.begin + right + np.arange(left + right)  # left of a frame's place lies at at - left
+            inside = (at >= 0) & (at < len(y))
+            np.add.at(y, at[inside], (block.vectors[k : k + step] @ basis)[inside])
+        return np.arange(block.begin, block.begin + count), y[left + right : left + right + count]
+
+    return blocks.work(blocks.joined(sent, ends, ["seq"]), run, size)
+
 
 
 PITCH_FORMATS = ("pitch", "f0", "log-f0", "prob")
