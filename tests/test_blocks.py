@@ -261,3 +261,39 @@ def test_constant_q_in_blocks(spark):
         np.testing.assert_allclose(z[:, k], expected, atol=1e-9)
     y = values(voice.icqt(found, 5, 8000, COUNT, 300, 24, 12))
     assert np.corrcoef(y[200:-200], x[200:-200])[0, 1] > 0.99
+
+
+def two_sided(mc, phase):
+    """Coefficients of both signs of time that give the phase."""
+    if phase == "maximum":
+        return np.column_stack([mc[:, :0:-1], mc[:, :1], 0 * mc[:, 1:]])
+    if phase == "minimum":
+        return np.column_stack([0 * mc[:, 1:], mc])
+    return np.column_stack([mc[:, :0:-1] / 2, mc[:, :1], mc[:, 1:] / 2])
+
+
+@pytest.mark.parametrize("phase", filters.PHASES)
+@pytest.mark.parametrize("mode", ["single-stage", "multi-stage", "freq-domain"])
+@pytest.mark.parametrize("ignore_gain", [True, False])
+def test_mixed_phase_holds_the_others(spark, x, phase, mode, ignore_gain):
+    mc = np.random.default_rng(6).normal(size=(44, 4)) * 0.1
+    same = dict(alpha=0.2, mode=mode, ir_length=20, n_fft=128, taylor_order=8, ignore_gain=ignore_gain)
+    a = values(filters.mglsadf(rows(spark, x), frames(spark, mc), 16, phase=phase, **same))
+    b = values(filters.mglsadf(rows(spark, x), frames(spark, two_sided(mc, phase)), 16, phase="mixed", **same))
+    np.testing.assert_allclose(a, b, atol=1e-6)
+
+
+@pytest.mark.parametrize("order", [3, 5, 8])
+def test_rational_synthesis(spark, x, order):
+    mc = np.random.default_rng(7).normal(size=(44, 5)) * 0.15
+    a = values(filters.mglsadf(rows(spark, x), frames(spark, mc), 16, alpha=0.2, ir_length=60, n_fft=256, mode="pade-approx", pade_order=order))
+    b = values(filters.mglsadf(rows(spark, x), frames(spark, mc), 16, alpha=0.2, ir_length=60, n_fft=256, mode="multi-stage", taylor_order=30))
+    assert np.corrcoef(a, b)[0, 1] > 0.999 and np.abs(a - b).max() < 0.1
+    with pytest.raises(ValueError):
+        filters.mglsadf(rows(spark, x), frames(spark, mc), 16, mode="pade-approx", phase="zero")
+
+
+def test_rational_coefficients():
+    np.testing.assert_allclose(filters.pade(2), [1, 1 / 2, 1 / 12])
+    w = filters.pade(5)
+    assert np.polyval(w[::-1], 0.7) / np.polyval(w[::-1], -0.7) == pytest.approx(np.exp(0.7), rel=1e-10)

@@ -240,6 +240,10 @@ def with_frames(rows: DataFrame, frames: DataFrame, frame_period: int) -> DataFr
     return blocks.joined(placed, both, ["seq", "t"])
 
 
+def between(here: np.ndarray, after: np.ndarray, share: np.ndarray) -> np.ndarray:
+    return here + (after - here) * share[:, None]
+
+
 def followed(samples: DataFrame, frames: DataFrame, frame_period: int, left: int, right: int, run: Callable) -> DataFrame:
     """(seq, n, x) of run(values, coefficients) in blocks: samples, and the coefficients of each of their places, from left places before a block to right behind it. It returns a value for each place of the block. Places without a frame have no output."""
     size = max(blocks.SIZE, left + right)
@@ -311,20 +315,36 @@ def poledf(samples: DataFrame, frames: DataFrame, frame_period: int, ignore_gain
 
 
 PHASES = ("minimum", "maximum", "zero")
+#: One more, for coefficients of both signs of time: c[-M], ..., c[0], ..., c[M].
+TWO_SIDED = "mixed"
 
 
-def cepstral_taps(frames: DataFrame, alpha: float, gamma: float, phase: str, ir_length: int, n_fft: int, ignore_gain: bool) -> DataFrame:
-    """Frames of mel-generalised cepstra as impulse responses."""
+def log_responses(mc: np.ndarray, alpha: float, gamma: float, phase: str, n_fft: int, ignore_gain: bool) -> np.ndarray:
+    """Logarithms of the responses of mel-generalised cepstra, on half the circle."""
 
-    def run(mc: np.ndarray) -> np.ndarray:
-        c = convert_cepstrum(mc, n_fft // 2, gamma, 0.0, -alpha, False, False, False, False, n_fft)
+    def half(c: np.ndarray) -> np.ndarray:
+        c = convert_cepstrum(c, n_fft // 2, gamma, 0.0, -alpha, False, False, False, False, n_fft)
         if ignore_gain:
             c[:, 0] = 0
-        log_h = np.fft.rfft(c, n_fft)
-        h = np.fft.irfft(np.exp(log_h.real if phase == "zero" else log_h), n_fft)
-        if phase == "zero":
-            return np.roll(h, ir_length - 1, axis=1)[:, : 2 * ir_length - 1]
-        return h[:, :ir_length] if phase == "minimum" else h[:, :ir_length][:, ::-1]
+        return np.fft.rfft(c, n_fft)
+
+    if phase != TWO_SIDED:
+        log_h = half(mc)
+        return log_h if phase == "minimum" else log_h.conj() if phase == "maximum" else log_h.real
+    require(mixed_phase_needs_an_odd_number_of_coefficients=mc.shape[1] % 2 == 1)
+    middle = mc.shape[1] // 2
+    behind = mc[:, middle::-1].copy()
+    behind[:, 0] = 0
+    return half(mc[:, middle:]) + half(behind).conj()
+
+
+def cepstral_taps(frames: DataFrame, alpha: float, gamma: float, phase: str, ir_length: int, n_fft: int, ignore_gain: bool) -> DataFrame:
+    """Frames of mel-generalised cepstra as impulse responses: from the present sample on, up to it, or to both sides of it."""
+
+    def run(mc: np.ndarray) -> np.ndarray:
+        h = np.fft.irfft(np.exp(log_responses(mc, alpha, gamma, phase, n_fft, ignore_gain)), n_fft)
+        first = 0 if phase == "minimum" else 1 - ir_length
+        return np.take(h, np.arange(first, 1 if phase == "maximum" else ir_length) % n_fft, axis=1)
 
     return frames.select("seq", "t", batched(run, "x").alias("x"))
 
@@ -334,12 +354,7 @@ def on_spectra(samples, frames, frame_period, alpha, gamma, ignore_gain, phase,
     weights = bases.window_values(frame_length, "hanning", symmetric=False)
 
     def run(x: np.ndarray, mc: np.ndarray) -> np.ndarray:
-        c = convert_cepstrum(mc, n_fft // 2, gamma, 0.0, -alpha, False, False, False, False, n_fft)
-        if ignore_gain:
-            c[:, 0] = 0
-        log_h = np.fft.rfft(c, n_fft)
-        log_h = log_h if phase == "minimum" else log_h.conj() if phase == "maximum" else log_h.real
-        return np.fft.irfft(np.fft.rfft(x * weights, n_fft) * np.exp(log_h), n_fft)
+        return np.fft.irfft(np.fft.rfft(x * weights, n_fft) * np.exp(log_responses(mc, alpha, gamma, phase, n_fft, ignore_gain)), n_fft)
 
     both = seq.frame(samples, frame_length, frame_period).join(frames.select("seq", "t", F.col("x").alias("mc")), ["seq", "t"])
     out = both.select("seq", "t", F.posexplode(batched(run, "x", "mc")).alias("j", "x"))
@@ -350,32 +365,63 @@ def on_spectra(samples, frames, frame_period, alpha, gamma, ignore_gain, phase,
     return blocks.joined(added, seq.lengths(samples), ["seq"]).filter("n >= 0 AND n < length").select("seq", "n", (F.col("x") / total).alias("x"))
 
 
+def pade(order: int) -> np.ndarray:
+    """Coefficients of the numerator of the rational approximation of exp; those of the denominator have alternating signs."""
+    return np.array([math.comb(order, k) * math.factorial(2 * order - k) / math.factorial(2 * order) for k in range(order + 1)])
+
+
+def rational(samples: DataFrame, kernels: DataFrame, frame_period: int, order: int) -> DataFrame:
+    """(seq, n, x) through exp(F) as a ratio of polynomials of the strictly causal filter F; kernels: log gain, then F's taps from the last sample on.
+
+    The output comes back into the filter, so a sequence passes through a task in order, as a stream.
+    """
+    weight = pade(order)
+    signs = weight * (-1.0) ** np.arange(order + 1)
+
+    def step(past, x, here, after, share):
+        h = between(here, after, share)
+        taps = h[:, 1:]
+        # powers 0 to order - 1 of F on input and output, the newest sample first
+        past = np.zeros((2 * order, taps.shape[1])) if past is None else past
+        out = np.empty(len(x))
+        for n in range(len(x)):
+            power = past @ taps[n]
+            y = weight[0] * x[n] + weight[1:] @ power[:order] - signs[1:] @ power[order:]
+            past[:, 1:] = past[:, :-1]
+            past[1:order, 0], past[order + 1 :, 0] = power[: order - 1], power[order:-1]
+            past[0, 0], past[order, 0] = x[n], y
+            out[n] = y * math.exp(h[n, 0])
+        return out, past
+
+    rows = with_frames(samples.select("seq", "n", F.coalesce(F.nanvl("x", F.lit(0.0)), F.lit(0.0)).alias("x")), kernels, frame_period)
+    return along(rows, ["x", "here", "after", "share"], lambda: None, step)
+
+
 def mglsadf(
     samples: DataFrame, frames: DataFrame, frame_period: int, alpha: float = 0, gamma: float = 0, c: int | None = None, ignore_gain: bool = False, phase: str = "minimum",
-    mode: str = "single-stage", ir_length: int = 100, n_fft: int = 512, taylor_order: int = 20, frame_length: int | None = None,
+    mode: str = "single-stage", ir_length: int = 100, n_fft: int = 512, taylor_order: int = 20, frame_length: int | None = None, pade_order: int = 5,
 ) -> DataFrame:
     """Synthesis by mel-generalised cepstra that follow the frames: as impulse responses (single-stage), by the exponential series
-    (multi-stage), or on short-time spectra of frame_length, four periods by default (freq-domain)."""
+    (multi-stage), on short-time spectra of frame_length, four periods by default (freq-domain), or as a ratio of polynomials of
+    pade_order (pade-approx, minimum phase only). phase is minimum, maximum, zero, or mixed for coefficients of both signs of time."""
     gamma = -1 / c if c else gamma
-    require(phase_is_known=phase in PHASES, mode_is_known=mode in ("single-stage", "multi-stage", "freq-domain"))
+    require(phase_is_known=phase in (*PHASES, TWO_SIDED), mode_is_known=mode in ("single-stage", "multi-stage", "freq-domain", "pade-approx"))
+    require(the_rational_mode_has_minimum_phase=mode != "pade-approx" or phase == "minimum", pade_order_is_positive=pade_order > 0)
     if mode == "freq-domain":
         return on_spectra(samples, frames, frame_period, alpha, gamma, ignore_gain, phase, frame_length or 4 * frame_period, n_fft)
+    before = 0 if phase == "minimum" else ir_length - 1
     if mode == "single-stage":
         taps = cepstral_taps(frames, alpha, gamma, phase, ir_length, n_fft, ignore_gain)
-        return zerodf(samples, taps, frame_period, zeroth_index=0 if phase == "minimum" else ir_length - 1, taps=2 * ir_length - 1 if phase == "zero" else ir_length)
+        return zerodf(samples, taps, frame_period, zeroth_index=before, taps=ir_length if phase in ("minimum", "maximum") else 2 * ir_length - 1)
 
     def run(mc: np.ndarray) -> np.ndarray:
-        plain = convert_cepstrum(mc, ir_length - 1, gamma, 0.0, -alpha, False, False, False, False, n_fft)
-        gain = np.zeros(len(mc)) if ignore_gain else plain[:, 0].copy()
-        plain[:, 0] = 0
-        if phase == "maximum":
-            plain = plain[:, ::-1]
-        elif phase == "zero":
-            plain = np.column_stack([plain[:, :0:-1] / 2, plain[:, :1], plain[:, 1:] / 2])
-        return np.column_stack([gain, plain])
-
-    filters = frames.select("seq", "t", batched(run, "x").alias("x"))
-    before = 0 if phase == "minimum" else ir_length - 1
+        c = np.fft.irfft(log_responses(mc, alpha, gamma, phase, n_fft, ignore_gain), n_fft)  # of the plain cepstrum, both signs of time
+        places = np.arange(-before, 1 if phase == "maximum" else ir_length)
+        return np.column_stack([c[:, 0], np.where(places == 0, 0.0, np.take(c, places % n_fft, axis=1))])
+
+    kernels = frames.select("seq", "t", batched(run, "x").alias("x"))
+    if mode == "pade-approx":
+        return rational(samples, kernels.withColumn("x", F.concat(F.slice("x", 1, 1), F.slice("x", F.lit(3), F.size("x") - 2))), frame_period, pade_order)
     behind = ir_length - 1 if phase != "maximum" else 0
 
     def stages(x, h):  # nested: each stage filters the one before, over a halo that holds them all
@@ -385,7 +431,7 @@ def mglsadf(
         y = total * np.exp(h[:, 0])
         return y[taylor_order * behind : len(y) - taylor_order * before]
 
-    return followed(samples, filters, frame_period, taylor_order * behind, taylor_order * before, stages)
+    return followed(samples, kernels, frame_period, taylor_order * behind, taylor_order * before, stages)
 
 
 def imglsadf(samples: DataFrame, frames: DataFrame, frame_period: int, **kwargs) -> DataFrame:
