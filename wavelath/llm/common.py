@@ -81,11 +81,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of a piece that holds more than one row.
+PIECE = 1 << 24
+
+
 def pieces(batches: Iterator, rows: int = 512) -> Iterator:
-    """The same rows in smaller Arrow batches, so that what a task holds at once stays small."""
+    """The same rows in smaller Arrow batches, bounded in rows and in bytes, so that what a task holds at once stays small: very long texts come one by one."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        todo = [batch.slice(at, rows) for at in range(batch.num_rows - 1 - (batch.num_rows - 1) % rows, -1, -rows)] if batch.num_rows else []
+        while todo:
+            part = todo.pop()
+            if part.num_rows > 1 and part.nbytes > PIECE:
+                half = part.num_rows // 2
+                todo += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
 
 
 def text_bytes(column: str = "text"):

@@ -97,6 +97,8 @@ IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Characters of a library, at most: every task holds the templates of its candidates' library. Larger ones are scanned in parts.
+LIBRARY = 1 << 27
 #: What a run of words put in or left out costs an alignment that gains 2 by a match.
 GAP = 3
 #: So many foreign words may stand between two parts of one find, also where the template is shorter.
@@ -279,6 +281,8 @@ def finds(text: str, hits: list[dict], templates: dict[str, tuple[list[int], int
 def scan(docs: DataFrame, library: dict[str, str] = NOTICES, settings: LicenseScan = LicenseScan()) -> DataFrame:
     """A row for each license found in docs (doc_id, text): doc_id, license, coverage, start, end, matched_words."""
     spark = docs.sparkSession
+    if sum(map(len, library.values())) > LIBRARY:
+        raise ValueError(f"a library has at most {LIBRARY} characters: scan with parts of it")
     templates, rows = {}, []
     for name, text in library.items():
         words = words_of(text.encode())[0]
