@@ -10,10 +10,12 @@ Links are grouped by union-find.
 
 In a band's bucket every member is held against the smallest one, unless the two
 are already linked through the smallest member that it meets in most bands.
-Where a bucket still has several components after that, the members outside its
-largest component are held against all of its members in blocks of bounded size.
-So every candidate pair is decided unless it is already linked through others,
-and no bucket is gathered whole.
+Where a bucket still has several components after that, its members go into an
+exact join on rare shingles: of two sets similar enough, the rarest tenth of the
+smaller one and the rarest fifth of the larger one share a shingle, at places early
+enough for the rest to make up the overlap. Only members of different components
+meet there. So every candidate pair is decided unless it is already linked through
+others, no bucket is gathered whole, and no bucket's members are all paired.
 
 With the default bands a pair at the bound shares none with probability 5e-6,
 and the estimate drops it with probability below 1e-6.
@@ -40,9 +42,6 @@ from pyspark.sql import functions as F
 from .common import mix64, packed, pieces, stage_table, table
 from .components import components
 
-#: Partners that a member meets in one task.
-PARTNERS = 512
-
 
 @dataclass(frozen=True)
 class NearDuplicates:
@@ -53,9 +52,8 @@ class NearDuplicates:
     rows: int = 6
     #: Candidates below this estimate are not held against each other in full.
     estimate: float = 0.62
-    #: Members of a block in a bucket with several components, and hashes of a member's sketch there.
-    block: int = 256
-    sketch: int = 1024
+    #: Partners that a member meets in one task.
+    block: int = 512
 
     @property
     def places(self) -> int:
@@ -146,13 +144,13 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
 
 
-def beside(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+def beside(pairs: DataFrame, rows: DataFrame, column: str, block: int = NearDuplicates.block) -> DataFrame:
     """pairs (a, b) with the column of both sides as x and y. rows: node and the column.
 
     A member a with many partners is dealt out over several tasks, each with a copy of its row: one copy for each
-    PARTNERS pairs.
+    block of pairs.
     """
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     dealt = pairs.join(rows.select(F.col("node").alias("b"), F.col(column).alias("y")), "b").join(parts.filter("parts > 1"), "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), "parts").cast("int"), F.lit(0)))
     copies = rows.select(F.col("node").alias("a"), F.col(column).alias("x")).join(parts, "a").select("a", "x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     return dealt.join(copies, ["a", "part"]).select("a", "b", "x", "y")
@@ -166,7 +164,7 @@ def likely(pairs: DataFrame, classes: DataFrame, settings: NearDuplicates) -> Da
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, settings.places) for c in ("x", "y"))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(agreeing(x, y) >= settings.estimate))
 
-    return beside(pairs, classes, "light").mapInArrow(run, "a long, b long")
+    return beside(pairs, classes, "light", settings.block).mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, settings: NearDuplicates) -> DataFrame:
@@ -188,83 +186,45 @@ def confirmed(pairs: DataFrame, texts: DataFrame, settings: NearDuplicates) -> D
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     # read twice: once to count a member's partners, once to join them
-    return beside(stage_table(pairs, "pairs"), texts, "text").mapInArrow(run, "a long, b long")
+    return beside(stage_table(pairs, "pairs"), texts, "text", settings.block).mapInArrow(run, "a long, b long")
+
 
+def across(buckets: DataFrame, labels: DataFrame, texts: DataFrame, settings: NearDuplicates) -> DataFrame:
+    """All pairs of different components that may be linked, of the members of buckets that hold several. buckets: key, node, size.
 
-def sketches(nodes: DataFrame, texts: DataFrame, settings: NearDuplicates) -> DataFrame:
-    """Of each node: sketch, the settings.sketch smallest 32-bit hashes of its shingles, the whole set where that is smaller."""
+    A set's shingles stand in order of how many of these sets have them, the rarest first (rank). Shingles of one set alone
+    come first of all and need no row. Of a pair with sizes x >= y and enough in common, the first common shingle stands
+    among the first x - ceil(p x) + 1 of the larger and the first y - ceil(2p / (1 + p) y) + 1 of the smaller set, and
+    behind it enough is left in both. Of a shingle's sets those of its largest component do not meet each other.
+    """
 
     def run(batches):
         hashes = WordHashes()
         for batch in pieces(batches, 128):
-            kept = [np.unique((shingles(t, settings.words, hashes) >> np.uint64(32)).astype(np.uint32))[: settings.sketch] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([k.tobytes() for k in kept], pa.binary())], ["node", "sketch"])
-
-    return texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(run, "node long, sketch binary")
-
-
-def sketched(a: np.ndarray, b: np.ndarray, size: int) -> tuple[float, bool]:
-    """Similarity from two sketches, and whether it is that of whole sets."""
-    whole = len(a) < size and len(b) < size
-    if not len(a) or not len(b):
-        return 0.0, whole
-    both = np.intersect1d(a, b, assume_unique=True)
-    if whole:
-        return len(both) / (len(a) + len(b) - len(both)), True
-    last = np.sort(np.concatenate([a, np.setdiff1d(b, both, assume_unique=True)]))[: size][-1]
-    return float((both <= last).sum()) / min(size, len(a) + len(b) - len(both)), False
+            own = [shingles(t, settings.words, hashes).view(np.int64) for t in batch.column("text").to_pylist()]
+            at = pa.array(np.cumsum([0, *map(len, own)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "component", "mark")), pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int64), *own])))], ["node", "component", "mark", "own"])
 
-
-def across(buckets: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, settings: NearDuplicates) -> DataFrame:
-    """Likely pairs between components inside buckets of three or more, in blocks. buckets: key, node, first, size.
-
-    Blocks hold sketches, on which members are compared where they stand: of the pairs of a member with another component
-    the one most alike goes on where whole sets were compared, all that may be linked where they were not.
-    """
+    p = settings.percent
     named = buckets.filter("size > 2").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    counted = named.groupBy("key", "component").count()
-    open_ = (
-        counted.groupBy("key")
-        .agg(F.count("*").alias("parts"), F.sum("count").alias("size"), F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("largest"))
-        .filter("parts > 1")
-        .selectExpr("key", "main", f"int(ceil(size / {settings.block}D)) blocks", f"int(ceil((size - largest) / {settings.block}D)) query_blocks")
-    )
-    members = stage_table(named.join(open_, "key"), "open")
-    own = stage_table(sketches(members.select("node").distinct(), texts, settings), "sketches")
-    members = members.join(classes.select("node", "light"), "node").join(own, "node")
-    mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    asked = F.pmod(F.xxhash64("node", F.lit(1)), "query_blocks").cast("int")
-    row = ["key", "node", "component", "light", "sketch"]
-    rows = members.select(*row, mine.alias("block"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("asks"), F.lit(False).alias("query")).unionByName(
-        members.filter("component <> main").select(*row, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), asked.alias("asks"), F.lit(True).alias("query"))
-    )
-    blocks = rows.groupBy("key", "block", "asks").agg(F.collect_list(F.struct("query", *row[1:])).alias("members")).select("members")
-
-    least = settings.percent / 100
-
-    def run(batches):
-        for batch in pieces(batches, 16):
-            out: list[tuple[int, int]] = []
-            for members in batch.column("members").to_pylist():
-                query = np.array([m["query"] for m in members])
-                nodes, parts = (np.array([m[c] for m in members], np.int64) for c in ("node", "component"))
-                light = np.frombuffer(b"".join(m["light"] for m in members), np.uint8).reshape(len(members), settings.places)
-                sets = [np.frombuffer(m["sketch"], np.uint32) for m in members]
-                for k in np.flatnonzero(query):
-                    hit = ~query & (parts != parts[k])
-                    hit[hit] = agreeing(light[hit], light[k]) >= settings.estimate
-                    best: dict[int, tuple[float, int]] = {}
-                    for other in np.flatnonzero(hit):
-                        alike, whole = sketched(sets[k], sets[other], settings.sketch)
-                        if not whole and alike >= least - 0.08:  # six standard errors
-                            out.append((nodes[other], nodes[k]))
-                        elif whole and alike >= least - 0.01:
-                            best[parts[other]] = max(best.get(parts[other], (0.0, 0)), (alike, nodes[other]))
-                    out += [(other, nodes[k]) for _, other in best.values()]
-            pairs = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
-
-    return blocks.mapInArrow(run, "a long, b long").distinct()
+    several = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    members = stage_table(named.join(several, "key").select("node", "component").distinct(), "open")
+    sets = stage_table(texts.join(members, "node").select("node", "component", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, "node long, component long, mark long, own array<long>"), "sets")
+    each = sets.select("node", "component", "mark", F.size("own").alias("size"), F.explode("own").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count("*").alias("sets")).filter("sets > 1")
+    whole = W.partitionBy("node", "mark")
+    rank = F.col("size") - F.count("*").over(whole) + F.row_number().over(whole.orderBy("sets", "shingle")) - 1
+    first = each.join(common, "shingle").withColumn("rank", rank).filter(f"100 * (size - rank) >= {p} * size")
+    counted = first.groupBy("shingle", "component").count().groupBy("shingle").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("count", "component")).alias("main"))
+    rows = stage_table(first.join(counted.filter("parts > 1").drop("parts"), "shingle").withColumn("early", F.expr(f"{100 + p} * (size - rank) >= {2 * p} * size")), "first")
+
+    def met(larger: str, smaller: str) -> DataFrame:
+        x = rows.filter(larger).select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("node", "component", "size", "rank")])
+        y = rows.filter(smaller).select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("node", "component", "size", "rank")])
+        enough = f"x_size >= y_size AND 100 * y_size >= {p} * x_size AND {100 + p} * least(x_size - x_rank, y_size - y_rank) >= {p} * (x_size + y_size)"
+        return x.join(y, "shingle").filter(f"x_component <> y_component AND {enough}").selectExpr("least(x_node, y_node) a", "greatest(x_node, y_node) b")
+
+    return met("component <> main", "early").unionByName(met("component = main", "early AND component <> main")).distinct()
 
 
 def labelled(docs: DataFrame, settings: NearDuplicates) -> DataFrame:
@@ -288,11 +248,11 @@ def labelled(docs: DataFrame, settings: NearDuplicates) -> DataFrame:
     second = confirmed(likely(others.selectExpr("first a", "node b"), classes, settings), texts, settings)
     links = stage_table(links.unionByName(second), "links")
     labels = stage_table(components(links), "labels")
-    more = confirmed(across(buckets, labels, classes, texts, settings), texts, settings)
+    more = confirmed(across(buckets, labels, texts, settings), texts, settings)
     labels = components(links.unionByName(stage_table(more, "more")))
     groups = firsts.join(labels, "node", "left").select("name", "least", F.coalesce("component", "node").alias("component"))
     lows = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = stage_table(groups.join(lows, "component").select("name", "component_id", F.coalesce("component_id", "component").alias("smallest")), "named")
+    named = groups.join(lows, "component").select("name", "component_id", F.coalesce("component_id", "component").alias("smallest"))
     found = rows.select("doc_id", "n_shingles", "name", "node").join(named, "name", "left")
     return found.select("doc_id", "node", "n_shingles", F.coalesce("smallest", "node").alias("smallest"), F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
