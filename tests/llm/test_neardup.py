@@ -138,35 +138,3 @@ def test_links_are_contracted_in_pieces(spark, monkeypatch):
     assert len(out) == 5 and max(b.num_rows for b in out) <= 6
     joined = components.union([x for b in out for x in b.column(0).to_pylist()], [x for b in out for x in b.column(1).to_pylist()])
     assert set(joined.values()) == {0}
-
-
-def test_rare_shingles_find_every_pair(spark):
-    """Sets with a common bulk: every pair of different components that is similar enough is found, and few others."""
-    rng = random.Random(3)
-    bulk = [f"b{k}" for k in range(40)]
-    texts = {}
-    for k in range(120):
-        words = list(bulk)
-        for _ in range(rng.choice([1, 2, 3, 8])):
-            at = rng.randrange(len(words))
-            words[at : at + 1] = [f"u{rng.randrange(60)}"] * rng.choice([1, 1, 2])
-        texts[k] = " ".join(words)
-    size = NearDuplicates(words=2)
-    frame = spark.createDataFrame(list(texts.items()), "node long, text string")
-    buckets = spark.createDataFrame([(1, k, len(texts)) for k in texts], "key long, node long, size long")
-    labels = spark.createDataFrame([(k, 0) for k in range(0, 120, 3)], "node long, component long")
-    found = {(r["a"], r["b"]) for r in neardup.across(buckets, labels, frame, size).collect()}
-    own = {k: sets(t, 2) for k, t in texts.items()}
-    part = lambda k: 0 if k % 3 == 0 else k
-    pairs = {(i, j) for i in texts for j in texts if i < j and part(i) != part(j)}
-    alike = {(i, j) for i, j in pairs if 100 * len(own[i] & own[j]) >= 80 * len(own[i] | own[j])}
-    assert alike and alike <= found <= pairs and len(found) < len(pairs)
-
-
-def test_a_bucket_of_unlike_members_meets_in_few_pairs(spark):
-    """Members that share most of a text but not enough of it are not paired with each other."""
-    bulk = [f"b{k}" for k in range(170)]
-    frame = spark.createDataFrame([(k, " ".join(bulk + [f"u{k}_{j}" for j in range(30)])) for k in range(400)], "node long, text string")
-    buckets = spark.createDataFrame([(1, k, 400) for k in range(400)], "key long, node long, size long")
-    labels = spark.createDataFrame([], "node long, component long")
-    assert neardup.across(buckets, labels, frame, NearDuplicates(words=2)).count() == 0
