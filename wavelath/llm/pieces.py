@@ -109,24 +109,27 @@ class Normalizer:
                 kept[last:] = False
             raw, at = raw[kept], at[kept]
         if not len(raw):
-            return "", np.array([0])
+            return "", np.zeros(1, np.int32)
         first = [at[0]] if self.prefix else []
         if self.escape:
-            at = np.repeat(at, np.where(raw == 32, len(space), 1))
+            at = np.repeat(at, 1 + (len(space) - 1) * (raw == 32))
             new = raw.tobytes().replace(b" ", space)
         else:
             new = raw.tobytes()
-        return ((space if self.prefix else b"") + new).decode(), np.concatenate([np.repeat(np.array(first, np.int64), len(space)), at, [end]])
+        return ((space if self.prefix else b"") + new).decode(), np.concatenate([np.repeat(np.array(first, np.int32), len(space)), at, np.array([end], np.int32)])
 
     def _replaced(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """The bytes after the longest prefixes are replaced, and the source byte at which each one's character or prefix begins."""
         raw = np.frombuffer(data, np.uint8)
-        head = (raw & 0xC0) != 0x80
-        starts = np.flatnonzero(head)
-        at = np.repeat(starts, np.diff(starts, append=len(raw))) if head[:1].all() else np.arange(len(raw))
+        at = np.arange(len(raw), dtype=np.int32)
+        head = True
+        if not data.isascii():
+            head = (raw & 0xC0) != 0x80
+            at = np.maximum.accumulate(np.where(head, at, 0))
         out, places, done = [], [], 0
         first = getattr(self.map, "first", None)  # a map that does not know them is asked at every character
-        for k in np.flatnonzero(head if first is None else first[raw] & head).tolist():
+        asked = np.ones(len(raw), bool) & head if first is None else first[raw] & head if first.any() else ()
+        for k in np.flatnonzero(asked).tolist():
             if k < done or not (found := self.map.longest(data, k)):
                 continue
             length, new = found
