@@ -6,7 +6,7 @@ operators, and held against SQL.
 
 from __future__ import annotations
 
-from . import chunking, decontam, licenses, linededup, neardup, pieces, private, quality, secrets, tokencounts, wordruns
+from . import chunking, collocations, decontam, licenses, linededup, neardup, pieces, private, quality, secrets, tokencounts, wordruns
 
 QUERIES = (
     chunking.op1_payload_chunks,
@@ -20,6 +20,7 @@ QUERIES = (
     tokencounts.op9_section_tokens,
     quality.op10_random_indexing,
     wordruns.op12_word_runs,
+    collocations.op13_collocations,
 )
 
 
@@ -64,7 +65,26 @@ LUHN = (
     f"list_sum(list_transform(range(length({DIGITS})), lambda i: CASE WHEN (length({DIGITS}) - i) % 2 = 1 THEN substr({DIGITS}, i + 1, 1)::INT "
     f"WHEN substr({DIGITS}, i + 1, 1)::INT > 4 THEN 2 * substr({DIGITS}, i + 1, 1)::INT - 9 ELSE 2 * substr({DIGITS}, i + 1, 1)::INT END)) % 10 = 0"
 )
+#: op13 from its definition: every phrase is counted, whether frequent or not.
+COLLOCATIONS = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOW}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+spans AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 6) AS sizes(k) WHERE len(w) >= k),
+counts AS (SELECT lang, array_to_string(w[i : i + k - 1], ' ') AS phrase, k, count(*) AS a FROM spans GROUP BY ALL),
+sums AS (SELECT lang, sum(a)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND a >= 100),
+inside AS (SELECT DISTINCT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, a AS longer FROM (SELECT *, unnest(range(1, k - s + 2)) AS i FROM candidates, range(2, 5) AS sizes(s) WHERE s < k)),
+kept AS (SELECT c.* FROM candidates c WHERE NOT EXISTS (SELECT 1 FROM inside x WHERE x.lang = c.lang AND x.phrase = c.phrase AND 100 * x.longer >= 100 * c.a)),
+cuts AS (SELECT *, unnest(range(1, k)) AS j FROM kept),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.j, l.a AS l, r.a AS r, n, (1000::HUGEINT * c.a * n // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM cuts c JOIN sums USING (lang) JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : c.j], ' ') JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.j + 1 :], ' ')
+),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM lowest QUALIFY rank <= 2000
+"""
 ORACLES = {
+    "op13_collocations": COLLOCATIONS,
     "payload_digests": f"SELECT doc_id, {SIZE}::BIGINT AS n_bytes, {PAYLOAD} AS payload_bytes, sha256({TEXT} || repeat(' ', ({PAYLOAD} - {SIZE})::INT)) AS payload_sha256 FROM documents",
     "shingle_counts": (
         rf"WITH w AS (SELECT doc_id, regexp_extract_all({LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents) "
