@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import mix64, pieces, stage_table, table
+from .common import bitmap, lets_through, mix64, pieces, stage_table, table
 
 #: Signs that end a piece.
 SIGNS = b".,;:!?\n\x0b\x0c\r"
@@ -140,11 +140,6 @@ class Languages(dict):
         return np.fromiter(map(own.__getitem__, tokens), np.uint64, len(tokens))
 
 
-def lets_through(mask: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
-    at = keys >> np.uint64(64 - bits)
-    return mask[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
-
-
 def window_keys(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows of words that all have a hash, and their places."""
     if len(hashes) < size:
@@ -188,17 +183,6 @@ def summed(held_of):
     return run
 
 
-def bitmap(spark, cells: DataFrame, bits: int, settings: Collocations) -> tuple:
-    """A broadcast bitmap of the first bits of cells (of so many bits), and how many bits it is over: of fixed size, whatever cells holds."""
-    own = min(bits, settings.map_bits)
-    bit = F.shiftrightunsigned("cell", bits - own) + 1
-    rows = cells.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("map")).toArrow()
-    mask = np.zeros(max(1 << own >> 3, 4096), np.uint8)
-    for bucket, part in zip(rows.column("bucket").to_pylist(), rows.column("map").to_pylist(), strict=True):
-        mask[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(part, np.uint8)
-    return spark.sparkContext.broadcast(mask), own
-
-
 def frequent_words(words: DataFrame, bits: int) -> DataFrame:
     """Rows (cell) of words (lang, word)."""
 
@@ -344,7 +328,6 @@ def occurrences(rows: DataFrame, candidates: DataFrame, settings: Collocations)
 
 def counted(docs: DataFrame, settings: Collocations = Collocations()) -> tuple[DataFrame, DataFrame]:
     """Of docs (lang, text): words (lang, word, n) that occur settings.least times, and phrases (lang, phrase, n) of several words that do; exact. A word "" has the number of all words of its language."""
-    spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter("text IS NOT NULL")
     # no word is empty: under that name stands the sum
     every = stage_table(word_counts(texts), "words")
@@ -352,10 +335,10 @@ def counted(docs: DataFrame, settings: Collocations = Collocations()) -> tuple[D
     total = words.filter("word = ''").agg(F.sum("n")).first()[0] or 0
     bits = max(20, (total * settings.cells).bit_length())
     often = F.col("n") >= settings.least
-    word_map = bitmap(spark, frequent_words(words.filter("word <> ''"), bits), bits, settings)
-    pair_map = bitmap(spark, pair_cells(texts, *word_map, bits).filter(often), bits, settings)
+    word_map = bitmap(frequent_words(words.filter("word <> ''"), bits), bits, settings.map_bits)
+    pair_map = bitmap(pair_cells(texts, *word_map, bits).filter(often), bits, settings.map_bits)
     rows = stage_table(stretches(texts, *word_map, *pair_map), "stretches")
-    phrase_map = bitmap(spark, phrase_cells(rows, bits, settings).filter(often), bits, settings)
+    phrase_map = bitmap(phrase_cells(rows, bits, settings).filter(often), bits, settings.map_bits)
     candidates = stage_table(phrases(rows, *phrase_map, settings), "candidates")
     return words, stage_table(occurrences(rows, candidates, settings).filter(often), "phrases")
 

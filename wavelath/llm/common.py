@@ -101,3 +101,20 @@ def pieces(batches: Iterator, rows: int = 512) -> Iterator:
 def text_bytes(column: str = "text"):
     """A text column as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
+
+
+def bitmap(cells: DataFrame, bits: int, map_bits: int) -> tuple:
+    """A broadcast bitmap of the column cell (numbers of so many bits), and how many bits it is over: their first map_bits, so that its size is fixed whatever cells holds."""
+    own = min(bits, map_bits)
+    bit = F.shiftrightunsigned("cell", bits - own) + 1
+    rows = cells.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("map")).toArrow()
+    mask = np.zeros(max(1 << own >> 3, 4096), np.uint8)
+    for bucket, part in zip(rows.column("bucket").to_pylist(), rows.column("map").to_pylist(), strict=True):
+        mask[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(part, np.uint8)
+    return cells.sparkSession.sparkContext.broadcast(mask), own
+
+
+def lets_through(mask: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+    """Whether a bitmap of the first bits of keys of 64 bits has those of each key."""
+    at = keys >> np.uint64(64 - bits)
+    return mask[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0

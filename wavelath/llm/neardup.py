@@ -290,6 +290,11 @@ def labelled(docs: DataFrame, settings: NearDuplicates) -> DataFrame:
     labels = stage_table(components(links), "labels")
     more = confirmed(across(buckets, labels, classes, texts, settings), texts, settings)
     labels = components(links.unionByName(stage_table(more, "more")))
+    return reported(rows, firsts, labels)
+
+
+def reported(rows: DataFrame, firsts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of rows (doc_id, node, n_shingles, name), the first node and smallest id of each name, and components: rows of doc_id, node, n_shingles, smallest (the node that stands for its group), component_id."""
     groups = firsts.join(labels, "node", "left").select("name", "least", F.coalesce("component", "node").alias("component"))
     lows = groups.groupBy("component").agg(F.min("least").alias("component_id"))
     named = stage_table(groups.join(lows, "component").select("name", "component_id", F.coalesce("component_id", "component").alias("smallest")), "named")

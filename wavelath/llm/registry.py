@@ -6,7 +6,7 @@ operators, and held against SQL.
 
 from __future__ import annotations
 
-from . import chunking, collocations, decontam, licenses, linededup, neardup, pieces, private, quality, secrets, tokencounts, wordruns
+from . import chunking, collocations, decontam, licenses, linededup, neardup, ngramjoin, pieces, private, quality, secrets, tokencounts, wordruns
 
 QUERIES = (
     chunking.op1_payload_chunks,
@@ -19,6 +19,7 @@ QUERIES = (
     private.op8_bootstrapped_contexts,
     tokencounts.op9_section_tokens,
     quality.op10_random_indexing,
+    ngramjoin.op11_ngram_join,
     wordruns.op12_word_runs,
     collocations.op13_collocations,
 )
