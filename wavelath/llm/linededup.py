@@ -19,11 +19,14 @@ Sums of masked word hashes stand for runs of words; a place in the line, counted
 from its beginning or from its end, is part of each hash.
 
 Lines of fewer than min_words words stay in their text, as headings and signs
-repeat everywhere; of fewer than fuzzy_words, only equal lines are dropped. A row
-is a copy as a whole when each of its lines with words is dropped or, if it is
-shorter, stands in an earlier row: then nothing in it is its own. The earliest line is the one of the smallest doc_id, then of
-the smallest place in the text; rows without a doc_id come last. Rows that share
-doc_id and text are treated alike. Null texts stay null, empty ones empty.
+repeat everywhere; every other line takes part with its neighbourhood. A row is a
+copy as a whole when each of its lines of that length is dropped and its shorter
+ones stand together in one earlier row: an earlier row has the same set of short
+lines, or all of them first stood in the same row. Short lines that stand in
+several earlier rows, one here and one there, leave it in place. The earliest line
+is the one of the smallest doc_id, then of the smallest place in the text; rows
+without a doc_id come last. Rows that share doc_id and text are treated alike.
+Null texts stay null, empty ones empty.
 """
 
 from __future__ import annotations
@@ -46,7 +49,8 @@ HALVES = ["a0", "b0", "a1", "b1"]
 @dataclass(frozen=True)
 class LineDedup:
     min_words: int = 5
-    fuzzy_words: int = 10
+    #: Shortest line that has near copies.
+    fuzzy_words: int = 5
 
 
 def row_key() -> dict[str, Column]:
@@ -145,15 +149,26 @@ def near_copies(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return both.filter(one_edit(F.col("words"), F.col("earlier"), F.col("at"))).select(*PLACE)
 
 
+def together(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """doc, mark: rows whose short lines stand together in an earlier row. copies: short lines that an earlier row has, each with the place that it first stood at."""
+    sets = stage_table(rows.filter("short").select("doc", "mark", "h1", "h2").distinct().groupBy("doc", "mark").agg(F.count("*").alias("n"), F.bit_xor("h1").alias("x"), F.bit_xor("h2").alias("y")), "sets")
+    alike = sets.groupBy("n", "x", "y").agg(F.min(F.struct("doc", "mark")).alias("row"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    same = sets.join(alike, ["n", "x", "y"]).filter(F.struct("doc", "mark") > F.col("row"))
+    held = copies.select("doc", "mark", "h1", "h2", F.struct("first.doc", "first.mark").alias("row")).distinct().groupBy("doc", "mark").agg(F.count("*").alias("n"), F.min("row").alias("low"), F.max("row").alias("high"))
+    one = held.filter("low = high").join(sets, ["doc", "mark", "n"])
+    return same.select("doc", "mark").unionByName(one.select("doc", "mark")).distinct()
+
+
 def dropped(docs: DataFrame, settings: LineDedup = LineDedup()) -> DataFrame:
-    """Per row with such lines: doc, mark, the places of those to drop in gone, and of short ones that an earlier row has in copied. docs: doc, mark, text."""
-    rows = stage_table(lines(docs, settings), "lines")  # read twice: cheaper than the texts
+    """Per row with such lines: doc, mark, the places of those to drop in gone, and in copied the places of its short lines if these stand together in an earlier row. docs: doc, mark, text."""
+    rows = stage_table(lines(docs, settings), "lines")  # read several times: cheaper than the texts
     distinct = stage_table(firsts(rows), "distinct")
     near = stage_table(near_copies(docs, distinct), "near")
     copies = rows.select(*PLACE, "h1", "h2", "short").join(distinct.filter("n > 1").select("h1", "h2", F.struct(*PLACE).alias("first")), ["h1", "h2"])
-    row = F.struct("doc", "mark")
-    again = F.when(F.col("short"), row != F.struct("first.doc", "first.mark")).otherwise(F.struct(*PLACE) != F.col("first"))
-    places = copies.filter(again).select(*PLACE, "short").unionByName(near.withColumn("short", F.lit(False)))
+    equal = copies.filter(~F.col("short") & (F.struct(*PLACE) != F.col("first"))).select(*PLACE, "short")
+    early = copies.filter(F.col("short") & (F.struct("doc", "mark") != F.struct("first.doc", "first.mark")))
+    short = rows.filter("short").select(*PLACE, "short").join(together(rows, early), ["doc", "mark"])
+    places = equal.unionByName(short.select(*PLACE, "short")).unionByName(near.withColumn("short", F.lit(False)))
     return stage_table(places.groupBy("doc", "mark").agg(F.collect_set(F.expr("if(short, null, line_no)")).alias("gone"), F.collect_set(F.expr("if(short, line_no, null)")).alias("copied")), "gone")
 
 
