@@ -9,14 +9,21 @@ must agree: the same value of the item always became the same value in the
 document, and different values of the same type stayed different. An alignment
 counts where the consistent windows cover enough of the item's words.
 
-A name is a capitalised word that neither begins the text or a line nor follows
-the end of a sentence, so that no list of names is needed. A single letter, and
-"in", are units only behind a number.
+A name is a capitalised word, so that no list of names is needed. One that begins
+the text, a line or a sentence may be a name or not: windows with such words are
+read both ways, as words and as names, on either side, and an alignment is judged
+under each reading apart. A single letter, and "in", are units only behind a
+number.
+
+Items of one template, with equal values in the same slots, are one class: windows
+are joined with the class, values are those of its smallest item_id, and a match
+names that item and how many the class has.
 
 A window with few words that are no placeholders says little as a template. Such
 a window of an item is compared word for word instead, and as a template it is
-made longer until it holds enough other words, up to max_window words. An item
-without that many other words matches word for word only.
+made longer until it holds enough other words, up to max_window words. Items shorter
+than a window need half of their words so, three at least. An item without that
+many other words matches word for word only.
 
 The benchmark decides which windows of a document are worth a row: a bitmap of
 fixed size over the benchmark's window hashes lets through all true matches and
@@ -107,11 +114,13 @@ class Canon(dict):
             self.new = []
 
 
+#: Of a window: its doubtful words are read as words, as names, or there are none.
+AS_WORDS, AS_NAMES, PLAIN = 0, 1, 2
 NAME_HASH, UNIT_HASH = (np.uint64(xxhash.xxh3_64_intdigest(b"\0%d" % kind)) for kind in (NAME, UNIT))
 
 
-def canonical(texts: list[str], words: Canon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, types and numbers of the texts' canonical words one after another, and whose they are; words of signs alone are left out."""
+def canonical(texts: list[str], words: Canon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, types and numbers of the texts' canonical words one after another, whose they are, and which may be names though they begin something; words of signs alone are left out."""
     if len(words) > 300_000:  # bounds the memory
         words.forget()
     lines = [line.split() for text in texts for line in text.split("\n")]
@@ -131,7 +140,12 @@ def canonical(texts: list[str], words: Canon) -> tuple[np.ndarray, np.ndarray, n
     unit[:1] = False
     unit[1:] &= (kinds[:-1] == NUM) & (owner[1:] == owner[:-1])
     kinds[unit], hashes[unit] = UNIT, UNIT_HASH
-    return hashes, kinds, ids, owner
+    return hashes, kinds, ids, owner, begins & words.capital[ids] & (kinds == 0)
+
+
+def enough(size: int, settings: Decontaminator) -> int:
+    """How many words of a window must be no placeholders."""
+    return settings.literals if size >= settings.window else min(settings.literals, size, max(3, -(-size // 2)))
 
 
 def windows(kinds: np.ndarray, owner: np.ndarray, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +154,7 @@ def windows(kinds: np.ndarray, owner: np.ndarray, size: int, literals: int) -> t
         return np.zeros(0, np.int64), np.zeros(0, bool)
     plain = np.concatenate([[0], np.cumsum(kinds == 0)])
     at = np.flatnonzero(owner[size - 1 :] == owner[: len(owner) - size + 1])
-    return at, plain[at + size] - plain[at] >= min(literals, size)
+    return at, plain[at + size] - plain[at] >= literals
 
 
 def extended(kinds: np.ndarray, owner: np.ndarray, at: np.ndarray, settings: Decontaminator) -> tuple[np.ndarray, np.ndarray]:
@@ -161,16 +175,26 @@ def named(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-SLOTS = "array<struct<type:int,at:int,value:string>>"
-WINDOW = f"place int, words int, hash long, size int, slots {SLOTS}"
-SLOT_TYPE = pa.list_(pa.struct([("type", pa.int32()), ("at", pa.int32()), ("value", pa.string())]))
+SLOTS = "array<struct<type:int,at:int,value:string,same:int>>"
+WINDOW = f"place int, words int, hash long, size int, reading int, class long, slots {SLOTS}"
+SLOT_TYPE = pa.list_(pa.struct([("type", pa.int32()), ("at", pa.int32()), ("value", pa.string()), ("same", pa.int32())]))
+
+
+def template_class(names: np.ndarray, kinds: np.ndarray, values: list[str], exact: np.ndarray | None) -> tuple[int, list[int]]:
+    """A digest of an item's template and of which of its slots have equal values, and of its words too, where some of its windows are compared word for word; and for each place the first one with an equal value."""
+    seen: dict[tuple[int, str], int] = {}
+    same = [seen.setdefault((k, v), place) if k else place for place, (k, v) in enumerate(zip(kinds.tolist(), values, strict=True))]
+    found = xxhash.xxh3_64(names.tobytes() + np.array(same, np.int64).tobytes())
+    if exact is not None:
+        found.update(exact.tobytes())
+    return int(np.uint64(found.intdigest()).view(np.int64)), same
 
 
 def window_rows(rows_of: DataFrame, key: str, settings: Decontaminator, sizes: list[int], bitmap=None) -> DataFrame:
-    """Each window of each text: key, place, words (of the text), hash, size, slots (type, offset in the window, value).
+    """Each window of each text: key, place, words (of the text), hash, size, reading, class, slots (type, offset in the window, value).
 
     With a bitmap, the windows of all sizes that it lets through; without one, those of settings.window, or of the whole text if that is shorter, and
-    longer ones where these hold too few words that are no placeholders. Slots of windows compared word for word are numbers only: these need no context.
+    longer ones where these hold too few words that are no placeholders, and the class of the text's template. Slots of windows compared word for word are numbers only: these need no context.
     """
 
     def run(batches):
@@ -178,79 +202,103 @@ def window_rows(rows_of: DataFrame, key: str, settings: Decontaminator, sizes: l
         mask = None if bitmap is None else bitmap.value
         for batch in pieces(batches, 128):
             texts = [text or "" for text in batch.column("text").to_pylist()]
-            hashes, kinds, ids, owner = canonical(texts, words)
+            hashes, kinds, ids, owner, doubtful = canonical(texts, words)
             lengths = np.bincount(owner, minlength=len(texts))
             first = np.cumsum(lengths) - lengths
             own = np.minimum(lengths, settings.window)
             keys, rows = batch.column(key).to_pylist(), []
             exact_hashes = words.exact[ids]
-            groups = []  # size, whether word for word, places
+            names, types = np.where(doubtful, NAME_HASH, hashes), np.where(doubtful, NAME, kinds).astype(kinds.dtype)
+            open_ = np.concatenate([[0], np.cumsum(doubtful)])
+            word_for_word = np.zeros(len(texts), bool)
+            groups = []  # size, reading, hashes, types, places
             for size in sizes if mask is not None else np.unique(own[own > 0]).tolist():
-                at, enough = windows(kinds, owner, size, settings.literals)
-                if mask is None:
-                    whole = own[owner[at]] == size
-                    at, enough = at[whole], enough[whole]
-                    if size == settings.window:
-                        more, longer = extended(kinds, owner, at[~enough], settings)
-                        groups += [(n, False, more[longer == n]) for n in np.unique(longer).tolist()]
-                groups.append((size, False, at[enough]))
-                if settings.exact_words <= size <= settings.window:
-                    groups.append((size, True, at[~enough]))
-            for size, exact, at in groups:
-                found = named(exact_hashes if exact else hashes, at, size)
-                typed = np.where(kinds == NUM, kinds, 0) if exact else kinds
+                for given, typed, as_names in ((hashes, kinds, False), (names, types, True)):
+                    at, full = windows(typed, owner, size, enough(size, settings))
+                    if mask is None:
+                        whole = own[owner[at]] == size
+                        at, full = at[whole], full[whole]
+                        if size == settings.window:
+                            more, longer = extended(typed, owner, at[~full], settings)
+                            groups += [(n, as_names, given, typed, more[longer == n]) for n in np.unique(longer).tolist()]
+                    groups.append((size, as_names, given, typed, at[full]))
+                    if not as_names and settings.exact_words <= size <= settings.window:
+                        groups.append((size, False, exact_hashes, np.where(kinds == NUM, kinds, 0), at[~full]))
+                        word_for_word[owner[at[~full]]] = True
+            if mask is None:
+                classes = [template_class(names[a : a + n], types[a : a + n], [words.values[i] for i in ids[a : a + n]], exact_hashes[a : a + n] if w else None) for a, n, w in zip(first.tolist(), lengths.tolist(), word_for_word.tolist(), strict=True)]
+            for size, as_names, given, typed, at in groups:
+                doubt = open_[at + size] > open_[at]
+                if as_names:  # without a doubtful word it is the window of the other reading
+                    at, doubt = at[doubt], doubt[doubt]
+                found = named(given, at, size)
                 if mask is None:
                     hit = slice(None)
                 else:
                     bit = found % np.uint64(settings.map_bits)
                     hit = mask[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0
-                for a, h in zip(at[hit].tolist(), found[hit].view(np.int64).tolist(), strict=True):
-                    slots = [{"type": int(typed[a + j]), "at": j, "value": words.values[ids[a + j]]} for j in np.flatnonzero(typed[a : a + size]).tolist()]
+                reading = np.where(doubt, AS_NAMES if as_names else AS_WORDS, PLAIN)
+                for a, h, r in zip(at[hit].tolist(), found[hit].view(np.int64).tolist(), reading[hit].tolist(), strict=True):
                     k = owner[a]
-                    rows.append((keys[k], int(a - first[k]), int(lengths[k]), h, size, slots))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), SLOT_TYPE]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [key, "place", "words", "hash", "size", "slots"])
+                    own_class, same = classes[k] if mask is None else (None, None)
+                    slots = [{"type": int(typed[a + j]), "at": j, "value": words.values[ids[a + j]], "same": same[a - first[k] + j] if same else None} for j in np.flatnonzero(typed[a : a + size]).tolist()]
+                    rows.append((keys[k], int(a - first[k]), int(lengths[k]), h, size, r, own_class, slots))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+            types_ = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), SLOT_TYPE]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types_, strict=True)], [key, "place", "words", "hash", "size", "reading", "class", "slots"])
 
     return rows_of.select(F.col(key).cast("long").alias(key), "text").mapInArrow(run, f"{key} long, {WINDOW}")
 
 
+def item_windows(benchmark: DataFrame, settings: Decontaminator) -> tuple[DataFrame, DataFrame]:
+    """Windows of the classes of items (class, hash, size, item_reading, item_place, item_words, item_slots), and of each class its smallest item_id and the number of its items."""
+    rows = stage_table(window_rows(benchmark.filter("text IS NOT NULL"), "item_id", settings, []), "items")
+    classes = rows.groupBy("class").agg(F.min("item_id").alias("item_id"), F.countDistinct("item_id").alias("items"))
+    # items of a class have windows alike at the same places: those of one stand for all, but words that may be names differ
+    one = rows.groupBy("class", "hash", "size", "reading", "place").agg(F.min_by(F.struct("words", "slots"), F.coalesce("item_id", F.lit((1 << 63) - 1))).alias("w"))
+    return one.select("class", "hash", "size", F.col("reading").alias("item_reading"), F.col("place").alias("item_place"), F.col("w.words").alias("item_words"), F.col("w.slots").alias("item_slots")), classes
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, settings: Decontaminator = Decontaminator()) -> DataFrame:
-    """A row for each document and item that it holds: doc_id, item_id, coverage, windows, first_word, changed (slots whose value differs)."""
+    """A row for each document and class of items that it holds: doc_id, item_id (the smallest of the class), items (of the class), coverage, windows, first_word, changed (slots whose value is none of an item met there)."""
     spark = docs.sparkSession
-    items = window_rows(benchmark.filter("text IS NOT NULL"), "item_id", settings, []).selectExpr("item_id", "place item_place", "words item_words", "hash", "size", "slots item_slots")
+    items, classes = item_windows(benchmark, settings)
+    items = stage_table(items, "item_windows")
     bits = items.select(F.pmod("hash", F.lit(settings.map_bits)).alias("bit"), "size")
     # at most a row for each byte of the map, and one for each size up to a window
     filled = bits.groupBy(F.floor(F.col("bit") / 8).alias("byte")).agg(F.expr("bit_or(shiftleft(1, int(bit % 8)))").alias("mask")).toPandas()
     sizes = sorted(r["size"] for r in bits.select("size").distinct().collect())
     mask = np.zeros(settings.map_bits // 8, np.uint8)
     mask[filled["byte"].to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64).astype(np.uint8)
-    rows = window_rows(docs, "doc_id", settings, sizes, spark.sparkContext.broadcast(mask))
-    met = stage_table(rows.join(items, ["hash", "size"]), "met")  # several aggregations read it
+    rows = window_rows(docs, "doc_id", settings, sizes, spark.sparkContext.broadcast(mask)).drop("class")
+    # a window that either side reads as names belongs to that reading, one that nothing is doubtful in to both
+    reading = F.when((F.col("reading") == AS_NAMES) | (F.col("item_reading") == AS_NAMES), F.array(F.lit(AS_NAMES))).when((F.col("reading") == PLAIN) & (F.col("item_reading") == PLAIN), F.array(F.lit(AS_WORDS), F.lit(AS_NAMES))).otherwise(F.array(F.lit(AS_WORDS)))
+    met = stage_table(rows.join(items, ["hash", "size"]).withColumn("reading", F.explode(reading)).drop("item_reading"), "met")  # several aggregations read it
     # along one alignment a document's word stands at a fixed distance from the item's
     met = met.withColumn("shift", F.col("place") - F.col("item_place"))
     pair = F.arrays_zip(F.col("slots"), F.col("item_slots"))
-    slot = F.explode_outer(F.transform(pair, lambda x: F.struct(x["item_slots"]["type"].alias("type"), (F.col("item_place") + x["item_slots"]["at"]).alias("at"), x["item_slots"]["value"].alias("old"), x["slots"]["value"].alias("new"))))
-    key = ["doc_id", "item_id", "shift"]
-    slots = met.select(*key, slot.alias("s")).filter("s IS NOT NULL").select(*key, "s.*").distinct()
+    slot = F.explode_outer(F.transform(pair, lambda x: F.struct(x["item_slots"]["type"].alias("type"), (F.col("item_place") + x["item_slots"]["at"]).alias("at"), x["item_slots"]["same"].alias("old"), x["slots"]["value"].alias("new"), (x["item_slots"]["value"] == x["slots"]["value"]).alias("kept"))))
+    key = ["doc_id", "class", "shift", "reading"]
+    slots = met.select(*key, slot.alias("s")).filter("s IS NOT NULL").select(*key, "s.*").groupBy(*key, "type", "at", "old", "new").agg(F.max("kept").alias("kept"))
     forward = slots.groupBy(*key, "type", "old").agg(F.countDistinct("new").alias("n"))
     backward = slots.groupBy(*key, "type", "new").agg(F.countDistinct("old").alias("n"))
     broken = forward.filter("n > 1").select(*key).unionByName(backward.filter("n > 1").select(*key)).distinct()
-    changed = slots.groupBy(*key).agg(F.sum(F.when(F.col("old") != F.col("new"), 1).otherwise(0)).alias("changed"))
+    changed = slots.groupBy(*key).agg(F.count_if(~F.col("kept")).alias("changed"))
     same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in key]
     aligned = met.groupBy(*key).agg(
         F.collect_set(F.struct("item_place", "size")).alias("spans"), F.max("item_words").alias("item_words"), F.min("place").alias("first_word"), F.countDistinct("place").alias("windows")
     )
     good = aligned.alias("x").join(broken.alias("y"), same, "left_anti")
     good = good.alias("x").join(changed.alias("y"), same, "left").select("x.*", F.coalesce("y.changed", F.lit(0)).alias("changed"))
+    # of two readings of one alignment the one with more windows counts, of equal ones that as words
+    good = good.groupBy(*key[:3]).agg(F.max_by(F.struct("spans", "item_words", "first_word", "windows", "changed"), F.struct("windows", -F.col("reading"))).alias("best")).select(*key[:3], "best.*")
     covered = F.expr("size(array_distinct(flatten(transform(spans, s -> sequence(s.item_place, s.item_place + s.size - 1)))))")
     # an item that a document holds in parts, say with words put in between: the parts' words count together
-    parts = good.groupBy("doc_id", "item_id").agg(
+    parts = good.groupBy("doc_id", "class").agg(
         F.flatten(F.collect_list("spans")).alias("spans"), F.max("item_words").alias("item_words"), F.sum("windows").alias("windows"), F.min("first_word").alias("first_word"), F.sum("changed").alias("changed")
     )
-    return parts.select("doc_id", "item_id", F.round(covered / F.col("item_words"), 6).alias("coverage"), F.col("windows").cast("long").alias("windows"), F.col("first_word").cast("long").alias("first_word"), F.col("changed").cast("long").alias("changed")).filter(
-        F.col("coverage") >= settings.coverage
-    )
+    found = parts.select("doc_id", "class", F.round(covered / F.col("item_words"), 6).alias("coverage"), *[F.col(c).cast("long").alias(c) for c in ("windows", "first_word", "changed")]).filter(F.col("coverage") >= settings.coverage)
+    return found.join(classes, "class").select("doc_id", "item_id", "items", "coverage", "windows", "first_word", "changed")
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, settings: Decontaminator = Decontaminator()) -> DataFrame:
