@@ -58,8 +58,8 @@ class Collocations:
     cells: int = 4
     map_bits: int = 27
     #: Bytes of a shard's candidates, and stretches that meet one automaton.
-    shard_bytes: int = 1 << 20
-    part_rows: int = 50_000
+    shard_bytes: int = 1 << 21
+    part_rows: int = 400_000
 
 
 def words_of(texts: list[str]) -> list[bytes]:
@@ -166,7 +166,7 @@ def cell_rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 
 
 def summed(held_of):
-    """A function over Arrow batches: rows (cell, n) of what held_of yields for each, added up a few million at a time."""
+    """A function over Arrow batches: rows (cell, n) of what held_of yields for each, added up some at a time."""
 
     def run(batches):
         held, count = [], 0
@@ -174,7 +174,7 @@ def summed(held_of):
             for cells, weights in held_of(batch):
                 held.append((cells, weights))
                 count += len(cells)
-            if count > 3_000_000:
+            if count > 1_500_000:
                 yield cell_rows(held)
                 held, count = [], 0
         if held:
@@ -209,7 +209,7 @@ def pair_cells(texts: DataFrame, words, word_bits: int, bits: int) -> DataFrame:
 
 
 def stretches(texts: DataFrame, words, word_bits: int, pairs, pair_bits: int) -> DataFrame:
-    """lang, stretch, n: the longest stretches of words inside pieces in which every pair may be frequent, and how often each stands there."""
+    """lang, stretch, n: the longest stretches of words inside pieces in which every pair may be frequent, and how often each stands there; counted in each task by itself."""
 
     def run(batches):
         known = Languages()
@@ -226,7 +226,7 @@ def stretches(texts: DataFrame, words, word_bits: int, pairs, pair_bits: int) ->
 
         yield from tallies(batches, "stretch", of)
 
-    return texts.mapInArrow(run, "lang string, stretch string, n long").groupBy("lang", "stretch").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "lang string, stretch string, n long")
 
 
 def tokens_of(batch: pa.RecordBatch, known: Languages):
@@ -241,20 +241,42 @@ def tokens_of(batch: pa.RecordBatch, known: Languages):
         yield lang, tokens, known.hashes(lang, tokens), np.repeat(np.array(counts, np.int64), [len(p) + 1 for p in parts])
 
 
-def phrase_cells(rows: DataFrame, bits: int, settings: Collocations) -> DataFrame:
-    """The sketch of the stretches' phrases: cell, n."""
+def phrase_cells(rows: DataFrame, bits: int, sizes: range) -> DataFrame:
+    """The sketch of the stretches' phrases of some sizes: cell, n."""
 
     known = Languages()
 
     def held_of(batch):
         for _, _, hashes, weights in tokens_of(batch, known):
-            for size in range(2, settings.max_words + 1):
+            for size in sizes:
                 keys, at = window_keys(hashes, size)
                 yield keys >> np.uint64(64 - bits), weights[at]
 
     return rows.mapInArrow(summed(held_of), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
+def parts_of(rows: DataFrame, triples, bits: int) -> DataFrame:
+    """lang, stretch, n: stretches cut between pairs that no triple which may be frequent joins; a cut leaves its word on both sides, so that each pair stands in one part."""
+
+    def run(batches):
+        known = Languages()
+        for batch in pieces(batches, 1 << 16):
+            counts: dict[str, Counter] = {}
+            for lang, tokens, hashes, weights in tokens_of(batch, known):
+                _, at = window_keys(hashes, 2)
+                keys, triple = window_keys(hashes, 3)
+                tied = np.zeros(len(hashes) + 1, bool)
+                tied[triple[lets_through(triples.value, bits, keys)] + 1] = True  # the pair that begins here goes on from the one before
+                first = ~tied[at]
+                last = np.append(first[1:], True)
+                own = counts.setdefault(lang, Counter())
+                for a, b, n in zip(at[first].tolist(), at[last].tolist(), weights[at[first]].tolist(), strict=True):
+                    own[b" ".join(tokens[a : b + 2])] += n
+            yield tally(counts, "stretch")
+
+    return rows.mapInArrow(run, "lang string, stretch string, n long").groupBy("lang", "stretch").agg(F.sum("n").alias("n"))
+
+
 def phrases(rows: DataFrame, mask, bits: int, settings: Collocations) -> DataFrame:
     """lang, phrase: the phrases of stretches that a bitmap lets through."""
 
@@ -338,7 +360,10 @@ def counted(docs: DataFrame, settings: Collocations = Collocations()) -> tuple[D
     word_map = bitmap(frequent_words(words.filter("word <> ''"), bits), bits, settings.map_bits)
     pair_map = bitmap(pair_cells(texts, *word_map, bits).filter(often), bits, settings.map_bits)
     rows = stage_table(stretches(texts, *word_map, *pair_map), "stretches")
-    phrase_map = bitmap(phrase_cells(rows, bits, settings).filter(often), bits, settings.map_bits)
+    if settings.max_words > 2:
+        triple_map = bitmap(phrase_cells(rows, bits, range(3, 4)).filter(often), bits, settings.map_bits)
+        rows = stage_table(parts_of(rows, *triple_map), "parts")
+    phrase_map = bitmap(phrase_cells(rows, bits, range(2, settings.max_words + 1)).filter(often), bits, settings.map_bits)
     candidates = stage_table(phrases(rows, *phrase_map, settings), "candidates")
     return words, stage_table(occurrences(rows, candidates, settings).filter(often), "phrases")
 
