@@ -76,7 +76,7 @@ def test_a_large_group_of_unlike_copies(make):
 def test_allotments_miss_no_pair(spark):
     """The pairs that allotments bring up, of texts that all share segments, hold all links; and far fewer than all pairs."""
     rows = copies(11, lengths=(30, 60, 120), count=80, edits=3)
-    met = {(r["a"], r["b"]) for r in ngramjoin.allotted(spark.createDataFrame(rows, "node long, text string"), NGramJoin()).collect()}
+    met = {(r["a"], r["b"]) for r in ngramjoin.allotted(spark.createDataFrame([(k, t, k, True) for k, t in rows], "node long, text string, component long, asks boolean"), NGramJoin()).collect()}
     own = {k: sets(t, 3) for k, t in rows}
     links = {(a, b) for a, b in itertools.combinations(sorted(own), 2) if own[a] != own[b] and 100 * len(own[a] & own[b]) >= 90 * len(own[a] | own[b])}
     assert links <= met and len(links) > 100 and len(met) < len(own) * (len(own) - 1) // 4

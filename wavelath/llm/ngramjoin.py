@@ -13,8 +13,9 @@ members of a bucket are held against one of them, at first the one that they mee
 most often, and a bucket whose members are of one component then is done with. In a
 small bucket with several components the members of different ones are compared.
 
-A large bucket with several components would be the square of its members. Its
-members are put in segments anew, twice as many, and each is allotted, per segment,
+A large bucket with several components would be the square of its members. Those
+outside its largest component ask again, and all of them can be found. Its
+members are put in segments anew, smaller ones, and each is allotted, per segment,
 nothing, equality (1) or a neighbourhood of one deletion (2): the set there, or
 there less one element, is looked up among the sets of others and these less one
 element. Where the allotments come to H + 1, a set within H differs by less than
@@ -55,7 +56,7 @@ class NGramJoin:
     #: Members of a bucket whose components are compared there.
     bucket: int = 16
     #: Segments for each one needed, where deletions are allotted.
-    finer: int = 2
+    finer: int = 3
     map_bits: int = 27
 
     @cached_property
@@ -77,14 +78,15 @@ class NGramJoin:
 
 
 class Segments:
-    """Sets in the segments of their bands: a view is a set as one band sees it, its own (the last of a set's views) or a lower one."""
+    """Sets in the segments of their bands: a view is a set as one band sees it, its own or a lower one that holds sets it may be alike to; a higher one too, if larger sets do not ask."""
 
-    def __init__(self, sets: list[np.ndarray], settings: NGramJoin, finer: int, seed: int):
+    def __init__(self, sets: list[np.ndarray], settings: NGramJoin, finer: int, seed: int, higher: bool = False):
         sizes = np.array([len(s) for s in sets], np.int64)
         own = settings.band(sizes)
         low = settings.band(-(-settings.percent * sizes // 100))
         low = np.maximum(low, np.searchsorted(settings.bounds, 1))  # below, only equal sets are alike
-        views = np.where(sizes > 0, np.maximum(own - low + 1, 0), 0)
+        high = settings.band(sizes * 100 // settings.percent) if higher else own
+        views = np.where(sizes > 0, np.maximum(high - low + 1, 0), 0)
         self.set = np.repeat(np.arange(len(sets)), views)
         self.band = low[self.set] + np.arange(len(self.set)) - (np.cumsum(views) - views)[self.set]
         self.indexed = self.band == own[self.set]
@@ -157,14 +159,19 @@ def key_rows(classes: DataFrame, mask=None, bits: int = 0) -> DataFrame:
     return classes.select("node", "own", "lower").mapInArrow(run, "key long, node long, indexed boolean")
 
 
+def keys_map(keys: DataFrame, settings: NGramJoin) -> tuple:
+    """A bitmap of keys of 64 bits, with a few bits for each and settings.map_bits at most."""
+    bits = max(15, min(settings.map_bits, (32 * keys.count()).bit_length()))
+    return bitmap(keys.select(F.shiftrightunsigned("key", 64 - bits).alias("cell")), bits, bits)
+
+
 def bucketed(classes: DataFrame, settings: NGramJoin) -> DataFrame:
     """key, node, indexed, first (the smallest indexed node), size: the members of every key that an indexed node shares with another one."""
     indexed = F.when(F.col("indexed"), F.col("node"))
     ends = key_rows(classes).groupBy("key").agg(F.min(indexed).alias("first"), F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size"))
     shared = stage_table(ends.filter("first IS NOT NULL AND low < high").select("key", "first", "size"), "shared")
     # keys of one document alone need not be shuffled again
-    mask = bitmap(shared.select(F.shiftrightunsigned("key", 64 - settings.map_bits).alias("cell")), settings.map_bits, settings.map_bits)
-    return stage_table(key_rows(classes, *mask).join(shared, "key"), "buckets")
+    return stage_table(key_rows(classes, *keys_map(shared, settings)).join(shared, "key"), "buckets")
 
 
 def in_order(pairs: DataFrame, left: str, right: str) -> DataFrame:
@@ -179,6 +186,9 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def cheapest(once: np.ndarray, twice: np.ndarray, needed: int) -> np.ndarray:
     """An allotment (0, 1 or 2 for each segment) that comes to needed, of the smallest sum of costs: once for a 1, twice for a 2."""
+    free = np.where(twice == 0, 2, np.where(once == 0, 1, 0)).astype(np.int8)
+    if free.sum() >= needed:
+        return free
     best = np.full(needed + 1, np.inf)  # of what comes to so much at least
     best[0] = 0
     one = np.maximum(np.arange(needed + 1) - 1, 0)
@@ -195,38 +205,49 @@ def cheapest(once: np.ndarray, twice: np.ndarray, needed: int) -> np.ndarray:
     return out
 
 
-def allotted(texts: DataFrame, settings: NGramJoin) -> DataFrame:
-    """Pairs (a, b) of texts (node, text) that meet where the allotment of either says so; each pair within the bound is among them."""
+ENTRY = "role int, key long, node long, component long, mark long, band int, segment int, needed int, segments int"
+
+
+def entries(texts: DataFrame, settings: NGramJoin, mask=None, bits: int = 0) -> DataFrame:
+    """Of texts (node, component, asks, mark, text): keys to be found under (role 0), and asked for if asks: equality (1), a set among sets less one (2), a set less one among sets (3); those that a bitmap lets through."""
 
-    def entries(batches):
-        """Keys to be found under (role 0), and asked for: equality (1), a set among sets less one (2), a set less one among sets (3)."""
+    def run(batches):
         hashes = WordHashes()
         for batch in pieces(batches, 64):
-            nodes = batch.column("node").to_numpy(zero_copy_only=False)
-            own = batch.column("text").to_pylist()
-            marks = batch.column("mark").to_numpy(zero_copy_only=False)
-            parts = Segments([shingles(t, settings.words, hashes) for t in own], settings, settings.finer, 1)
-            whole, less = parts.keys(), parts.less_one()
-            element_view = parts.view[parts.segment]
+            nodes, components, asks, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "component", "asks", "mark"))
+            parts = Segments([shingles(t, settings.words, hashes) for t in batch.column("text").to_pylist()], settings, settings.finer, 1, True)
+            whole, less, every = parts.keys(), parts.less_one(), np.arange(len(parts.sums))
+            found, asked = mix64(less), mix64(whole)  # sets less one are found under keys of their own
             rows = []
-            for role, keys, segment, view in ((1, whole, np.arange(len(whole)), parts.view), (2, mix64(whole), np.arange(len(whole)), parts.view), (3, less, parts.segment, element_view)):
-                rows.append((np.full(len(keys), role), keys, segment, view))
-            for keys, segment, view in ((whole, np.arange(len(whole)), parts.view), (mix64(less), parts.segment, element_view)):
-                held = parts.indexed[view]
-                rows.append((np.zeros(int(held.sum()), np.int64), keys[held], segment[held], view[held]))
-            role, keys, segment, view = (np.concatenate(c) for c in zip(*rows, strict=True))
+            for role, keys, segment in ((0, whole, every), (0, found, parts.segment), (1, whole, every), (2, asked, every), (3, less, parts.segment)):
+                held = (parts.indexed if role == 0 else asks[parts.set])[parts.view[segment]]
+                if mask is not None:
+                    held = held & lets_through(mask.value, bits, keys)
+                rows.append((np.full(int(held.sum()), role, np.int32), keys[held], segment[held]))
+            role, keys, segment = (np.concatenate(c) for c in zip(*rows, strict=True))
+            view = parts.view[segment]
             of = parts.set[view]
-            columns = [role.astype(np.int32), keys.view(np.int64), nodes[of], marks[of], parts.band[view].astype(np.int32), (segment - parts.begins[view]).astype(np.int32), parts.needed[view].astype(np.int32), parts.count[view].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["role", "key", "node", "mark", "band", "segment", "needed", "segments"])
+            own = [parts.band[view], segment - parts.begins[view], parts.needed[view], parts.count[view]]
+            columns = [role, keys.view(np.int64), nodes[of], components[of], marks[of], *[c.astype(np.int32) for c in own]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["role", "key", "node", "component", "mark", "band", "segment", "needed", "segments"])
+
+    return texts.select("node", "component", "asks", "mark", "text").mapInArrow(run, ENTRY)
 
-    fields = "role int, key long, node long, mark long, band int, segment int, needed int, segments int"
-    rows = stage_table(texts.select("node", "text", F.xxhash64("text").alias("mark")).mapInArrow(entries, fields), "entries")
-    index = rows.filter("role = 0").select("key", "node").distinct()
-    counts = stage_table(index.groupBy("key").agg(F.count("*").alias("n")), "counts")
+
+def allotted(texts: DataFrame, settings: NGramJoin) -> DataFrame:
+    """Pairs (a, b) of different components that meet where the allotment of one says so: each pair within the bound, of which one asks, is among them. texts: node, component, asks, text."""
+    texts = texts.withColumn("mark", F.xxhash64("text"))
+    held, asking = (F.when(F.expr(which), F.col("component")) for which in ("role = 0", "role > 0"))
+    ends = entries(texts, settings).groupBy("key").agg(F.min(held).alias("a"), F.max(held).alias("b"), F.min(asking).alias("c"), F.max(asking).alias("d"), F.count(held).alias("n"))
+    # keys under which one component asks for what another one has
+    kept = stage_table(ends.filter("a IS NOT NULL AND c IS NOT NULL AND (a <> b OR c <> d OR a <> c)").select("key", "n"), "answers")
+    rows = stage_table(entries(texts, settings, *keys_map(kept, settings)).join(kept, "key"), "entries")
     asked = rows.filter("role > 0")
+    # answers are those of other components
+    same = rows.filter("role = 0").groupBy("key", "component").agg(F.count("*").alias("same"))
+    asked = asked.join(same, ["key", "component"], "left").withColumn("n", F.col("n") - F.coalesce("same", F.lit(0)))
     view = ["node", "mark", "band"]
-    costs = asked.join(counts, "key").groupBy(*view, "needed", "segments", "segment").agg(F.sum(F.when(F.col("role") == 1, F.col("n")).otherwise(0)).alias("once"), F.sum("n").alias("twice"))
-    # views of which nothing is found have nothing to ask for
+    costs = asked.groupBy(*view, "needed", "segments", "segment").agg(F.sum(F.when(F.col("role") == 1, F.col("n")).otherwise(0)).alias("once"), F.sum("n").alias("twice"))
     by_view = costs.groupBy(*view, "needed", "segments").agg(F.collect_list(F.struct("segment", "once", "twice")).alias("costs"))
 
     def choose(batches):
@@ -243,8 +264,9 @@ def allotted(texts: DataFrame, settings: NGramJoin) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*view, "segment", "power"])
 
     chosen = by_view.mapInArrow(choose, "node long, mark long, band int, segment int, power int")
-    found = asked.select("role", "key", *view, "segment").join(chosen, [*view, "segment"]).filter("role = 1 OR power = 2").select("key", F.col("node").alias("s"))
-    return in_order(found.distinct().join(index.select("key", F.col("node").alias("r")), "key"), "r", "s")
+    found = asked.filter("n > 0").select("role", "key", "component", *view, "segment").join(chosen, [*view, "segment"]).filter("role = 1 OR power = 2").select("key", F.col("node").alias("s"), F.col("component").alias("cs"))
+    answers = rows.filter("role = 0").select("key", F.col("node").alias("r"), F.col("component").alias("cr"))
+    return in_order(found.distinct().join(answers, "key").filter("cr <> cs"), "r", "s")
 
 
 def joined(docs: DataFrame, settings: NGramJoin = NGramJoin()) -> DataFrame:
@@ -272,9 +294,11 @@ def joined(docs: DataFrame, settings: NGramJoin = NGramJoin()) -> DataFrame:
     small = small.filter("node <> first")  # held against all of its bucket
     left = small.filter("indexed").selectExpr("key", "node r", "component cr")
     crossing = left.join(small.selectExpr("key", "node s", "component cs"), "key").filter("cr <> cs")
-    large = members.filter(F.col("size") > settings.bucket).select("node").distinct()
-    asked = stage_table(texts.join(large, "node", "left_semi"), "asked")
-    more = stage_table(in_order(crossing, "r", "s").unionByName(apart(allotted(asked, settings), labels)).distinct(), "more")
+    large = members.filter(F.col("size") > settings.bucket)
+    main = large.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    roles = large.join(main, "key").groupBy("node").agg(F.max(F.col("component") != F.col("main")).alias("asks"), F.first("component").alias("component"))
+    asked = stage_table(texts.join(roles, "node"), "asked")
+    more = stage_table(in_order(crossing, "r", "s").unionByName(allotted(asked, settings)).distinct(), "more")
     labels = components(links.unionByName(stage_table(confirmed(more, texts, exact), "confirmed")))
     return reported(rows, firsts, labels).select("doc_id", "n_shingles", "component_id")
 
