@@ -3,14 +3,16 @@
 The base patterns find assignments, access keys and long hex runs. Lexing adds
 literals: source and configuration text is read as assignments, blocks (braces, or
 deeper lines of a nested configuration), and elements of markup, which give pairs
-of a target name and a value. A value is a quoted literal (with a prefix, in triple
+of a target name and a value; so do macros, flags, subscripts, and calls with a
+name and a literal for arguments. A value is a quoted literal (with a prefix, in triple
 quotes, over lines), a bare one, a name whose constant is known, or a sum of such;
 constants are carried forward through the text. What a string holds is read again
 for assignments of its own. A bare literal ends at a blank, a quote, a bracket, a
 comma, a semicolon, or where the next field of a query begins; signs within it are
 its own, also a plus, unless a known name or a quote stands beside it. A bare run
 that reads as a name made of words (read_config, tokenSource, a.b) is a name, and
-an unknown name is no literal; a single word is a literal. A target that says
+an unknown name is no literal, but in a shell's assignment; a single word is a
+literal. Lines of a key in PEM form are one literal. A target that says
 nothing itself (value, data) is called what its block is called. Values are kept as
 counts of their characters and as references to their parts, so that no length is
 bounded and sums of sums do not grow. A literal is scored by how sensitive its
@@ -42,7 +44,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run is matched whole, so that sh
 #: How sensitive a part of a target's name is.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "token": 0.8, "apikey": 1.0, "credential": 0.9, "credentials": 0.9,
-    "private": 0.7, "auth": 0.7, "bearer": 0.8, "key": 0.7, "salt": 0.7, "signature": 0.7, "dsn": 0.7,
+    "pw": 0.9, "private": 0.7, "auth": 0.7, "bearer": 0.8, "key": 0.7, "salt": 0.7, "signature": 0.7, "dsn": 0.7,
 }
 #: Parts that make a name harmless: it names something about a secret, or a placeholder.
 HARMLESS = {"public", "length", "len", "count", "size", "name", "path", "file", "url", "type", "id", "expiry", "ttl", "limit", "field", "label", "hint"}
@@ -52,19 +54,27 @@ ENCLOSED = re.compile(r"(?i)^(your[_-].*|<.*>|\$\{.*\})$")
 #: Names that say only that a value follows, and names of secrets that hold blanks.
 GENERIC = {"value", "data", "default", "content", "text", "string", "literal", "val", "raw", "plain"}
 PHRASES = {"passphrase", "mnemonic", "phrase"}
-#: A brace, an element of markup, or an assignment: a dotted or quoted name, then = or : or =>, at a place where a statement or an entry can begin.
-LEX = re.compile(r"""(?P<open>\{)|(?P<close>\})|<(?P<tag>[A-Za-z_][\w.-]*+)(?:\s[^<>]*+)?>(?P<inner>[^<>]++)</|(?P<target>(?<![\w.$-])["']?(?P<name>[A-Za-z_][\w.$-]*+)["']?\s*+(?::=|=>|=(?!=)|:(?![:/]))[^\S\n]*+)""")
+#: A brace, an element of markup, a macro, a name and a literal as arguments, or an assignment: a dotted, quoted or subscript name or a flag, perhaps with a type, then = or : or =>, at a place where a statement or an entry can begin.
+LEX = re.compile(
+    r"""(?P<open>\{)|(?P<close>\})|<(?P<tag>[A-Za-z_][\w.-]*+)(?:\s[^<>]*+)?>(?P<inner>[^<>]++)</|\#[^\S\n]*+define[^\S\n]++(?P<macro>[A-Za-z_]\w*+)[^\S\n]++"""
+    r"""|(?<=[(,])\s*+["'](?P<arg>[A-Za-z_][\w.-]*+)["']\s*+,\s*+(?=["'`])"""
+    r"""|(?P<target>(?:(?<![\w.$-])|(?<=[\s"'(,\[]--))["']?(?P<name>[A-Za-z_][\w.$-]*+)["']?\s*+(?:\]\s*+)?+"""
+    r"""(?::=|=>|=(?!=)|:(?![:/])(?:[^\S\n]*+[A-Za-z_][\w.]*+(?:\[[^\n="':]*\])?+(?:[^\S\n]*+\|[^\S\n]*+[A-Za-z_][\w.]*+)*+[^\S\n]*+=(?!=))?+)[^\S\n]*+)"""
+)
+#: What makes a bare value a literal of its own, whatever it reads like: a shell's assignment.
+SHELL = re.compile(r"(?:^|[\s;&])(?:export|declare|setenv|ENV)[^\S\n]+(?:-\w+[^\S\n]+)*$")
 VALUE = re.compile(
     r"""(?:[rRbBuUfF]{1,2}(?=["']))?+(?P<quoted>\"""(?:[^"\\]|\\[\s\S]|"(?!""))*+\"""|'''(?:[^'\\]|\\[\s\S]|'(?!''))*+'''|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`)"""
     r"""|(?P<call>[A-Za-z_][\w.]*+\()|(?P<bare>(?:[^\s"',;(){}\[\]&`]|&(?![A-Za-z_][\w.$-]*+=))++)"""
 )
 #: A name made of words, by their signs or by their humps.
 NAME = re.compile(r"_*(?:[A-Za-z]{2,}[0-9]{0,2}|[0-9]{1,2})(?:[_.]+(?:[A-Za-z]{2,}[0-9]{0,2}|[0-9]{1,2}))+_*|(?:[a-z]{3,}|[A-Z][a-z]{2,})[0-9]{0,2}(?:[A-Z][a-z]{2,}[0-9]{0,2})+")
-JOIN = re.compile(r"[^\S\n]*+[+.][^\S\n]*+")
+#: Signs of sums, and of a value that stands in for another one.
+JOIN = re.compile(r"[^\S\n]*+(?:[+.]|\|\||\?\?|or\b)[^\S\n]*+")
 #: What a sum can go on with.
 OPERAND = re.compile(r"""[^\S\n]*+["'A-Za-z_]""")
-#: Strings in strings are read again so deep: escapes could nest them without end.
-DEPTH = 3
+#: Strings in strings are read again so deep: deeper than there are kinds of quotes, which no string holds of its own kind.
+DEPTH = 8
 #: Of a longer value, this much of either end is looked at for placeholders.
 END = 32
 
@@ -138,7 +148,8 @@ class SecretScan:
         return self.value_score(whole)
 
     def value_score(self, value: Value, blanks: bool = False) -> float:
-        if value.n < self.min_length or value.placeholder() or " " in value.counts and not blanks or "\n" in value.counts:
+        lines, armoured = "\n" in value.counts, "-----BEGIN " in value.head  # lines of a key bear no blanks but in its first and last one
+        if value.n < self.min_length or value.placeholder() or " " in value.counts and not armoured and (lines or not blanks):
             return 0.0
         shares = [x for c in value.counts.values() if (x := c / value.n)]
         entropy = -sum(x * math.log2(x) for x in shares)
@@ -175,6 +186,8 @@ class SecretScan:
                 value.add(inner, (start, start + len(inner)))
                 self._weigh(token["tag"], value, found)
                 at = token.end("inner")
+            elif name := token["macro"] or token["arg"]:
+                at = self._value(text, at, name, name, known, found, inside)
             else:
                 name = last = token["name"]
                 if fresh and not text[line:seen].strip(" \t-"):  # the first of its line: deeper lines before it are over
@@ -183,10 +196,11 @@ class SecretScan:
                     if text[at : at + 1] in ("\n", "\r"):
                         blocks.append((seen - line, name))
                 own = blocks[-1][1] if blocks and set(words_of(name)) <= GENERIC else name
-                at = self._value(text, at, own, name, known, found, inside)
+                shell = text[at - 1] == "=" and SHELL.search(text[max(line, seen - 40) : seen]) is not None
+                at = self._value(text, at, own, name, known, found, inside, shell)
         return sorted(found)
 
-    def _value(self, text: str, at: int, own: str, name: str, known: dict[str, Value], found: set, inside: list[int]) -> int:
+    def _value(self, text: str, at: int, own: str, name: str, known: dict[str, Value], found: set, inside: list[int], shell: bool = False) -> int:
         """Reads the value at a place, for the target name that counts as own, and returns where reading goes on."""
         value, again = Value(), None
         while part := VALUE.match(text, at, *inside[-1:]):
@@ -199,7 +213,7 @@ class SecretScan:
                 value.add(text[a:b], (a, b))
                 if again is None and len(inside) < DEPTH and ("=" in part["quoted"] or ":" in part["quoted"]):
                     again = a
-            elif self._bare(text, part[0], part.start(), known, value):  # a sign of a sum ends it
+            elif self._bare(text, part[0], part.start(), known, value, shell):  # a sign of a sum ends it
                 at += len(OPERAND.match(text, at)[0]) - 1
                 continue
             if not (plus := JOIN.match(text, at, *inside[-1:])):
@@ -219,8 +233,8 @@ class SecretScan:
             value.report(found)
 
     @staticmethod
-    def _bare(text: str, run: str, at: int, known: dict[str, Value], value: Value) -> bool:
-        """Adds a bare run to value: a known constant, a sum with one in it, or a literal. Returns whether a sign of a sum ends it."""
+    def _bare(text: str, run: str, at: int, known: dict[str, Value], value: Value, shell: bool = False) -> bool:
+        """Adds a bare run to value: a known constant, a sum with one in it, or a literal; in a shell what reads as a name is one too. Returns whether a sign of a sum ends it."""
         more = run[-1] in "+." and OPERAND.match(text, at + len(run)) is not None
         if more and (run[-1] == "+" or run[:-1] in known):
             run = run[:-1]
@@ -232,7 +246,7 @@ class SecretScan:
         for p in parts:
             if p in known:
                 value.extend(known[p])
-            elif p and not NAME.fullmatch(p):
+            elif p and (shell or not NAME.fullmatch(p)):
                 value.add(p, (at, at + len(p)))
             at += len(p) + 1
         return more
