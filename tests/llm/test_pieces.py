@@ -132,3 +132,24 @@ def test_the_cache_is_bounded_in_bytes(monkeypatch):
     whole = tool.ids([f"▁word{k}▁and▁{'x' * (k % 50)}" for k in range(500)])[0]
     parts = [tool.ids([f"▁word{k}▁and▁{'x' * (k % 50)}"])[0] for k in range(500)]
     assert tool.held < 40_000 and np.concatenate(parts).tolist() == whole.tolist()
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+def test_unknown_ids_cover_what_no_piece_has(tmp_path, kind):
+    """Small models without pieces of bytes, unigram and merges: pieces tile the text, unknown ids of any length too."""
+    from sentencepiece import sentencepiece_model_pb2 as model_pb2
+
+    model = model_pb2.ModelProto()
+    for piece, type_ in [("<unk>", 2), ("<s>", 3), ("</s>", 3), *((p, 1) for p in ("▁the", "▁cat", "▁", "c", "a", "t", "▁t", "he", "th", "at", "ca"))]:
+        model.pieces.add(piece=piece, type=type_, score=-len(model.pieces) / 10)
+    model.trainer_spec.model_type = kind
+    model.normalizer_spec.add_dummy_prefix = model.normalizer_spec.escape_whitespaces = True
+    path = tmp_path / "small.model"
+    path.write_bytes(model.SerializeToString())
+    tool = pieces.Encoder(str(path))
+    for text in ("the ñ cat", "日本 cat", "", "ñññ", "the  cat x", "日本日本 the ñ"):
+        ids, _, begins, ends = (a.to_pylist()[0] for a in pieces.encoded(tool, [text], True))
+        data = text.encode()
+        assert ids == tool.decoder.encode(text)
+        assert b"".join(data[a:b] for a, b in zip(begins, ends)) == data
+        assert begins == sorted(begins) and all(i != 0 or data[a:b].decode() for i, a, b in zip(ids, begins, ends))

@@ -164,6 +164,7 @@ class Encoder:
         self.runs = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self._forget()
         self.sizes = np.array([1 if x.type == 6 else len(x.piece.encode()) for x in model.pieces])
+        self.unknown = np.array([x.type == 2 for x in model.pieces])
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of normalised texts, one text after another, and where each text's begin and the last ends."""
@@ -192,10 +193,13 @@ class Encoder:
         self.held = 0
         self.flat, self.at, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def spans(self, starts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def spans(self, text: str, starts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The source bytes of each id, from the alignment of the normalised text that the ids tile: begins and ends."""
+        sizes = self.sizes[ids]
+        if self.unknown[ids].any():  # such an id covers what no piece has, of any length
+            sizes = np.array([len(x.surface.encode()) for x in self.inner.encode(text, return_type="proto").pieces])
         edges = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(self.sizes[ids], out=edges[1:])
+        np.cumsum(sizes, out=edges[1:])
         edges = starts[edges]
         return edges[:-1], edges[1:]
 
@@ -214,7 +218,7 @@ def encoded(tool: Encoder, texts: list[str], spans: bool) -> list[pa.Array]:
     at = pa.array(at, pa.int32())
     out = [pa.ListArray.from_arrays(at, pa.array(ids)), pa.array(decoded, pa.string())]
     if spans:
-        placed = [tool.spans(starts, i) for (_, starts), i in zip(normal, lists, strict=True)]
+        placed = [tool.spans(x, starts, i) for (x, starts), i in zip(normal, lists, strict=True)]
         for k in (0, 1):
             values = np.concatenate([np.zeros(0, np.int64), *(p[k] for p in placed)]).astype(np.int32)
             out.append(pa.ListArray.from_arrays(at, pa.array(values)))
