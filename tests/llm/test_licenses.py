@@ -100,6 +100,28 @@ def test_halves_far_apart_are_no_license():
     assert found == []
 
 
+@pytest.mark.parametrize("count", [400, 2000])
+def test_parts_any_distance_apart(count):
+    """Without a bound on foreign words a license is one find however far its parts stand from each other."""
+    words = NOTICES["MIT"].split()
+    text = " ".join([*words[:70], *[f"foreign{k}" for k in range(count)], *words[70:]])
+    data = licenses.words_of(text.encode())[0]
+    template = licenses.words_of(NOTICES["MIT"].encode())[0]
+    prints = dict(zip(licenses.winnowed(template, licenses.LicenseScan())[1].tolist(), licenses.winnowed(template, licenses.LicenseScan())[0].tolist()))
+    at, named = licenses.winnowed(data, licenses.LicenseScan())
+    hits = [{"template": "MIT", "at": prints[h], "place": int(p)} for p, h in zip(at.tolist(), named.tolist()) if h in prints]
+    templates = {"MIT": (template.tolist(), len(prints))}
+    assert licenses.finds(text, hits, templates, licenses.LicenseScan()) == []
+    [found] = licenses.finds(text, hits, templates, licenses.LicenseScan(foreign=None))
+    assert found[:2] == ("MIT", 1.0) and text[found[2] : found[3]] == text.rstrip(".")
+
+
+def test_long_words_differ_in_every_place():
+    a, b = (licenses.words_of(w.encode())[0][0] for w in ("a" + "x" * 63 + "b", "b" + "x" * 63 + "a"))
+    assert a != b
+    assert licenses.words_of(b"Word word")[0].tolist() == [licenses.words_of(b"word")[0][0]] * 2
+
+
 @pytest.mark.parametrize("name", sorted(NOTICES))
 def test_every_notice_is_told_from_the_others(name):
     [found] = placed(f"some words before. {NOTICES[name]} and some behind")

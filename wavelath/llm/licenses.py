@@ -101,9 +101,7 @@ LOWER[65:91] += 32
 LIBRARY = 1 << 27
 #: What a run of words put in or left out costs an alignment that gains 2 by a match.
 GAP = 3
-#: So many foreign words may stand between two parts of one find, also where the template is shorter.
-FOREIGN = 64
-#: A random number for each byte at each of 64 places of a word; later places repeat.
+#: A random number for each byte at each of the first 64 places of a word.
 PLACED = mix64(np.arange(64 * 256, dtype=np.uint64))
 
 
@@ -116,6 +114,8 @@ class LicenseScan:
     #: Share of a template's words that an alignment must match to be reported.
     coverage: float = 0.75
     band: int = 8
+    #: So many foreign words may stand between two parts of one find, or as many as the template has; None for any number.
+    foreign: int | None = 64
     map_bits: int = 1 << 20
     #: An index of up to so many rows is broadcast; a larger one is joined by shuffling.
     small_index: int = 200_000
@@ -132,7 +132,10 @@ def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     at = np.flatnonzero(inside[1:-1])
     sizes = ends - starts
     offset = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    values = PLACED[(offset & 63) << 8 | LOWER[raw[at]]]
+    low = LOWER[raw[at]]
+    values = PLACED[np.minimum(offset, 63) << 8 | low]
+    if (late := np.flatnonzero(offset > 63)).size:
+        values[late] = mix64((offset[late] << 8 | low[late]).astype(np.uint64))
     return mix64(np.add.reduceat(values, np.cumsum(sizes) - sizes) + sizes.astype(np.uint64)), starts, ends
 
 
@@ -212,16 +215,17 @@ def fingerprints(docs: DataFrame, settings: LicenseScan, bitmap) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, mark long, hash long, place int")
 
 
-def chains(hits: list[dict], length: int) -> list[list[tuple[int, int]]]:
+def chains(hits: list[dict], length: int, foreign: int | None = 64) -> list[list[tuple[int, int]]]:
     """The hits of one template as chains of (at, place), both rising, the heaviest first; each hit is in one chain.
 
     A chain weighs its hits, less for each change of diagonal something under one hit, more for larger changes. Between
-    two hits of a chain stand at most as many foreign words as the template has, or FOREIGN. The dynamic program holds each
-    hit against all earlier ones that near.
+    two hits of a chain stand at most as many foreign words as the template has, or foreign; any number where that is None.
+    The dynamic program holds each hit against all earlier ones that near.
     """
     order = sorted({(h["place"], h["at"]) for h in hits})
     place, at = np.array(order, np.int64).T
-    reach = length + max(length, FOREIGN)
+    most = max(length, foreign) if foreign is not None else int(place[-1]) + length
+    reach = length + most
     weight, before = np.ones(len(order)), np.full(len(order), -1)
     first = np.searchsorted(place, place - reach)
     for k in range(1, len(order)):
@@ -229,7 +233,7 @@ def chains(hits: list[dict], length: int) -> list[list[tuple[int, int]]]:
         if a == b:
             continue
         turn = np.abs((place[k] - place[a:b]) - (at[k] - at[a:b]))
-        gain = np.where((at[a:b] < at[k]) & (turn <= max(length, FOREIGN)), weight[a:b] - turn / (turn + 32.0), 0)
+        gain = np.where((at[a:b] < at[k]) & (turn <= most), weight[a:b] - turn / (turn + 32.0), 0)
         best = int(gain.argmax())
         if gain[best] > 0:
             weight[k], before[k] = 1 + gain[best], a + best
@@ -256,7 +260,7 @@ def finds(text: str, hits: list[dict], templates: dict[str, tuple[list[int], int
         by_name.setdefault(hit["template"], []).append(hit)
     for name, own in by_name.items():
         template, prints = templates[name]
-        for chain in chains(own, len(template)):
+        for chain in chains(own, len(template), settings.foreign):
             if len(chain) < settings.candidate * prints:
                 continue
             diagonal = chain[0][1] - chain[0][0]
