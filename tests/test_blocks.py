@@ -297,3 +297,26 @@ def test_rational_coefficients():
     np.testing.assert_allclose(filters.pade(2), [1, 1 / 2, 1 / 12])
     w = filters.pade(5)
     assert np.polyval(w[::-1], 0.7) / np.polyval(w[::-1], -0.7) == pytest.approx(np.exp(0.7), rel=1e-10)
+
+
+@pytest.mark.parametrize("times", [(1, 500), (50, 20), (3, 3)])
+def test_compressor_in_blocks(spark, times):
+    """Equal to one pass over the whole sequence, over a block without samples and places that are null."""
+    rng = np.random.default_rng(5)
+    n = np.concatenate([np.arange(900), np.arange(1400, 3000)])
+    x = np.sin(n / 9) * (0.1 + 0.9 * (np.sin(n / 150) > 0)) + 0.01 * rng.normal(size=len(n))
+    df = spark.createDataFrame([(0, int(k), float(v)) for k, v in zip(n, x)] + [(0, 950, None), (1, 0, 0.5), (None, 3, 0.7), (None, 4, 0.1)], "seq int, n long, x double")
+    fall, rise = (1 - np.exp(-1000 / (ms * 8000)) for ms in times)
+
+    def plain(values):
+        gain, out = 1.0, []
+        for v in values:
+            wanted = 10 ** (min(0.0, (-30 - 20 * np.log10(abs(v) + 1e-10)) * 0.75) / 20)
+            gain += (fall if wanted < gain else rise) * (wanted - gain)
+            out.append(gain * v)
+        return out
+
+    found = filters.drc(df, 8000, -30, 4, *times, block=200).collect()
+    assert sorted((r["seq"] is None, r["seq"], r["n"]) for r in found if r["seq"] is not None) == [(False, 0, int(k)) for k in n] + [(False, 1, 0)]
+    np.testing.assert_allclose([r["x"] for r in sorted((r for r in found if r["seq"] == 0), key=lambda r: r["n"])], plain(x), rtol=0, atol=1e-12)
+    np.testing.assert_allclose(sorted(r["x"] for r in found if r["seq"] is None), sorted(plain([0.7, 0.1])), atol=1e-12)

@@ -4,8 +4,9 @@ Filters of finite length work in blocks with a halo (blocks.py). A recurrence is
 run in each block from a state of zero; a block's last state is then a linear
 function of its first, so that the states at all block edges follow from one small
 row for each block, and a second pass runs every block from its own state. So the
-blocks of one sequence are spread over tasks. Only the compressor, which is not
-linear, passes a sequence through a task in order, as a stream with its state.
+blocks of one sequence are spread over tasks. The compressor is not linear, but its
+last gain rises with its first one along a chain of lines, which takes the matrix's
+place.
 
 Null samples count as zeros. Places missing in n count as zeros too, and get an
 output where their block holds a sample.
@@ -115,11 +116,12 @@ def coefficients(b, a) -> tuple[np.ndarray, np.ndarray]:
     return b * a[0], np.concatenate([[1.0], a[1:]])
 
 
-def recursive(samples: DataFrame, history: int, run: Callable, width: int, vectors: bool = False, frames: DataFrame | None = None, period: int = 1, frame_size: int = 0) -> DataFrame:
+def recursive(samples: DataFrame, history: int, run: Callable, width: int, vectors: bool = False, frames: DataFrame | None = None, period: int = 1, frame_size: int = 0, matrix: np.ndarray | None = None) -> DataFrame:
     """(seq, n, x) of a linear recurrence in blocks.
 
     run(block, state) -> (values, last state, and for a state of None also the matrix that takes a first state to the last
-    one). States are width numbers; None is a state of zero. history is how many samples before a block it looks at.
+    one). States are width numbers; None is a state of zero. history is how many samples before a block it looks at. Where
+    that matrix is the same for all blocks it is given here, and rows carry states alone.
     """
     size = blocks.SIZE
     sent, still = blocks.sent(samples, history, 0, size), frames is None
@@ -132,8 +134,8 @@ def recursive(samples: DataFrame, history: int, run: Callable, width: int, vecto
     def last_state(block: blocks.Block):
         if not block.count:
             return None
-        _, state, matrix = run(block, None)
-        return np.array([block.number]), np.concatenate([state, matrix.reshape(-1)])[None]
+        _, state, own = run(block, None)
+        return np.array([block.number]), (state if matrix is not None else np.concatenate([state, own.reshape(-1)]))[None]
 
     # the last block of a sequence hands nothing on; where a sequence is one block, nothing is to be done here
     open_ = sent.filter(f"block < floor((length - 1) / {size})")
@@ -147,15 +149,15 @@ def recursive(samples: DataFrame, history: int, run: Callable, width: int, vecto
         """The first state of each block, from the last state and the matrix of each block before it."""
         out = np.zeros((len(own), width))
         for k in range(len(own)):
-            before, held, matrix = state
+            before, held, last = state
             if before is not None and number[k] != before + 1:  # blocks without a sample lie between; with frames they have no output
-                held = np.linalg.matrix_power(matrix, int(number[k] - before - 1)) @ held if still else np.zeros(width)
-            matrix = own[k, width:].reshape(width, width)
-            out[k], state = held, (number[k], own[k, :width] + matrix @ held, matrix)
+                held = np.linalg.matrix_power(last, int(number[k] - before - 1)) @ held if still else np.zeros(width)
+            last = own[k, width:].reshape(width, width) if matrix is None else matrix
+            out[k], state = held, (number[k], own[k, :width] + last @ held, last)
         return out, state
 
     # the last block is told its first state too, and hands on nothing
-    lasts = sent.filter(f"block > 0 AND block = floor((length - 1) / {size})").select("seq", "block").distinct().select("seq", F.col("block").alias("n"), F.array_repeat(F.lit(0.0), width * (width + 1)).alias("x"))
+    lasts = sent.filter(f"block > 0 AND block = floor((length - 1) / {size})").select("seq", "block").distinct().select("seq", F.col("block").alias("n"), F.array_repeat(F.lit(0.0), width * (width + 1) if matrix is None else width).alias("x"))
     states = along(ends.unionByName(lasts).withColumn("number", F.col("n")), ["number", "x"], lambda: (None, np.zeros(width), None), carry, width=width)
     first = states.filter("n > 0").select("seq", F.col("n").alias("block"), F.lit(-1).cast("long").alias("n"), F.col("x").alias("v"))
     if frames is not None:  # states and frames stand in one column of vectors, as long as frames are
@@ -172,8 +174,8 @@ def recursive(samples: DataFrame, history: int, run: Callable, width: int, vecto
     return blocks.work(with_frames_(sent).unionByName(first, allowMissingColumns=True), whole, size, vectors)
 
 
-def constant(channels: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, Callable, int]:
-    """history, run and width of recurrences with constant coefficients for recursive(); several channels, complex ones too, are worked on side by side."""
+def constant(channels: list[tuple[np.ndarray, np.ndarray]]) -> dict:
+    """history, run, width and matrix of recurrences with constant coefficients for recursive(); several channels, complex ones too, are worked on side by side."""
     kernels = [recurrence(num, den) for num, den in channels]
     orders = [len(den) - 1 for _, den in channels]
     history = max(len(num) - 1 for num, _ in channels)
@@ -206,7 +208,7 @@ def constant(channels: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, Callab
         y = np.concatenate([y.real, y.imag], axis=1) if split else y[:, 0]
         return y, packed(np.concatenate(last)), matrix
 
-    return history, run, width
+    return {"history": history, "run": run, "width": width, "matrix": matrix}
 
 
 def dfs(samples: DataFrame, b=None, a=None, ir_length: int | None = None) -> DataFrame:
@@ -216,7 +218,7 @@ def dfs(samples: DataFrame, b=None, a=None, ir_length: int | None = None) -> Dat
         return seq.fir(samples, impulse_response(num, den, ir_length))
     if len(den) == 1:
         return seq.fir(samples, num)
-    return recursive(samples, *constant([(num, den)]))
+    return recursive(samples, **constant([(num, den)]))
 
 
 def resonance(sample_rate: float, frequency: float | None, bandwidth: float | None):
@@ -541,45 +543,61 @@ def gammatone_filters(sample_rate: float, exact: bool = False, **design) -> tupl
 def gammatone(samples: DataFrame, sample_rate: float, exact: bool = False, **design) -> DataFrame:
     """(seq, n, x): real parts of all channels, then imaginary parts."""
     _, channels = gammatone_filters(sample_rate, exact, **design)
-    return recursive(samples, *constant(channels), vectors=True)
+    return recursive(samples, **constant(channels), vectors=True)
 
 
-def fine_structure(replies: np.ndarray, delay: int) -> tuple[np.ndarray, np.ndarray]:
-    """For impulse responses (channels, delay + 2): how many samples each peak of the envelope comes before delay, and the factor that brings the carrier to its crest there."""
-    peak = np.abs(replies[:, : delay + 1]).argmax(axis=1)
-    rising = np.take_along_axis(replies, peak[:, None] + 1, 1) - np.take_along_axis(replies, peak[:, None] - 1, 1)
-    return delay - peak, np.exp(1j * (np.pi / 2 - np.angle(rising[:, 0])))
-
-
-def flat_weights(mixed: np.ndarray, n_iter: int, eps: float) -> np.ndarray:
-    """Positive weights of channels whose sum comes near to gain 1 at every centre: the logarithm of each falls by that of the gain there, round by round. mixed: replies (centres, channels)."""
-    level = np.zeros(mixed.shape[1])
-    for _ in range(n_iter):
-        before = np.exp(level)
-        level = level - np.log(np.abs(mixed @ before))
-        if np.abs(np.exp(level) - before).mean() < eps:
+def crests(poles: np.ndarray, order: int, exact: bool, latest: int) -> tuple[np.ndarray, np.ndarray]:
+    """From the form of the responses, envelope(n) * pole**n: the sample at which each envelope is highest, latest at most, and the phase of the carrier there, a quarter turn behind that of its slope."""
+    radius, m = np.abs(poles), order - 1
+    if exact:
+        envelope = lambda n: np.maximum(n, 0.0) ** m
+        top = np.floor(1 / np.expm1(-np.log(radius) / m)) + 1 if m else np.zeros(len(poles))
+    else:
+        envelope = lambda n: np.prod([np.maximum(n + j, 0.0) / j for j in range(1, order)], axis=0) * (n >= 0)
+        top = np.floor(m * radius / (1 - radius))
+    at = np.minimum(top, latest)
+    slope = envelope(at + 1) * poles - envelope(at - 1) / poles
+    return at.astype(int), np.angle(poles) * at + np.angle(slope) - np.pi / 2
+
+
+def level_weights(mixed: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Positive weights with which the channels' sum has gain 1 at every centre, by Newton's method on the gains. mixed: replies (centres, channels)."""
+    weights = 1 / np.abs(mixed).sum(axis=1)
+    for _ in range(rounds):
+        total = mixed @ weights
+        gain = np.abs(total)
+        step = np.linalg.lstsq((total.conj()[:, None] * mixed).real / gain[:, None], 1 - gain, rcond=None)[0]
+        falls = step < 0
+        share = min(1.0, 0.9 * float(np.min(weights[falls] / -step[falls], initial=np.inf)))  # weights stay positive
+        weights = weights + share * step
+        if np.abs(step).max() < 1e-12:
             break
-    return np.exp(level)
+    return weights
 
 
-def igammatone_design(sample_rate: float, desired_delay: float = 4, n_iter: int = 100, eps: float = 1e-8, compensate_delay: bool = True, exact: bool = False, **design) -> tuple[np.ndarray, np.ndarray]:
+def igammatone_design(sample_rate: float, desired_delay: float = 4, compensate_delay: bool = True, exact: bool = False, **design) -> tuple[np.ndarray, np.ndarray]:
     """Of each channel: how many samples it is moved by, and the complex factor of which the real part of its product counts."""
     centre, channels = gammatone_filters(sample_rate, exact, **design)
+    _, poles, _ = gammatone_design(sample_rate, **design)
     shift = int(round(desired_delay * sample_rate / 1000))
-    late, turn = fine_structure(np.stack([impulse_response(num, den, shift + 2) for num, den in channels]), shift)
-    # a real part is half of a channel and half of its mirror image at negative frequencies
-    circle = np.exp(2j * np.pi * np.concatenate([centre, -centre]) / sample_rate)[:, None]
-    reply = np.hstack([np.polyval(num[::-1], 1 / circle) / np.polyval(den[::-1], 1 / circle) * t / circle**k for (num, den), t, k in zip(channels, turn, late, strict=True)])
-    half = len(centre)
-    return late - (shift if compensate_delay else 0), turn * flat_weights((reply[:half] + reply[half:].conj()) / 2, n_iter, eps)
+    at, phase = crests(poles, design.get("filter_order", 4), exact, shift)
+
+    def reply(frequency: np.ndarray) -> np.ndarray:
+        """Of complex channels, each with its crest at shift, at some frequencies."""
+        z = np.exp(-2j * np.pi * frequency / sample_rate)[:, None]
+        return np.hstack([np.polyval(num[::-1], z) / np.polyval(den[::-1], z) for num, den in channels]) * np.exp(-1j * phase) * z ** (shift - at)
+
+    # the real part of a channel is its mean with its conjugate, which replies at the mirrored frequency
+    weights = level_weights((reply(centre) + reply(-centre).conj()) / 2)
+    return shift - at - (shift if compensate_delay else 0), weights * np.exp(-1j * phase)
 
 
-def igammatone(bands: DataFrame, sample_rate: float, desired_delay: float = 4, n_iter: int = 100, eps: float = 1e-8, compensate_delay: bool = True, exact: bool = False, **design) -> DataFrame:
+def igammatone(bands: DataFrame, sample_rate: float, desired_delay: float = 4, compensate_delay: bool = True, exact: bool = False, **design) -> DataFrame:
     """(seq, n, x) from gammatone(): channels are brought into phase at desired_delay (ms), weighted for a flat response, and added.
 
     A channel's part is moved by a few samples: each block adds its channels where they arrive.
     """
-    move, factor = igammatone_design(sample_rate, desired_delay, n_iter, eps, compensate_delay, exact, **design)  # sample n of a channel arrives at n + move
+    move, factor = igammatone_design(sample_rate, desired_delay, compensate_delay, exact, **design)  # sample n of a channel arrives at n + move
     half = len(move)
     behind, before = max(0, int(move.max())), max(0, -int(move.min()))
     size = max(blocks.SIZE, behind + before)
@@ -603,27 +621,88 @@ def igammatone(bands: DataFrame, sample_rate: float, desired_delay: float = 4, n
     return blocks.work(sent, run, size)
 
 
+def smoothed_gain(wanted: np.ndarray, gain: float, fall: float, rise: float) -> np.ndarray:
+    """A gain that follows what is wanted, by a share of the distance at each sample: one to fall, one to rise."""
+    out = np.empty(len(wanted))
+    for n, g in enumerate(wanted.tolist()):
+        gain += (fall if g < gain else rise) * (g - gain)
+        out[n] = gain
+    return out
+
+
+def gain_function(wanted: np.ndarray, fall: float, rise: float) -> tuple[np.ndarray, np.ndarray]:
+    """The last gain as a function of the first one, 0 to 1: a rising chain of lines, by its corners.
+
+    All first gains are led at once. While what is wanted lies outside of them, all go the same way and keep their shares of
+    the distance; where it lies among them, the chain gets a corner there. Corners that have met are one.
+    """
+    first, last = np.array([0.0, 1.0]), np.array([0.0, 1.0])
+    scale, shift = 1.0, 0.0  # gains are scale * last + shift
+    low, high = 0.0, 1.0
+    for g in wanted.tolist():
+        if g <= low or g >= high:
+            share = fall if g <= low else rise
+            scale, shift = scale * (1 - share), shift * (1 - share) + share * g
+            low, high = low + share * (g - low), high + share * (g - high)
+            continue
+        last = scale * last + shift
+        at = int(np.searchsorted(last, g))
+        if last[at] != g:
+            part = (g - last[at - 1]) / (last[at] - last[at - 1])
+            first, last = np.insert(first, at, first[at - 1] + part * (first[at] - first[at - 1])), np.insert(last, at, g)
+        last = last + np.where(last > g, fall, rise) * (g - last)
+        apart = np.append(np.diff(last) > 1e-15, True)
+        apart[0] = True
+        first, last = first[apart], last[apart]
+        scale, shift, low, high = 1.0, 0.0, float(last[0]), float(last[-1])
+    return first, scale * last + shift
+
+
 def drc(
-    samples: DataFrame, sample_rate: float, threshold: float = -20, ratio: float = 2, attack_time: float = 1, release_time: float = 500, makeup_gain: float = 0, abs_max: float = 1,
+    samples: DataFrame, sample_rate: float, threshold: float = -20, ratio: float = 2, attack_time: float = 1, release_time: float = 500, makeup_gain: float = 0, abs_max: float = 1, block: int = blocks.SIZE,
 ) -> DataFrame:
     """Dynamic range compression: a static gain above the threshold (dB), smoothed with one time to fall (attack) and one to rise (release), in ms.
 
-    Null samples take part in nothing and have no output.
+    Every block makes its last gain a function of its first one, on its own; along a sequence one such function for each block
+    is followed, and a second pass runs every block from its own first gain. Null samples take part in nothing and have no output.
     """
     smooth = lambda ms: 1 - math.exp(-1000 / (ms * sample_rate))
     fall, rise = smooth(attack_time), smooth(release_time)
     slope = 1 - 1 / ratio
+    sent = blocks.sent(samples.filter("x IS NOT NULL AND NOT isnan(x)"), 0, 0, block)
+    kind = sent.schema["seq"].dataType.simpleString()
 
-    def step(gain, x):
-        level = 20 * np.log10(np.abs(x) / abs_max + 1e-10)
-        wanted = 10 ** (np.minimum(0.0, (threshold - level) * slope) / 20)
-        out = np.empty(len(x))
-        for n, g in enumerate(wanted.tolist()):
-            gain += (fall if g < gain else rise) * (g - gain)
-            out[n] = gain
-        return out * x * 10 ** (makeup_gain / 20), gain
+    def wanted(x: np.ndarray) -> np.ndarray:
+        return 10 ** (np.minimum(0.0, (threshold - 20 * np.log10(np.abs(x) / abs_max + 1e-10)) * slope) / 20)
+
+    def corners(own: blocks.Block):
+        if not own.count:
+            return None
+        first, last = gain_function(wanted(own.x), fall, rise)
+        return np.full(len(first), own.number), np.stack([first, last], axis=1)
+
+    functions = blocks.work(sent, corners, block, vectors=True).groupBy("seq", F.col("n").alias("block")).agg(F.sort_array(F.collect_list("x")).alias("corners"))
+
+    def follow(batches):
+        here, gain, begun = None, 1.0, False
+        for batch in batches:
+            out = []
+            for owner, chain in zip(batch.column("seq").to_pylist(), batch.column("corners").to_pylist(), strict=True):
+                if not begun or owner != here:
+                    here, gain, begun = owner, 1.0, True
+                out.append([gain])
+                gain = float(np.interp(gain, *zip(*chain, strict=True)))
+            yield pa.RecordBatch.from_arrays([batch.column("seq"), batch.column("block"), pa.array(out, pa.list_(pa.float64()))], ["seq", "block", "v"])
+
+    gains = functions.repartition("seq").sortWithinPartitions("seq", "block").mapInArrow(follow, f"seq {kind}, block long, v array<double>")
+
+    def whole(own: blocks.Block):
+        if not own.count:
+            return None
+        gain = own.vectors[0][0] if own.vectors is not None else 1.0
+        return own.n, smoothed_gain(wanted(own.x), gain, fall, rise) * own.x * 10 ** (makeup_gain / 20)
 
-    return along(samples.filter("x IS NOT NULL AND NOT isnan(x)"), ["x"], lambda: 1.0, step)
+    return blocks.work(sent.unionByName(gains.withColumn("n", F.lit(-1).cast("long")), allowMissingColumns=True), whole, block)
 
 
 def consistent(spectra: np.ndarray, places: np.ndarray, weights: np.ndarray, share: np.ndarray, fft_length: int, edges: Callable) -> np.ndarray:

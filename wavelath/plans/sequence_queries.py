@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import filters, metrics, pointwise, sequences, spectra, transforms, voice
+from ..operators import delayband, filters, metrics, pointwise, sequences, spectra, transforms, voice
 from ..sources import samples as src
 from . import fixtures as fx
 from .fixtures import PI, grid, y
@@ -308,6 +308,7 @@ samples("icqt", lambda df: voice.icqt(voice.cqt(df, 2, 8000, 1000, 8, 4), 2, 800
 ), digits=5)
 register("pitch", lambda spark, d: fx.plain(voice.pitch(loudness(fx.w(spark, d)), 10, 8000, 400, 1600), ["seq", "t"]))
 vectors("pitch_spec", lambda df: voice.pitch_spec(loudness(df), tones(df), 10, 8000, 128), None)
+vectors("ap_group_delay", lambda df: delayband.ap_group_delay(loudness(df), tones(df), 10, 16000, 64), None)
 vectors("ap", lambda df: voice.ap(loudness(df), tones(df), 10, 8000, 64, f_min=300), None)
 
 
