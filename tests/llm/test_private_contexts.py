@@ -56,3 +56,27 @@ def test_contexts_end_at_line_breaks(spark):
 def test_long_runs_are_searched_in_time(make):
     docs = [(1, "1 " * 30000 + "x"), (2, "x" * 300000 + " a@b.c"), (3, "(1" * 50000), (4, "a b\n" * 20000 + "12345678"), (5, "1.-" * 60000 + "é"), (6, "x" * 200000 + "\n" + "y" * 200000 + " 12345678")]
     assert private.scan(make(*docs)).count() == 6
+
+
+def test_long_texts_take_time_in_proportion(make):
+    """A text of 2 MB with 50,000 addresses and as many candidates."""
+    import time
+
+    line = "write to user{k}@mail{k}.example.org or see AB{k}XY77 at the desk\n"
+    long = "".join(line.replace("{k}", str(k)) for k in range(50_000))
+    began = time.perf_counter()
+    [row] = private.scan(make((1, long))).collect()
+    assert row["n_email"] == 50_000 and time.perf_counter() - began < 90
+
+
+def test_candidates_that_a_seed_overlaps_are_none(make):
+    """Seeds within candidates, around them, and at their edges; against a look at every pair."""
+    text = "mail a.b@c.org and x@y.org-5512345 call +1 (663) 555-6869 id 4111 1111 1111 1111 then 555-123-4567 and 10.0.0.1x or 10.0.0.1 end"
+    rows = private.surveyed(make((1, text)))
+    [r] = rows.collect()
+    seeds = [(x["start"], x["end"]) for k in private.KINDS for x in r[k]]
+    free = {(c["start"], c["end"]) for c in r["candidates"] if not any(a < c["end"] and c["start"] < b for a, b in seeds)}
+    assert seeds and free and len(free) < len(r["candidates"])
+    # a pattern that vouches for everything reports all that is free
+    found = private.learned(rows, private.Bootstrap(seeds=0, confidence=0.0, score=0.0))
+    assert {(x["start"], x["end"]) for x in found.collect()} <= free

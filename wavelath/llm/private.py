@@ -27,6 +27,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stage_table, table
@@ -45,6 +46,8 @@ GROUPS = rf"{GROUP}(?:\x20{GROUP}(?![A-Za-z@_%]))++"
 CANDIDATE = rf"(?<!{TOKEN})(?:{GROUPS}|(?=[A-Za-z._%+()-]*+[0-9@]){TOKEN}{{6,}}+)"
 #: The last two words of a text, or the last one, on its last line, with the blanks behind them.
 LAST_WORDS = r"(?<!\S)(?:\S++[ \t]++(?=\S))?+\S++[ \t]*+\z"
+#: Matches of a text that are folded at once.
+CHUNK = 256
 SPAN = "struct<start:int,end:int,value:string,pattern:string>"
 
 
@@ -65,7 +68,8 @@ def last_words(text: Column) -> Column:
 def spans(text: Column, pattern: str) -> Column:
     """All matches with their places in code points, and the last words before each as its pattern.
 
-    The fold hands on the last words of all that it has passed, so that no context is cut by an earlier match.
+    The fold hands on the last words of all that it has passed, so that no context is cut by an earlier match. It goes by
+    stretches of CHUNK matches: what it has found is copied once in a stretch, not at every match.
     """
     both = F.arrays_zip(F.split(text, pattern, -1).alias("piece"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
 
@@ -79,8 +83,16 @@ def spans(text: Column, pattern: str) -> Column:
             F.when(end.isNull(), done["out"]).otherwise(F.concat(done["out"], F.array(found))).alias("out"),
         )
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<{SPAN}>").alias("out"))
-    return F.aggregate(both, start, step, lambda done: done["out"])
+    nothing = F.array().cast(f"array<{SPAN}>")
+
+    def stretch(done: Column, part: Column) -> Column:
+        begin = F.struct(done["at"].alias("at"), done["tail"].alias("tail"), nothing.alias("out"))
+        return F.aggregate(part, begin, step, lambda x: F.struct(x["at"].alias("at"), x["tail"].alias("tail"), F.concat(done["parts"], F.array(x["out"])).alias("parts")))
+
+    # an array of one, so that the matches are looked for once and not for each stretch
+    parts = F.element_at(F.transform(F.array(both), lambda b: F.transform(F.sequence(F.lit(0), F.floor((F.size(b) - 1) / CHUNK).cast("int")), lambda k: F.slice(b, k * CHUNK + 1, F.lit(CHUNK)))), 1)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(f"array<array<{SPAN}>>").alias("parts"))
+    return F.aggregate(parts, start, stretch, lambda done: F.flatten(done["parts"]))
 
 
 def digits(value: Column) -> Column:
@@ -131,10 +143,15 @@ def surveyed(docs: DataFrame) -> DataFrame:
 def learned(rows: DataFrame, settings: Bootstrap) -> DataFrame:
     """doc_id, mark, start, end of the candidates that patterns vouch for."""
     every = F.concat(*[F.transform(k, lambda x, k=k: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["pattern"].alias("pattern"), F.lit(k).alias("kind"))) for k in KINDS])
-    free = F.filter("candidates", lambda x: ~F.exists("seeds", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    new = F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["pattern"].alias("pattern"), F.lit(None).cast("string").alias("kind")))
-    found = rows.select("doc_id", "mark", "candidates", every.alias("seeds")).select("doc_id", "mark", F.explode(F.concat("seeds", new)).alias("i"))
-    instances = stage_table(found.select("doc_id", "mark", "i.*").filter("pattern <> ''"), "instances")
+    new = F.transform("candidates", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["pattern"].alias("pattern"), F.lit(None).cast("string").alias("kind")))
+    found = rows.select("doc_id", "mark", F.explode(F.concat(every, new)).alias("i")).select("doc_id", "mark", "i.*")
+    # a candidate that a seed overlaps is none: of the seeds that begin before it the one that ends last, of those behind it the first one
+    seed, text = F.col("kind").isNotNull(), W.partitionBy("doc_id", "mark")
+    ends = F.max(F.when(seed, F.col("end"))).over(text.orderBy("start").rangeBetween(W.unboundedPreceding, W.currentRow))
+    # from the other end, so that a frame grows and is not begun anew for each row
+    begins = F.min(F.when(seed, F.col("start"))).over(text.orderBy(F.desc("start")).rangeBetween(W.unboundedPreceding, W.currentRow))
+    free = found.withColumn("before", ends).withColumn("behind", begins).filter("kind IS NOT NULL OR (coalesce(before, -1) <= start AND coalesce(behind, end) >= end)")
+    instances = stage_table(free.drop("before", "behind").filter("pattern <> ''"), "instances")
     edges = stage_table(instances.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
     scored = edges.withColumn("score", F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0))
     seeds = edges.filter("kind IS NOT NULL").select("value").distinct().withColumn("seed", F.lit(True))
