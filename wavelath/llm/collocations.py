@@ -155,32 +155,64 @@ def window_keys(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def cell_rows(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    cells = np.concatenate([c for c, _ in held])
-    weights = np.concatenate([w for _, w in held])
+#: Cells of a block of a sketch, in bits, at most: a task holds one block as an array. A sketch has 256 blocks at least.
+BLOCK = 21
+
+
+def block_rows(held: list[tuple[np.ndarray, np.ndarray]], bits: int) -> pa.RecordBatch:
+    """Cells and what falls into them, added up: a row for each block of so many bits, of cells (32-bit numbers) and sums (64-bit ones)."""
+    cells, weights = (np.concatenate(c) for c in zip(*held, strict=True))
     order = np.argsort(cells)
     cells = cells[order]
     firsts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else np.zeros(0, np.int64)
     sums = np.add.reduceat(weights[order], firsts) if len(cells) else weights
-    return pa.RecordBatch.from_arrays([pa.array(cells[firsts].view(np.int64)), pa.array(sums)], ["cell", "n"])
+    cells = cells[firsts].view(np.int64)
+    blocks = cells >> bits
+    edges = np.append(np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])) if len(cells) else np.zeros(0, np.int64), len(cells))
 
+    def binary(values: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
-def summed(held_of):
-    """A function over Arrow batches: rows (cell, n) of what held_of yields for each, added up some at a time."""
+    return pa.RecordBatch.from_arrays([pa.array(blocks[edges[:-1]]), binary((cells & (1 << bits) - 1).astype("<u4")), binary(sums.astype("<i8"))], ["block", "cells", "sums"])
 
-    def run(batches):
+
+def sketched(rows: DataFrame, held_of, bits: int, least: int) -> DataFrame:
+    """The cells (numbers of so many bits) of a sketch that hold least or more, as rows (cell). held_of: of an Arrow batch of rows, pairs of arrays (cells, what falls into them).
+
+    Tasks add up what they meet by block of cells; a block is then one array that its parts are added to as they come.
+    """
+
+    within = max(8, min(BLOCK, bits - 8))
+
+    def parts(batches):
         held, count = [], 0
         for batch in pieces(batches):
             for cells, weights in held_of(batch):
                 held.append((cells, weights))
                 count += len(cells)
             if count > 1_500_000:
-                yield cell_rows(held)
+                yield block_rows(held, within)
                 held, count = [], 0
         if held:
-            yield cell_rows(held)
+            yield block_rows(held, within)
 
-    return run
+    def whole(batches):
+        here, sums = None, np.zeros(1 << within, np.int64)
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array((here << within) + np.flatnonzero(sums >= least))], ["cell"])
+
+        for batch in batches:
+            for block, cells, n in zip(*(batch.column(c).to_pylist() for c in ("block", "cells", "sums")), strict=True):
+                if block != here:
+                    if here is not None:
+                        yield out()
+                    here, sums[:] = block, 0
+                sums[np.frombuffer(cells, "<u4")] += np.frombuffer(n, "<i8")
+        if here is not None:
+            yield out()
+
+    return rows.mapInArrow(parts, "block long, cells binary, sums binary").repartition("block").sortWithinPartitions("block").mapInArrow(whole, "cell long")
 
 
 def frequent_words(words: DataFrame, bits: int) -> DataFrame:
@@ -194,8 +226,8 @@ def frequent_words(words: DataFrame, bits: int) -> DataFrame:
     return words.select("lang", "word").mapInArrow(run, "cell long")
 
 
-def pair_cells(texts: DataFrame, words, word_bits: int, bits: int) -> DataFrame:
-    """The sketch of pairs of neighbouring words that may be frequent: cell, n."""
+def pair_cells(texts: DataFrame, words, word_bits: int, bits: int, least: int) -> DataFrame:
+    """Of a sketch of pairs of neighbouring frequent words, the cells that hold least or more."""
 
     known = Languages()
 
@@ -205,7 +237,7 @@ def pair_cells(texts: DataFrame, words, word_bits: int, bits: int) -> DataFrame:
             keys, _ = window_keys(known.hashes(lang, tokens, words.value, word_bits), 2)
             yield keys >> np.uint64(64 - bits), np.ones(len(keys), np.int64)
 
-    return texts.mapInArrow(summed(held_of), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return sketched(texts, held_of, bits, least)
 
 
 def stretches(texts: DataFrame, words, word_bits: int, pairs, pair_bits: int) -> DataFrame:
@@ -241,8 +273,8 @@ def tokens_of(batch: pa.RecordBatch, known: Languages):
         yield lang, tokens, known.hashes(lang, tokens), np.repeat(np.array(counts, np.int64), [len(p) + 1 for p in parts])
 
 
-def phrase_cells(rows: DataFrame, bits: int, sizes: range) -> DataFrame:
-    """The sketch of the stretches' phrases of some sizes: cell, n."""
+def phrase_cells(rows: DataFrame, bits: int, sizes: range, least: int) -> DataFrame:
+    """Of a sketch of the stretches' phrases of some sizes, the cells that hold least or more."""
 
     known = Languages()
 
@@ -252,16 +284,15 @@ def phrase_cells(rows: DataFrame, bits: int, sizes: range) -> DataFrame:
                 keys, at = window_keys(hashes, size)
                 yield keys >> np.uint64(64 - bits), weights[at]
 
-    return rows.mapInArrow(summed(held_of), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return sketched(rows, held_of, bits, least)
 
 
 def parts_of(rows: DataFrame, triples, bits: int) -> DataFrame:
     """lang, stretch, n: stretches cut between pairs that no triple which may be frequent joins; a cut leaves its word on both sides, so that each pair stands in one part."""
 
     def run(batches):
-        known = Languages()
+        known, counts = Languages(), {}
         for batch in pieces(batches, 1 << 16):
-            counts: dict[str, Counter] = {}
             for lang, tokens, hashes, weights in tokens_of(batch, known):
                 _, at = window_keys(hashes, 2)
                 keys, triple = window_keys(hashes, 3)
@@ -272,7 +303,10 @@ def parts_of(rows: DataFrame, triples, bits: int) -> DataFrame:
                 own = counts.setdefault(lang, Counter())
                 for a, b, n in zip(at[first].tolist(), at[last].tolist(), weights[at[first]].tolist(), strict=True):
                     own[b" ".join(tokens[a : b + 2])] += n
-            yield tally(counts, "stretch")
+            if sum(map(len, counts.values())) > 300_000:
+                yield tally(counts, "stretch")
+                counts = {}
+        yield tally(counts, "stretch")
 
     return rows.mapInArrow(run, "lang string, stretch string, n long").groupBy("lang", "stretch").agg(F.sum("n").alias("n"))
 
@@ -358,12 +392,12 @@ def counted(docs: DataFrame, settings: Collocations = Collocations()) -> tuple[D
     bits = max(20, (total * settings.cells).bit_length())
     often = F.col("n") >= settings.least
     word_map = bitmap(frequent_words(words.filter("word <> ''"), bits), bits, settings.map_bits)
-    pair_map = bitmap(pair_cells(texts, *word_map, bits).filter(often), bits, settings.map_bits)
+    pair_map = bitmap(pair_cells(texts, *word_map, bits, settings.least), bits, settings.map_bits)
     rows = stage_table(stretches(texts, *word_map, *pair_map), "stretches")
     if settings.max_words > 2:
-        triple_map = bitmap(phrase_cells(rows, bits, range(3, 4)).filter(often), bits, settings.map_bits)
+        triple_map = bitmap(phrase_cells(rows, bits, range(3, 4), settings.least), bits, settings.map_bits)
         rows = stage_table(parts_of(rows, *triple_map), "parts")
-    phrase_map = bitmap(phrase_cells(rows, bits, range(2, settings.max_words + 1)).filter(often), bits, settings.map_bits)
+    phrase_map = bitmap(phrase_cells(rows, bits, range(2, settings.max_words + 1), settings.least), bits, settings.map_bits)
     candidates = stage_table(phrases(rows, *phrase_map, settings), "candidates")
     return words, stage_table(occurrences(rows, candidates, settings).filter(often), "phrases")
 
