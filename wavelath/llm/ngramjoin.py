@@ -8,10 +8,11 @@ band of its size, and asks there and in every lower band that holds sets it may
 alike to.
 
 First, segments equal in whole are looked up. Documents with equal sets are one
-class, and most segments of most classes are their own: these cost nothing. The
-members of a bucket are held against one of them, at first the one that they meet
-most often, and a bucket whose members are of one component then is done with. In a
-small bucket with several components the members of different ones are compared.
+class, and most segments of most classes are their own: these cost nothing. Each
+class is held against one other, of the smallest members of its buckets the one that
+it meets most often, and a bucket whose members are of one component then is done
+with. In a small bucket with several components the members of different ones are
+compared.
 
 A large bucket with several components would be the square of its members. Those
 outside its largest component ask again, and all of them can be found. Its
@@ -178,10 +179,18 @@ def in_order(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b")).filter("a < b").distinct()
 
 
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are not of one component."""
-    both = pairs.join(labels.selectExpr("node a", "component ca"), "a", "left").join(labels.selectExpr("node b", "component cb"), "b", "left")
-    return both.filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+def members_of(docs: DataFrame, buckets: DataFrame, settings: NGramJoin) -> DataFrame:
+    """node, text of the documents in buckets, and of a few others: a bitmap chooses them where they are read, so that no other text is shuffled."""
+    key = F.xxhash64("node")
+    mask, bits = keys_map(buckets.select(key.alias("key")).distinct(), settings)
+
+    def run(batches):
+        for batch in pieces(batches):
+            hit = lets_through(mask.value, bits, batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64))
+            yield batch.filter(pa.array(hit)).select(["node", "text"])
+
+    rows = docs.select(node().alias("node"), "text").withColumn("key", F.coalesce(key, F.lit(0).cast("long")))
+    return stage_table(rows.mapInArrow(run, "node long, text string"), "members")
 
 
 def cheapest(once: np.ndarray, twice: np.ndarray, needed: int) -> np.ndarray:
@@ -275,23 +284,19 @@ def joined(docs: DataFrame, settings: NGramJoin = NGramJoin()) -> DataFrame:
     rows = stage_table(partitioned(docs, settings), "sets")
     firsts = stage_table(rows.filter("name IS NOT NULL").groupBy("name").agg(F.min("node").alias("node"), F.min("doc_id").alias("least")), "firsts")
     classes = stage_table(rows.join(firsts.select("name", "node"), ["name", "node"]).dropDuplicates(["name", "node"]).select("node", "own", "lower"), "classes")
-    texts = docs.select(node().alias("node"), "text")
     buckets = bucketed(classes, settings)
+    texts = members_of(docs, buckets, settings)
 
-    met = stage_table(buckets.filter("node <> first").groupBy("node", "first").count(), "met")
-    nearest = F.max_by("first", F.struct(F.col("count"), -F.col("first"))).alias("nearest")
-    links = stage_table(confirmed(in_order(met.groupBy("node").agg(nearest), "nearest", "node"), texts, exact), "links")
-    labels = stage_table(components(links), "labels")
-    others = apart(in_order(met, "first", "node"), labels)
-    links = stage_table(links.unionByName(confirmed(others, texts, exact)), "links")
+    met = buckets.filter("node <> first").groupBy("node", "first").count()
+    nearest = met.groupBy("node").agg(F.max_by("first", F.struct(F.col("count"), -F.col("first"))).alias("nearest"))
+    links = stage_table(confirmed(in_order(nearest, "nearest", "node"), texts, exact), "links")
     labels = stage_table(components(links), "labels")
 
     # buckets with several components
     named = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("size").alias("size")).filter("low < high AND size > 2").select("key", "size")
-    members = stage_table(named.drop("size").join(open_, "key"), "open")
+    open_ = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    members = stage_table(named.join(open_, "key"), "open")
     small = members.filter(F.col("size") <= settings.bucket)
-    small = small.filter("node <> first")  # held against all of its bucket
     left = small.filter("indexed").selectExpr("key", "node r", "component cr")
     crossing = left.join(small.selectExpr("key", "node s", "component cs"), "key").filter("cr <> cs")
     large = members.filter(F.col("size") > settings.bucket)
