@@ -82,6 +82,24 @@ def test_allotments_miss_no_pair(spark):
     assert links <= met and len(links) > 100 and len(met) < len(own) * (len(own) - 1) // 4
 
 
+def test_copies_with_changes_of_their_own_do_not_meet(spark):
+    """A large group of copies, each changed in its own way and most of them unlike: few pairs are brought up, and all links among them."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    texts: list[list[str]] = []
+    for k in range(300):
+        text = list(base if k % 10 else texts[-1] if texts else base)
+        for _ in range(rng.randint(4, 6) if k % 10 else 1):
+            place = rng.randrange(len(text))
+            text[place : place + 1] = [] if rng.random() < 0.5 else [rng.choice(base)]
+        texts.append(text)
+    rows = [(k, " ".join(t), k, True) for k, t in enumerate(texts)]
+    met = {(r["a"], r["b"]) for r in ngramjoin.allotted(spark.createDataFrame(rows, "node long, text string, component long, asks boolean"), NGramJoin()).collect()}
+    own = [sets(t, 3) for _, t, _, _ in rows]
+    links = {(a, b) for a, b in itertools.combinations(range(len(own)), 2) if own[a] != own[b] and 100 * len(own[a] & own[b]) >= 90 * len(own[a] | own[b])}
+    assert links <= met and len(links) > 20 and len(met) < 20 * len(own)
+
+
 def test_other_bounds(make):
     rows = copies(3, lengths=(8, 30, 70), count=24)
     for words, percent in ((2, 75), (1, 60)):

@@ -24,6 +24,13 @@ the allotment in some segment, so whichever are chosen no link is missed. Chosen
 are those with the fewest answers in all, by counts of all keys: a part that many
 members share is left out, and parts that are a document's own answer for it.
 
+A document that has many answers even so asks by segments of one element. There the
+two sides count apart: of sizes r and s, alike sets have t elements in common, so
+that in one order of all elements, rare ones first, the first common one is among
+the first r - t + 1 of the one and the first s - t + 1 of the other. What many
+members share stands last in that order, and copies of one text that each differ
+from it in their own way no longer meet.
+
 What comes up is decided on the full sets, and links are grouped by union-find.
 
 Null texts, empty texts, and texts without words have no n-grams and link with
@@ -58,6 +65,8 @@ class NGramJoin:
     bucket: int = 16
     #: Segments for each one needed, where deletions are allotted.
     finer: int = 3
+    #: Answers of a view, above which its document asks by single elements.
+    answers: int = 16
     map_bits: int = 27
 
     @cached_property
@@ -243,8 +252,46 @@ def entries(texts: DataFrame, settings: NGramJoin, mask=None, bits: int = 0) ->
     return texts.select("node", "component", "asks", "mark", "text").mapInArrow(run, ENTRY)
 
 
+#: Documents that have an element, from so many on: places in the order of elements.
+LEVELS = (2, 8, 32, 128, 512)
+
+
+def single(texts: DataFrame, dear: DataFrame, settings: NGramJoin) -> DataFrame:
+    """Pairs (a, b) of different components, one of them among dear (node, mark), whose rarest elements meet: all alike ones are among them. texts: node, component, mark, text."""
+
+    def elements(batches):
+        hashes = WordHashes()
+        for batch in pieces(batches, 64):
+            found = [shingles(t, settings.words, hashes) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(mix64(np.concatenate([np.zeros(0, np.uint64), *found])).view(np.int64))], ["key"])
+
+    counts = stage_table(texts.mapInArrow(elements, "key long").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= LEVELS[0]), "counts")
+    maps = [keys_map(counts.filter(F.col("n") >= n), settings) for n in LEVELS]
+
+    def rarest(batches):
+        hashes = WordHashes()
+        for batch in pieces(batches, 64):
+            out = []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                own = mix64(shingles(text, settings.words, hashes))
+                level = sum(lets_through(mask.value, bits, own).astype(np.int8) for mask, bits in maps)
+                order = np.lexsort((own, level))[: len(own) + settings.percent * len(own) // -100 + 1 if len(own) else 0]
+                place = np.flatnonzero(level[order] > 0)  # what no other document has is only counted
+                out.append((np.full(len(place), k), own[order[place]], place, np.full(len(place), len(own))))
+            of, keys, place, size = (np.concatenate(c) for c in zip(*out, strict=True))
+            columns = [*(batch.column(c).take(pa.array(of)) for c in ("node", "component", "mark")), *(pa.array(c.astype(np.int64)) for c in (place, size))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *columns], ["key", "node", "component", "mark", "place", "size"])
+
+    rows = stage_table(texts.select("node", "component", "mark", "text").mapInArrow(rarest, "key long, node long, component long, mark long, place long, size long"), "rarest")
+    asked = rows.join(dear, ["node", "mark"], "left_semi").selectExpr("key", "node r", "component cr", "place pr", "size nr")
+    answers = rows.selectExpr("key", "node s", "component cs", "place ps", "size ns")
+    less = 100 + settings.percent
+    common = f"({settings.percent} * (nr + ns) + {less - 1}) div {less}"
+    return asked.join(answers, "key").filter(f"cr <> cs AND pr <= nr - {common} AND ps <= ns - {common}").select("r", "s")
+
+
 def allotted(texts: DataFrame, settings: NGramJoin) -> DataFrame:
-    """Pairs (a, b) of different components that meet where the allotment of one says so: each pair within the bound, of which one asks, is among them. texts: node, component, asks, text."""
+    """Pairs (a, b) of different components that meet where the allotment of one says so, or its rarest elements: each pair within the bound, of which one asks, is among them. texts: node, component, asks, text."""
     texts = texts.withColumn("mark", F.xxhash64("text"))
     held, asking = (F.when(F.expr(which), F.col("component")) for which in ("role = 0", "role > 0"))
     ends = entries(texts, settings).groupBy("key").agg(F.min(held).alias("a"), F.max(held).alias("b"), F.min(asking).alias("c"), F.max(asking).alias("d"), F.count(held).alias("n"))
@@ -267,15 +314,20 @@ def allotted(texts: DataFrame, settings: NGramJoin) -> DataFrame:
                 for c in costs:
                     once[c["segment"]], twice[c["segment"]] = c["once"], c["twice"]
                 power = cheapest(once, twice, needed)
+                if np.choose(power, (0, once, twice)).sum() > settings.answers:
+                    out.append((*at, -1, 0))
+                    continue
                 out += [(*at, k, int(power[k])) for k in np.flatnonzero(power).tolist() if twice[k]]
             columns = zip(*out, strict=True) if out else [()] * 5
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*view, "segment", "power"])
 
-    chosen = by_view.mapInArrow(choose, "node long, mark long, band int, segment int, power int")
+    chosen = stage_table(by_view.mapInArrow(choose, "node long, mark long, band int, segment int, power int"), "chosen")
+    dear = chosen.filter("segment < 0").select("node", "mark").distinct()
     found = asked.filter("n > 0").select("role", "key", "component", *view, "segment").join(chosen, [*view, "segment"]).filter("role = 1 OR power = 2").select("key", F.col("node").alias("s"), F.col("component").alias("cs"))
     answers = rows.filter("role = 0").select("key", F.col("node").alias("r"), F.col("component").alias("cr"))
-    return in_order(found.distinct().join(answers, "key").filter("cr <> cs"), "r", "s")
+    met = found.distinct().join(answers, "key").filter("cr <> cs").select("r", "s")
+    return in_order(met.unionByName(single(texts, dear, settings)), "r", "s")
 
 
 def joined(docs: DataFrame, settings: NGramJoin = NGramJoin()) -> DataFrame:
