@@ -77,6 +77,24 @@ def test_one_text_and_hot_phrase(with_lang):
     assert table_of(collocations.collocations(with_lang(rows), settings), *COLUMNS) == plain(rows, settings)
 
 
+def test_stretches_are_no_more_rows_than_phrases(spark):
+    """Long stretches of frequent pairs, all different: their parts are as many as the phrases that they hold, and count each occurrence once."""
+    rng = random.Random(6)
+    rows = [("en", " ".join(rng.choice("abcd") for _ in range(40)), rng.randint(1, 3)) for _ in range(2000)]
+    stretches = spark.createDataFrame(rows, "lang string, stretch string, n long").repartition(2)
+    longer = collocations.bitmap(collocations.phrase_cells(stretches, 24, range(3, 6), 100), 24, 24)
+    parts = [(r["stretch"], r["n"]) for r in collocations.parts_of(stretches, *longer, Collocations()).collect()]
+    counts, found = Counter(), Counter()
+    for into, own in ((counts, [r[1:] for r in rows]), (found, parts)):
+        for text, n in own:
+            words = text.split(" ")
+            for size in range(2, 6):
+                for i in range(len(words) - size + 1):
+                    into[" ".join(words[i : i + size])] += n
+    assert {p: n for p, n in counts.items() if n >= 100} == {p: n for p, n in found.items() if n >= 100}
+    assert len(parts) <= len(counts) < len(rows)
+
+
 def test_nothing_frequent(odd, with_lang):
     assert collocations.collocations(odd).filter("lang <> 'en'").collect() == []
     assert collocations.collocations(odd.limit(0)).collect() == []

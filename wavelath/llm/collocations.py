@@ -5,9 +5,11 @@ counting is found from above, with sketches: a sketch is a table of cells, each
 sum of what falls into it, so that a cell's count is at least that of any phrase in
 it. Words are counted, then pairs of frequent words in a sketch that has several
 cells for each word of the corpus. Only stretches of words in which every pair may
-be frequent can hold a frequent phrase; equal stretches are one row with a count,
-and from here on they stand for the corpus. A second sketch, of the stretches'
-phrases, leaves the candidates.
+be frequent can hold a frequent phrase. A second sketch, of their longer phrases,
+leaves the longest windows that may be frequent; equal ones are one row with a
+count, what two neighbouring ones share counts below zero, and from here on they
+stand for the corpus: there are no more of them than of phrases that may be
+frequent, however long stretches are. A third sketch leaves the candidates.
 
 Candidates are dealt out by their first two words into shards of bounded size, and
 a shard is compiled into an automaton. A stretch is sent to the shards of its own
@@ -287,28 +289,41 @@ def phrase_cells(rows: DataFrame, bits: int, sizes: range, least: int) -> DataFr
     return sketched(rows, held_of, bits, least)
 
 
-def parts_of(rows: DataFrame, triples, bits: int) -> DataFrame:
-    """lang, stretch, n: stretches cut between pairs that no triple which may be frequent joins; a cut leaves its word on both sides, so that each pair stands in one part."""
+def windows(hashes: np.ndarray, longer, bits: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The longest windows of 2 to most words that may be frequent, with all windows inside them, as places of first words and behind last ones: none inside another, in order. longer: a bitmap of windows of 3 words and more."""
+    _, at = window_keys(hashes, 2)
+    size = np.ones(len(hashes) + 1, np.int64)
+    size[at] = 2
+    for k in range(3, most + 1):
+        keys, places = window_keys(hashes, k)
+        places = places[lets_through(longer, bits, keys)]
+        size[places[size[places] == k - 1]] = k
+    for _ in range(most - 2):  # what follows a window's first word may be frequent too
+        size[:-1] = np.minimum(size[:-1], size[1:] + 1)
+    ends = at + size[at]
+    first = np.append(True, ends[1:] > ends[:-1])[: len(at)]
+    return at[first], ends[first]
+
+
+def parts_of(rows: DataFrame, longer, bits: int, settings: Collocations) -> DataFrame:
+    """lang, stretch, n: the windows of stretches that may be frequent, and with a count below zero what two neighbouring ones share, so that the counts of what holds a phrase come to its occurrences."""
 
     def run(batches):
         known, counts = Languages(), {}
         for batch in pieces(batches, 1 << 16):
             for lang, tokens, hashes, weights in tokens_of(batch, known):
-                _, at = window_keys(hashes, 2)
-                keys, triple = window_keys(hashes, 3)
-                tied = np.zeros(len(hashes) + 1, bool)
-                tied[triple[lets_through(triples.value, bits, keys)] + 1] = True  # the pair that begins here goes on from the one before
-                first = ~tied[at]
-                last = np.append(first[1:], True)
+                starts, ends = windows(hashes, longer.value, bits, settings.max_words)
                 own = counts.setdefault(lang, Counter())
-                for a, b, n in zip(at[first].tolist(), at[last].tolist(), weights[at[first]].tolist(), strict=True):
-                    own[b" ".join(tokens[a : b + 2])] += n
+                both = np.flatnonzero(ends[:-1] - starts[1:] >= 2)
+                for a, b, n in ((starts, ends, weights[starts]), (starts[both + 1], ends[both], -weights[starts[both]])):
+                    for i, j, k in zip(a.tolist(), b.tolist(), n.tolist(), strict=True):
+                        own[b" ".join(tokens[i:j])] += k
             if sum(map(len, counts.values())) > 300_000:
                 yield tally(counts, "stretch")
                 counts = {}
         yield tally(counts, "stretch")
 
-    return rows.mapInArrow(run, "lang string, stretch string, n long").groupBy("lang", "stretch").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "lang string, stretch string, n long").groupBy("lang", "stretch").agg(F.sum("n").alias("n")).filter("n <> 0")
 
 
 def phrases(rows: DataFrame, mask, bits: int, settings: Collocations) -> DataFrame:
@@ -349,7 +364,7 @@ def occurrences(rows: DataFrame, candidates: DataFrame, settings: Collocations)
     sent = stage_table(sent.join(dealt.select("lang", "shard").distinct(), ["lang", "shard"], "left_semi"), "sent")
     parts = sent.groupBy("lang", "shard").agg(F.ceil(F.count("*") / settings.part_rows).cast("int").alias("parts"))
     asked = sent.join(parts, ["lang", "shard"]).select("lang", "shard", F.pmod(F.xxhash64("text"), "parts").cast("int").alias("part"), "text", "n")
-    held = dealt.join(parts, ["lang", "shard"]).select("lang", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "text", F.lit(-1).cast("long").alias("n"))
+    held = dealt.join(parts, ["lang", "shard"]).select("lang", "shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "text", F.lit(None).cast("long").alias("n"))
     group = ["lang", "shard", "part"]
 
     def run(batches):
@@ -365,7 +380,7 @@ def occurrences(rows: DataFrame, candidates: DataFrame, settings: Collocations)
                     if names:
                         yield out()
                     own, automaton, names, counts = at, None, [], []
-                if n < 0:  # candidates come first
+                if n is None:  # candidates come first
                     names.append(f" {text} ")
                     continue
                 if automaton is None:
@@ -395,8 +410,8 @@ def counted(docs: DataFrame, settings: Collocations = Collocations()) -> tuple[D
     pair_map = bitmap(pair_cells(texts, *word_map, bits, settings.least), bits, settings.map_bits)
     rows = stage_table(stretches(texts, *word_map, *pair_map), "stretches")
     if settings.max_words > 2:
-        triple_map = bitmap(phrase_cells(rows, bits, range(3, 4), settings.least), bits, settings.map_bits)
-        rows = stage_table(parts_of(rows, *triple_map), "parts")
+        longer = bitmap(phrase_cells(rows, bits, range(3, settings.max_words + 1), settings.least), bits, settings.map_bits)
+        rows = stage_table(parts_of(rows, *longer, settings), "parts")
     phrase_map = bitmap(phrase_cells(rows, bits, range(2, settings.max_words + 1), settings.least), bits, settings.map_bits)
     candidates = stage_table(phrases(rows, *phrase_map, settings), "candidates")
     return words, stage_table(occurrences(rows, candidates, settings).filter(often), "phrases")
